@@ -38,21 +38,22 @@ _TEMPLATES = {
 SELECT l_partkey, count(*) AS n_sales, cast(sum(l_quantity) AS bigint) AS units,
        count(DISTINCT l_shipdate) AS n_days, cast(max(l_shipdate) AS date) AS last_sold
 FROM lineitem GROUP BY l_partkey""",
+    "products": """
+SELECT p_partkey AS row_id, cast(p_partkey AS string) AS asin, p_name AS product_name, p_type AS category,
+       cast(round(p_retailprice * (10 + p_size) * 10) AS bigint) AS price_cents,
+       cast(round(p_retailprice * (10 + p_size) * 10) AS double) / 100 AS price,
+       cast(30 + p_size % 21 AS double) / 10 AS rating,
+       CASE p_partkey % 4 WHEN 0 THEN 'Melbourne' WHEN 1 THEN 'Sydney'
+                          WHEN 2 THEN 'Brisbane' ELSE 'Perth' END AS warehouse_location,
+       10 + p_partkey % 41 AS minimum_stock_threshold,
+       date '2001-12-01' + cast(7 + p_partkey % 23 AS int) AS restock_date
+FROM part""",
     "catalog": """
-SELECT p.p_partkey AS row_id, cast(p.p_partkey AS string) AS asin,
-       p.p_name AS product_name, p.p_type AS category,
-       cast(round(p.p_retailprice * (10 + p.p_size) * 10) AS bigint) AS price_cents,
-       cast(round(p.p_retailprice * (10 + p.p_size) * 10) AS double) / 100 AS price,
-       cast(30 + p.p_size % 21 AS double) / 10 AS rating,
-       coalesce(f.n_sales, 0) AS review_count,
-       CASE p.p_partkey % 4 WHEN 0 THEN 'Melbourne' WHEN 1 THEN 'Sydney'
-                            WHEN 2 THEN 'Brisbane' ELSE 'Perth' END AS warehouse_location,
+SELECT p.*, coalesce(f.n_sales, 0) AS review_count,
        coalesce(f.units, 0) % 451 AS stock_quantity,
-       10 + p.p_partkey % 41 AS minimum_stock_threshold,
        round(cast(coalesce(f.units, 0) AS double) / f.n_days, 2) AS daily_sales_avg,
-       f.last_sold AS last_sold_date,
-       date '2001-12-01' + cast(7 + p.p_partkey % 23 AS int) AS restock_date
-FROM part p LEFT JOIN sales_facts f ON p.p_partkey = f.l_partkey""",
+       f.last_sold AS last_sold_date
+FROM products p LEFT JOIN sales_facts f ON p.row_id = f.l_partkey""",
     "listing_rows": """
 SELECT row_id, asin, product_name, category, price_cents, price, rating, review_count
 FROM catalog
@@ -180,5 +181,10 @@ def view(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.sql(text, **inputs)
 
 
+def products(spark: SparkSession, root: str) -> DataFrame:
+    """Catalogue columns that need no sales facts."""
+    return view(spark, root, "products")
+
+
 def catalog(spark: SparkSession, root: str) -> DataFrame:
     return view(spark, root, "catalog")
