@@ -1,10 +1,32 @@
-"""Column expressions over question text."""
+"""Column expressions that read a question's text.
+
+Words are matched whole by default (``ev`` does not hit "every"); pass
+``whole=False`` for plain substring matching.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyhouse.functions import vocab
+
+LETTERS = "a-z0-9çğıöşü"
+START = f"(^|[^{LETTERS}])"
+END = f"([^{LETTERS}]|$)"
+
+
+def escape(word: str) -> str:
+    return re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", word)
+
+
+def word_pattern(words: list[str]) -> str:
+    """Pattern that finds any of the words as a whole word, longest first."""
+    body = "|".join(escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    return f"{START}({body}){END}"
+
 
 def contains_any(text: Column, words: list[str]) -> Column:
     """Case-blind substring test; NULL text is false, words are taken literally."""
@@ -13,3 +35,238 @@ def contains_any(text: Column, words: list[str]) -> Column:
     for word in words:
         hits = hits | F.contains(low, F.lit(word))
     return F.coalesce(hits, F.lit(False))
+
+
+def has_word(text: Column, words: list[str], whole: bool = True) -> Column:
+    if whole:
+        return F.coalesce(F.rlike(text, F.lit(word_pattern(words))), F.lit(False))
+    return contains_any(text, words)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    return F.coalesce(F.rlike(text, F.lit(pattern)), F.lit(False))
+
+
+def normalize_text(text: Column) -> Column:
+    """Lower-case, with misheard place names put right.
+
+    Each pass consumes the characters around a hit, so two passes are needed
+    for neighbouring words.
+    """
+    out = F.lower(text)
+    for place, variants in vocab.PLACE_VARIANTS.items():
+        pattern = word_pattern(variants)
+        for _ in range(2):
+            out = F.regexp_replace(out, pattern, f"$1{place}$3")
+    return out
+
+
+def found_in_order(text: Column, words: list[str], whole: bool = True) -> Column:
+    """The words present in the text, in list order."""
+    return F.array_compact(F.array(*[F.when(has_word(text, [w], whole), F.lit(w)) for w in words]))
+
+
+def extract_locations(text: Column) -> Column:
+    """All place names mentioned (substring, so suffixed names count)."""
+    return F.array_compact(F.array(*[
+        F.when(F.contains(text, F.lit(w.lower())), F.lit(w)) for w in vocab.WAREHOUSES]))
+
+
+def map_category(text: Column, words: dict[str, str], whole: bool = True) -> Column:
+    """Category of the first dictionary word found, in dictionary order."""
+    return F.coalesce(*[F.when(has_word(text, [w], whole), F.lit(c)) for w, c in words.items()])
+
+
+def number(text: Column, patterns: list[str]) -> Column:
+    """First capture group of the first pattern that matches, as a number."""
+    hits = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns]
+    return F.coalesce(*hits).try_cast("double")
+
+
+# Number patterns, tried in order; one captured group each.
+NUM = "([0-9]+(?:[.][0-9]+)?)"
+RATING_PATTERNS = [
+    rf"rating['\"]? *[><=]+ *{NUM}",
+    rf"rating +{NUM} *(?:üstü|üzeri|den fazla|dan fazla)",
+    rf"{NUM} *(?:üstü|üzeri|den fazla|dan fazla|üzerinde).*rating",
+    rf"rating.*?{NUM} *(?:üstü|üzeri)",
+]
+PRICE_PATTERNS = [
+    rf"(?:fiyat|price)['\"]? *[><=]+ *{NUM}",
+    rf"(?:fiyat|price) +{NUM} *(?:üstü|üzeri|dolar)",
+    rf"{NUM} *(?:dolar|usd|[$])? *(?:üstü|üzeri|üzerinde).*(?:fiyat|price)",
+    rf"(?:fiyat|price).*?{NUM} *(?:üstü|üzeri)",
+]
+STOCK_PATTERNS = [
+    r"stok *([0-9]+) *(?:üstü|üzeri|den fazla)",
+    r"stock.*?([0-9]+)",
+]
+LIMIT_PATTERNS = [
+    r"([0-9]+) *(?:tane|adet|ürün|tanesini|adedini)",
+    r"(?:ilk|en iyi|top) *([0-9]+)",
+]
+# Variant that takes the direction from the text instead of assuming "above".
+COUNT_PRICE_PATTERN = rf"(?:price|fiyat)[ıi]? *[><=]* *{NUM}"
+COUNT_STOCK_PATTERN = r"(?:stock|stok)[_ ]*(?:quantity)?[ıi]? *[><=]* *([0-9]+)"
+
+
+def extract_limit(text: Column) -> Column:
+    return number(text, LIMIT_PATTERNS).cast("long")
+
+
+def first_number(text: Column) -> Column:
+    return number(text, ["([0-9]+)"]).cast("long")
+
+
+def direction(text: Column) -> Column:
+    """``above`` or ``below``, or NULL when the text does not say."""
+    return F.when(contains_any(text, vocab.ABOVE_WORDS), "above").when(
+        contains_any(text, vocab.BELOW_WORDS), "below")
+
+
+def large_numbers(text: Column, floor: int = 10) -> Column:
+    """All numbers in the text above ``floor``."""
+    every = F.regexp_extract_all(text, F.lit(NUM), F.lit(1))
+    return F.filter(F.transform(every, lambda x: x.try_cast("double")), lambda x: x > floor)
+
+
+def extract_sort(text: Column) -> Column:
+    """Which order the text asks for."""
+    def says(*words: str) -> Column:
+        return contains_any(text, list(words))
+
+    best = says("en yüksek", "en iyi", "en çok") & says("rating")
+    return (
+        F.when(best & says("uygun", "ucuz", "düşük"), "rating_price")
+        .when(best, "rating")
+        .when(says("en ucuz", "en uygun") | (says("fiyat") & says("düşük")), "price_asc")
+        .when(says("en pahalı") | (says("fiyat") & says("yüksek")), "price_desc")
+        .when(says("en çok satan", "satış"), "sales")
+        .when(says("en çok stok") | (says("stok") & says("en")), "stock")
+    )
+
+
+def classify_output(text: Column, has_limit: Column, has_filter: Column) -> Column:
+    """Whether the answer is a count, a list, or neither."""
+    asks_list = contains_any(text, vocab.LIST_WORDS)
+    return (
+        F.when(contains_any(text, vocab.COUNT_WORDS) & ~asks_list, "count")
+        .when(contains_any(text, vocab.LIST_OR_WHICH_WORDS) | has_limit, "list")
+        .when(has_filter, "count")
+        .otherwise("none")
+    )
+
+
+def is_transfer(text: Column) -> Column:
+    return matches(text, "|".join(vocab.TRANSFER_PATTERNS))
+
+
+def multi_location(text: Column) -> Column:
+    """Two named sites, or a report/total for a named site."""
+    sites = "(?:sydney|melbourne|brisbane|perth)"
+    pair = matches(text, rf"{sites}.*(?:and|,|with).*{sites}")
+    return pair | matches(text, rf"(?:report|breakdown|distribution|total).*{sites}")
+
+
+def is_pointer(text: Column, product_words: list[str]) -> Column:
+    """Refers to the previous result and names nothing new."""
+    return (
+        contains_any(text, vocab.POINTER_WORDS)
+        & ~has_word(text, product_words)
+        & ~has_word(text, vocab.ROUTE_CATEGORY_WORDS)
+        & (F.size(extract_locations(text)) == 0)
+    )
+
+
+def route_intent(text: Column, product_words: list[str]) -> Column:
+    """Where a question goes, tested in this order."""
+    sites = F.size(extract_locations(text)) > 0
+    return (
+        F.when(is_transfer(text), "transfer")
+        .when(contains_any(text, vocab.RECOMMEND_PHRASES), "recommendation")
+        .when(contains_any(text, vocab.PRODUCT_PHRASES) & ~contains_any(text, vocab.PLACE_PHRASES), "product")
+        .when(is_pointer(text, product_words), "previous")
+        .when((contains_any(text, vocab.DATA_PHRASES) | sites) & multi_location(text), "breakdown")
+        .when(contains_any(text, vocab.DATA_PHRASES) | sites, "data")
+        .otherwise("retrieval")
+    )
+
+
+def extract_exclusion(text: Column) -> Column:
+    """The first site the text rules out."""
+    tests = []
+    for site in vocab.WAREHOUSES:
+        s = site.lower()
+        pattern = "|".join([
+            rf"if +{s} +has +(?:no|zero|low)",
+            rf"if +{s} +(?:is +)?(?:out|no +stock|low +stock)",
+            rf"where.*if +{s}",
+            rf"{s} +(?:is +)?(?:out +of +stock|has +no|no +stock|low +stock)",
+            rf"(?:alternative +to|instead +of) +{s}",
+        ])
+        tests.append(F.when(matches(text, pattern), F.lit(site)))
+    return F.coalesce(*tests)
+
+
+def word_count(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit("[^ \\t\\n]+"), F.lit(0)))
+
+
+def refers_back(text: Column) -> Column:
+    """Follow-up by wording alone."""
+    return matches(text, "|".join(vocab.FOLLOW_UP_PATTERNS))
+
+
+def short_follow_up(text: Column) -> Column:
+    """Follow-up if there is any context: short, and only a place or a quantity."""
+    names_site = F.size(extract_locations(text)) > 0
+    only_site = names_site & ~has_word(text, vocab.FOLLOW_UP_CATEGORY_WORDS)
+    asks = contains_any(text, vocab.SHORT_QUANTITY_WORDS)
+    return (word_count(text) <= vocab.SHORT_FOLLOW_UP_WORDS) & (only_site | asks)
+
+
+def answer_category(text: Column) -> Column:
+    low = F.lower(text)
+    return F.coalesce(*[F.when(contains_any(low, w), F.lit(c)) for c, w in vocab.ANSWER_WORDS.items()])
+
+
+# --- speakable text --------------------------------------------------------
+
+def squeeze(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
+
+
+def strip_markup(text: Column, variant: str = "realtime") -> Column:
+    """Answer text without markdown and symbols, per consumer."""
+    def drop(t: Column, *parts: str) -> Column:
+        for part in parts:
+            t = F.replace(t, F.lit(part), F.lit(""))
+        return t
+
+    if variant == "realtime":
+        t = F.substring(text, 1, 600)
+        t = F.regexp_replace(t, r"\*\*([^*]+)\*\*", "$1")
+        t = F.regexp_replace(t, r"\*([^*]+)\*", "$1")
+        t = drop(t, "*", "#", "`", *vocab.SPOKEN_SYMBOLS)
+        t = F.replace(t, F.lit("$"), F.lit(" dollars "))
+        t = F.replace(t, F.lit("N/A"), F.lit("not available"))
+        return squeeze(t)
+    if variant == "assistant":
+        t = drop(text, "*", "#")
+        t = drop(F.replace(t, F.lit("|"), F.lit(" ")), "---", "```", "📊", "📋", "💡")
+        t = F.replace(F.replace(t, F.lit("⭐"), F.lit(" yıldız ")), F.lit("⚠️"), F.lit(" uyarı "))
+        t = drop(t, "🏆", "📈", "🔊", "💰", "📦")
+        t = F.regexp_replace(t, r"\n+", ". ")
+        t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\r\n\f]+", " "), r"[.]+", "."))
+        t = F.replace(F.replace(t, F.lit("$"), F.lit(" dolar ")), F.lit("N/A"), F.lit("bilgi yok"))
+        return F.when(F.length(t) > 500, F.concat(F.substring(t, 1, 500), F.lit("... ve daha fazlası."))).otherwise(t)
+    if variant == "simple":
+        t = drop(text, "*", "#", "|", "---")
+        return F.when(F.length(t) > 800, F.concat(F.substring(t, 1, 800), F.lit("..."))).otherwise(t)
+    if variant == "browser":
+        t = drop(text, "*")
+        t = F.regexp_replace(t, r"#{1,6}[ \t\r\n\f]", "")
+        t = F.regexp_replace(t, r"\[([^\]]+)\]\([^)]+\)", "$1")
+        t = F.regexp_replace(t, r"`([^`]+)`", "$1")
+        return drop(t, "---", "|")
+    raise ValueError(f"unknown variant {variant}")
