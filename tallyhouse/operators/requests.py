@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.ranges import blocks_covering, blocks_of, levels_for
 from tallyhouse.schemas import INTENT
+from tallyhouse.sources.workspace import materialize
 
 ANY = "*"
 BITS = 2
 STEPS = 20  # the search below handles up to 2**20 thresholds per axis
 GRAM = 3
 
-# axis -> (integer value of a product, lower bound, upper bound)
+# axis -> (value of a product, lower bound, upper bound, units per 1.0)
 AXES = {
     "rating": ("rating", "rating_above", None, 100),
     "price": ("price", "price_above", "price_below", 100),
@@ -120,6 +121,9 @@ def _signatures(requests: DataFrame) -> DataFrame:
     return requests.withColumns(cols)
 
 
+# Price and stock ranges are looked up by block. Ratings have few distinct
+# values (0 to 5 in hundredths), so their bound is compared directly.
+BLOCK_AXES = ["price", "stock"]
 SIGNATURE = ["category_key", "keyword_key", "sites"] + [f"{a}_{e}" for a in AXES for e in ("lo", "hi")]
 
 
@@ -139,14 +143,15 @@ def _rank(value: Column, cuts: Column) -> Column:
 class Matcher:
     """Shared preparation of the two request reports."""
 
-    def __init__(self, products: DataFrame, requests: DataFrame):
-        self.requests = _signatures(requests)
-        self.signatures = self.requests.select(*SIGNATURE).distinct().withColumn("sig", F.xxhash64(*SIGNATURE))
-        cuts = _cuts(self.signatures)
+    def __init__(self, products: DataFrame, requests: DataFrame, *extra: str):
+        # Every branch below reads the requests, so their parsing runs once.
+        asked = _signatures(requests).select("request_id", *SIGNATURE, *extra)
+        self.requests = materialize(asked.withColumn("sig", F.xxhash64(*SIGNATURE)), "requests")
+        self.signatures = materialize(self.requests.select("sig", *SIGNATURE).distinct(), "signatures")
+        cuts = materialize(_cuts(self.signatures), "cuts")
         # Three integers come to the driver: how many thresholds each axis has.
         sizes = cuts.select(*[F.size(a).alias(a) for a in AXES]).first()
         self.levels = {a: levels_for(sizes[a] + 1, BITS) for a in AXES}
-        self.sizes = {a: sizes[a] for a in AXES}
         self.cuts = cuts
         self.products = products
 
@@ -166,18 +171,18 @@ class Matcher:
     def exploded(self, cells: DataFrame) -> DataFrame:
         """One row per block the cell lies in; unknown values fit "no filter" only."""
         out = cells.withColumn("category_key", any_or("category")).withColumn("site", any_or("warehouse_location"))
-        for axis in AXES:
+        for axis in BLOCK_AXES:
             top = F.array(F.lit(self.levels[axis] << 48).cast("long"))
             blocks = F.when(F.col(f"{axis}_r").isNull(), top).otherwise(
                 blocks_of(F.col(f"{axis}_r"), self.levels[axis], BITS))
             out = out.withColumn(f"{axis}_b", F.explode(blocks))
-        return out
+        return out.withColumn("rating_r", F.coalesce("rating_r", F.lit(-1)))
 
     def lookups(self) -> DataFrame:
         """The blocks each distinct filter consists of."""
         out = self.signatures.withColumn("site", F.explode("sites")).withColumn(
             "cuts", self.cuts.select(F.struct(*[F.col(a) for a in AXES])).scalar())
-        for axis in AXES:
+        for axis in BLOCK_AXES:
             cuts, lo, hi = F.col(f"cuts.{axis}"), F.col(f"{axis}_lo"), F.col(f"{axis}_hi")
             low = F.when(lo.isNull(), 0).otherwise(F.array_position(cuts, lo))
             # With no upper bound the range runs to the end of the axis, so that
@@ -185,10 +190,15 @@ class Matcher:
             end = (1 << (BITS * self.levels[axis])) - 1
             high = F.when(hi.isNull(), end).otherwise(F.array_position(cuts, hi) - 1)
             out = out.withColumn(f"{axis}_b", F.explode(blocks_covering(low, high, self.levels[axis], BITS)))
-        return out.select("sig", *NODE)
+        rating_from = F.when(F.col("rating_lo").isNull(), -1).otherwise(
+            F.array_position(F.col("cuts.rating"), F.col("rating_lo")))
+        return out.select("sig", rating_from.alias("rating_from"), *NODE)
 
+    def found(self, nodes: DataFrame) -> DataFrame:
+        return self.lookups().join(nodes, NODE).where("rating_r >= rating_from")
 
-NODE = ["category_key", "keyword_key", "site"] + [f"{a}_b" for a in AXES]
+
+NODE = ["category_key", "keyword_key", "site"] + [f"{a}_b" for a in BLOCK_AXES]
 
 
 def match_requests(products: DataFrame, requests: DataFrame) -> DataFrame:
@@ -197,10 +207,10 @@ def match_requests(products: DataFrame, requests: DataFrame) -> DataFrame:
     ranks = [f"{a}_r" for a in AXES]
     cells = m.cells().groupBy("category", "warehouse_location", "keyword_key", *ranks).agg(
         F.count("*").alias("n"), F.sum("stock_quantity").alias("units"))
-    nodes = m.exploded(cells).groupBy(*NODE).agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
-    found = m.lookups().join(nodes, NODE).groupBy("sig").agg(
+    nodes = m.exploded(cells).groupBy(*NODE, "rating_r").agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
+    found = m.found(nodes).groupBy("sig").agg(
         F.sum("n").alias("n_matches"), F.sum("units").alias("total_units"))
-    return m.requests.withColumn("sig", F.xxhash64(*SIGNATURE)).join(found, "sig", "left").select(
+    return m.requests.join(found, "sig", "left").select(
         "request_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
         F.coalesce("total_units", F.lit(0)).alias("total_units"))
 
@@ -212,16 +222,15 @@ def first_rows(products: DataFrame, requests: DataFrame, default: int = 10) -> D
     applied in each task before the shuffle.
     """
     wanted = F.coalesce("n_rows", F.lit(default))
-    requests = requests.withColumn("n_rows", wanted)
-    longest = requests.agg(F.max("n_rows")).first()[0] or default
-    m = Matcher(products, requests)
-    order = Window.partitionBy(*NODE).orderBy("row_id")
-    nodes = m.exploded(m.cells()).select("row_id", "asin", *NODE).withColumn(
+    m = Matcher(products, requests.withColumn("n_rows", wanted), "n_rows")
+    longest = m.requests.agg(F.max("n_rows")).first()[0] or default
+    order = Window.partitionBy(*NODE, "rating_r").orderBy("row_id")
+    nodes = m.exploded(m.cells()).select("row_id", "asin", "rating_r", *NODE).withColumn(
         "r", F.row_number().over(order)).where(F.col("r") <= longest).drop("r")
     by_sig = Window.partitionBy("sig").orderBy("row_id")
-    found = m.lookups().join(nodes, NODE).withColumn("position", F.row_number().over(by_sig)).where(
+    found = m.found(nodes).withColumn("position", F.row_number().over(by_sig)).where(
         F.col("position") <= longest)
     lists = found.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("position", "asin"))).alias("rows"))
     shown = F.transform(F.slice("rows", 1, F.col("n_rows").cast("int")), lambda r: r["asin"])
-    return m.requests.withColumn("sig", F.xxhash64(*SIGNATURE)).join(lists, "sig", "left").select(
+    return m.requests.join(lists, "sig", "left").select(
         "request_id", F.coalesce(shown, F.array().cast("array<string>")).alias("asins"))
