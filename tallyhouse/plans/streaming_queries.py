@@ -62,7 +62,8 @@ def _(spark, root):
     return activity_segments(events, RULES)
 
 
-_WATERMARK = f"((SELECT max(epoch_us(ts)) FROM events) - {DELAY_HOURS * HOUR})"
+# Watermarks are kept in milliseconds.
+_WATERMARK = f"((SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - {DELAY_HOURS * HOUR})"
 
 
 @query("stream_activity_segments", f"""

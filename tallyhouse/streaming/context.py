@@ -13,37 +13,47 @@ from tallyhouse.operators.context import mentions
 OUTPUT = "conv_id long, turn long, route string, category string, location string, words long"
 STATE = "category string, location string, words long"
 MENTIONED = ["conv_id", "turn", "route", "own_category", "own_location", "own_words", "by_wording", "by_length"]
-IDLE_MS = 24 * 3600 * 1000
-
-
-def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Context after each turn of one conversation in this micro-batch."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    category, location, words = state.get if state.exists else (None, None, 0)
-    rows = pd.concat(list(batches)).sort_values("turn")
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.route == "data":
-            if not (r.by_wording or r.by_length):
-                category, location, words = None, None, 0
-            category = r.own_category if pd.notna(r.own_category) else category
-            location = r.own_location if pd.notna(r.own_location) else location
-            words |= int(r.own_words)
-        out.append((key[0], r.turn, r.route, category, location or None, words))
-    state.update((category, location, words))
-    state.setTimeoutDuration(IDLE_MS)
-    yield pd.DataFrame(out, columns=["conv_id", "turn", "route", "category", "location", "words"])
-
-
-def stream_context(questions: DataFrame, categories: dict[str, str], words: list[str]) -> DataFrame:
-    """Streaming form of ``carry_context``; idle conversations are forgotten.
+
+
+def folder(idle_ms: int | None):
+    """Per-conversation step; state idle for ``idle_ms`` is dropped."""
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Context after each turn of one conversation in this micro-batch."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        category, location, words = state.get if state.exists else (None, None, 0)
+        rows = pd.concat(list(batches)).sort_values("turn")
+        out = []
+        for r in rows.itertuples(index=False):
+            if r.route == "data":
+                if not (r.by_wording or r.by_length):
+                    category, location, words = None, None, 0
+                category = r.own_category if pd.notna(r.own_category) else category
+                location = r.own_location if pd.notna(r.own_location) else location
+                words |= int(r.own_words)
+            out.append((key[0], r.turn, r.route, category, location or None, words))
+        state.update((category, location, words))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "route", "category", "location", "words"])
+
+    return advance
+
+
+def stream_context(questions: DataFrame, categories: dict[str, str], words: list[str],
+                   idle_ms: int | None = None) -> DataFrame:
+    """Streaming form of ``carry_context``.
+
+    Set ``idle_ms`` for a query that runs for ever, so that conversations which
+    ended are forgotten. A run over what is available now must leave it unset:
+    a processing-time timeout keeps asking for another batch.
 
     The text is read by native expressions. Python only folds the small
     results of one conversation's new turns; ``maxFilesPerTrigger`` on the
     source bounds how many there are at a time.
     """
     read = mentions(questions, categories, words).select(*MENTIONED)
-    return read.groupBy("conv_id").applyInPandasWithState(
-        advance, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return read.groupBy("conv_id").applyInPandasWithState(folder(idle_ms), OUTPUT, STATE, "append", timeout)
