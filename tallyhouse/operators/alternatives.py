@@ -14,6 +14,7 @@ from tallyhouse.functions.ranges import blocks_covering, blocks_of
 from tallyhouse.functions.vocab import (
     ALTERNATIVES_KEPT, MIN_RATING_GAP, PRICE_BAND_HIGH, PRICE_BAND_LOW,
 )
+from tallyhouse.sources.workspace import materialize
 
 # Cents up to 2**24 - 1 ($167,772.15), far above the validated price ceiling.
 PRICE_BITS = 2
@@ -81,11 +82,13 @@ def higher_rated(products: DataFrame, kept: int = ALTERNATIVES_KEPT, gap: float
 
     They are a prefix of the category's best list, since anything that beats
     the bar beats everything below it. The list table has one short row per
-    category, which the join ships whole only if Spark measures it as small.
+    category; it is written first, so that its true size decides whether the
+    join ships it whole and leaves the products where they are.
     """
+    lists = materialize(top_rated(products, kept), "top-rated")
     bar = F.col("rating") + gap
     above = F.filter("best", lambda x: (x["rating"] > bar) & (x["asin"] != F.col("asin")))
-    joined = products.select("asin", "category", "rating").join(top_rated(products, kept), "category", "left")
+    joined = products.select("asin", "category", "rating").join(lists, "category", "left")
     return joined.select("asin", F.coalesce(_ids(above), F.array().cast("array<string>")).alias("better"))
 
 

@@ -1,7 +1,8 @@
 """Site recommendations, transfers and adjustments, as table jobs.
 
-Stock is first summed per site and category (and keyword set). What is left
-is small, and requests look it up by equality.
+Stock is first summed per site and category (and keyword set), and that table
+is written. Its true size then decides whether the lookups ship it whole, in
+which case the requests are not shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators.requests import ANY, any_or, keyword_key, with_keyword_keys
 from tallyhouse.schemas import TRANSFERS
+from tallyhouse.sources.workspace import materialize
 
 MAX_SUGGESTED_TRANSFER = 50
 
@@ -20,8 +22,8 @@ def stock_cube(products: DataFrame, *extra: str) -> DataFrame:
     base = products.groupBy("category", "warehouse_location", *extra).agg(
         F.coalesce(F.sum("stock_quantity"), F.lit(0)).alias("units"), F.count("*").alias("item_count"))
     keyed = base.withColumn("category_key", any_or("category")).withColumn("site", any_or("warehouse_location"))
-    return keyed.groupBy("category_key", "site", *extra).agg(
-        F.sum("units").alias("units"), F.sum("item_count").alias("item_count"))
+    return materialize(keyed.groupBy("category_key", "site", *extra).agg(
+        F.sum("units").alias("units"), F.sum("item_count").alias("item_count")), "stock-cube")
 
 
 def recommend_sites(products: DataFrame, requests: DataFrame) -> DataFrame:
@@ -36,7 +38,8 @@ def recommend_sites(products: DataFrame, requests: DataFrame) -> DataFrame:
     keyed = with_keyword_keys(products.where(F.col("warehouse_location").isNotNull()), asked)
     cube = stock_cube(keyed, "keyword_key").where(F.col("site") != ANY)
     entry = F.struct((-F.col("units")).alias("by"), "site", "units", "item_count")
-    ranking = cube.groupBy("category_key", "keyword_key").agg(F.array_sort(F.collect_list(entry)).alias("sites"))
+    ranking = materialize(cube.groupBy("category_key", "keyword_key").agg(
+        F.array_sort(F.collect_list(entry)).alias("sites")), "site-ranking")
 
     excluded = stock_cube(products).select(
         "category_key", F.col("site").alias("excluded"), F.col("units").alias("excluded_units"))
@@ -90,8 +93,8 @@ def transfer_legs(transfers: DataFrame) -> DataFrame:
 
 
 def stock_by_site(products: DataFrame) -> DataFrame:
-    return products.groupBy("warehouse_location", "category").agg(
-        F.coalesce(F.sum("stock_quantity"), F.lit(0)).alias("units"))
+    return materialize(products.groupBy("warehouse_location", "category").agg(
+        F.coalesce(F.sum("stock_quantity"), F.lit(0)).alias("units")), "site-stock")
 
 
 def transfer_stock(products: DataFrame, transfers: DataFrame) -> DataFrame:

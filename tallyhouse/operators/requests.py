@@ -22,7 +22,6 @@ from tallyhouse.sources.workspace import materialize
 
 ANY = "*"
 BITS = 2
-STEPS = 20  # the search below handles up to 2**20 thresholds per axis
 GRAM = 3
 
 # axis -> (value of a product, lower bound, upper bound, units per 1.0)
@@ -71,8 +70,9 @@ def keyword_key(keywords: Column) -> Column:
 
 
 def keyword_groups(products: DataFrame, keys: DataFrame) -> DataFrame:
-    """(name, keyword_key) for each distinct name that contains any word of the set.
+    """(name, keyword_key) for each distinct name and each keyword set it satisfies.
 
+    A set is satisfied when any of its words is in the name; ``*`` always is.
     Substring search as an equi-join: a name is listed under every run of up
     to three characters in it, a keyword under its first three; the hit is
     then verified in full.
@@ -80,21 +80,24 @@ def keyword_groups(products: DataFrame, keys: DataFrame) -> DataFrame:
     words = keys.where(F.col("keyword_key") != ANY).select("keyword_key").distinct().select(
         "keyword_key", F.explode(F.split("keyword_key", "[|]")).alias("word"))
     words = words.withColumn("gram", F.substring("word", 1, GRAM))
-    names = products.select(F.lower("product_name").alias("name")).where("name IS NOT NULL AND name <> ''").distinct()
+    names = products.select(name_key().alias("name")).distinct()
     starts = F.sequence(F.lit(1), F.length("name"))
     grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(
         *[F.substr(F.col("name"), i, F.lit(n)) for n in range(1, GRAM + 1)]))))
-    listed = names.withColumn("gram", F.explode(grams))
+    listed = names.where("name <> ''").withColumn("gram", F.explode(grams))
     hits = listed.join(words, "gram").where(F.contains(F.col("name"), F.col("word")))
-    return hits.select("name", "keyword_key").distinct()
+    return hits.select("name", "keyword_key").distinct().unionByName(
+        names.withColumn("keyword_key", F.lit(ANY)))
+
+
+def name_key() -> Column:
+    return F.coalesce(F.lower("product_name"), F.lit(""))
 
 
 def with_keyword_keys(products: DataFrame, keys: DataFrame) -> DataFrame:
     """Each product once under ``*`` and once per keyword set it satisfies."""
-    groups = keyword_groups(products, keys).groupBy("name").agg(F.collect_set("keyword_key").alias("own"))
-    joined = products.join(groups, F.lower("product_name") == F.col("name"), "left").drop("name")
-    every = F.concat(F.array(F.lit(ANY)), F.coalesce("own", F.array().cast("array<string>")))
-    return joined.withColumn("keyword_key", F.explode(every)).drop("own")
+    groups = keyword_groups(products, keys)
+    return products.withColumn("name", name_key()).join(groups, "name").drop("name")
 
 
 def any_or(column: str) -> Column:
@@ -133,9 +136,9 @@ def _cuts(signatures: DataFrame) -> DataFrame:
         F.array_sort(F.array_union(F.collect_set(f"{a}_lo"), F.collect_set(f"{a}_hi"))).alias(a) for a in AXES])
 
 
-def _rank(value: Column, cuts: Column) -> Column:
+def _rank(value: Column, cuts: Column, n_cuts: int) -> Column:
     """How many thresholds lie below the value, by binary search."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(STEPS))])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(n_cuts, 1).bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
         F.coalesce(F.get(cuts, at + step - 1) < value, F.lit(False)), at + step).otherwise(at))
 
@@ -151,6 +154,7 @@ class Matcher:
         cuts = materialize(_cuts(self.signatures), "cuts")
         # Three integers come to the driver: how many thresholds each axis has.
         sizes = cuts.select(*[F.size(a).alias(a) for a in AXES]).first()
+        self.sizes = {a: sizes[a] for a in AXES}
         self.levels = {a: levels_for(sizes[a] + 1, BITS) for a in AXES}
         self.cuts = cuts
         self.products = products
@@ -164,7 +168,7 @@ class Matcher:
         thresholds = F.struct(*[F.col(a) for a in AXES])
         rows = rows.withColumn("cuts", self.cuts.select(thresholds).scalar())
         for axis in AXES:
-            rank = F.when(F.col(f"{axis}_v").isNotNull(), _rank(F.col(f"{axis}_v"), F.col(f"cuts.{axis}")))
+            rank = F.when(F.col(f"{axis}_v").isNotNull(), _rank(F.col(f"{axis}_v"), F.col(f"cuts.{axis}"), self.sizes[axis]))
             rows = rows.withColumn(f"{axis}_r", rank)
         return with_keyword_keys(rows.drop("cuts"), self.signatures)
 

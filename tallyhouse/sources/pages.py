@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.vocab import CRAWL_TARGET, LINK_HOST
+from tallyhouse.sources.workspace import materialize
 
 
 def first_group(text: Column, pattern: str) -> Column:
@@ -121,4 +122,5 @@ def quota_groups(rows: DataFrame, order: str, target: int = CRAWL_TARGET, group:
 
 
 def apply_quota(rows: DataFrame, order: str, target: int = CRAWL_TARGET, group: str = "category") -> DataFrame:
-    return rows.join(quota_groups(rows, order, target, group).select(group), group, "left_semi")
+    kept = materialize(quota_groups(rows, order, target, group).select(group), "quota")
+    return rows.join(kept, group, "left_semi")
