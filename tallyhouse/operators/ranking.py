@@ -9,15 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.render import list_row
 
 def top_n(df: DataFrame, metric: str, n: int = 10, largest: bool = True) -> DataFrame:
     by = F.col(metric).desc_nulls_last() if largest else F.col(metric).asc_nulls_last()
     return df.orderBy(by, "row_id").limit(n)
 
 
-def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
-    """Adds the 1-based position to a short, already limited list."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+def formatted_list(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first ``n`` rows as numbered lines (``n`` bounds the array)."""
+    head = df.orderBy(*(order or ["row_id"])).limit(n)
+    keys = [c if isinstance(c, Column) else F.col(c) for c in (order or ["row_id"])]
+    entries = head.select(F.struct(*LIST_COLUMNS).alias("r"), F.row_number().over(
+        Window.partitionBy(F.lit(0)).orderBy(*keys)).alias("position"))
+    return entries.select("position", "r.*").select("position", list_row(F.col("position")).alias("line"))
+
+
+LIST_COLUMNS = ["product_name", "price", "stock_quantity", "rating"]
 
 
 def top_n_per_group(df: DataFrame, group: str, metric: str, n: int) -> DataFrame:

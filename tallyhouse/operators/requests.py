@@ -149,7 +149,7 @@ class Matcher:
     def __init__(self, products: DataFrame, requests: DataFrame, *extra: str):
         # Every branch below reads the requests, so their parsing runs once.
         asked = _signatures(requests).select("request_id", *SIGNATURE, *extra)
-        self.requests = materialize(asked.withColumn("sig", F.xxhash64(*SIGNATURE)), "requests")
+        self.requests = materialize(asked.withColumn("sig", F.md5(F.to_json(F.struct(*SIGNATURE)))), "requests")
         self.signatures = materialize(self.requests.select("sig", *SIGNATURE).distinct(), "signatures")
         cuts = materialize(_cuts(self.signatures), "cuts")
         # Three integers come to the driver: how many thresholds each axis has.

@@ -118,7 +118,7 @@ def _(spark, root):
 
 @query("page_dedupe", f"""WITH {_LINKS} SELECT page_id, link, min(pos) AS pos FROM resolved WHERE link <> '' GROUP BY page_id, link""")
 def _(spark, root):
-    return pg.first_per_page(pg.page_links(table(spark, root, "pages")), "page_id", "link", "pos")
+    return pg.distinct_links(table(spark, root, "pages"))
 
 
 def listing_pages(spark: SparkSession, root: str) -> DataFrame:

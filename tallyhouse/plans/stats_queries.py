@@ -238,6 +238,14 @@ def _(spark, root):
     return ranking.listed_with_rest(chosen, None)
 
 
+@query("formatted_list", """
+SELECT position, concat(cast(position AS string), '. ', product_name, ' | $', printf('%.2f', price), ' | Stock:',
+  cast(stock_quantity AS string), ' | ', printf('%.1f', rating)) AS line
+FROM (SELECT *, row_number() OVER (ORDER BY rating DESC, price, row_id) AS position FROM catalog) c WHERE position <= 10""")
+def _(spark, root):
+    return ranking.formatted_list(catalog(spark, root), 10, F.col("rating").desc(), F.col("price"), F.col("row_id"))
+
+
 def _head(name: str, n: int) -> None:
     @query(name, f"SELECT row_id, product_name FROM catalog WHERE warehouse_location = 'Perth' ORDER BY row_id LIMIT {n}")
     def _(spark, root):

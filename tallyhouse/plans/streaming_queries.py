@@ -15,7 +15,7 @@ from tallyhouse.sources.tables import table
 from tallyhouse.sources.workspace import materialize, new_folder
 from tallyhouse.streaming.activity import stream_segments, stream_sessions
 from tallyhouse.streaming.context import stream_context
-from tallyhouse.streaming.ingest import drain_to_parquet, ingest, read_new_files
+from tallyhouse.streaming.ingest import drain_to_parquet, drop_repeats, ingest, read_new_files
 
 HOUR = 3600 * SECOND
 # Events come hours apart, so the times are hours instead of seconds.
@@ -113,3 +113,11 @@ def _(spark, root):
     ingest(stream, target, new_folder(spark, "ingest-state")).awaitTermination()
     return spark.read.parquet(target).select(
         "asin", "category", "price", "rating", "review_count", "scraped_at", "satisfaction_level")
+
+
+@query("stream_drop_repeats", "SELECT DISTINCT product_id FROM raw_listings")
+def _(spark, root):
+    landing = new_folder(spark, "landing")
+    view(spark, root, "raw_listings").select(*RAW_COLUMNS).write.option("header", True).option("escape", '"').csv(landing)
+    kept = drop_repeats(read_new_files(spark, landing), "30 days").select("product_id")
+    return drain_to_parquet(kept, new_folder(spark, "kept"), new_folder(spark, "kept-state"))

@@ -40,16 +40,31 @@ def absolute_link(href: Column, host: Column) -> Column:
     return F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(host, href))
 
 
+def link_array(url: Column, html: Column) -> Column:
+    """All links of a page, absolute, in page order."""
+    host = F.regexp_extract(url, "^(https?://[^/?#]+)", 1)
+    hrefs = F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))
+    return F.transform(hrefs, lambda href: absolute_link(href, host))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """One row per link, in page order."""
-    host = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
-    hrefs = F.regexp_extract_all(F.col("html"), F.lit('href="([^"]*)"'), F.lit(1))
-    links = pages.select("page_id", host.alias("host"), F.posexplode(hrefs).alias("pos", "href"))
-    return links.select("page_id", "pos", absolute_link(F.col("href"), F.col("host")).alias("link"))
+    return pages.select("page_id", F.posexplode(link_array(F.col("url"), F.col("html"))).alias("pos", "link"))
+
+
+def distinct_links(pages: DataFrame) -> DataFrame:
+    """First occurrence of each link of a page.
+
+    A page is one row, so this needs no shuffle.
+    """
+    linked = pages.select("page_id", link_array(F.col("url"), F.col("html")).alias("links"))
+    once = F.transform(F.array_distinct("links"), lambda x: F.struct(
+        (F.array_position("links", x) - 1).cast("int").alias("pos"), x.alias("link")))
+    return linked.select("page_id", F.explode(once).alias("x")).select("page_id", "x.*").where("link <> ''")
 
 
 def first_per_page(rows: DataFrame, page: str, key: str, order: str) -> DataFrame:
-    """First occurrence of each key within a page; empty keys are skipped."""
+    """First occurrence of each key within a page stored as rows; empty keys are skipped."""
     window = Window.partitionBy(page, key).orderBy(order)
     known = rows.where(F.coalesce(F.col(key) != "", F.lit(False)))
     return known.withColumn("_r", F.row_number().over(window)).where("_r = 1").drop("_r")
@@ -76,12 +91,17 @@ def extract_listings(pages: DataFrame) -> DataFrame:
     Cards without an id are skipped and an id counts once per page. A missing
     field is the empty string, a missing link is built from the id.
     """
-    cards = pages.select(
-        "page_no", "category", "scraped_at",
-        F.posexplode(F.split("html", CARD)).alias("pos", "card")).where("pos > 0")
+    def id_of(card: Column) -> Column:
+        return F.regexp_extract(card, '^"([^"]*)"', 1)
+
     card = F.col("card")
-    rows = cards.withColumn("product_id", F.regexp_extract(card, '^"([^"]*)"', 1))
-    rows = first_per_page(rows, "page_no", "product_id", "pos")
+    split = pages.select("page_no", "category", "scraped_at", F.split("html", CARD).alias("parts"))
+    # The ids are worked out per page, before the cards become rows: no shuffle.
+    listed = split.withColumn("ids", F.transform("parts", id_of))
+    first = F.filter("parts", lambda part, i: (i > 0) & (id_of(part) != "")
+                     & (F.array_position("ids", id_of(part)) == i + 1))
+    rows = listed.select("page_no", "category", "scraped_at", F.explode(first).alias("card")).withColumn(
+        "product_id", id_of(card))
     href = first_group(card, 'class="a-link-normal"[^>]*href="([^"]*/dp/[^"]*)"')
     link = F.coalesce(absolute_link(href, F.lit(LINK_HOST)), F.concat(F.lit(f"{LINK_HOST}/dp/"), F.col("product_id")))
     fields = {n: F.coalesce(first_group(card, p), F.lit("")) for n, p in FIELDS.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyhouse.operators.cleaning import clean_listings, dedupe
 from tallyhouse.operators.enrichment import satisfaction_columns
@@ -20,6 +21,16 @@ def read_new_files(spark: SparkSession, landing: str, archive: str | None = None
     return reader.csv(landing)
 
 
+def drop_repeats(stream: DataFrame, window: str = "7 days") -> DataFrame:
+    """A product that comes again within ``window`` of its scrape time is dropped.
+
+    Ids are forgotten once the watermark has passed them, so the state does
+    not grow with the history.
+    """
+    timed = stream.withColumn("event_time", F.try_to_timestamp("scraped_at"))
+    return timed.withWatermark("event_time", window).dropDuplicatesWithinWatermark(["product_id"])
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str):
     """Clean and enrich each micro-batch and add it to the ``target`` table.
 
