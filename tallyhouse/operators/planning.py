@@ -26,37 +26,50 @@ def stock_cube(products: DataFrame, *extra: str) -> DataFrame:
         F.sum("units").alias("units"), F.sum("item_count").alias("item_count")), "stock-cube")
 
 
-def recommend_sites(products: DataFrame, requests: DataFrame) -> DataFrame:
-    """Best site and two alternatives per request, the excluded site left out.
+def site_lists(products: DataFrame, asked: DataFrame) -> DataFrame:
+    """Sites by stock per distinct (category, keyword set), as one short array."""
+    keyed = with_keyword_keys(products.where(F.col("warehouse_location").isNotNull()), asked)
+    cube = stock_cube(keyed, "keyword_key").where(F.col("site") != ANY)
+    entry = F.struct((-F.col("units")).alias("by"), "site", "units", "item_count")
+    return materialize(cube.groupBy("category_key", "keyword_key").agg(
+        F.array_sort(F.collect_list(entry)).alias("sites")), "site-lists")
+
+
+def with_keys(requests: DataFrame) -> DataFrame:
+    return requests.withColumns({
+        "category_key": F.coalesce("category", F.lit(ANY)), "keyword_key": keyword_key(F.col("keywords"))})
+
+
+def ranked_sites(products: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests with their sites by stock (``kept``), the excluded one left out.
 
     Requests: ``request_id, category, keywords, excluded``. The ranking of
     sites is made once per distinct (category, keyword set); a request only
     drops its excluded site from it.
     """
-    asked = requests.withColumns({
-        "category_key": F.coalesce("category", F.lit(ANY)), "keyword_key": keyword_key(F.col("keywords"))})
-    keyed = with_keyword_keys(products.where(F.col("warehouse_location").isNotNull()), asked)
-    cube = stock_cube(keyed, "keyword_key").where(F.col("site") != ANY)
-    entry = F.struct((-F.col("units")).alias("by"), "site", "units", "item_count")
-    ranking = materialize(cube.groupBy("category_key", "keyword_key").agg(
-        F.array_sort(F.collect_list(entry)).alias("sites")), "site-ranking")
-
+    asked = with_keys(requests)
     excluded = stock_cube(products).select(
         "category_key", F.col("site").alias("excluded"), F.col("units").alias("excluded_units"))
-    joined = asked.join(ranking, ["category_key", "keyword_key"], "left").join(
+    joined = asked.join(site_lists(products, asked), ["category_key", "keyword_key"], "left").join(
         excluded, ["category_key", "excluded"], "left")
     # Without an excluded site nothing is dropped.
     kept = F.filter("sites", lambda s: ~F.coalesce(s["site"] == F.col("excluded"), F.lit(False)))
-    ranked = joined.withColumn("kept", kept)
     best = F.get("kept", 0)
     left = F.coalesce("excluded_units", F.lit(0))
     suggestion = F.when(F.col("excluded").isNotNull() & (left == 0), F.least(
         F.floor(best["units"] / 2), F.lit(MAX_SUGGESTED_TRANSFER)))
-    return ranked.select(
+    return joined.withColumn("kept", kept).withColumn("excluded_units", left).withColumn(
+        "suggested_transfer", suggestion)
+
+
+def recommend_sites(products: DataFrame, requests: DataFrame) -> DataFrame:
+    """Best site and two alternatives per request."""
+    best = F.get("kept", 0)
+    return ranked_sites(products, requests).select(
         "request_id", best["site"].alias("best_site"), best["units"].alias("best_units"),
         best["item_count"].alias("best_items"),
         F.get("kept", 1)["site"].alias("second_site"), F.get("kept", 2)["site"].alias("third_site"),
-        left.alias("excluded_units"), suggestion.alias("suggested_transfer"))
+        "excluded_units", "suggested_transfer")
 
 
 def excluded_stock(products: DataFrame, requests: DataFrame) -> DataFrame:
@@ -104,31 +117,38 @@ def transfer_stock(products: DataFrame, transfers: DataFrame) -> DataFrame:
         "units", F.coalesce("units", F.lit(0)))
 
 
-def project_transfers(products: DataFrame, transfers: DataFrame) -> DataFrame:
-    """Units per (site, category) before and after all transfers."""
-    deltas = transfer_legs(transfers).groupBy("warehouse_location", "category").agg(F.sum("delta").alias("delta"))
+def project_transfers(products: DataFrame, transfers: DataFrame, *by: str) -> DataFrame:
+    """Units per (site, category) before and after all transfers (per ``by``)."""
+    deltas = transfer_legs(transfers).groupBy(*by, "warehouse_location", "category").agg(F.sum("delta").alias("delta"))
     before = F.coalesce("units", F.lit(0))
     after = before + F.col("delta")
     return deltas.join(stock_by_site(products), ["warehouse_location", "category"], "left").select(
-        "warehouse_location", "category", before.alias("units_before"), "delta", after.alias("units_after"),
+        *by, "warehouse_location", "category", before.alias("units_before"), "delta", after.alias("units_after"),
         (after < 0).alias("shortage"), F.greatest(-after, F.lit(0)).alias("missing_units"))
 
 
 # --- adjustments -----------------------------------------------------------
 
-def project_adjustments(products: DataFrame, requests: DataFrame) -> DataFrame:
-    """Row count after adding or removing ``quantity`` rows, with the change in %.
+def count_rows(products: DataFrame, requests: DataFrame, *keep: str) -> DataFrame:
+    """Rows per request: ``request_id, category, locations`` and ``keep``.
 
-    Requests: ``request_id, operation, quantity, category, locations``. The
-    named sites are distinct, so their counts add up.
+    The named sites are distinct, so their counts add up.
     """
     sites = F.array_distinct("locations")
     asked = requests.withColumn("site", F.explode(
         F.when(F.size(sites) > 0, sites).otherwise(F.array(F.lit(ANY))))).withColumn(
         "category_key", F.coalesce("category", F.lit(ANY)))
     cube = stock_cube(products).select("category_key", "site", "item_count")
-    counted = asked.join(cube, ["category_key", "site"], "left").groupBy(
-        "request_id", "operation", "quantity").agg(F.coalesce(F.sum("item_count"), F.lit(0)).alias("current"))
+    return asked.join(cube, ["category_key", "site"], "left").groupBy("request_id", *keep).agg(
+        F.coalesce(F.sum("item_count"), F.lit(0)).alias("current"))
+
+
+def project_adjustments(products: DataFrame, requests: DataFrame) -> DataFrame:
+    """Row count after adding or removing ``quantity`` rows, with the change in %.
+
+    Requests: ``request_id, operation, quantity, category, locations``.
+    """
+    counted = count_rows(products, requests, "operation", "quantity")
     q, now = F.col("quantity"), F.col("current")
     given = F.coalesce(F.col("operation") != "", F.lit(False)) & F.coalesce(q != 0, F.lit(False))
     status = (
@@ -142,4 +162,4 @@ def project_adjustments(products: DataFrame, requests: DataFrame) -> DataFrame:
     return counted.select(
         "request_id", "operation", "quantity", "current", status.alias("status"),
         F.when(done, now + signed).alias("after"),
-        F.when(status == "ok", F.round(signed / F.nullif(now, F.lit(0)) * 100, 1)).alias("change_percent"))
+        F.when(status.isin("ok"), F.round(signed / F.nullif(now, F.lit(0)) * 100, 1)).alias("change_percent"))
