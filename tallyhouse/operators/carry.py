@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.sources.workspace import materialize
 
 def with_ordinal(df: DataFrame, key: str, order: list[str], piece: Column) -> DataFrame:
     """Adds ``_ord``, the 0-based position of a row within its key.
@@ -56,7 +57,8 @@ def carry_last(
         out |= {f"_u_{n}": F.bit_or(f"_u_{n}").over(segment) for n in union}
         return frame.withColumns(out)
 
-    local = fold(rows, [key, "_chunk"], order)
+    # Both the summaries and the result read this, so it is computed once.
+    local = materialize(fold(rows, [key, "_chunk"], order), "folded")
     state = F.struct(F.lit(0).alias("_"), *[F.col(n) for n in names])
     ends = local.groupBy(key, "_chunk").agg(
         F.max_by(state, F.col(order)).alias("s"), (F.max("_resets") > 0).alias("_reset"))

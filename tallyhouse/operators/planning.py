@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.requests import ANY, any_or, keyword_key, with_keyword_keys
+from tallyhouse.operators.requests import ANY, any_or, keyword_classes, keyword_key
 from tallyhouse.schemas import TRANSFERS
 from tallyhouse.sources.workspace import materialize
 
@@ -28,8 +28,11 @@ def stock_cube(products: DataFrame, *extra: str) -> DataFrame:
 
 def site_lists(products: DataFrame, asked: DataFrame) -> DataFrame:
     """Sites by stock per distinct (category, keyword set), as one short array."""
-    keyed = with_keyword_keys(products.where(F.col("warehouse_location").isNotNull()), asked)
-    cube = stock_cube(keyed, "keyword_key").where(F.col("site") != ANY)
+    classed, edges = keyword_classes(products.where(F.col("warehouse_location").isNotNull()), asked)
+    both = classed.withColumn("class_key", F.explode(F.array(F.col("class_key"), F.lit(ANY))))
+    cube = stock_cube(both, "class_key").where(F.col("site") != ANY).join(edges, "class_key").groupBy(
+        "category_key", "keyword_key", "site").agg(
+        F.sum("units").alias("units"), F.sum("item_count").alias("item_count"))
     entry = F.struct((-F.col("units")).alias("by"), "site", "units", "item_count")
     return materialize(cube.groupBy("category_key", "keyword_key").agg(
         F.array_sort(F.collect_list(entry)).alias("sites")), "site-lists")

@@ -23,6 +23,7 @@ from tallyhouse.sources.workspace import materialize
 ANY = "*"
 BITS = 2
 GRAM = 3
+WORD_BREAK = "\u0001"
 
 # axis -> (value of a product, lower bound, upper bound, units per 1.0)
 AXES = {
@@ -66,38 +67,50 @@ def requests_from_intents(intents: DataFrame) -> DataFrame:
 def keyword_key(keywords: Column) -> Column:
     """Canonical text of a keyword set; ``*`` when there is none."""
     words = F.array_sort(F.array_distinct(F.transform(keywords, F.lower)))
-    return F.coalesce(F.nullif(F.concat_ws("|", words), F.lit("")), F.lit(ANY))
+    return F.coalesce(F.nullif(F.concat_ws(WORD_BREAK, words), F.lit("")), F.lit(ANY))
 
 
-def keyword_groups(products: DataFrame, keys: DataFrame) -> DataFrame:
-    """(name, keyword_key) for each distinct name and each keyword set it satisfies.
+def name_key() -> Column:
+    return F.coalesce(F.lower("product_name"), F.lit(""))
+
+
+def name_words(products: DataFrame, words: DataFrame) -> DataFrame:
+    """(name, word) for each distinct name and each asked word it contains.
 
-    A set is satisfied when any of its words is in the name; ``*`` always is.
     Substring search as an equi-join: a name is listed under every run of up
-    to three characters in it, a keyword under its first three; the hit is
-    then verified in full.
+    to three characters in it, a word under its first three; the hit is then
+    verified in full.
     """
-    words = keys.where(F.col("keyword_key") != ANY).select("keyword_key").distinct().select(
-        "keyword_key", F.explode(F.split("keyword_key", "[|]")).alias("word"))
-    words = words.withColumn("gram", F.substring("word", 1, GRAM))
-    names = products.select(name_key().alias("name")).distinct()
+    first = words.withColumn("gram", F.substring("word", 1, GRAM))
+    names = products.select(name_key().alias("name")).distinct().where("name <> ''")
     starts = F.sequence(F.lit(1), F.length("name"))
     grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(
         *[F.substr(F.col("name"), i, F.lit(n)) for n in range(1, GRAM + 1)]))))
-    listed = names.where("name <> ''").withColumn("gram", F.explode(grams))
-    hits = listed.join(words, "gram").where(F.contains(F.col("name"), F.col("word")))
-    return hits.select("name", "keyword_key").distinct().unionByName(
-        names.withColumn("keyword_key", F.lit(ANY)))
+    listed = names.withColumn("gram", F.explode(grams))
+    return listed.join(first, "gram").where(F.contains(F.col("name"), F.col("word"))).select("name", "word")
 
 
-def name_key() -> Column:
-    return F.coalesce(F.lower("product_name"), F.lit(""))
-
+def keyword_classes(products: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Products with a ``class_key``, and the classes of each keyword set.
 
-def with_keyword_keys(products: DataFrame, keys: DataFrame) -> DataFrame:
-    """Each product once under ``*`` and once per keyword set it satisfies."""
-    groups = keyword_groups(products, keys)
-    return products.withColumn("name", name_key()).join(groups, "name").drop("name")
+    A class is the set of asked words a name contains, so every product is in
+    one class. A keyword set ("any of these words") is the sum of the classes
+    that share a word with it; ``*`` stands for all products.
+    """
+    sets = keys.select("keyword_key").distinct()
+    members = sets.where(F.col("keyword_key") != ANY).select(
+        "keyword_key", F.explode(F.split("keyword_key", WORD_BREAK)).alias("word"))
+    found = name_words(products, members.select("word").distinct())
+    # A name holds few asked words, so the arrays are short.
+    names = found.groupBy("name").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    names = materialize(names.withColumn("class_key", F.concat_ws(WORD_BREAK, "words")), "name-classes")
+    classed = products.withColumn("name", name_key()).join(
+        names.select("name", "class_key"), "name", "left").drop("name").withColumn(
+        "class_key", F.coalesce("class_key", F.lit("")))
+    shared = names.select("class_key", F.explode("words").alias("word")).distinct().join(members, "word")
+    edges = shared.select("keyword_key", "class_key").distinct().unionByName(
+        sets.where(F.col("keyword_key") == ANY).withColumn("class_key", F.lit(ANY)))
+    return classed, edges
 
 
 def any_or(column: str) -> Column:
@@ -160,7 +173,7 @@ class Matcher:
         self.products = products
 
     def cells(self) -> DataFrame:
-        """Products under every key a request can use, with their axis ranks."""
+        """Products with their keyword class and their axis ranks."""
         rows = self.products
         for axis, (value, _, _, scale) in AXES.items():
             whole = F.round(F.col(value) * scale).cast("long")
@@ -170,11 +183,22 @@ class Matcher:
         for axis in AXES:
             rank = F.when(F.col(f"{axis}_v").isNotNull(), _rank(F.col(f"{axis}_v"), F.col(f"cuts.{axis}"), self.sizes[axis]))
             rows = rows.withColumn(f"{axis}_r", rank)
-        return with_keyword_keys(rows.drop("cuts"), self.signatures)
-
-    def exploded(self, cells: DataFrame) -> DataFrame:
-        """One row per block the cell lies in; unknown values fit "no filter" only."""
-        out = cells.withColumn("category_key", any_or("category")).withColumn("site", any_or("warehouse_location"))
+        classed, edges = keyword_classes(rows.drop("cuts"), self.signatures)
+        self.edges = edges
+        return classed
+
+    def exploded(self, cells: DataFrame, *spread: str) -> DataFrame:
+        """One row per block the cell lies in; unknown values fit "no filter" only.
+
+        The rows multiply here, so they are first spread over all tasks: few
+        bytes before this step are many after it, which the sizes that decide
+        on the merging of partitions do not show.
+        """
+        spark = cells.sparkSession
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        out = cells.repartition(tasks, *spread).withColumns({"any_class": F.array(F.col("class_key"), F.lit(ANY))}).withColumn(
+            "class_key", F.explode("any_class")).drop("any_class")
+        out = out.withColumn("category_key", any_or("category")).withColumn("site", any_or("warehouse_location"))
         for axis in BLOCK_AXES:
             top = F.array(F.lit(self.levels[axis] << 48).cast("long"))
             blocks = F.when(F.col(f"{axis}_r").isNull(), top).otherwise(
@@ -184,7 +208,7 @@ class Matcher:
 
     def lookups(self) -> DataFrame:
         """The blocks each distinct filter consists of."""
-        out = self.signatures.withColumn("site", F.explode("sites")).withColumn(
+        out = self.signatures.join(self.edges, "keyword_key").withColumn("site", F.explode("sites")).withColumn(
             "cuts", self.cuts.select(F.struct(*[F.col(a) for a in AXES])).scalar())
         for axis in BLOCK_AXES:
             cuts, lo, hi = F.col(f"cuts.{axis}"), F.col(f"{axis}_lo"), F.col(f"{axis}_hi")
@@ -202,16 +226,16 @@ class Matcher:
         return self.lookups().join(nodes, NODE).where("rating_r >= rating_from")
 
 
-NODE = ["category_key", "keyword_key", "site"] + [f"{a}_b" for a in BLOCK_AXES]
+NODE = ["category_key", "class_key", "site"] + [f"{a}_b" for a in BLOCK_AXES]
 
 
 def match_requests(products: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request: number of matching products and their units."""
     m = Matcher(products, requests)
     ranks = [f"{a}_r" for a in AXES]
-    cells = m.cells().groupBy("category", "warehouse_location", "keyword_key", *ranks).agg(
+    cells = m.cells().groupBy("category", "warehouse_location", "class_key", *ranks).agg(
         F.count("*").alias("n"), F.sum("stock_quantity").alias("units"))
-    nodes = m.exploded(cells).groupBy(*NODE, "rating_r").agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
+    nodes = m.exploded(cells, "category", "warehouse_location", "class_key", *ranks).groupBy(*NODE, "rating_r").agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
     found = m.found(nodes).groupBy("sig").agg(
         F.sum("n").alias("n_matches"), F.sum("units").alias("total_units"))
     return m.requests.join(found, "sig", "left").select(
@@ -229,7 +253,7 @@ def first_rows(products: DataFrame, requests: DataFrame, default: int = 10) -> D
     m = Matcher(products, requests.withColumn("n_rows", wanted), "n_rows")
     longest = m.requests.agg(F.max("n_rows")).first()[0] or default
     order = Window.partitionBy(*NODE, "rating_r").orderBy("row_id")
-    nodes = m.exploded(m.cells()).select("row_id", "asin", "rating_r", *NODE).withColumn(
+    nodes = m.exploded(m.cells(), "row_id").select("row_id", "asin", "rating_r", *NODE).withColumn(
         "r", F.row_number().over(order)).where(F.col("r") <= longest).drop("r")
     by_sig = Window.partitionBy("sig").orderBy("row_id")
     found = m.found(nodes).withColumn("position", F.row_number().over(by_sig)).where(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import vocab
 from tallyhouse.operators.carry import carry_last, with_ordinal
+from tallyhouse.sources.workspace import materialize
 
 CHUNK_ROWS = 4096
 SECOND = 1_000_000
@@ -63,7 +64,8 @@ def mark_active(df: DataFrame, rules: Rules, key: str = "user_id", tie: str = "e
 
 def activity_segments(df: DataFrame, rules: Rules, key: str = "user_id", tie: str = "event_id") -> DataFrame:
     """Segments: key, start and end (microseconds), active rows, peak value."""
-    rows = mark_active(df, rules, key, tie).where("active").select(key, "_ord", "_chunk", "us", "value")
+    rows = materialize(mark_active(df, rules, key, tie).where("active").select(
+        key, "_ord", "_chunk", "us", "value"), "active")
     local = F.lag("us").over(Window.partitionBy(key, "_chunk").orderBy("_ord"))
     ends = rows.groupBy(key, "_chunk").agg(F.max("us").alias("_last"))
     before = ends.withColumn("_before", F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk"))).drop("_last")
