@@ -27,7 +27,7 @@ def blocks_of(value: Column, levels: int, bits: int = 1) -> Column:
 def blocks_covering(low: Column, high: Column, levels: int, bits: int = 1) -> Column:
     """Disjoint blocks whose union is ``[low, high]``; empty if ``low > high``.
 
-    ``high`` must be below ``2**(bits*levels)``.
+    A range longer than a block of the top level takes several of those.
     """
     none = F.array().cast("array<bigint>")
     up = 1 << bits

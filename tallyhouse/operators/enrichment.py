@@ -60,10 +60,11 @@ def inventory_facts(products: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def split_predicates() -> dict[str, Column]:
+def split_predicates(low_stock_multiplier: float = 1.0) -> dict[str, Column]:
     """Operational splits; a row may be in several."""
     tests = {
-        "low_stock": F.col("stock_quantity") < F.col("minimum_stock_threshold"),
+        "low_stock": inv.is_low_stock(
+            F.col("stock_quantity"), F.col("minimum_stock_threshold"), low_stock_multiplier),
         "high_performers": (F.col("rating") >= HIGH_PERFORMER_RATING)
         & (F.col("daily_sales_avg") > HIGH_PERFORMER_SALES),
         "restock_queue": F.col("days_until_restock") <= RESTOCK_DAYS,

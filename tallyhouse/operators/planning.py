@@ -89,8 +89,10 @@ def parse_transfers(df: DataFrame, column: str = "transfer_json") -> DataFrame:
     """JSON transfer plans to one row per transfer."""
     parsed = F.from_json(F.col(column), TRANSFERS, {"mode": "PERMISSIVE"})
     kept = [c for c in df.columns if c != column]
-    rows = df.select(*kept, parsed.alias("p")).where("p.is_transfer")
-    return rows.select(*kept, F.explode("p.transfers").alias("t")).select(*kept, "t.*")
+    plan = df.select(*kept, parsed.alias("p"))
+    # The outer form keeps the optimizer from parsing once more for a filter.
+    steps = plan.select(*kept, F.explode_outer(F.when(F.col("p.is_transfer"), F.col("p.transfers"))).alias("t"))
+    return steps.where("t IS NOT NULL").select(*kept, "t.*")
 
 
 def complete_transfer() -> Column:

@@ -33,8 +33,13 @@ def final_table(listings: DataFrame, stock: DataFrame, run_ts: str) -> DataFrame
     return alt.add_alternatives(enriched).withColumn("product_description", render.product_description())
 
 
-def run_once(spark: SparkSession, listings: DataFrame, stock: DataFrame, base: str, run_id: str, run_ts: str) -> str:
-    """Run every stage below ``base``; returns the path of the metrics table."""
+def run_once(spark: SparkSession, listings: DataFrame, stock: DataFrame, base: str, run_id: str, run_ts: str,
+             min_quality: float = 0.0) -> str:
+    """Run every stage below ``base``; returns the path of the metrics table.
+
+    A quality score below ``min_quality`` stops the run before anything but
+    the raw copy is written.
+    """
     log = sinks.RunLog(spark, f"{base}/metrics", run_id)
     raw_path, run_path = f"{base}/raw/run_id={run_id}", f"{base}/runs/{run_id}"
     log.record("extract", listings, lambda df: df.write.mode("overwrite").parquet(raw_path))
@@ -44,7 +49,7 @@ def run_once(spark: SparkSession, listings: DataFrame, stock: DataFrame, base: s
     flags = clean.range_flags()
     valid = (F.size(clean.missing_fields(FIELDS)) == 0) & flags["price_ok"] & flags["rating_ok"]
     log.record("quality", typed.withColumn("_valid", valid),
-               lambda df: df.write.mode("overwrite").format("noop").save(), quality=True)
+               lambda df: df.write.mode("overwrite").format("noop").save(), min_quality=min_quality)
     log.record("transform", final_table(raw, stock, run_ts), lambda df: sinks.write_outputs(df, run_path))
 
     products = spark.read.parquet(f"{run_path}/ai")

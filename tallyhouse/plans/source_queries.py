@@ -51,8 +51,7 @@ def _runs(spark: SparkSession, root: str) -> str:
 
 @query("scan_latest_run", "SELECT * FROM listing_runs WHERE run_id = (SELECT max(run_id) FROM listing_runs)")
 def _(spark, root):
-    runs = spark.read.schema("listing_id long, price_cents long, run_id string").parquet(_runs(spark, root))
-    return src.scan_latest_run(runs)
+    return src.scan_latest_run(spark, _runs(spark, root), "listing_id long, price_cents long, run_id string")
 
 
 @query("scan_catalog", "SELECT row_id, asin, product_name, category, price, stock_quantity FROM catalog")

@@ -12,7 +12,7 @@ from tallyhouse.plans.cleaning_queries import TYPED_SQL
 from tallyhouse.plans.registry import query
 from tallyhouse.plans.views import view
 from tallyhouse.sources.tables import table
-from tallyhouse.sources.workspace import materialize, new_folder
+from tallyhouse.sources.workspace import new_folder
 from tallyhouse.streaming.activity import stream_segments, stream_sessions
 from tallyhouse.streaming.context import stream_context
 from tallyhouse.streaming.ingest import drain_to_parquet, drop_repeats, ingest, read_new_files
@@ -88,8 +88,8 @@ def _(spark, root):
 
 @query("stream_context", s.CONTEXT + " SELECT conv_id, turn, route, category, location, words FROM ctx")
 def _(spark, root):
-    asked = materialize(view(spark, root, "questions"), "questions")
-    path = asked.inputFiles()[0].rsplit("/", 1)[0]
+    asked, path = view(spark, root, "questions"), new_folder(spark, "questions")
+    asked.write.parquet(path)
     stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1000).parquet(path)
     found = stream_context(stream, s.CATEGORIES, s.WORDS)
     return drain_to_parquet(found, new_folder(spark, "context"), new_folder(spark, "context-state"))

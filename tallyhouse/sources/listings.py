@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from tallyhouse.schemas import RAW
 
 CSV = {"header": True, "multiLine": True, "escape": '"'}
@@ -15,14 +13,17 @@ def scan_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW).options(**CSV).csv(path)
 
 
-def scan_latest_run(runs: DataFrame, column: str = "run_id") -> DataFrame:
-    """Rows of the newest run; run ids sort by time.
+def scan_latest_run(spark: SparkSession, path: str, schema: str, column: str = "run_id") -> DataFrame:
+    """Rows of the newest run of a table partitioned by run.
 
-    On a table partitioned by run the scalar subquery prunes the partitions
-    that are read.
+    Run ids sort by time. Only the folder names are listed; the files of older
+    runs are neither opened nor read.
     """
-    newest = runs.agg(F.max(column)).scalar()
-    return runs.where(F.col(column) == newest)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [e.getPath().getName() for e in entries]
+    newest = max(n for n in names if n.startswith(f"{column}="))
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/{newest}")
 
 
 def scan_catalog(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -118,8 +118,13 @@ class RunLog:
         self.spark, self.path, self.run_id = spark, path, run_id
         self.rows: list[tuple] = []
 
-    def record(self, stage: str, df: DataFrame, write, quality: bool = False) -> None:
-        """Run ``write(df)`` and note how many rows passed, and how long it took."""
+    def record(self, stage: str, df: DataFrame, write, min_quality: float | None = None) -> None:
+        """Run ``write(df)`` and note how many rows passed, and how long it took.
+
+        With ``min_quality`` the share of rows marked ``_valid`` is noted too,
+        and a share below it fails the run.
+        """
+        quality = min_quality is not None
         start = time.monotonic()
         seen = Observation(stage)
         score = F.round(100 * F.avg(F.col("_valid").cast("int")), 2) if quality else F.lit(None).cast("double")
@@ -127,6 +132,8 @@ class RunLog:
         try:
             write(watched.drop("_valid") if quality else watched)
             got = seen.get
+            if quality and (got["q"] or 0.0) < min_quality:
+                raise ValueError(f"quality {got['q']} % is below {min_quality} %")
             self.rows.append((self.run_id, stage, got["n"], got["q"], "success", time.monotonic() - start, None))
         except Exception as error:
             self.rows.append((self.run_id, stage, None, None, "failed", time.monotonic() - start, str(error)[:500]))

@@ -87,6 +87,39 @@ def test_failed_stage_is_recorded(spark):
     assert rates == {"extract": 100.0, "load": 0.0}
 
 
+def test_poor_quality_stops_the_run(spark):
+    from tallyhouse.plans.run import run_once
+
+    rows = [{c: "" for c in RAW_COLUMNS} | {"product_id": f"p{i}", "product_name": "n" if i else "", "category": "c",
+            "discounted_price": "$5", "rating": "4.5"} for i in range(4)]
+    raw = spark.createDataFrame(rows).withColumn("row_id", F.substring("product_id", 2, 9).cast("long"))
+    stock = spark.createDataFrame(
+        [(f"p{i}", "Perth", 5, 9, 40.0, "2026-01-05") for i in range(4)],
+        "asin string, warehouse_location string, stock_quantity int, minimum_stock_threshold int, daily_sales_avg double, restock_date string"
+    ).withColumn("restock_date", F.to_date("restock_date"))
+    base = new_folder(spark, "test-run")
+    with pytest.raises(ValueError, match="75.0 % is below 90"):
+        run_once(spark, raw, stock, base, "20260101_000000", "2026-01-01 00:00:00", min_quality=90)
+    run_once(spark, raw, stock, base, "20260102_000000", "2026-01-02 00:00:00", min_quality=70)
+    got = [(r["run_id"][:8], r["stage"], r["status"]) for r in spark.read.parquet(f"{base}/metrics").collect()]
+    assert sorted(got) == [("20260101", "extract", "success"), ("20260101", "quality", "failed"),
+                           ("20260102", "extract", "success"), ("20260102", "load", "success"),
+                           ("20260102", "quality", "success"), ("20260102", "transform", "success")]
+    final = spark.read.parquet(f"{base}/runs/20260102_000000/ai").orderBy("asin").first()
+    assert final["similar_price_alternatives"] == "p1|p2|p3" and "LOW STOCK" in final["product_description"]
+
+
+def test_csv_outputs(spark):
+    df = spark.createDataFrame(
+        [(1, "a", 5, 9, 4.7, 40.0, 3, 'x "y"')],
+        "row_id int, asin string, stock_quantity int, minimum_stock_threshold int, rating double, daily_sales_avg double, "
+        "days_until_restock int, product_description string")
+    paths = sinks.write_outputs(df, new_folder(spark, "test-outputs"), fmt="csv")
+    for name, path in paths.items():
+        back = spark.read.options(header=True, escape='"').csv(path)
+        assert back.count() == 1 and ("product_description" in back.columns) == (name == "ai")
+
+
 def test_missing_sites_count_zero_and_null_groups_drop(spark):
     df = spark.createDataFrame([("a", "Perth", None, None), (None, "Perth", 1, 2)],
                                "category string, warehouse_location string, stock_quantity int, asin int")
