@@ -190,6 +190,15 @@ def _(spark, root):
         F.date_sub(day, (F.col("row_id") % 30).cast("int")).cast("string").alias("last_sold_date"))
 
 
+@query("last_sold", f"""
+SELECT row_id, cast(last_sold_date AS string) AS last_sold_date,
+  date_diff('day', last_sold_date, cast(timestamp '{RUN_TS}' AS date)) AS days_since_sale FROM catalog""")
+def _(spark, root):
+    return catalog(spark, root).select(
+        "row_id", F.col("last_sold_date").cast("string").alias("last_sold_date"),
+        F.datediff(F.to_date(run_ts()), F.col("last_sold_date")).cast("long").alias("days_since_sale"))
+
+
 def _rating_query(name: str, fn, sql: str) -> None:
     @query(name, f"SELECT row_id, rating, {sql} AS {name} FROM catalog")
     def _(spark, root):

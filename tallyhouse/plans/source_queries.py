@@ -169,7 +169,7 @@ def _(spark, root):
 
 
 @query("run_history", """
-SELECT 'extract' AS stage, 1 AS n_runs, 100.0e0 AS success_rate, count(*) AS n_rows, cast(NULL AS double) AS quality_score FROM listing_rows""")
+SELECT 'extract' AS stage, cast(1 AS bigint) AS n_runs, 100.0e0 AS success_rate, count(*) AS n_rows, cast(NULL AS double) AS quality_score FROM listing_rows""")
 def _(spark, root):
     path = new_folder(spark, "history")
     log = sinks.RunLog(spark, path, "20011201_130000")

@@ -185,7 +185,7 @@ SELECT category, position, row_id, rating FROM (
   FROM catalog WHERE category IS NOT NULL) r WHERE position <= 5""")
 def _(spark, root):
     return ranking.top_n_per_group(catalog(spark, root), "category", "rating", 5).select(
-        "category", "position", "row_id", "rating")
+        "category", F.col("position").cast("long").alias("position"), "row_id", "rating")
 
 
 _SORTS = {
@@ -243,7 +243,8 @@ SELECT position, concat(cast(position AS string), '. ', product_name, ' | $', pr
   cast(stock_quantity AS string), ' | ', printf('%.1f', rating)) AS line
 FROM (SELECT *, row_number() OVER (ORDER BY rating DESC, price, row_id) AS position FROM catalog) c WHERE position <= 10""")
 def _(spark, root):
-    return ranking.formatted_list(catalog(spark, root), 10, F.col("rating").desc(), F.col("price"), F.col("row_id"))
+    return ranking.formatted_list(catalog(spark, root), 10, F.col("rating").desc(), F.col("price"), F.col("row_id")).withColumn(
+        "position", F.col("position").cast("long"))
 
 
 def _head(name: str, n: int) -> None:
