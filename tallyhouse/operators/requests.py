@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.ranges import blocks_covering, blocks_of, levels_for
+from tallyhouse.functions.ranges import LEVEL_SHIFT, blocks_covering, blocks_of, levels_for
 from tallyhouse.schemas import INTENT
 from tallyhouse.sources.workspace import materialize
 
@@ -110,12 +110,12 @@ def keyword_classes(products: DataFrame, keys: DataFrame) -> tuple[DataFrame, Da
     shared = names.select("class_key", F.explode("words").alias("word")).distinct().join(members, "word")
     edges = shared.select("keyword_key", "class_key").distinct().unionByName(
         sets.where(F.col("keyword_key") == ANY).withColumn("class_key", F.lit(ANY)))
-    return classed, edges
+    return classed, materialize(edges, "keyword-classes")
 
 
 def any_or(column: str) -> Column:
     """The value and the wildcard, so that unfiltered requests match by equality."""
-    return F.explode(F.array_distinct(F.array(F.col(column), F.lit(ANY))))
+    return F.explode(F.array_compact(F.array(F.col(column), F.lit(ANY))))
 
 
 # --- matching --------------------------------------------------------------
@@ -156,6 +156,11 @@ def _rank(value: Column, cuts: Column, n_cuts: int) -> Column:
         F.coalesce(F.get(cuts, at + step - 1) < value, F.lit(False)), at + step).otherwise(at))
 
 
+def task_count(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 class Matcher:
     """Shared preparation of the two request reports."""
 
@@ -187,28 +192,34 @@ class Matcher:
         self.edges = edges
         return classed
 
-    def exploded(self, cells: DataFrame, *spread: str) -> DataFrame:
-        """One row per block the cell lies in; unknown values fit "no filter" only.
+    def keyed(self, cells: DataFrame) -> DataFrame:
+        """Each cell under its own keys and under "any"; unknown ratings rank lowest."""
+        return cells.withColumns({
+            "rating_r": F.coalesce("rating_r", F.lit(-1)),
+            "class_key": F.explode(F.array(F.col("class_key"), F.lit(ANY))),
+        }).withColumn("category_key", any_or("category")).withColumn("site", any_or("warehouse_location"))
+
+    def blocked(self, cells: DataFrame) -> DataFrame:
+        """One row per block a cell lies in; unknown values fit "no filter" only.
 
         The rows multiply here, so they are first spread over all tasks: few
         bytes before this step are many after it, which the sizes that decide
         on the merging of partitions do not show.
         """
-        spark = cells.sparkSession
-        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        out = cells.repartition(tasks, *spread).withColumns({"any_class": F.array(F.col("class_key"), F.lit(ANY))}).withColumn(
-            "class_key", F.explode("any_class")).drop("any_class")
-        out = out.withColumn("category_key", any_or("category")).withColumn("site", any_or("warehouse_location"))
+        out = cells.repartition(task_count(cells), *CELL)
         for axis in BLOCK_AXES:
-            top = F.array(F.lit(self.levels[axis] << 48).cast("long"))
+            top = F.array(F.lit(self.levels[axis] << LEVEL_SHIFT).cast("long"))
             blocks = F.when(F.col(f"{axis}_r").isNull(), top).otherwise(
                 blocks_of(F.col(f"{axis}_r"), self.levels[axis], BITS))
             out = out.withColumn(f"{axis}_b", F.explode(blocks))
-        return out.withColumn("rating_r", F.coalesce("rating_r", F.lit(-1)))
+        return out
 
     def lookups(self) -> DataFrame:
         """The blocks each distinct filter consists of."""
-        out = self.signatures.join(self.edges, "keyword_key").withColumn("site", F.explode("sites")).withColumn(
+        # Most requests share the "no keyword" key, so the rows are spread after the join.
+        asked = self.signatures.join(self.edges, "keyword_key")
+        spread = asked.repartition(task_count(asked), "sig")
+        out = spread.withColumn("site", F.explode("sites")).withColumn(
             "cuts", self.cuts.select(F.struct(*[F.col(a) for a in AXES])).scalar())
         for axis in BLOCK_AXES:
             cuts, lo, hi = F.col(f"cuts.{axis}"), F.col(f"{axis}_lo"), F.col(f"{axis}_hi")
@@ -226,16 +237,19 @@ class Matcher:
         return self.lookups().join(nodes, NODE).where("rating_r >= rating_from")
 
 
+RANKS = [f"{a}_r" for a in AXES]
+CELL = ["category_key", "class_key", "site"] + RANKS
 NODE = ["category_key", "class_key", "site"] + [f"{a}_b" for a in BLOCK_AXES]
 
 
 def match_requests(products: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request: number of matching products and their units."""
     m = Matcher(products, requests)
-    ranks = [f"{a}_r" for a in AXES]
-    cells = m.cells().groupBy("category", "warehouse_location", "class_key", *ranks).agg(
+    sums = [F.sum("n").alias("n"), F.sum("units").alias("units")]
+    cells = m.cells().groupBy("category", "warehouse_location", "class_key", *RANKS).agg(
         F.count("*").alias("n"), F.sum("stock_quantity").alias("units"))
-    nodes = m.exploded(cells, "category", "warehouse_location", "class_key", *ranks).groupBy(*NODE, "rating_r").agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
+    merged = m.keyed(cells).groupBy(*CELL).agg(*sums)
+    nodes = m.blocked(merged).groupBy(*NODE, "rating_r").agg(*sums)
     found = m.found(nodes).groupBy("sig").agg(
         F.sum("n").alias("n_matches"), F.sum("units").alias("total_units"))
     return m.requests.join(found, "sig", "left").select(
@@ -252,9 +266,15 @@ def first_rows(products: DataFrame, requests: DataFrame, default: int = 10) -> D
     wanted = F.coalesce("n_rows", F.lit(default))
     m = Matcher(products, requests.withColumn("n_rows", wanted), "n_rows")
     longest = m.requests.agg(F.max("n_rows")).first()[0] or default
-    order = Window.partitionBy(*NODE, "rating_r").orderBy("row_id")
-    nodes = m.exploded(m.cells(), "row_id").select("row_id", "asin", "rating_r", *NODE).withColumn(
-        "r", F.row_number().over(order)).where(F.col("r") <= longest).drop("r")
+
+    def head(rows: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("row_id"))
+        return rows.withColumn("r", rank).where(F.col("r") <= longest).drop("r")
+
+    # Lists are cut per cell first, so that only cells multiply, not products.
+    short = head(m.cells().select("row_id", "asin", "category", "warehouse_location", "class_key", *RANKS),
+                 "category", "warehouse_location", "class_key", *RANKS)
+    nodes = head(m.blocked(head(m.keyed(short), *CELL)).select("row_id", "asin", "rating_r", *NODE), *NODE, "rating_r")
     by_sig = Window.partitionBy("sig").orderBy("row_id")
     found = m.found(nodes).withColumn("position", F.row_number().over(by_sig)).where(
         F.col("position") <= longest)
