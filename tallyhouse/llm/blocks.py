@@ -33,23 +33,27 @@ class Blocks:
 
 
 def write_blocks(docs: DataFrame, label: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> Blocks:
-    """Write ``docs`` with a column ``block``; the input's partitions are cut to about ``block_bytes`` of text."""
+    """Write ``docs`` with columns ``block`` and ``row`` (together unique); a block is part of one input partition and
+    holds about ``block_bytes`` of text, or one longer text."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    schema = T.StructType([*docs.schema.fields, T.StructField("block", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("block", T.LongType()), T.StructField("row", T.LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, held = TaskContext.get().partitionId() << 24, 0
+        block, held, rows = TaskContext.get().partitionId() << 24, 0, 0
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
             if not len(sizes):
                 continue
             part = (held + np.cumsum(sizes) - sizes) // block_bytes
             held += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block + part)], [*batch.schema.names, "block"])
+            row = pa.array(np.arange(rows, rows + len(sizes)))
+            rows += len(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(block + part), row], [*batch.schema.names, "block", "row"])
 
     name = f"blocks_{label}_{uuid.uuid4().hex}"
     (docs.mapInArrow(number, schema).write.bucketBy(n, "block").option("path", new_folder(spark, label))
@@ -109,6 +113,39 @@ def answer(requests: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.nda
     return requests.groupBy("bucket").applyInArrow(lambda cells: merge(cells), REPLIES)
 
 
+def select(requests: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """As ``answer``, for questions of yes or no: ``keep`` returns a mask, and a reply lists the keys it kept."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unplanes(x), dtype=np.uint64) for x in table["keys"].to_pylist()]
+        counts = [unplanes(x).reshape(-1, len(k)) for x, k in zip(table["counts"].to_pylist(), keys)]
+        ends = np.cumsum([len(k) for k in keys])
+        keys, counts = np.concatenate(keys), np.concatenate(counts, axis=1)
+        order = np.argsort(keys, kind="stable")
+        kept = np.empty(len(keys), bool)
+        kept[order] = keep(keys[order], counts[:, order])
+        parts = [k[m] for k, m in zip(np.split(keys, ends[:-1]), np.split(kept, ends[:-1]))]
+        return pa.table({
+            "block": table["block"], "bucket": table["bucket"], "n": pa.array([len(p) for p in parts], pa.int64()),
+            "reply": pa.array([planes(np.diff(p, prepend=np.uint64(0))) for p in parts], pa.binary())})
+
+    return requests.groupBy("bucket").applyInArrow(lambda cells: merge(cells), REPLIES).where("n > 0")
+
+
+def kept_keys(table: pa.Table) -> np.ndarray:
+    """The keys that ``select`` kept of one block, sorted."""
+    parts = [np.cumsum(unplanes(x), dtype=np.uint64) for x in table.sort_by("bucket")["reply"].to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ``keys``."""
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return keys[at] == values
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted keys: where each distinct key begins, and for each entry the number of its key."""
     first = np.ones(len(keys), bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import lm_scoring
+from tallyhouse.llm import debruijn, lm_scoring, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,15 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", part == 1)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_lm_scoring,
+    op1_lm_scoring, op3_simhash, op8_substring_dedup,
 )}
 ORACLES: dict[str, str] = {}

@@ -84,6 +84,26 @@ def split(texts: pa.Array, table: np.ndarray = BY_SPACE, lower: bool = False) ->
     return Texts(data, offsets, starts, np.flatnonzero(last) + 1, doc)
 
 
+def joined(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """All words, a single space after each, and where each word begins."""
+    sizes = t.ends - t.starts
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    out = np.full(int((sizes + 1).sum()), 0x20, np.uint8)
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.arange(len(word)) - (begins - np.arange(len(sizes)))[word]
+    out[begins[word] + inside] = t.data[t.starts[word] + inside]
+    return out, begins
+
+
+def sliding(values: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` (minimum or maximum) over every ``n`` consecutive values."""
+    width = 1
+    while 2 * width <= n:
+        values, width = pick(values[: len(values) - width], values[width:]), 2 * width
+    rest = n - width
+    return pick(values[: len(values) - rest], values[rest:]) if rest else values
+
+
 @lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
