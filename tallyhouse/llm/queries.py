@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import debruijn, lm_scoring, simhash
+from tallyhouse.llm import debruijn, decontaminate, lm_scoring, sentencepiece_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,15 +23,33 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", part == 1)
 
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    """Encodes every text, decodes the pieces and compares."""
+    encoded = sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model)
+    back = sentencepiece_scan.decode(encoded, model)
+    return back.select("doc_id", "n_chunks", F.size("ids").cast("long").alias("n_pieces"), "ids",
+                       (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        decontaminate.contaminated().alias("contaminated"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_lm_scoring, op3_simhash, op8_substring_dedup,
+    op1_lm_scoring, op2_sentencepiece, op3_simhash, op6_decontamination, op8_substring_dedup,
 )}
 ORACLES: dict[str, str] = {}
