@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import debruijn, decontaminate, lm_scoring, sentencepiece_scan, simhash
+from tallyhouse.llm import chat, debruijn, decontaminate, lm_scoring, rules, sentencepiece_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,7 +49,18 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotations(table(spark, sf_dir, "conversations"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the rows labelled as good and not toxic."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return rules.judge(table(spark, sf_dir, "documents"), trusted)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_lm_scoring, op2_sentencepiece, op3_simhash, op6_decontamination, op8_substring_dedup,
+    op1_lm_scoring, op2_sentencepiece, op3_simhash, op6_decontamination, op7_chat_rotation,
+    op8_substring_dedup, op9_quality_rules,
 )}
 ORACLES: dict[str, str] = {}
