@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, debruijn, decontaminate, lm_scoring, rules, sentencepiece_scan, simhash
+from tallyhouse.llm import chat, debruijn, decontaminate, lm_scoring, quality, rules, sentencepiece_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds 0 and 1 of four teach, fold 3 calibrates, fold 2 is held out."""
+    part = lm_scoring.fold("doc_id", 4)
+    scored = quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), part < 2, part == 3)
+    return scored.select("doc_id", (part == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -60,7 +67,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_lm_scoring, op2_sentencepiece, op3_simhash, op6_decontamination, op7_chat_rotation,
+    op1_lm_scoring, op2_sentencepiece, op3_simhash, op5_quality_classifier,
+    op6_decontamination, op7_chat_rotation,
     op8_substring_dedup, op9_quality_rules,
 )}
 ORACLES: dict[str, str] = {}

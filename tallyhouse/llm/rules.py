@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 BUCKETS = 10_000
 SMOOTH = 1.0
 SHRINK = 50
-THRESHOLD = -0.1
+THRESHOLD = -0.025
 #: Ids of trusted rows that may be sent to all executors; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 
