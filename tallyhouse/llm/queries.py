@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, debruijn, decontaminate, lm_scoring, quality, rules, sentencepiece_scan, simhash
+from tallyhouse.llm import (
+    chat, debruijn, decontaminate, licenses, lm_scoring, quality, rules, sentencepiece_scan, simhash, token_counts)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    sure = F.filter("found", lambda x: x["confirmed"])
+    return found.select("doc_id", "n_paragraphs", "found", F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))).alias("licenses"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folds 0 and 1 of four teach, fold 3 calibrates, fold 2 is held out."""
     part = lm_scoring.fold("doc_id", 4)
@@ -66,9 +73,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), trusted)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"), ranks)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_lm_scoring, op2_sentencepiece, op3_simhash, op5_quality_classifier,
+    op1_lm_scoring, op2_sentencepiece, op3_simhash, op4_license_scan, op5_quality_classifier,
     op6_decontamination, op7_chat_rotation,
-    op8_substring_dedup, op9_quality_rules,
+    op8_substring_dedup, op9_quality_rules, op10_token_counts,
 )}
 ORACLES: dict[str, str] = {}
