@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tallyhouse.sources.workspace import new_folder
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 CELLS = "block long, bucket long, n long, keys binary, counts binary"
 REPLIES = "block long, bucket long, n long, reply binary"
 
@@ -101,7 +101,7 @@ def answer(requests: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.nda
         keys = np.concatenate([np.cumsum(unplanes(x), dtype=np.uint64) for x in table["keys"].to_pylist()])
         counts = np.concatenate(
             [unplanes(x).reshape(-1, s) for x, s in zip(table["counts"].to_pylist(), sizes)], axis=1)
-        order = np.argsort(keys, kind="stable")
+        order = order_of(keys)
         sorted_out = reply(keys[order], counts[:, order])
         out = np.empty((len(sorted_out), total), np.uint64)
         out[:, order] = sorted_out
@@ -121,7 +121,7 @@ def select(requests: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndar
         counts = [unplanes(x).reshape(-1, len(k)) for x, k in zip(table["counts"].to_pylist(), keys)]
         ends = np.cumsum([len(k) for k in keys])
         keys, counts = np.concatenate(keys), np.concatenate(counts, axis=1)
-        order = np.argsort(keys, kind="stable")
+        order = order_of(keys)
         kept = np.empty(len(keys), bool)
         kept[order] = keep(keys[order], counts[:, order])
         parts = [k[m] for k, m in zip(np.split(keys, ends[:-1]), np.split(kept, ends[:-1]))]
@@ -146,6 +146,16 @@ def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == values
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """As a stable argsort: sorts the keys' upper bits with the places in the lower ones, which is several times
+    faster, and falls back where two keys differ in the lower bits alone."""
+    bits = np.uint64(max(1, int(len(keys)).bit_length()))
+    packed = np.sort((keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64))
+    order = (packed & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    ahead = keys[order]
+    return order if not (ahead[1:] < ahead[:-1]).any() else np.argsort(keys, kind="stable")
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted keys: where each distinct key begins, and for each entry the number of its key."""
     first = np.ones(len(keys), bool)
@@ -162,7 +172,7 @@ def replies(table: pa.Table) -> np.ndarray:
 
 def distinct(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with the sums of their counts."""
-    order = np.argsort(keys)
+    order = order_of(keys)
     keys = keys[order]
     at, _ = runs(keys)
     sums = [np.add.reduceat(c[order], at) if len(at) else c[:0] for c in counts]

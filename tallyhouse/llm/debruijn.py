@@ -94,7 +94,7 @@ def walk(k: int, t: W.Texts, answers: pa.Table) -> tuple[np.ndarray, ...]:
 
 def ask_nodes(n: int, k: int, table: pa.Table, answers: pa.Table) -> pa.Table:
     _, _, node, way, used = walk(k, W.split(table["text"]), answers)
-    order = np.argsort(node[used], kind="stable")
+    order = B.order_of(node[used])
     node, way = node[used][order], way[used][order]
     at, _ = B.runs(node)
     if len(at):

@@ -13,6 +13,8 @@ Null and empty texts hold the end token alone. Repeated rows count and are score
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +29,7 @@ STEP = 4
 ROUNDS = 50
 FLOOR = 1e-6
 BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-CELLS = "stat string, bucket int, q2 int, q1 int, n double, s2 double, s1 double"
+CELLS = "bucket int, q2 int, q1 int, n double, s2 double, s1 double"
 
 
 def fold(id_column: str, n: int) -> Column:
@@ -57,50 +59,46 @@ def request(n: int, table: pa.Table) -> pa.Table:
 
 
 def totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums over all blocks; the lowest bit marks one block for each key, so that keys can be counted."""
+    """Sums over all blocks; the lowest bit marks one answer for each single token, so that tokens can be counted."""
     at, key = B.runs(keys)
     out = np.add.reduceat(counts, at, axis=1)[:, key] << np.uint64(1)
-    out[:, at] |= np.uint64(1)
+    out[:, at] |= (keys[at] & np.uint64(1)) ^ np.uint64(1)
     return out
 
 
+def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens and types in training and in kept texts, from the marked answers."""
+    for batch in batches:
+        for data, n in zip(batch.column("reply").to_pylist(), batch.column("n").to_pylist()):
+            reply = B.unplanes(data).reshape(-1, n)
+            marked = reply[:, reply[0] & np.uint64(1) == 1] >> np.uint64(1)
+            sums = [*marked.sum(axis=1).tolist(), *(marked > 0).sum(axis=1).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in sums], ["n", "n_kept", "types", "types_kept"])
+
+
 def looked_up(table: pa.Table, answers: pa.Table, row: int) -> tuple[np.ndarray, ...]:
-    """Counts of each token, of the bigram it ends and of its context; its text; marks of the block's own keys."""
+    """Counts of each token, of the bigram it ends and of its context (-1: a text's begin), and its text."""
     token, pair, doc = tokens(table["text"])
     n = len(token)
-    keys, where = np.unique(np.concatenate([token, pair]), return_inverse=True)
-    reply = B.replies(answers)[row]
-    count = (reply >> np.uint64(1)).astype(np.int64)
-    own = ((reply & np.uint64(1)) == 1) & (count > 0) & (keys & np.uint64(1) == 0)
-    c1, c2 = count[where[:n]], count[where[n:]]
+    keys = np.concatenate([token, pair])
+    order = B.order_of(keys)
+    count = np.empty(2 * n, np.int64)
+    count[order] = (B.replies(answers)[row] >> np.uint64(1)).astype(np.int64)[B.runs(keys[order])[1]]
+    c1, c2 = count[:n], count[n:]
     context = np.roll(c1, 1)
     first = np.ones(n, bool)
     first[1:] = doc[1:] != doc[:-1]
     context[first] = -1
-    return c1, c2, context, doc, int(own.sum())
+    return c1, c2, context, doc
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1)
 
 
-def statistics(table: pa.Table, answers: pa.Table) -> pa.Table:
-    """Sizes of both vocabularies, and the numbers of tokens."""
-    out = {k: [] for k in ("stat", "bucket", "q2", "q1", "n", "s2", "s1")}
-    _, _, doc = tokens(table["text"])
-    per = np.bincount(doc, minlength=table.num_rows)
-    for row, column in enumerate(("train", "kept")):
-        in_use = table[column].to_numpy().astype(bool)
-        types = looked_up(table, answers, row)[-1]
-        for k, v in zip(out, (column, 0, 0, 0, float(per[in_use].sum()), float(types), float(in_use.sum()))):
-            out[k].append(v)
-    return pa.table(out).cast(pa.schema([("stat", pa.string()), *((c, pa.int32()) for c in ("bucket", "q2", "q1")),
-                                         *((c, pa.float64()) for c in ("n", "s2", "s1"))]))
-
-
 def tuning_cells(n_kept: float, docs_kept: float, table: pa.Table, answers: pa.Table) -> pa.Table:
     """The deleted texts' tokens, summed by bucket and rounded estimates."""
-    c1, c2, context, doc, _ = looked_up(table, answers, 1)
+    c1, c2, context, doc = looked_up(table, answers, 1)
     tune = (table["train"].to_numpy().astype(bool) & ~table["kept"].to_numpy().astype(bool))[doc]
     c1, c2, context = c1[tune], c2[tune], context[tune]
     context = np.where(context < 0, int(docs_kept), context)
@@ -110,7 +108,7 @@ def tuning_cells(n_kept: float, docs_kept: float, table: pa.Table, answers: pa.T
     code, where = np.unique((b * 8192 + (q2 + 4096)) * 8192 + (q1 + 4096), return_inverse=True)
     sums = [np.bincount(where, w, len(code)) for w in (None, f2, f1)]
     return pa.table({
-        "stat": pa.array(["tune"] * len(code), pa.string()), "bucket": (code >> 26).astype(np.int32),
+        "bucket": (code >> 26).astype(np.int32),
         "q2": (code >> 13 & 8191).astype(np.int32) - 4096, "q1": (code & 8191).astype(np.int32) - 4096,
         "n": sums[0].astype(float), "s2": sums[1], "s1": sums[2]})
 
@@ -142,7 +140,7 @@ def weights(cells: list, types: float) -> np.ndarray:
 
 
 def scores(model: dict, table: pa.Table, answers: pa.Table) -> pa.Table:
-    c1, c2, context, doc, _ = looked_up(table, answers, 0)
+    c1, c2, context, doc = looked_up(table, answers, 0)
     context = np.where(context < 0, int(model["docs"]), context)
     a, n, v = model["weights"][bucket(context)], model["n"], model["types"]
     p = a[:, 0] * (c2 / np.maximum(context, 1)) + a[:, 1] * (c1 / max(n, 1)) + a[:, 2] / (v + 1)
@@ -165,20 +163,18 @@ def lm_scores(docs: DataFrame, train: Column, tune: Column, id_column: str = "do
     kind = docs.schema[id_column].dataType.simpleString()
     n = table.n
     requests = table.df.groupBy("block").applyInArrow(lambda t: request(n, t), B.CELLS)
-    answers = materialize(B.answer(requests, totals), "lm_counts").groupBy("block")
-    texts = table.df.groupBy("block").cogroup(answers)
-    sizes = {r["stat"]: r for r in texts.applyInArrow(lambda t, a: statistics(t, a), CELLS).groupBy("stat").agg(
-        *(F.sum(c).alias(c) for c in ("n", "s2", "s1"))).collect()}
-    if not sizes:
-        return docs.sparkSession.createDataFrame(
-            [], f"{id_column} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    train_sizes, kept = sizes["train"], sizes["kept"]
-    kept_n, kept_docs = kept["n"], kept["s1"]
+    answers = materialize(B.answer(requests, totals), "lm_counts")
+    tokens_of, docs_of = ("n", "n_kept", "types", "types_kept"), ("train", "kept")
+    sizes = answers.mapInArrow(sizes_of, ", ".join(f"{c} long" for c in tokens_of)).agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tokens_of)).first()
+    n_docs = table.df.agg(*(F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in docs_of)).first()
+    texts = table.df.groupBy("block").cogroup(answers.groupBy("block"))
+    kept_n, kept_docs = sizes["n_kept"], n_docs["kept"]
     cells = texts.applyInArrow(lambda t, a: tuning_cells(kept_n, kept_docs, t, a), CELLS)
     cells = cells.groupBy("bucket", "q2", "q1").agg(*(F.sum(c).alias(c) for c in ("n", "s2", "s1"))).collect()
-    a = weights(cells, kept["s2"])
-    if not train_sizes["n"]:
+    a = weights(cells, sizes["types_kept"])
+    if not sizes["n"]:
         a[:] = (0, 0, 1)
-    model = {"weights": a, "n": train_sizes["n"], "types": train_sizes["s2"], "docs": train_sizes["s1"]}
+    model = {"weights": a, "n": sizes["n"], "types": sizes["types"], "docs": n_docs["train"]}
     schema = f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return texts.applyInArrow(lambda t, a: scores(model, t, a), schema).withColumnRenamed("id", id_column)
