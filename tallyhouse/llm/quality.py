@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyhouse.llm import blocks as B
 from tallyhouse.llm import words as W
@@ -91,15 +92,15 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return np.where(some[:, None], np.stack(columns, axis=1), 0.0)
 
 
-def with_statistics(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+def with_statistics(docs: DataFrame) -> DataFrame:
+    kinds = [T.StructField(c, T.DoubleType()) for c in NAMES]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.slices(batches):
             found = statistics(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c) for c in found.T)], ["id", *NAMES])
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in found.T)], [*part.schema.names, *NAMES])
 
-    return rows.mapInArrow(add, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"{c} double" for c in NAMES))
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *kinds]))
 
 
 class Kernel:
@@ -156,19 +157,21 @@ def bin_of(raw: Column) -> Column:
 
 
 def scores(docs: DataFrame, labels: DataFrame, fit: Column, calibrate: Column, id_column: str = "doc_id",
-           text: str = "text", label: str = "quality") -> DataFrame:
-    """The id column and ``score``. ``labels`` has the id column and ``label``; of its rows those under ``fit``
+           text: str = "text", label: str = "quality", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``score``. ``labels`` has the id column and ``label``; of its rows those under ``fit``
     teach the regression and those under ``calibrate`` the calibration, no others are read."""
-    spark = docs.sparkSession
-    found = materialize(with_statistics(docs, id_column, text), "statistics")
+    inner = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), *(F.col(c).alias(i) for c, i in zip(keep, inner)))
+    found = materialize(with_statistics(rows).drop("text"), "statistics")
+    columns = [F.col(i).alias(c) for c, i in zip(keep, inner)]
     marked = labels.select(F.col(id_column).alias("label_id"), F.col(label).cast("double").alias("y"),
                            F.coalesce(fit, F.lit(False)).alias("fit"), F.coalesce(calibrate, F.lit(False)).alias("calibrate"))
     marked = marked.where("y IS NOT NULL AND (fit OR calibrate)")
-    known = materialize(found.join(marked, F.col("id") == F.col("label_id")).drop("id", "label_id"), "labelled")
+    known = materialize(found.join(marked, F.col("id") == F.col("label_id")).select("y", "fit", "calibrate", *NAMES), "labelled")
     taught = known.where("fit")
     moments = taught.agg(F.count("*"), *(f(c) for f in (F.mean, F.stddev_pop) for c in NAMES)).first()
     if not moments[0]:
-        return found.select(F.col("id").alias(id_column), F.lit(0.5).alias("score"))
+        return found.select(*columns, F.lit(0.5).alias("score"))
     kernel = Kernel(np.array(moments[1 : 1 + len(NAMES)], float), np.array(moments[1 + len(NAMES) :], float))
     a, b, n = normal_equations(taught, kernel)
     weights = np.linalg.solve(a + RIDGE * n * np.diag([1.0] * FEATURES + [0.0]) + 1e-9 * np.eye(FEATURES + 1), b)
@@ -185,8 +188,8 @@ def scores(docs: DataFrame, labels: DataFrame, fit: Column, calibrate: Column, i
     else:
         places, values = isotonic(counts["bin"].to_numpy() / (BINS - 1) * (HIGH - LOW) + LOW, counts["n"].to_numpy(), counts["good"].to_numpy())
 
-    def calibrated(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in raw(parts):
-            yield pd.DataFrame({id_column: part["id"], "score": np.clip(np.interp(part["raw"], places, values), 0, 1)})
+    @F.pandas_udf("double")
+    def calibrated(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(np.clip(np.interp(kernel(x[list(NAMES)].to_numpy()) @ weights, places, values), 0, 1))
 
-    return found.mapInPandas(calibrated, f"{id_column} {dict(found.dtypes)['id']}, score double")
+    return found.withColumn("score", calibrated(F.struct(*NAMES))).select(*columns, "score")

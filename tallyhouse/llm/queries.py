@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm import (
     chat, debruijn, decontaminate, licenses, lm_scoring, quality, rules, sentencepiece_scan, simhash, token_counts)
+from tallyhouse.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,4 +83,3 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op6_decontamination, op7_chat_rotation,
     op8_substring_dedup, op9_quality_rules, op10_token_counts,
 )}
-ORACLES: dict[str, str] = {}

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyhouse.llm import words as W
 from tallyhouse.sources.workspace import materialize
@@ -56,16 +57,21 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
-    """id and fp, a long that holds the fingerprint's 64 bits."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+def with_fingerprints(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``docs`` with fp, a long that holds the fingerprint's 64 bits, and uid, a number for each row."""
+    kinds = [T.StructField(c, T.LongType()) for c in ("fp", "uid")]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.slices(batches):
-            fp = fingerprints_of(part.column("text"), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp)], ["id", "fp"])
+        from pyspark import TaskContext
+
+        uid = TaskContext.get().partitionId() << 40
+        for part in W.slices(batches, text):
+            fp = pa.array(fingerprints_of(part.column(text), shingle).view(np.int64))
+            numbers = pa.array(np.arange(uid, uid + part.num_rows))
+            uid += part.num_rows
+            yield pa.RecordBatch.from_arrays([*part.columns, fp, numbers], [*part.schema.names, "fp", "uid"])
 
-    return rows.mapInArrow(add, f"id {dict(rows.dtypes)['id']}, fp long")
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *kinds]))
 
 
 def signatures(fps: DataFrame) -> DataFrame:
@@ -126,16 +132,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def members(classes: DataFrame, bits: int) -> DataFrame:
+    """fp, root for all distinct fingerprints: those with one root are a component."""
+    roots = components(links(classes.select("fp"), bits))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                 bits: int = BITS) -> DataFrame:
     """The id column, fingerprint (16 hex digits) and component_id, a row for each row of ``docs``. Other columns
     are not read, so their names cannot clash."""
-    prints = materialize(with_fingerprints(docs, id_column, text, shingle), "fingerprints")
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    prints = materialize(with_fingerprints(rows, "text", shingle).drop("text", "uid"), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), bits))
-    members = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = members.join(ids, "root").select("fp", "component_id")
+    found = members(classes, bits)
+    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = found.join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, keep: tuple[str, ...], id_column: str = "doc_id", text: str = "text",
+                shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """The columns ``keep`` of one row of each component: that with the least id, null ids last; of rows with one id
+    the first as they are read."""
+    inner = {c: f"c{i}" for i, c in enumerate(keep)}
+    rows = docs.select(*(F.col(c).alias(i) for c, i in inner.items()))
+    prints = materialize(with_fingerprints(rows, inner[text], shingle), "fingerprints")
+    first = F.min(F.struct(F.col(inner[id_column]).isNull().alias("absent"), F.col(inner[id_column]).alias("id"), "uid"))
+    classes = materialize(prints.groupBy("fp").agg(first.alias("least")), "classes")
+    stay = members(classes, bits).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
+    return prints.join(stay, "uid", "left_semi").select(*(F.col(i).alias(c) for c, i in inner.items()))
