@@ -216,7 +216,7 @@ def sampled(docs: DataFrame, most: int = SAMPLE) -> list[str]:
     The number of lines gives a hash below which about twice as many lie; only those are sorted.
     """
     n = docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
-    below = int(min(1.0, 2 * most / max(1, n)) * (2**63 - 1))
+    below = min((2 * most << 63) // max(1, n), 2**63 - 1)
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("h"), "line")
     lines = lines.where(F.expr(f"(h & 9223372036854775807L) <= {below}L") & F.col("line").rlike("[A-Za-z0-9]"))
     few = lines.select("h", F.substring("line", 1, 2000).alias("line")).distinct().orderBy("h", "line").limit(most)

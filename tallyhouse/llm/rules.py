@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.sources.workspace import materialize
+
 BUCKETS = 10_000
 SMOOTH = 1.0
 SHRINK = 50
@@ -37,15 +39,16 @@ def without(text: Column, letters: str) -> Column:
 
 
 def window_ids(n: int) -> Column:
-    """Hashes of every ``n`` words of the column ``words``."""
-    at = ", ".join(f"get(words, i + {k})" if k else "get(words, i)" for k in range(n))
-    return F.expr(f"IF(size(words) < {n}, array(), transform(sequence(0, size(words) - {n}), i -> xxhash64({at})))")
+    """Hashes of every ``n`` words of the column ``words``. No function inside an array function here names a column:
+    should the optimizer put an expression in a column's place, it is computed once for a text, not for each word."""
+    size = f"greatest(size(words) - {n - 1}, 0)"
+    parts = ", ".join(f"slice(words, {k + 1}, {size})" for k in range(n))
+    return F.expr(f"transform(arrays_zip({parts}), x -> xxhash64(x))")
 
 
-#: Places of windows that occur twice or more, in order, from the column ``triples``.
-AGAIN = """sort_array(filter(transform(sequence(0, size(sorted) - 1), j ->
-    IF(get(sorted, j).h = get(sorted, j - 1).h OR get(sorted, j).h = get(sorted, j + 1).h, get(sorted, j).i, NULL)),
-    x -> x IS NOT NULL))"""
+#: Places of windows that occur twice or more, in order, from the sorted pairs of hash and place.
+AGAIN = """sort_array(transform(filter(arrays_zip(sorted, prev, next),
+    x -> x.sorted.h = x.prev.h OR x.sorted.h = x.next.h), x -> x.sorted.i))"""
 COVERED = "aggregate(again, named_struct('n', 0L, 'to', 0L), (s, i) -> named_struct("\
     "'n', s.n + i + 3 - greatest(cast(i as bigint), s.to), 'to', i + 3L), s -> s.n)"
 
@@ -59,6 +62,8 @@ def with_counts(docs: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumn("sorted", F.expr(
         "IF(size(array_distinct(triples)) = size(triples), array(), "
         "sort_array(transform(triples, (h, i) -> named_struct('h', h, 'i', i))))"))
+    rows = rows.withColumn("prev", F.expr("concat(array(cast(NULL AS struct<h: bigint, i: int>)), sorted)"))
+    rows = rows.withColumn("next", F.expr("slice(sorted, 2, size(sorted))"))
     rows = rows.withColumn("again", F.expr(f"IF(size(sorted) = 0, array(), {AGAIN})"))
     return rows.select(
         *docs.columns, "words", F.size("words").cast("long").alias("n_words"),
@@ -96,5 +101,7 @@ def judge(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text:
     total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(ratios, b))
     rows = rows.withColumn("score", total / (F.size("grams") + SHRINK))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    rows = rows.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept"))
+    # a written table, as a later filter on these columns would otherwise be computed apart from them
+    return materialize(rows, "rules").withColumnRenamed("id", id_column)
