@@ -38,11 +38,16 @@ def without(text: Column, letters: str) -> Column:
     return F.translate(text, letters, "")
 
 
+def word_ids(text: Column) -> Column:
+    """Hashes of a text's words. No function inside an array function here names a column: should the optimizer put
+    an expression in a column's place, it is computed once for a text, not for each word."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
 def window_ids(n: int) -> Column:
-    """Hashes of every ``n`` words of the column ``words``. No function inside an array function here names a column:
-    should the optimizer put an expression in a column's place, it is computed once for a text, not for each word."""
-    size = f"greatest(size(words) - {n - 1}, 0)"
-    parts = ", ".join(f"slice(words, {k + 1}, {size})" for k in range(n))
+    """Hashes of every ``n`` neighbours of the column ``word_ids``."""
+    size = f"greatest(size(word_ids) - {n - 1}, 0)"
+    parts = ", ".join(f"slice(word_ids, {k + 1}, {size})" for k in range(n))
     return F.expr(f"transform(arrays_zip({parts}), x -> xxhash64(x))")
 
 
@@ -57,7 +62,7 @@ def with_counts(docs: DataFrame, text: str) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the arrays they are counted on."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: without(x, SPACES) != "")
-    rows = docs.withColumn("words", words(t)).withColumn("lines", lines)
+    rows = docs.withColumn("word_ids", word_ids(t)).withColumn("lines", lines)
     rows = rows.withColumn("triples", window_ids(3))
     rows = rows.withColumn("sorted", F.expr(
         "IF(size(array_distinct(triples)) = size(triples), array(), "
@@ -66,7 +71,7 @@ def with_counts(docs: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumn("next", F.expr("slice(sorted, 2, size(sorted))"))
     rows = rows.withColumn("again", F.expr(f"IF(size(sorted) = 0, array(), {AGAIN})"))
     return rows.select(
-        *docs.columns, "words", F.size("words").cast("long").alias("n_words"),
+        *docs.columns, "word_ids", F.size("word_ids").cast("long").alias("n_words"),
         F.length(without(t, SPACES)).cast("long").alias("word_chars"),
         (F.length(t) - F.length(without(t, SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -74,8 +79,8 @@ def with_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def grams() -> Column:
-    """Buckets of all words and word pairs of the column ``words``."""
-    return F.expr(f"transform(concat(transform(words, w -> xxhash64(w)), pairs), h -> cast(pmod(h, {BUCKETS}) as int))")
+    """Buckets of all words and word pairs of the columns ``word_ids`` and ``pairs``."""
+    return F.expr(f"transform(concat(word_ids, pairs), h -> cast(pmod(h, {BUCKETS}) as int))")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_column: str, text: str) -> list[float]:
@@ -83,10 +88,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_column: str, text: str) -
     ids = trusted.select(F.col(id_column).alias("trusted_id")).where("trusted_id IS NOT NULL").distinct()
     if ids.count() <= MOST_SENT:
         ids = F.broadcast(ids)
-    rows = docs.select(F.col(id_column).alias("id"), words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    rows = docs.select(F.col(id_column).alias("id"), word_ids(F.coalesce(F.col(text), F.lit(""))).alias("word_ids"))
     rows = rows.join(ids, F.col("id") == F.col("trusted_id"), "left").withColumn("pairs", window_ids(2))
-    counted = rows.select(F.col("trusted_id").isNotNull().alias("good"), F.explode(grams()).alias("bucket"))
-    found = counted.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("good").alias("good")).collect()
+    # explode_outer: for explode the optimizer adds a filter that computes the array once more
+    counted = rows.select(F.col("trusted_id").isNotNull().alias("good"), F.explode_outer(grams()).alias("bucket"))
+    found = counted.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("good").alias("good")).collect()
     n, good = {r.bucket: r.n for r in found}, {r.bucket: r.good for r in found}
     all_n, all_good = sum(n.values()) + SMOOTH * BUCKETS, sum(good.values()) + SMOOTH * BUCKETS
     return [math.log((good.get(b, 0) + SMOOTH) / all_good) - math.log((n.get(b, 0) + SMOOTH) / all_n) for b in range(BUCKETS)]

@@ -82,14 +82,12 @@ def test_op9(spark, folder, texts):
 
 def test_op9_score(spark, folder, texts):
     """The hashed ratio against the same sums in plain Python."""
-    import xxhash  # noqa: F401
-
     from tallyhouse.llm import rules
 
     docs = spark.read.parquet(folder["full"] + "/documents.parquet")
     trusted = spark.read.parquet(folder["full"] + "/labels.parquet").where("quality = 1 AND toxic = 0")
     ratios = rules.log_ratios(docs, trusted, "doc_id", "text")
-    small = docs.where("doc_id IN (3, 10, 22, 40)").select("doc_id", rules.words(docs.text).alias("words"))
+    small = docs.where("doc_id IN (3, 10, 22, 40)").select("doc_id", rules.word_ids(docs.text).alias("word_ids"))
     grams = {r.doc_id: r.grams for r in small.withColumn("pairs", rules.window_ids(2)).select("doc_id", rules.grams().alias("grams")).collect()}
     got = {r.doc_id: r.score for r in queries.op9_quality_rules(spark, folder["full"]).collect() if r.doc_id in grams}
     for i, g in grams.items():
