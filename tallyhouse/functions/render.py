@@ -18,15 +18,20 @@ def money(c: Column, missing: str = "N/A") -> Column:
     return F.when(c.isNotNull(), F.format_string("$%.2f", c)).otherwise(missing)
 
 
+def known(name: str) -> Column:
+    """A column as text; an unknown value is ``nan``."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("nan"))
+
+
 def product_description() -> Column:
+    """One sentence on a product; unknown parts do not blank the rest."""
     low = F.col("stock_quantity") < F.col("minimum_stock_threshold")
     return F.concat(
-        F.col("product_name"), F.lit(" in "), F.col("category"), F.lit(" category. Priced at "),
-        F.format_string("$%.2f", F.col("price")), F.lit(" with "), F.col("rating").cast("string"),
-        F.lit("/5 rating. Stock: "), F.col("stock_quantity").cast("string"), F.lit(" units at "),
-        F.col("warehouse_location"), F.lit(". "),
-        F.when(low, F.concat(F.lit("⚠️ LOW STOCK - Restock scheduled for "),
-                             F.col("restock_date").cast("string"), F.lit(". "))).otherwise(""),
+        known("product_name"), F.lit(" in "), known("category"), F.lit(" category. Priced at "),
+        money(F.col("price"), "$nan"), F.lit(" with "), known("rating"),
+        F.lit("/5 rating. Stock: "), known("stock_quantity"), F.lit(" units at "),
+        known("warehouse_location"), F.lit(". "),
+        F.when(low, F.concat(F.lit("⚠️ LOW STOCK - Restock scheduled for "), known("restock_date"), F.lit(". "))).otherwise(""),
     )
 
 
@@ -36,27 +41,24 @@ def document_content() -> Column:
         cells = [p if isinstance(p, Column) else F.lit(p) for p in parts]
         return F.concat(F.lit(label), *cells)
 
-    def text(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("string"), F.lit("nan"))
-
     low = F.col("stock_quantity") < F.col("minimum_stock_threshold")
     similar, better = F.col("similar_price_alternatives"), F.col("higher_rated_alternatives")
     return F.concat_ws(
         "\n",
-        line("Product: ", text("product_name")),
-        line("ASIN: ", text("asin")),
-        line("Category: ", text("category")),
+        line("Product: ", known("product_name")),
+        line("ASIN: ", known("asin")),
+        line("Category: ", known("category")),
         line("Price: ", money(F.col("price"), "Not available")),
         F.when(F.col("rating").isNotNull(), line(
             "Rating: ", F.col("rating").cast("string"), "/5 stars (",
             F.format_string("%.0f", F.col("review_count").cast("double")), " reviews)",
         )).otherwise("Rating: Not available"),
-        line("Stock: ", text("stock_quantity"), " units in ", text("warehouse_location"), " warehouse"),
-        line("Satisfaction: ", text("satisfaction_level")),
-        line("Minimum Stock Threshold: ", text("minimum_stock_threshold")),
+        line("Stock: ", known("stock_quantity"), " units in ", known("warehouse_location"), " warehouse"),
+        line("Satisfaction: ", known("satisfaction_level")),
+        line("Minimum Stock Threshold: ", known("minimum_stock_threshold")),
         F.when(low, line("⚠️ LOW STOCK ALERT: Below minimum threshold of ",
-                         text("minimum_stock_threshold"))),
-        F.when(low, line("Restock Date: ", text("restock_date"))),
+                         known("minimum_stock_threshold"))),
+        F.when(low, line("Restock Date: ", known("restock_date"))),
         F.when(similar != "", line("Similar Price Alternatives (ASINs): ", similar)),
         F.when(better != "", line("Higher Rated Alternatives (ASINs): ", better)),
     )
@@ -65,7 +67,7 @@ def document_content() -> Column:
 def list_row(position: Column) -> Column:
     rating = F.when(F.col("rating").isNotNull(), F.format_string("%.1f", F.col("rating"))).otherwise("N/A")
     return F.concat(
-        position.cast("string"), F.lit(". "), truncate_name(F.col("product_name")), F.lit(" | "),
-        money(F.col("price")), F.lit(" | Stock:"), F.col("stock_quantity").cast("string"),
+        position.cast("string"), F.lit(". "), truncate_name(known("product_name")), F.lit(" | "),
+        money(F.col("price")), F.lit(" | Stock:"), known("stock_quantity"),
         F.lit(" | "), rating,
     )

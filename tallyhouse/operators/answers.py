@@ -41,7 +41,7 @@ def route(asks: DataFrame) -> DataFrame:
 def _unbounded(asks: DataFrame) -> DataFrame:
     """The bound columns a request has, all absent."""
     none = F.lit(None).cast("double")
-    names = {c for _, above, below, _ in AXES.values() for c in (above, below) if c} | {"stock_below"}
+    names = {c for _, above, below in AXES.values() for c in (above, below) if c} | {"stock_below"}
     return asks.withColumns({n: none for n in sorted(names)})
 
 
@@ -49,7 +49,7 @@ def count_answers(products: DataFrame, asks: DataFrame) -> DataFrame:
     """A count, or a list when the text asks for one or holds a number."""
     text = F.lower("text")
     asked = _unbounded(asks.withColumn("keywords", F.array().cast("array<string>"))).withColumns({
-        "limit": q.first_number(text), "wants_list": q.contains_any(text, LISTING_WORDS)})
+        "limit": F.nullif(q.first_number(text), F.lit(0)), "wants_list": q.contains_any(text, LISTING_WORDS)})
     asked = asked.withColumn("n_rows", F.coalesce("limit", F.lit(DEFAULT_ROWS)))
     counts = planning.count_rows(products, asked).withColumnRenamed("current", "n_matches")
     named = F.concat_ws(" + ", F.when(F.col("category") != "", text_of("Category: ", F.col("category"))),

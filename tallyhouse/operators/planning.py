@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.requests import ANY, any_or, keyword_classes, keyword_key
+from tallyhouse.operators.requests import ANY, any_or, category_key, key_of, keyword_classes, keyword_key
 from tallyhouse.schemas import TRANSFERS
 from tallyhouse.sources.workspace import materialize
 
@@ -33,14 +33,14 @@ def site_lists(products: DataFrame, asked: DataFrame) -> DataFrame:
     cube = stock_cube(both, "class_key").where(F.col("site") != ANY).join(edges, "class_key").groupBy(
         "category_key", "keyword_key", "site").agg(
         F.sum("units").alias("units"), F.sum("item_count").alias("item_count"))
-    entry = F.struct((-F.col("units")).alias("by"), "site", "units", "item_count")
+    entry = F.struct((-F.col("units")).alias("by"), F.substr("site", F.lit(2)).alias("site"), "units", "item_count")
     return materialize(cube.groupBy("category_key", "keyword_key").agg(
         F.array_sort(F.collect_list(entry)).alias("sites")), "site-lists")
 
 
 def with_keys(requests: DataFrame) -> DataFrame:
     return requests.withColumns({
-        "category_key": F.coalesce("category", F.lit(ANY)), "keyword_key": keyword_key(F.col("keywords"))})
+        "category_key": category_key(), "keyword_key": keyword_key(F.col("keywords"))})
 
 
 def ranked_sites(products: DataFrame, requests: DataFrame) -> DataFrame:
@@ -51,15 +51,15 @@ def ranked_sites(products: DataFrame, requests: DataFrame) -> DataFrame:
     drops its excluded site from it.
     """
     asked = with_keys(requests)
-    excluded = stock_cube(products).select(
-        "category_key", F.col("site").alias("excluded"), F.col("units").alias("excluded_units"))
+    excluded = stock_cube(products).where(F.col("site") != ANY).select(
+        "category_key", F.substr("site", F.lit(2)).alias("excluded"), F.col("units").alias("excluded_units"))
     joined = asked.join(site_lists(products, asked), ["category_key", "keyword_key"], "left").join(
         excluded, ["category_key", "excluded"], "left")
     # Without an excluded site nothing is dropped.
     kept = F.filter("sites", lambda s: ~F.coalesce(s["site"] == F.col("excluded"), F.lit(False)))
     best = F.get("kept", 0)
     left = F.coalesce("excluded_units", F.lit(0))
-    suggestion = F.when(F.col("excluded").isNotNull() & (left == 0), F.least(
+    suggestion = F.when(F.col("excluded").isNotNull() & (left == 0) & best["units"].isNotNull(), F.least(
         F.floor(best["units"] / 2), F.lit(MAX_SUGGESTED_TRANSFER)))
     return joined.withColumn("kept", kept).withColumn("excluded_units", left).withColumn(
         "suggested_transfer", suggestion)
@@ -77,8 +77,9 @@ def recommend_sites(products: DataFrame, requests: DataFrame) -> DataFrame:
 
 def excluded_stock(products: DataFrame, requests: DataFrame) -> DataFrame:
     """Units at the excluded site, in the category if one is given."""
-    cube = stock_cube(products).select("category_key", F.col("site").alias("excluded"), "units")
-    asked = requests.select("request_id", "excluded", F.coalesce("category", F.lit(ANY)).alias("category_key"))
+    cube = stock_cube(products).where(F.col("site") != ANY).select(
+        "category_key", F.substr("site", F.lit(2)).alias("excluded"), "units")
+    asked = requests.select("request_id", "excluded", category_key().alias("category_key"))
     return asked.join(cube, ["category_key", "excluded"], "left").select(
         "request_id", "excluded", F.coalesce("units", F.lit(0)).alias("units"))
 
@@ -139,10 +140,10 @@ def count_rows(products: DataFrame, requests: DataFrame, *keep: str) -> DataFram
 
     The named sites are distinct, so their counts add up.
     """
-    sites = F.array_distinct("locations")
+    sites = F.array_distinct(F.transform("locations", key_of))
     asked = requests.withColumn("site", F.explode(
         F.when(F.size(sites) > 0, sites).otherwise(F.array(F.lit(ANY))))).withColumn(
-        "category_key", F.coalesce("category", F.lit(ANY)))
+        "category_key", category_key())
     cube = stock_cube(products).select("category_key", "site", "item_count")
     return asked.join(cube, ["category_key", "site"], "left").groupBy("request_id", *keep).agg(
         F.coalesce(F.sum("item_count"), F.lit(0)).alias("current"))

@@ -25,14 +25,24 @@ BITS = 2
 GRAM = 3
 WORD_BREAK = "\u0001"
 
-# axis -> (value of a product, lower bound, upper bound, units per 1.0)
+# axis -> (value of a product, lower bound, upper bound)
 AXES = {
-    "rating": ("rating", "rating_above", None, 100),
-    "price": ("price", "price_above", "price_below", 100),
-    "stock": ("stock_quantity", "stock_above", "stock_below", 1),
+    "rating": ("rating", "rating_above", None),
+    "price": ("price", "price_above", "price_below"),
+    "stock": ("stock_quantity", "stock_above", "stock_below"),
 }
 
 
+def key_of(value: Column) -> Column:
+    """A value as part of a key; the sign in front keeps it apart from the wildcard."""
+    return F.concat(F.lit("="), value)
+
+
+def category_key() -> Column:
+    """The asked category; none and an empty one are no filter."""
+    return F.coalesce(key_of(F.nullif(F.col("category"), F.lit(""))), F.lit(ANY))
+
+
 # --- intake ----------------------------------------------------------------
 
 def parse_intents(df: DataFrame, column: str = "intent_json") -> DataFrame:
@@ -67,7 +77,7 @@ def requests_from_intents(intents: DataFrame) -> DataFrame:
 def keyword_key(keywords: Column) -> Column:
     """Canonical text of a keyword set; ``*`` when there is none."""
     words = F.array_sort(F.array_distinct(F.transform(keywords, F.lower)))
-    return F.coalesce(F.nullif(F.concat_ws(WORD_BREAK, words), F.lit("")), F.lit(ANY))
+    return F.coalesce(key_of(F.nullif(F.concat_ws(WORD_BREAK, words), F.lit(""))), F.lit(ANY))
 
 
 def name_key() -> Column:
@@ -99,11 +109,11 @@ def keyword_classes(products: DataFrame, keys: DataFrame) -> tuple[DataFrame, Da
     """
     sets = keys.select("keyword_key").distinct()
     members = sets.where(F.col("keyword_key") != ANY).select(
-        "keyword_key", F.explode(F.split("keyword_key", WORD_BREAK)).alias("word"))
+        "keyword_key", F.explode(F.split(F.substr("keyword_key", F.lit(2)), WORD_BREAK)).alias("word"))
     found = name_words(products, members.select("word").distinct())
     # A name holds few asked words, so the arrays are short.
     names = found.groupBy("name").agg(F.array_sort(F.collect_set("word")).alias("words"))
-    names = materialize(names.withColumn("class_key", F.concat_ws(WORD_BREAK, "words")), "name-classes")
+    names = materialize(names.withColumn("class_key", key_of(F.concat_ws(WORD_BREAK, "words"))), "name-classes")
     classed = products.withColumn("name", name_key()).join(
         names.select("name", "class_key"), "name", "left").drop("name").withColumn(
         "class_key", F.coalesce("class_key", F.lit("")))
@@ -115,30 +125,24 @@ def keyword_classes(products: DataFrame, keys: DataFrame) -> tuple[DataFrame, Da
 
 def any_or(column: str) -> Column:
     """The value and the wildcard, so that unfiltered requests match by equality."""
-    return F.explode(F.array_compact(F.array(F.col(column), F.lit(ANY))))
+    return F.explode(F.array_compact(F.array(key_of(F.col(column)), F.lit(ANY))))
 
 
 # --- matching --------------------------------------------------------------
 
-def _whole(value: Column, scale: int) -> Column:
-    return F.floor(F.round(value * scale, 6)).cast("long")
-
-
 def _signatures(requests: DataFrame) -> DataFrame:
-    """Requests with canonical filters: integer cuts and text keys."""
-    cols = {"category_key": F.coalesce("category", F.lit(ANY)), "keyword_key": keyword_key(F.col("keywords"))}
-    sites = F.array_sort(F.array_distinct("locations"))
+    """Requests with canonical filters: bounds as they are and text keys."""
+    cols = {"category_key": category_key(), "keyword_key": keyword_key(F.col("keywords"))}
+    sites = F.array_sort(F.array_distinct(F.transform("locations", key_of)))
     cols["sites"] = F.when(F.size(sites) > 0, sites).otherwise(F.array(F.lit(ANY)))
-    for axis, (_, above, below, scale) in AXES.items():
-        # value > x  <=>  value > floor(x);  value < y  <=>  not value > ceil(y) - 1
-        cols[f"{axis}_lo"] = _whole(F.col(above), scale) if above else F.lit(None).cast("long")
-        cols[f"{axis}_hi"] = (
-            -_whole(-F.col(below), scale) - 1 if below else F.lit(None).cast("long"))
+    for axis, (_, above, below) in AXES.items():
+        for end, bound in (("lo", above), ("hi", below)):
+            cols[f"{axis}_{end}"] = (F.col(bound) if bound else F.lit(None)).cast("double")
     return requests.withColumns(cols)
 
 
 # Price and stock ranges are looked up by block. Ratings have few distinct
-# values (0 to 5 in hundredths), so their bound is compared directly.
+# values, so their bound is compared directly.
 BLOCK_AXES = ["price", "stock"]
 SIGNATURE = ["category_key", "keyword_key", "sites"] + [f"{a}_{e}" for a in AXES for e in ("lo", "hi")]
 
@@ -150,10 +154,12 @@ def _cuts(signatures: DataFrame) -> DataFrame:
 
 
 def _rank(value: Column, cuts: Column, n_cuts: int) -> Column:
-    """How many thresholds lie below the value, by binary search."""
+    """Place of the value on the axis of thresholds, by binary search: 2 p - 1 is the p-th threshold itself, 2 p the
+    gap behind it. So "over the p-th" is 2 p and up, and "under the p-th" is 2 p - 2 and down."""
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(n_cuts, 1).bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
         F.coalesce(F.get(cuts, at + step - 1) < value, F.lit(False)), at + step).otherwise(at))
+    return 2 * below + F.coalesce(F.get(cuts, below) == value, F.lit(False)).cast("int")
 
 
 def task_count(df: DataFrame) -> int:
@@ -173,16 +179,15 @@ class Matcher:
         # Three integers come to the driver: how many thresholds each axis has.
         sizes = cuts.select(*[F.size(a).alias(a) for a in AXES]).first()
         self.sizes = {a: sizes[a] for a in AXES}
-        self.levels = {a: levels_for(sizes[a] + 1, BITS) for a in AXES}
+        self.levels = {a: levels_for(2 * sizes[a] + 1, BITS) for a in AXES}
         self.cuts = cuts
         self.products = products
 
     def cells(self) -> DataFrame:
         """Products with their keyword class and their axis ranks."""
         rows = self.products
-        for axis, (value, _, _, scale) in AXES.items():
-            whole = F.round(F.col(value) * scale).cast("long")
-            rows = rows.withColumn(f"{axis}_v", whole)
+        for axis, (value, _, _) in AXES.items():
+            rows = rows.withColumn(f"{axis}_v", F.col(value).cast("double"))
         thresholds = F.struct(*[F.col(a) for a in AXES])
         rows = rows.withColumn("cuts", self.cuts.select(thresholds).scalar())
         for axis in AXES:
@@ -223,14 +228,14 @@ class Matcher:
             "cuts", self.cuts.select(F.struct(*[F.col(a) for a in AXES])).scalar())
         for axis in BLOCK_AXES:
             cuts, lo, hi = F.col(f"cuts.{axis}"), F.col(f"{axis}_lo"), F.col(f"{axis}_hi")
-            low = F.when(lo.isNull(), 0).otherwise(F.array_position(cuts, lo))
+            low = F.when(lo.isNull(), 0).otherwise(2 * F.array_position(cuts, lo))
             # With no upper bound the range runs to the end of the axis, so that
             # an absent filter is the single top block.
             end = (1 << (BITS * self.levels[axis])) - 1
-            high = F.when(hi.isNull(), end).otherwise(F.array_position(cuts, hi) - 1)
+            high = F.when(hi.isNull(), end).otherwise(2 * F.array_position(cuts, hi) - 2)
             out = out.withColumn(f"{axis}_b", F.explode(blocks_covering(low, high, self.levels[axis], BITS)))
         rating_from = F.when(F.col("rating_lo").isNull(), -1).otherwise(
-            F.array_position(F.col("cuts.rating"), F.col("rating_lo")))
+            2 * F.array_position(F.col("cuts.rating"), F.col("rating_lo")))
         return out.select("sig", rating_from.alias("rating_from"), *NODE)
 
     def found(self, nodes: DataFrame) -> DataFrame:
@@ -258,12 +263,12 @@ def match_requests(products: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def first_rows(products: DataFrame, requests: DataFrame, default: int = 10) -> DataFrame:
-    """Per request: its first ``n_rows`` matching products in row order.
+    """Per request: its first ``n_rows`` matching products in row order; a number under 1 counts as none.
 
     A block keeps as many rows as the longest list asked for; that limit is
     applied in each task before the shuffle.
     """
-    wanted = F.coalesce("n_rows", F.lit(default))
+    wanted = F.when(F.col("n_rows") >= 1, F.col("n_rows")).otherwise(default)
     m = Matcher(products, requests.withColumn("n_rows", wanted), "n_rows")
     longest = m.requests.agg(F.max("n_rows")).first()[0] or default
 

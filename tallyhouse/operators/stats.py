@@ -24,9 +24,13 @@ def mean_price() -> Column:
     return F.round(F.sum("price_cents") / (100 * F.count("price_cents")), 2)
 
 
+def exact_rating() -> Column:
+    """Ratings as decimals, so that their sum is the same in any order."""
+    return F.col("rating").cast("decimal(18,6)")
+
+
 def mean_rating(digits: int = 2) -> Column:
-    tenths = F.round(F.col("rating") * 10).cast("long")
-    return F.round(F.sum(tenths) / (10 * F.count("rating")), digits)
+    return F.round(F.sum(exact_rating()).cast("double") / F.count("rating"), digits)
 
 
 def low_stock_rows() -> Column:
@@ -78,7 +82,7 @@ def dashboard_stats(df: DataFrame) -> DataFrame:
     cells = df.groupBy("category", "warehouse_location").agg(
         F.count("*").alias("n"), F.count("asin").alias("n_asin"),
         F.sum("stock_quantity").alias("stock"), low_stock_rows().alias("low"),
-        F.sum(F.round(F.col("rating") * 10).cast("long")).alias("tenths"), F.count("rating").alias("n_rating"),
+        F.sum(exact_rating()).alias("ratings"), F.count("rating").alias("n_rating"),
         F.sum("price_cents").alias("cents"), F.count("price_cents").alias("n_price"),
     )
     sets = [[F.col("category")], [F.col("warehouse_location")], []]
@@ -87,7 +91,7 @@ def dashboard_stats(df: DataFrame) -> DataFrame:
         F.sum("n").alias("n_rows"), F.sum("n_asin").alias("n_asin"),
         F.coalesce(F.sum("stock"), F.lit(0)).alias("total_stock"),
         F.sum("low").alias("low_stock_count"),
-        F.round(F.sum("tenths") / (10 * F.sum("n_rating")), 2).alias("avg_rating"),
+        F.round(F.sum("ratings").cast("double") / F.sum("n_rating"), 2).alias("avg_rating"),
         F.round(F.sum("cents") / (100 * F.sum("n_price")), 2).alias("avg_price"),
     )
     scope = F.when(F.col("gid") == 1, "category").when(F.col("gid") == 2, "warehouse").otherwise("all")
