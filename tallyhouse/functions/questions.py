@@ -66,10 +66,9 @@ def found_in_order(text: Column, words: list[str], whole: bool = True) -> Column
     return F.array_compact(F.array(*[F.when(has_word(text, [w], whole), F.lit(w)) for w in words]))
 
 
-def extract_locations(text: Column) -> Column:
-    """All place names mentioned (substring, so suffixed names count)."""
-    return F.array_compact(F.array(*[
-        F.when(F.contains(text, F.lit(w.lower())), F.lit(w)) for w in vocab.WAREHOUSES]))
+def extract_locations(text: Column, names: list[str] = vocab.WAREHOUSES) -> Column:
+    """All place names mentioned (substring, so suffixed names count), in the order of ``names``."""
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w.lower())), F.lit(w)) for w in names]))
 
 
 def map_category(text: Column, words: dict[str, str], whole: bool = True) -> Column:
@@ -83,35 +82,8 @@ def number(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*hits).try_cast("double")
 
 
-# Number patterns, tried in order; one captured group each.
-NUM = "([0-9]+(?:[.][0-9]+)?)"
-RATING_PATTERNS = [
-    rf"rating['\"]? *[><=]+ *{NUM}",
-    rf"rating +{NUM} *(?:üstü|üzeri|den fazla|dan fazla)",
-    rf"{NUM} *(?:üstü|üzeri|den fazla|dan fazla|üzerinde).*rating",
-    rf"rating.*?{NUM} *(?:üstü|üzeri)",
-]
-PRICE_PATTERNS = [
-    rf"(?:fiyat|price)['\"]? *[><=]+ *{NUM}",
-    rf"(?:fiyat|price) +{NUM} *(?:üstü|üzeri|dolar)",
-    rf"{NUM} *(?:dolar|usd|[$])? *(?:üstü|üzeri|üzerinde).*(?:fiyat|price)",
-    rf"(?:fiyat|price).*?{NUM} *(?:üstü|üzeri)",
-]
-STOCK_PATTERNS = [
-    r"stok *([0-9]+) *(?:üstü|üzeri|den fazla)",
-    r"stock.*?([0-9]+)",
-]
-LIMIT_PATTERNS = [
-    r"([0-9]+) *(?:tane|adet|ürün|tanesini|adedini)",
-    r"(?:ilk|en iyi|top) *([0-9]+)",
-]
-# Variant that takes the direction from the text instead of assuming "above".
-COUNT_PRICE_PATTERN = rf"(?:price|fiyat)[ıi]? *[><=]* *{NUM}"
-COUNT_STOCK_PATTERN = r"(?:stock|stok)[_ ]*(?:quantity)?[ıi]? *[><=]* *([0-9]+)"
-
-
 def extract_limit(text: Column) -> Column:
-    return number(text, LIMIT_PATTERNS).cast("long")
+    return number(text, vocab.LIMIT_PATTERNS).cast("long")
 
 
 def first_number(text: Column) -> Column:
@@ -126,7 +98,7 @@ def direction(text: Column) -> Column:
 
 def large_numbers(text: Column, floor: int = 10) -> Column:
     """All numbers in the text above ``floor``."""
-    every = F.regexp_extract_all(text, F.lit(NUM), F.lit(1))
+    every = F.regexp_extract_all(text, F.lit(vocab.NUM), F.lit(1))
     return F.filter(F.transform(every, lambda x: x.try_cast("double")), lambda x: x > floor)
 
 
@@ -163,9 +135,8 @@ def is_transfer(text: Column) -> Column:
 
 def multi_location(text: Column) -> Column:
     """Two named sites, or a report/total for a named site."""
-    sites = "(?:sydney|melbourne|brisbane|perth)"
-    pair = matches(text, rf"{sites}.*(?:and|,|with).*{sites}")
-    return pair | matches(text, rf"(?:report|breakdown|distribution|total).*{sites}")
+    sites = f"(?:{'|'.join(w.lower() for w in vocab.BREAKDOWN_ORDER)})"
+    return matches(text, "|".join(vocab.BREAKDOWN_PATTERNS).replace("{sites}", sites))
 
 
 def is_pointer(text: Column, product_words: list[str]) -> Column:
@@ -196,14 +167,7 @@ def extract_exclusion(text: Column) -> Column:
     """The first site the text rules out."""
     tests = []
     for site in vocab.WAREHOUSES:
-        s = site.lower()
-        pattern = "|".join([
-            rf"if +{s} +has +(?:no|zero|low)",
-            rf"if +{s} +(?:is +)?(?:out|no +stock|low +stock)",
-            rf"where.*if +{s}",
-            rf"{s} +(?:is +)?(?:out +of +stock|has +no|no +stock|low +stock)",
-            rf"(?:alternative +to|instead +of) +{s}",
-        ])
+        pattern = "|".join(vocab.EXCLUSION_PATTERNS).replace("{site}", site.lower())
         tests.append(F.when(matches(text, pattern), F.lit(site)))
     return F.coalesce(*tests)
 

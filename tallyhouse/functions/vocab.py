@@ -160,3 +160,41 @@ ANSWER_WORDS = {
 
 # Symbols dropped before speaking an answer.
 SPOKEN_SYMBOLS = "📋📍✅💡🤖⭐💰📦🎙️"
+
+# Number patterns, tried in order, with one captured group each.
+NUM = "([0-9]+(?:[.][0-9]+)?)"
+RATING_PATTERNS = [
+    rf"rating['\"]?\s*[><=]+\s*{NUM}",
+    rf"rating\s+{NUM}\s*(?:üstü|üzeri|den fazla|dan fazla)",
+    rf"{NUM}\s*(?:üstü|üzeri|den fazla|dan fazla|üzerinde).*rating",
+    rf"rating.*?{NUM}\s*(?:üstü|üzeri)",
+]
+PRICE_PATTERNS = [
+    rf"(?:fiyat|price)['\"]?\s*[><=]+\s*{NUM}",
+    rf"(?:fiyat|price)\s+{NUM}\s*(?:üstü|üzeri|dolar)",
+    rf"{NUM}\s*(?:dolar|usd|[$])?\s*(?:üstü|üzeri|üzerinde).*(?:fiyat|price)",
+    rf"(?:fiyat|price).*?{NUM}\s*(?:üstü|üzeri)",
+]
+STOCK_PATTERNS = [
+    r"stok\s*([0-9]+)\s*(?:üstü|üzeri|den fazla)",
+    r"stock.*?([0-9]+)",
+]
+LIMIT_PATTERNS = [
+    r"([0-9]+)\s*(?:tane|adet|ürün|tanesini|adedini)",
+    r"(?:ilk|en iyi|top)\s*([0-9]+)",
+]
+# Variant that takes the direction from the text instead of assuming "above".
+COUNT_PRICE_PATTERN = rf"(?:price|fiyat)[ıi]?\s*[><=]*\s*{NUM}"
+COUNT_STOCK_PATTERN = r"(?:stock|stok)[_ ]*(?:quantity)?[ıi]?\s*[><=]*\s*([0-9]+)"
+
+# How a text rules a site out; ``{site}`` stands for the name.
+EXCLUSION_PATTERNS = [
+    r"if\s+{site}\s+has\s+(?:no|zero|low)",
+    r"if\s+{site}\s+(?:is\s+)?(?:out|no\s+stock|low\s+stock)",
+    r"where.*if\s+{site}",
+    r"{site}\s+(?:is\s+)?(?:out\s+of\s+stock|has\s+no|no\s+stock|low\s+stock)",
+    r"(?:alternative\s+to|instead\s+of)\s+{site}",
+]
+
+# Two named sites, or a report on a named site; ``{sites}`` stands for any of the names.
+BREAKDOWN_PATTERNS = [r"{sites}.*(?:and|,|with).*{sites}", r"(?:report|breakdown|distribution|total).*{sites}"]

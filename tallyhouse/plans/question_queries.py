@@ -37,18 +37,18 @@ _ask("extract_keywords", f"{s.present(s.WORDS, s.whole)} AS keywords",
      keywords=lambda t: F.concat_ws(",", q.found_in_order(t, s.WORDS)))
 _ask("extract_keywords_substring", f"{s.present(s.WORDS, s.anywhere)} AS keywords",
      keywords=lambda t: F.concat_ws(",", q.found_in_order(t, s.WORDS, whole=False)))
-_ask("extract_rating_bound", f"{s.RATING} AS rating_above", rating_above=lambda t: q.number(t, q.RATING_PATTERNS))
+_ask("extract_rating_bound", f"{s.RATING} AS rating_above", rating_above=lambda t: q.number(t, vocab.RATING_PATTERNS))
 _ask("extract_price_bound",
-     f"{s.PRICE} AS price_above, {s.number([q.COUNT_PRICE_PATTERN])} AS price_value, "
+     f"{s.PRICE} AS price_above, {s.number([vocab.COUNT_PRICE_PATTERN])} AS price_value, "
      f"CASE WHEN {s.anywhere(vocab.ABOVE_WORDS)} THEN 'above' WHEN {s.anywhere(vocab.BELOW_WORDS)} THEN 'below' END AS direction",
-     price_above=lambda t: q.number(t, q.PRICE_PATTERNS),
-     price_value=lambda t: q.number(t, [q.COUNT_PRICE_PATTERN]), direction=q.direction)
+     price_above=lambda t: q.number(t, vocab.PRICE_PATTERNS),
+     price_value=lambda t: q.number(t, [vocab.COUNT_PRICE_PATTERN]), direction=q.direction)
 _ask("extract_stock_bound",
-     f"{s.STOCK} AS stock_above, {s.number([q.COUNT_STOCK_PATTERN])} AS stock_value, "
-     f"array_to_string(list_transform(list_filter(regexp_extract_all(norm, {s.lit(q.NUM)}, 1), lambda x: cast(x AS double) > 10), "
+     f"{s.STOCK} AS stock_above, {s.number([vocab.COUNT_STOCK_PATTERN])} AS stock_value, "
+     f"array_to_string(list_transform(list_filter(regexp_extract_all(norm, {s.lit(vocab.NUM)}, 1), lambda x: cast(x AS double) > 10), "
      "lambda x: cast(round(cast(x AS double)) AS bigint)), ',') AS large_numbers",
-     stock_above=lambda t: q.number(t, q.STOCK_PATTERNS),
-     stock_value=lambda t: q.number(t, [q.COUNT_STOCK_PATTERN]),
+     stock_above=lambda t: q.number(t, vocab.STOCK_PATTERNS),
+     stock_value=lambda t: q.number(t, [vocab.COUNT_STOCK_PATTERN]),
      large_numbers=lambda t: F.concat_ws(",", F.transform(q.large_numbers(t), lambda x: F.round(x).cast("long").cast("string"))))
 _ask("extract_limit", f"{s.LIMIT} AS n_asked, cast({s.number(['([0-9]+)'])} AS bigint) AS first_number",
      n_asked=q.extract_limit, first_number=q.first_number)
@@ -58,16 +58,16 @@ _ask("extract_sort", f"{s.SORT} AS sort_by", sort_by=q.extract_sort)
 def has_filter(t):
     return (
         (F.size(q.extract_locations(t)) > 0) | q.map_category(t, s.CATEGORIES).isNotNull() | q.has_word(t, s.WORDS)
-        | q.number(t, q.RATING_PATTERNS).isNotNull() | q.number(t, q.PRICE_PATTERNS).isNotNull()
-        | q.number(t, q.STOCK_PATTERNS).isNotNull())
+        | q.number(t, vocab.RATING_PATTERNS).isNotNull() | q.number(t, vocab.PRICE_PATTERNS).isNotNull()
+        | q.number(t, vocab.STOCK_PATTERNS).isNotNull())
 
 
 _ask("classify_output", f"{s.OUTPUT} AS output",
      output=lambda t: q.classify_output(t, q.extract_limit(t).isNotNull(), has_filter(t)))
 _ask("route_intent", f"{s.ROUTE} AS route", route=lambda t: q.route_intent(t, s.WORDS))
 _ask("extract_exclusion", f"{s.EXCLUSION} AS excluded", excluded=q.extract_exclusion)
-_ask("multi_location_detect", f"{s.MULTI} AS is_breakdown, {s.LOCATIONS} AS locations", is_breakdown=q.multi_location,
-     locations=lambda t: F.concat_ws(",", q.extract_locations(t)))
+_ask("multi_location_detect", f"{s.MULTI} AS is_breakdown, {s.BREAKDOWN_LOCATIONS} AS locations", is_breakdown=q.multi_location,
+     locations=lambda t: F.concat_ws(",", q.extract_locations(t, vocab.BREAKDOWN_ORDER)))
 _ask("detect_pointer", f"{s.POINTER} AS is_pointer", is_pointer=lambda t: q.is_pointer(t, s.WORDS))
 
 

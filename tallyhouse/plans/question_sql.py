@@ -43,8 +43,11 @@ def present(words: list[str], test) -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {test([w])} THEN {lit(w)} END" for w in words) + ")"
 
 
-LOCATIONS = "concat_ws(',', " + ", ".join(
-    f"CASE WHEN contains(norm, {lit(w.lower())}) THEN {lit(w)} END" for w in vocab.WAREHOUSES) + ")"
+def _named(sites: list[str]) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN contains(norm, {lit(w.lower())}) THEN {lit(w)} END" for w in sites) + ")"
+
+
+LOCATIONS, BREAKDOWN_LOCATIONS = _named(vocab.WAREHOUSES), _named(vocab.BREAKDOWN_ORDER)
 FIRST_LOCATION = "CASE " + " ".join(
     f"WHEN contains(norm, {lit(w.lower())}) THEN {lit(w)}" for w in vocab.WAREHOUSES) + " END"
 HAS_SITE = anywhere([w.lower() for w in vocab.WAREHOUSES])
@@ -55,9 +58,8 @@ def number(patterns: list[str]) -> str:
     return f"try_cast(coalesce({parts}) AS double)"
 
 
-_SITES = "(?:sydney|melbourne|brisbane|perth)"
-MULTI = "(" + rx(rf"{_SITES}.*(?:and|,|with).*{_SITES}") + " OR " + rx(
-    rf"(?:report|breakdown|distribution|total).*{_SITES}") + ")"
+_SITES = f"(?:{'|'.join(w.lower() for w in vocab.BREAKDOWN_ORDER)})"
+MULTI = "(" + " OR ".join(rx(p.replace("{sites}", _SITES)) for p in vocab.BREAKDOWN_PATTERNS) + ")"
 POINTER = (f"({anywhere(vocab.POINTER_WORDS)} AND NOT {whole(WORDS)} "
            f"AND NOT {whole(vocab.ROUTE_CATEGORY_WORDS)} AND NOT {HAS_SITE})")
 ROUTE = f"""CASE WHEN {rx('|'.join(vocab.TRANSFER_PATTERNS))} THEN 'transfer'
@@ -68,10 +70,8 @@ ROUTE = f"""CASE WHEN {rx('|'.join(vocab.TRANSFER_PATTERNS))} THEN 'transfer'
  WHEN {anywhere(vocab.DATA_PHRASES)} OR {HAS_SITE} THEN 'data' ELSE 'retrieval' END"""
 
 EXCLUSION = "CASE " + " ".join(
-    "WHEN " + rx(
-        rf"if +{s} +has +(?:no|zero|low)|if +{s} +(?:is +)?(?:out|no +stock|low +stock)|where.*if +{s}|"
-        rf"{s} +(?:is +)?(?:out +of +stock|has +no|no +stock|low +stock)|(?:alternative +to|instead +of) +{s}"
-    ) + f" THEN {lit(s.title())}" for s in (w.lower() for w in vocab.WAREHOUSES)) + " END"
+    "WHEN " + rx("|".join(vocab.EXCLUSION_PATTERNS).replace("{site}", w.lower())) + f" THEN {lit(w)}"
+    for w in vocab.WAREHOUSES) + " END"
 
 _BEST = f"({anywhere(['en yüksek', 'en iyi', 'en çok'])} AND contains(norm, 'rating'))"
 SORT = f"""CASE WHEN {_BEST} AND {anywhere(['uygun', 'ucuz', 'düşük'])} THEN 'rating_price'
@@ -85,10 +85,10 @@ BY_WORDING = rx("|".join(vocab.FOLLOW_UP_PATTERNS))
 BY_LENGTH = (f"(len(regexp_extract_all(norm, '[^ \\t\\n]+')) <= 6 AND (({HAS_SITE} AND NOT "
              f"{whole(vocab.FOLLOW_UP_CATEGORY_WORDS)}) OR {anywhere(vocab.SHORT_QUANTITY_WORDS)}))")
 MASK = " + ".join(f"(CASE WHEN {whole([w])} THEN {1 << i} ELSE 0 END)" for i, w in enumerate(WORDS))
-LIMIT = f"cast({number(q.LIMIT_PATTERNS)} AS bigint)"
-RATING = number(q.RATING_PATTERNS)
-PRICE = number(q.PRICE_PATTERNS)
-STOCK = number(q.STOCK_PATTERNS)
+LIMIT = f"cast({number(vocab.LIMIT_PATTERNS)} AS bigint)"
+RATING = number(vocab.RATING_PATTERNS)
+PRICE = number(vocab.PRICE_PATTERNS)
+STOCK = number(vocab.STOCK_PATTERNS)
 HAS_FILTER = (f"({HAS_SITE} OR ({category()}) IS NOT NULL OR {whole(WORDS)} OR {RATING} IS NOT NULL "
               f"OR {PRICE} IS NOT NULL OR {STOCK} IS NOT NULL)")
 OUTPUT = f"""CASE WHEN {anywhere(vocab.COUNT_WORDS)} AND NOT {anywhere(vocab.LIST_WORDS)} THEN 'count'

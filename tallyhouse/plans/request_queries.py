@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import questions as q
+from tallyhouse.functions import vocab
 from tallyhouse.operators import context as ctx
 from tallyhouse.operators import planning, requests as rq
 from tallyhouse.plans import question_sql as s
@@ -100,9 +101,9 @@ def question_requests(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(
         (F.col("conv_id") * 1000000 + F.col("turn")).alias("request_id"), "category",
         _list("location").alias("locations"), ctx.mask_words(F.col("words"), s.WORDS).alias("keywords"),
-        q.number(F.col("norm"), q.RATING_PATTERNS).alias("rating_above"),
-        q.number(F.col("norm"), q.PRICE_PATTERNS).alias("price_above"), none.alias("price_below"),
-        q.number(F.col("norm"), q.STOCK_PATTERNS).alias("stock_above"), none.alias("stock_below"),
+        q.number(F.col("norm"), vocab.RATING_PATTERNS).alias("rating_above"),
+        q.number(F.col("norm"), vocab.PRICE_PATTERNS).alias("price_above"), none.alias("price_below"),
+        q.number(F.col("norm"), vocab.STOCK_PATTERNS).alias("stock_above"), none.alias("stock_below"),
         q.extract_limit(F.col("norm")).alias("n_rows"))
 
 

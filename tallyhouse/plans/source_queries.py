@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.functions.vocab import RAW_COLUMNS
+from tallyhouse.functions.vocab import DELETE_AFTER_DAYS, RAW_COLUMNS
 from tallyhouse.operators import enrichment as enrich
 from tallyhouse.operators.retrieval import chunk_documents
 from tallyhouse.plans.cleaning_queries import DAYS_SQL, TYPED_SQL, with_days
@@ -141,7 +141,7 @@ SELECT CASE WHEN run_id < '20011124' THEN 'archive' ELSE 'active' END AS place,
 def _(spark, root):
     active, archive = _runs(spark, root), new_folder(spark, "runs-archive")
     today = datetime.datetime.fromisoformat(RUN_TS).date()
-    sinks.archive_runs(spark, active, archive, today)
+    sinks.archive_runs(spark, active, archive, today, delete_days=DELETE_AFTER_DAYS)
     schema = "listing_id long, price_cents long, run_id string"
     parts = [spark.read.schema(schema).parquet(p).withColumn("place", F.lit(n))
              for n, p in (("active", active), ("archive", archive))]

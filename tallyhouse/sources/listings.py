@@ -22,7 +22,9 @@ def scan_latest_run(spark: SparkSession, path: str, schema: str, column: str = "
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
     names = [e.getPath().getName() for e in entries]
-    newest = max(n for n in names if n.startswith(f"{column}="))
+    newest = max((n for n in names if n.startswith(f"{column}=")), default=None)
+    if newest is None:
+        raise FileNotFoundError(f"no folder {column}=... in {path}")
     return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/{newest}")
 
 

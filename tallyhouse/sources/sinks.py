@@ -8,7 +8,7 @@ import time
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.vocab import ARCHIVE_AFTER_DAYS, DELETE_AFTER_DAYS, RAW_COLUMNS
+from tallyhouse.functions.vocab import ARCHIVE_AFTER_DAYS, RAW_COLUMNS
 from tallyhouse.operators import stats
 from tallyhouse.operators.enrichment import split_predicates
 from tallyhouse.schemas import RUN_METRICS
@@ -82,8 +82,9 @@ def index_count(spark: SparkSession, path: str) -> DataFrame:
 # --- retention -------------------------------------------------------------
 
 def archive_runs(spark: SparkSession, active: str, archive: str, today: datetime.date,
-                 archive_days: int = ARCHIVE_AFTER_DAYS, delete_days: int = DELETE_AFTER_DAYS) -> None:
-    """Move run partitions older than ``archive_days``; drop archived ones past ``delete_days``.
+                 archive_days: int = ARCHIVE_AFTER_DAYS, delete_days: int | None = None) -> None:
+    """Move run partitions older than ``archive_days``; drop archived ones past ``delete_days`` if that is given
+    (``DELETE_AFTER_DAYS`` is the usual number). A run that is in the archive already is not moved: an error.
 
     Whole partition folders are renamed; no row is read. The loop runs over
     runs, of which there is one a day.
@@ -103,10 +104,14 @@ def archive_runs(spark: SparkSession, active: str, archive: str, today: datetime
 
     for path, name, age in list(runs(root)):
         if age > archive_days:
-            fs.rename(path, jvm.org.apache.hadoop.fs.Path(target, name))
+            place = jvm.org.apache.hadoop.fs.Path(target, name)
+            if fs.exists(place):
+                raise FileExistsError(f"{place} is archived already")
+            if not fs.rename(path, place):
+                raise OSError(f"{path} could not be moved to {place}")
     for path, _, age in list(runs(target)):
-        if age > delete_days:
-            fs.delete(path, True)
+        if delete_days is not None and age > delete_days and not fs.delete(path, True):
+            raise OSError(f"{path} could not be deleted")
 
 
 # --- run metrics -----------------------------------------------------------
@@ -136,7 +141,7 @@ class RunLog:
                 raise ValueError(f"quality {got['q']} % is below {min_quality} %")
             self.rows.append((self.run_id, stage, got["n"], got["q"], "success", time.monotonic() - start, None))
         except Exception as error:
-            self.rows.append((self.run_id, stage, None, None, "failed", time.monotonic() - start, str(error)[:500]))
+            self.rows.append((self.run_id, stage, None, None, "failed", time.monotonic() - start, str(error)))
             raise
         finally:
             self.flush()

@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from tallyhouse.functions import questions, vocab
 from tallyhouse.functions.render import list_row, product_description
 from tallyhouse.operators import planning, requests, stats
 
@@ -77,6 +78,16 @@ def test_texts_with_unknown_parts(spark):
     assert got["b"][0].endswith("Restock scheduled for nan. ")
 
 
+def test_white_space_in_questions(spark):
+    rows = spark.createDataFrame([("price\t> 12.5",), ("if sydney\tis  out",), ("report for melbourne and sydney",)], "t string")
+    t = F.col("t")
+    got = rows.select(
+        questions.number(t, vocab.PRICE_PATTERNS), questions.extract_exclusion(t), questions.multi_location(t),
+        F.concat_ws(",", questions.extract_locations(t, vocab.BREAKDOWN_ORDER))).collect()
+    assert [tuple(r) for r in got] == [
+        (12.5, None, False, ""), (None, "Sydney", False, "Sydney"), (None, None, True, "Sydney,Melbourne")]
+
+
 def test_functions_reach_workers_from_another_folder(tmp_path):
     """Workers cannot import the package here: the driver finds it by a path that is not passed on."""
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

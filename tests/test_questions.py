@@ -32,9 +32,9 @@ def test_words_are_whole_unless_asked(spark):
 
 def test_bounds(spark):
     assert over(spark, ["rating > 4.5", "rating 4.2 üstü", "4 üzeri rating", "none"],
-                lambda t: q.number(t, q.RATING_PATTERNS)) == [4.5, 4.2, 4.0, None]
-    assert over(spark, ["price >= 20", "fiyat 30 dolar", "50 $ üzeri price"], lambda t: q.number(t, q.PRICE_PATTERNS)) == [20.0, 30.0, 50.0]
-    assert over(spark, ["stok 100 üstü", "stock above 7"], lambda t: q.number(t, q.STOCK_PATTERNS)) == [100.0, 7.0]
+                lambda t: q.number(t, vocab.RATING_PATTERNS)) == [4.5, 4.2, 4.0, None]
+    assert over(spark, ["price >= 20", "fiyat 30 dolar", "50 $ üzeri price"], lambda t: q.number(t, vocab.PRICE_PATTERNS)) == [20.0, 30.0, 50.0]
+    assert over(spark, ["stok 100 üstü", "stock above 7"], lambda t: q.number(t, vocab.STOCK_PATTERNS)) == [100.0, 7.0]
     assert over(spark, ["5 tane", "top 7", "none"], q.extract_limit) == [5, 7, None]
 
 

@@ -10,6 +10,7 @@ from tallyhouse.operators import stats
 from tallyhouse.sources import listings as src
 from tallyhouse.sources import pages as pg
 from tallyhouse.sources import sinks
+from tallyhouse.sources.listings import scan_latest_run
 from tallyhouse.sources.workspace import new_folder
 from tallyhouse.streaming.ingest import ingest, read_new_files
 
@@ -62,12 +63,17 @@ def test_archive_and_delete(spark):
     df = spark.createDataFrame([("20260101_000000", 1), ("20260120_000000", 2), ("20260130_000000", 3)], "run_id string, x int")
     active, archive = new_folder(spark, "test-active"), new_folder(spark, "test-archive")
     df.write.partitionBy("run_id").parquet(active)
-    sinks.archive_runs(spark, active, archive, datetime.date(2026, 1, 28))
+    sinks.archive_runs(spark, active, archive, datetime.date(2026, 1, 28), delete_days=30)
     read = spark.read.schema("x int, run_id string")
     assert [r["x"] for r in read.parquet(active).collect()] == [3]
     assert sorted(r["x"] for r in read.parquet(archive).collect()) == [1, 2]
-    sinks.archive_runs(spark, active, archive, datetime.date(2026, 2, 5))
+    sinks.archive_runs(spark, active, archive, datetime.date(2026, 2, 5), delete_days=30)
     assert sorted(r["x"] for r in read.parquet(archive).collect()) == [2]
+    df.where("x = 2").write.partitionBy("run_id").mode("append").parquet(active)
+    with pytest.raises(FileExistsError):
+        sinks.archive_runs(spark, active, archive, datetime.date(2026, 2, 5))
+    with pytest.raises(FileNotFoundError):
+        scan_latest_run(spark, new_folder(spark, "none").rsplit("/", 1)[0], "x int", "no_such_column")
 
 
 def test_failed_stage_is_recorded(spark):
