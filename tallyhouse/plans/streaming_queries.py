@@ -30,6 +30,18 @@ def read_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/{name}.parquet*")
 
 
+def read_disordered(spark: SparkSession, root: str, slices: int = 4) -> DataFrame:
+    """Events as a stream of several files, one a batch, in which rows arrive up to ``DELAY_HOURS`` out of order."""
+    landing = new_folder(spark, "disordered")
+    late = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(DELAY_HOURS * HOUR))
+    events = table(spark, root, "events").withColumn("arrives", late)
+    edges = events.agg(*(F.percentile_approx("arrives", k / slices).alias(f"e{k}") for k in range(1, slices))).first()
+    for low, high in zip([None, *edges], [*edges, None]):
+        part = events.where((F.lit(low is None) | (F.col("arrives") > F.lit(low))) & (F.lit(high is None) | (F.col("arrives") <= F.lit(high))))
+        part.drop("arrives").coalesce(1).write.mode("append").parquet(landing)
+    return spark.readStream.schema(events.drop("arrives").schema).option("maxFilesPerTrigger", 1).parquet(landing)
+
+
 _NOISE = """SELECT *, epoch_us(ts) AS us, quantile_cont(value, 0.2) OVER w AS q, count(*) OVER w AS n
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"""
 _ACTIVE = f"""noise AS ({_NOISE}), act AS (SELECT * FROM noise
@@ -66,13 +78,14 @@ def _(spark, root):
 _WATERMARK = f"((SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - {DELAY_HOURS * HOUR})"
 
 
+# Rows behind the watermark are still held back at the end.
 @query("stream_activity_segments", f"""
-WITH {_ACTIVE}, {_segments_sql('act')}, lastpart AS (SELECT *, max(part) OVER (PARTITION BY user_id, seg) AS max_part FROM ({_PIECES}) p)
+WITH {_ACTIVE}, due AS (SELECT * FROM act WHERE us < {_WATERMARK}), {_segments_sql('due')}, lastpart AS (SELECT *, max(part) OVER (PARTITION BY user_id, seg) AS max_part FROM ({_PIECES}) p)
 SELECT user_id, start_us, end_us, n_active, peak FROM lastpart
 WHERE seg < last_seg OR seg_last + {12 * HOUR} < {_WATERMARK}
    OR EXISTS (SELECT 1 FROM org o WHERE o.user_id = lastpart.user_id AND o.seg = lastpart.seg AND o.us > lastpart.end_us)""")
 def _(spark, root):
-    found = stream_segments(read_stream(spark, root, "events"), RULES, f"{DELAY_HOURS} hours")
+    found = stream_segments(read_disordered(spark, root), RULES, f"{DELAY_HOURS} hours")
     return drain_to_parquet(found, new_folder(spark, "segments"), new_folder(spark, "segments-state"))
 
 

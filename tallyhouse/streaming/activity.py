@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyhouse.operators.segments import Rules, micros
+from tallyhouse.operators.segments import SECOND, Rules, micros
 
 
 def stream_sessions(events: DataFrame, threshold: float, gap: str, delay: str) -> DataFrame:
@@ -24,52 +24,76 @@ def stream_sessions(events: DataFrame, threshold: float, gap: str, delay: str) -
 
 
 OUTPUT = "user_id long, start_us long, end_us long, n_active long, peak double"
-STATE = "recent array<double>, origin long, start_us long, last_us long, n_active long, peak double"
+STATE = ("recent array<double>, origin long, start_us long, last_us long, n_active long, peak double, seen_us long, "
+         "us array<long>, ids array<long>, vals array<double>")
+#: Event time after which a key that sends nothing is forgotten, with its noise level.
+KEEP_US = 365 * 86_400 * SECOND
 
 
-def segmenter(rules: Rules):
-    """Per-key step: rolling noise level and the open segment."""
+def levels(values: np.ndarray, n_before: int, rules: Rules) -> np.ndarray:
+    """Threshold of each value behind the first ``n_before``: from the quantile of the latest ones, itself included."""
+    out = np.full(len(values) - n_before, rules.base)
+    padded = np.concatenate([np.full(rules.window - 1, np.nan), values])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, rules.window)[n_before:]
+    enough = (~np.isnan(windows)).sum(axis=1) >= rules.min_history
+    if enough.any():
+        noise = np.nanquantile(windows[enough], rules.quantile, axis=1)
+        out[enough] = np.maximum(rules.base, rules.factor * noise)
+    return out
+
+
+def segmenter(rules: Rules, keep_us: int = KEEP_US):
+    """Per-key step: holds rows until the watermark has passed them, so that the order of arrival does not matter."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, origin, start, last, n, peak = state.get if state.exists else ([], -1, -1, -1, 0, 0.0)
-        recent = list(recent)
+        recent, origin, start, last, n, peak, seen, us, ids, vals = (
+            state.get if state.exists else ([], -1, -1, -1, 0, 0.0, -1, [], [], []))
+        parts = [pd.DataFrame({"us": us, "event_id": ids, "value": vals}).astype({"us": "int64", "event_id": "int64", "value": float})]
+        if not state.hasTimedOut:
+            parts += [b[["us", "event_id", "value"]] for b in batches]
+        rows = pd.concat([p for p in parts if len(p)] or parts[:1]).sort_values(["us", "event_id"])
+        mark = state.getCurrentWatermarkMs()
+        due = (rows["us"] // 1000 < mark).to_numpy()
         done = []
 
         def close():
             if n >= rules.min_active:
                 done.append((key[0], start, last, n, peak))
 
-        if state.hasTimedOut:
+        if due.any():
+            times, values = rows["us"].to_numpy()[due], rows["value"].to_numpy()[due]
+            history = np.concatenate([np.asarray(recent, float), values])
+            active = values > levels(history, len(recent), rules)
+            recent, seen = history[-rules.window:].tolist(), int(times[-1])
+            for at, value in zip(times[active].tolist(), values[active].tolist()):
+                fresh = n == 0 or at - last > rules.gap
+                if fresh or (at - origin) // rules.max_length != (last - origin) // rules.max_length:
+                    close()
+                    origin = at if fresh else origin
+                    start, n, peak = at, 0, value
+                last, n, peak = at, n + 1, max(peak, value)
+        held = rows[~due]
+        if n and (last + rules.gap) // 1000 < mark:
             close()
-            state.update((recent, -1, -1, -1, 0, 0.0))
+            origin, start, last, n, peak = -1, -1, -1, 0, 0.0
+        if not n and not len(held) and (seen + keep_us) // 1000 < mark:
+            state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-            for us, value in zip(rows["us"], rows["value"]):
-                recent = (recent + [float(value)])[-rules.window:]
-                level = rules.base
-                if len(recent) >= rules.min_history:
-                    level = max(level, rules.factor * float(np.percentile(recent, rules.quantile * 100)))
-                if value <= level:
-                    continue
-                fresh = n == 0 or us - last > rules.gap
-                if fresh or (us - origin) // rules.max_length != (last - origin) // rules.max_length:
-                    close()
-                    origin = us if fresh else origin
-                    start, n, peak = us, 0, value
-                last, n, peak = us, n + 1, max(peak, value)
-            state.update((recent, int(origin), int(start), int(last), int(n), float(peak)))
-            deadline = int(last + rules.gap) // 1000
-            if n and deadline > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(deadline)
+            state.update((recent, int(origin), int(start), int(last), int(n), float(peak), int(seen),
+                          held["us"].tolist(), held["event_id"].tolist(), held["value"].tolist()))
+            ends = [last + rules.gap] if n else []
+            first = [int(held["us"].iloc[0])] if len(held) else []
+            state.setTimeoutTimestamp(max(mark, min(ends + first, default=seen + keep_us) // 1000))
         if done:
             yield pd.DataFrame(done, columns=["user_id", "start_us", "end_us", "n_active", "peak"])
 
     return step
 
 
-def stream_segments(events: DataFrame, rules: Rules, delay: str) -> DataFrame:
-    """Adaptive threshold; an open segment is closed by the watermark."""
+def stream_segments(events: DataFrame, rules: Rules, delay: str, keep_us: int = KEEP_US) -> DataFrame:
+    """Adaptive threshold. Rows are taken in order of time once the watermark has passed them; an open segment is
+    closed by the watermark. Rows later than ``delay`` are left out, as in any stream with a watermark."""
     timed = events.withColumn("us", micros(F.col("ts"))).withColumn(
         "ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return timed.select("user_id", "event_id", "ts", "us", "value").groupBy("user_id").applyInPandasWithState(
-        segmenter(rules), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        segmenter(rules, keep_us), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

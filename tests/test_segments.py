@@ -62,8 +62,9 @@ def test_equal_to_one_pass_per_key(spark, monkeypatch, chunk):
     assert sorted(tuple(r) for r in got) == by_hand(rows, RULES)
 
 
-def test_stream_in_batches(spark):
-    rows = sorted(events(8), key=lambda r: r[2])
+@pytest.mark.parametrize("order", ["time", "any"])
+def test_stream_in_batches(spark, order):
+    rows = sorted(events(8), key=lambda r: r[2] if order == "time" else hash((r[1], 7)) % 1009)
     landing = new_folder(spark, "test-events")
     for lo in range(0, len(rows), 200):
         part = spark.createDataFrame(rows[lo:lo + 200], SCHEMA).coalesce(1)
@@ -72,5 +73,5 @@ def test_stream_in_batches(spark):
     late = [(9, 9999, START + datetime.timedelta(days=1), 0.0)]
     spark.createDataFrame(late, SCHEMA).coalesce(1).write.mode("append").parquet(landing)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(landing)
-    out = drain_to_parquet(stream_segments(stream, RULES, "1 minute"), new_folder(spark, "test-seg"), new_folder(spark, "test-seg-state"))
+    out = drain_to_parquet(stream_segments(stream, RULES, "1 minute" if order == "time" else "12 hours"), new_folder(spark, "test-seg"), new_folder(spark, "test-seg-state"))
     assert sorted(tuple(r) for r in out.select(*COLS).collect()) == by_hand(rows, RULES)
