@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,40 +12,47 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallyhouse.operators.context import mentions
 
 OUTPUT = "conv_id long, turn long, route string, category string, location string, words long"
-STATE = "category string, location string, words long"
+STATE = "category string, location string, words long, next long, held string"
 MENTIONED = ["conv_id", "turn", "route", "own_category", "own_location", "own_words", "by_wording", "by_length"]
 
 
-def folder(idle_ms: int | None):
-    """Per-conversation step; state idle for ``idle_ms`` is dropped."""
+def folder(idle_ms: int | None, first_turn: int = 0):
+    """Per-conversation step. A turn waits until all before it are there, so the order of arrival does not matter;
+    after ``idle_ms`` without news, turns behind a gap are folded in order and the state is dropped."""
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Context after each turn of one conversation in this micro-batch."""
+        category, location, words, following, held = state.get if state.exists else (None, None, 0, first_turn, "[]")
+        rows = json.loads(held)
+        if not state.hasTimedOut:
+            for part in batches:
+                rows += part[MENTIONED[1:]].astype(object).where(part[MENTIONED[1:]].notna(), None).values.tolist()
+        rows.sort(key=lambda r: r[0])
+        out, taken = [], 0
+        for turn, route, own_category, own_location, own_words, by_wording, by_length in rows:
+            if turn > following and not state.hasTimedOut:
+                break
+            taken, following = taken + 1, max(following, turn + 1)
+            if route == "data":
+                if not (by_wording or by_length):
+                    category, location, words = None, None, 0
+                category = category if own_category is None else own_category
+                location = location if own_location is None else own_location
+                words |= int(own_words)
+            out.append((key[0], turn, route, category, location or None, words))
         if state.hasTimedOut:
             state.remove()
-            return
-        category, location, words = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(batches)).sort_values("turn")
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.route == "data":
-                if not (r.by_wording or r.by_length):
-                    category, location, words = None, None, 0
-                category = r.own_category if pd.notna(r.own_category) else category
-                location = r.own_location if pd.notna(r.own_location) else location
-                words |= int(r.own_words)
-            out.append((key[0], r.turn, r.route, category, location or None, words))
-        state.update((category, location, words))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+        else:
+            state.update((category, location, words, int(following), json.dumps(rows[taken:])))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "route", "category", "location", "words"])
 
     return advance
 
 
 def stream_context(questions: DataFrame, categories: dict[str, str], words: list[str],
-                   idle_ms: int | None = None) -> DataFrame:
-    """Streaming form of ``carry_context``.
+                   idle_ms: int | None = None, first_turn: int = 0) -> DataFrame:
+    """Streaming form of ``carry_context`` for turns numbered one by one from ``first_turn``.
 
     Set ``idle_ms`` for a query that runs for ever, so that conversations which
     ended are forgotten. A run over what is available now must leave it unset:
@@ -56,4 +64,4 @@ def stream_context(questions: DataFrame, categories: dict[str, str], words: list
     """
     read = mentions(questions, categories, words).select(*MENTIONED)
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return read.groupBy("conv_id").applyInPandasWithState(folder(idle_ms), OUTPUT, STATE, "append", timeout)
+    return read.groupBy("conv_id").applyInPandasWithState(folder(idle_ms, first_turn), OUTPUT, STATE, "append", timeout)

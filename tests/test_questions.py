@@ -99,10 +99,11 @@ def test_context_matches_turn_by_turn(spark, monkeypatch, chunk):
             for r in got] == want
 
 
-def test_stream_in_several_batches(spark):
+@pytest.mark.parametrize("parts", [((0, 3), (3, 10), (10, 99)), ((10, 99), (1, 3), (3, 10), (0, 1))])
+def test_stream_in_several_batches(spark, parts):
     asked = questions(spark, 9)
     landing = new_folder(spark, "test-questions")
-    for lo, hi in ((0, 3), (3, 10), (10, 99)):
+    for lo, hi in parts:
         asked.where(f"turn >= {lo} AND turn < {hi}").coalesce(1).write.mode("append").parquet(landing)
     stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     out = drain_to_parquet(stream_context(stream, vocab.CATEGORY_WORDS, WORDS),
