@@ -126,7 +126,8 @@ FROM (SELECT conv_id, turn,
         cast(3 + (conv_id + turn) % 5 AS string) AS few,
         cast(1000 + (conv_id * 130 + turn * 290) % 3000 AS string) AS amount,
         cast(100 + (conv_id * 13 + turn * 29) % 300 AS string) AS units
-      FROM conversations) q""",
+      FROM conversations) q
+UNION ALL SELECT conv_id + 1000000000 AS conv_id, turn, text FROM conversations""",
     "requests": f"""
 SELECT c_custkey AS request_id,
        CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE {_pick('c_custkey % 6', [t.upper() for t in _TYPES])} END AS category,
