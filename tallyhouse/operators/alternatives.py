@@ -31,8 +31,8 @@ def _ids(array: Column) -> Column:
     return F.transform(array, lambda x: x["asin"])
 
 
-def similar_price(products: DataFrame, kept: int = ALTERNATIVES_KEPT) -> DataFrame:
-    """First ``kept`` products, in row order, priced within 30 % of each product.
+def with_similar(products: DataFrame, kept: int = ALTERNATIVES_KEPT) -> DataFrame:
+    """Adds ``similar``: the first ``kept`` products, in row order, priced within 30 % of each product.
 
     Only ``kept + 1`` lowest rows per (category, price) can ever be reported,
     and likewise per block of prices, so short lists per block answer every
@@ -62,10 +62,15 @@ def similar_price(products: DataFrame, kept: int = ALTERNATIVES_KEPT) -> DataFra
         .groupBy("category", "price_cents")
         .agg(F.array_sort(F.collect_list(F.struct("row_id", "asin"))).alias("near"))
     )
-    joined = rows.select("row_id", "asin", "category", "price_cents").join(
-        answers, ["category", "price_cents"], "left")
     others = F.slice(F.filter("near", lambda x: x["asin"] != F.col("asin")), 1, kept)
-    return joined.select("asin", F.coalesce(_ids(others), F.array().cast("array<string>")).alias("similar"))
+    return products.join(answers, ["category", "price_cents"], "left").withColumn(
+        "similar", F.coalesce(_ids(others), F.array().cast("array<string>"))).drop("near")
+
+
+def similar_price(products: DataFrame, kept: int = ALTERNATIVES_KEPT) -> DataFrame:
+    """asin and ``similar`` for products with a known category and price."""
+    rows = products.where(F.col("category").isNotNull() & F.col("price_cents").isNotNull())
+    return with_similar(rows.select("row_id", "asin", "category", "price_cents"), kept).select("asin", "similar")
 
 
 def top_rated(products: DataFrame, kept: int = ALTERNATIVES_KEPT) -> DataFrame:
@@ -77,8 +82,8 @@ def top_rated(products: DataFrame, kept: int = ALTERNATIVES_KEPT) -> DataFrame:
     return best.groupBy("category").agg(F.array_sort(F.collect_list(entry)).alias("best"))
 
 
-def higher_rated(products: DataFrame, kept: int = ALTERNATIVES_KEPT, gap: float = MIN_RATING_GAP) -> DataFrame:
-    """Best ``kept`` products rated more than ``gap`` above each product.
+def with_better(products: DataFrame, kept: int = ALTERNATIVES_KEPT, gap: float = MIN_RATING_GAP) -> DataFrame:
+    """Adds ``better``: the best ``kept`` products rated more than ``gap`` above each product.
 
     They are a prefix of the category's best list, since anything that beats
     the bar beats everything below it. The list table has one short row per
@@ -88,21 +93,28 @@ def higher_rated(products: DataFrame, kept: int = ALTERNATIVES_KEPT, gap: float
     lists = materialize(top_rated(products, kept), "top-rated")
     bar = F.col("rating") + gap
     above = F.filter("best", lambda x: (x["rating"] > bar) & (x["asin"] != F.col("asin")))
-    joined = products.select("asin", "category", "rating").join(lists, "category", "left")
-    return joined.select("asin", F.coalesce(_ids(above), F.array().cast("array<string>")).alias("better"))
+    return products.join(lists, "category", "left").withColumn(
+        "better", F.coalesce(_ids(above), F.array().cast("array<string>"))).drop("best")
+
+
+def higher_rated(products: DataFrame, kept: int = ALTERNATIVES_KEPT, gap: float = MIN_RATING_GAP) -> DataFrame:
+    """asin and ``better``."""
+    return with_better(products, kept, gap).select("asin", "better")
 
 
 def add_alternatives(products: DataFrame, kept: int = ALTERNATIVES_KEPT) -> DataFrame:
-    """Both lists as pipe-joined text, empty where there is none."""
+    """Both lists as pipe-joined text, empty where there is none.
+
+    The lists come to the products by category and price, so products do not meet themselves again by key.
+    """
+    columns = [*products.columns, "similar_price_alternatives", "higher_rated_alternatives"]
     return (
-        products
-        .join(similar_price(products, kept), "asin", "left")
-        .join(higher_rated(products, kept), "asin", "left")
+        with_better(with_similar(products, kept), kept)
         .withColumns({
             "similar_price_alternatives": F.coalesce(F.concat_ws("|", "similar"), F.lit("")),
             "higher_rated_alternatives": F.coalesce(F.concat_ws("|", "better"), F.lit("")),
         })
-        .drop("similar", "better")
+        .select(*columns)
     )
 
 

@@ -133,11 +133,8 @@ def quota_groups(rows: DataFrame, order: str, target: int = CRAWL_TARGET, group:
     The running total goes over one row per group, after the counts.
     """
     counts = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(order).alias("_order"))
-    listed = F.array_sort(F.collect_list(F.struct("_order", group, "n")))
-    taken = counts.agg(listed.alias("g")).select(F.explode(F.transform("g", lambda x, i: F.struct(
-        x[group].alias(group), x["n"].alias("n"),
-        F.aggregate(F.slice("g", F.lit(1), i), F.lit(0).cast("long"), lambda acc, y: acc + y["n"]).alias("before")
-    ))).alias("x")).select("x.*")
+    earlier = Window.orderBy("_order", group).rowsBetween(Window.unboundedPreceding, -1)
+    taken = counts.select(group, "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return taken.where(F.col("before") < target)
 
 

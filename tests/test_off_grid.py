@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import os
+import random
+import statistics
 import subprocess
 import sys
 
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import questions, vocab
 from tallyhouse.functions.render import list_row, product_description
 from tallyhouse.operators import planning, requests, stats
+from tallyhouse.operators.cleaning import exact_median
 
 PRODUCTS = ("row_id long, asin string, product_name string, category string, warehouse_location string, price double, "
             "price_cents long, rating double, stock_quantity long, minimum_stock_threshold long, daily_sales_avg double")
@@ -88,6 +92,14 @@ def test_white_space_in_questions(spark):
         (12.5, None, False, ""), (None, "Sydney", False, "Sydney"), (None, None, True, "Sydney,Melbourne")]
 
 
+def test_median_between_sketch_bounds(spark):
+    rng = random.Random(4)
+    for n in (1, 2, 3, 4, 999, 20_000):
+        values = [rng.choice((1.0, rng.uniform(0, 100))) for _ in range(n)]
+        got = exact_median(spark.createDataFrame([(x,) for x in values] + [(None,)], "x double"), "x").first()[0]
+        assert math.isclose(got, statistics.median(values)), n
+
+
 def test_functions_reach_workers_from_another_folder(tmp_path):
     """Workers cannot import the package here: the driver finds it by a path that is not passed on."""
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
