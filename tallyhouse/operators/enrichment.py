@@ -47,12 +47,12 @@ def sales_facts(lines: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def inventory_facts(products: DataFrame, facts: DataFrame) -> DataFrame:
-    """Products with stock, sales and lead-time columns; no sale gives zeros."""
+    """Products with units sold, sales and lead-time columns; no sale gives zeros."""
     f = facts.withColumnRenamed("l_partkey", "row_id")
     units = F.coalesce(F.col("units"), F.lit(0))
     return products.join(f, "row_id", "left").select(
         *[F.col(c) for c in products.columns],
-        (units % 451).alias("stock_quantity"),
+        units.alias("units"),
         F.coalesce(F.col("n_sales"), F.lit(0)).alias("n_sales"),
         F.round(F.coalesce(units / F.col("n_days"), F.lit(0.0)), 2).alias("daily_sales_avg"),
         F.col("last_sold").cast("string").alias("last_sold_date"),
