@@ -29,8 +29,13 @@ def exact_rating() -> Column:
     return F.col("rating").cast("decimal(18,6)")
 
 
+def exact_mean(total: Column, n: Column) -> Column:
+    """Mean of decimals as a ratio of two whole numbers, so that a half is not lost before rounding."""
+    return (total * 1_000_000).cast("double") / (n * 1_000_000)
+
+
 def mean_rating(digits: int = 2) -> Column:
-    return F.round(F.sum(exact_rating()).cast("double") / F.count("rating"), digits)
+    return F.round(exact_mean(F.sum(exact_rating()), F.count("rating")), digits)
 
 
 def low_stock_rows() -> Column:
@@ -91,7 +96,7 @@ def dashboard_stats(df: DataFrame) -> DataFrame:
         F.sum("n").alias("n_rows"), F.sum("n_asin").alias("n_asin"),
         F.coalesce(F.sum("stock"), F.lit(0)).alias("total_stock"),
         F.sum("low").alias("low_stock_count"),
-        F.round(F.sum("ratings").cast("double") / F.sum("n_rating"), 2).alias("avg_rating"),
+        F.round(exact_mean(F.sum("ratings"), F.sum("n_rating")), 2).alias("avg_rating"),
         F.round(F.sum("cents") / (100 * F.sum("n_price")), 2).alias("avg_price"),
     )
     scope = F.when(F.col("gid") == 1, "category").when(F.col("gid") == 2, "warehouse").otherwise("all")

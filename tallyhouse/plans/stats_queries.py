@@ -11,7 +11,7 @@ from tallyhouse.operators import ranking, stats
 from tallyhouse.plans.registry import query
 from tallyhouse.plans.views import catalog, view
 
-RATING = "round(cast(sum(cast(rating AS decimal(18, 6))) AS double) / count(rating), 2)"
+RATING = "round(cast(sum(cast(rating AS decimal(18, 6))) * 1000000 AS double) / (1000000 * count(rating)), 2)"
 PRICE = "round(sum(price_cents) / (100 * count(price_cents)), 2)"
 STOCK = "cast(coalesce(sum(stock_quantity), 0) AS bigint)"
 LOW = "count(*) FILTER (WHERE stock_quantity < minimum_stock_threshold)"
