@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,7 +30,20 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared root; never reused, so never cleared."""
-    return f"{shared_root(spark)}/tallyhouse/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/tallyhouse/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made_since(count: int) -> list[str]:
+    """Folders given out by this process after the first ``count``."""
+    return _made[count:]
+
+
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Delete scratch folders that no DataFrame in use reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
