@@ -32,6 +32,7 @@ from tallyhouse.sources.workspace import materialize
 
 K = 35
 SEED_WORDS = 8
+BLOCK_BYTES = 2 << 20
 PIECES = "block long, row long, start long, path long, edges long, copies long, first long, last long, digest binary"
 
 
@@ -227,7 +228,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     ``kept``, the text that is left. Other columns are not read, so their names cannot clash."""
     inner = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(i) for c, i in zip(keep, inner)), F.col(text).alias("text"))
-    table = B.write_blocks(rows, "substring_texts")
+    table = B.write_blocks(rows, "substring_texts", block_bytes=BLOCK_BYTES)
     spans = repeated_spans(table, k).select("block", "row", "start", "n_words")
     kinds = dict(rows.dtypes)
     schema = "n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text

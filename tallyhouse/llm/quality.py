@@ -79,8 +79,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     begins = begins[begins < len(t.data)]
     ends = np.append(begins[1:], len(t.data))[: len(begins)]
     of = np.searchsorted(t.offsets[1:], begins, side="right")
-    table = W._base(5)[2]
-    lines = W.span_hashes(lambda low, high: table[t.data[low:high]], begins, ends, 5)
+    lines = W.byte_hashes(t.data, begins, ends, 5)
     n_lines = np.bincount(of, minlength=docs)
     distinct_lines, _ = repeats(lines, of, docs)
     share = lambda mask: per_text(mask[t.data] & t.inside, t.offsets) / chars

@@ -149,7 +149,7 @@ def build_trees(docs: DataFrame, ranks_file: str, text: str = "text") -> DataFra
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(ranks)
-        for part in W.slices(batches, text, W.SLICE_BYTES // 4):
+        for part in W.slices(batches, text, W.SLICE_BYTES):
             found = [leaves(counter, x or "") for x in part.column(text).to_pylist()]
             lists = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, "leaf_chars", "leaf_tokens"])
@@ -167,7 +167,7 @@ def recount(trees: DataFrame, ranks_file: str, edits: str = "edits", text: str =
 
     def carry_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(ranks)
-        for part in W.slices(batches, text, W.SLICE_BYTES // 4):
+        for part in W.slices(batches, text, W.SLICE_BYTES):
             rows = []
             for x, chars, tokens, todo in zip(*(part.column(c).to_pylist() for c in (*new, edits))):
                 tree = Tree(counter, x or "", chars, tokens)

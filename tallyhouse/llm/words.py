@@ -7,7 +7,7 @@ sums; they are used as candidates or as one half of a 128-bit key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACES = (0x20, *range(0x09, 0x0E))
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 GROUP = 1 << 16
 
 
@@ -138,8 +138,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """Hash of ``values[start:end]`` for every span, starts in order; values are 64-bit numbers.
+def span_hashes(values: np.ndarray | Callable[[int, int], np.ndarray], starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of ``values[start:end]`` for every span, starts in order; values are 64-bit numbers or a function
+    that gives a range of them.
 
     Works through the spans in groups that fit a processor's cache; a span's hash does not depend on its place.
     """
@@ -158,9 +159,14 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
     return mix(out)
 
 
-def word_hashes(t: Texts, seed: int = 1) -> np.ndarray:
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of each span of bytes."""
     table = _base(seed)[2]
-    return span_hashes(lambda low, high: table[t.data[low:high]], t.starts, t.ends, seed)
+    return span_hashes(lambda low, high: table[data[low:high]], starts, ends, seed)
+
+
+def word_hashes(t: Texts, seed: int = 1) -> np.ndarray:
+    return byte_hashes(t.data, t.starts, t.ends, seed)
 
 
 def window_hashes(hashes: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
