@@ -2,6 +2,7 @@
 
 Each stage takes the session, the rows its predecessor kept and the folder of the tables, and returns a DataFrame;
 its rows are written as Parquet before the next stage reads them. All but the last return the columns of documents.
+As a stage's rows are written by then, the next one begins by deleting the tables that it wrote for itself.
 
 1. quality classifier: rows that are predicted to be bad go.
 2. SimHash near-dedup: of each group of near copies the row with the least id stays.
@@ -15,32 +16,51 @@ No stage has SQL: the first learns its model, the others build on it. Tests comp
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import debruijn, decontaminate, lm_scoring, quality, queries, sentencepiece_scan, simhash
-from tallyhouse.sources.workspace import materialize
+from tallyhouse.sources.workspace import made_since, materialize, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.7
+_scratch: list[str] = []
 
 
+def clearing(stage: Stage) -> Stage:
+    """The stage, which first deletes what the stage before it wrote for itself."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _scratch)
+        before = len(made_since(0))
+        rows = stage(spark, docs, sf_dir)
+        _scratch[:] = made_since(before)
+        return rows
+
+    return run_stage
+
+
+@clearing
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps rows scored 0.7 or more. Rows are matched to their scores by place in a written copy, not by id, so
-    rows with a null or repeated id are judged by their own text."""
+    """Keeps rows scored 0.7 or more. A row carries its own score, so rows with a null or repeated id are judged by
+    their own text."""
     part = lm_scoring.fold("doc_id", 4)
     labels = queries.table(spark, sf_dir, "labels")
     scored = quality.scores(docs, labels, part < 2, part == 3, keep=COLUMNS)
     return scored.where(F.col("score") >= LEAST_SCORE).select(*COLUMNS)
 
 
+@clearing
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component: the one with its least id (rows with that id: the first by text)."""
     return simhash.one_of_each(docs, COLUMNS)
 
 
+@clearing
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of all texts; texts that lose words are joined by single spaces, others stay as
     they are. n_chars follows the text."""
@@ -52,12 +72,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
+@clearing
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = queries.table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs, items, keep=("doc_id", "lang", "source", "n_chars"), with_text=True)
     return found.where(~decontaminate.contaminated()).select(*COLUMNS)
 
 
+@clearing
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
     encoded = sentencepiece_scan.encode(docs, model, keep=("doc_id", "lang", "source"))
