@@ -29,6 +29,11 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"<\|(im_start|im_end)\|>", "< |$1|>")
 
 
+def header() -> Column:
+    """A message's first line, from the columns ``chat_role`` and ``name``."""
+    return F.concat(F.lit(BEGIN), "chat_role", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n"))
+
+
 def rotations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
               text: str = "text") -> DataFrame:
     """conv_id, perspective, position, turn, chat_role, name, rendered, char_start, mask_start, mask_end."""
@@ -36,29 +41,34 @@ def rotations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["conv", F.col("turn").asc_nulls_first(), "role", "text", F.monotonically_increasing_id()]
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order[:-1])
-    rows = materialize(rows.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "messages")
+    rows = rows.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("size", F.length(plain(F.col("text"))).cast("long")), "messages")
     views = rows.where(F.col("role") != SYSTEM).select(F.col("conv").alias("of"), F.col("role").alias("perspective")).distinct()
-    seen = rows.join(views, F.col("conv").eqNullSafe(F.col("of")))
+    # places and offsets need lengths alone; texts join them at the end
+    seen = rows.select("conv", "role", "part", "seq", "size").join(views, F.col("conv").eqNullSafe(F.col("of"))).drop("of")
     is_system, is_own = F.coalesce(F.col("role") == SYSTEM, F.lit(False)), F.col("role").eqNullSafe(F.col("perspective"))
     chat_role = F.when(is_system, SYSTEM).when(is_own, "assistant").otherwise("user")
     name = F.when(~is_system & ~is_own, F.regexp_replace(plain(F.coalesce("role", F.lit("unknown"))), r"\s", "_"))
-    seen = seen.withColumn("chat_role", chat_role).withColumn("name", name)
-    head = F.concat(F.lit(BEGIN), "chat_role", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n"))
-    seen = seen.withColumn("head", F.length(head)).withColumn("rendered", F.concat(head, plain(F.col("text")), F.lit(f"{CLOSE}\n")))
+    seen = seen.withColumn("chat_role", chat_role).withColumn("name", name).drop("role")
+    seen = seen.withColumn("head", F.length(header()).cast("long"))
+    seen = seen.withColumn("size", F.col("head") + F.col("size") + F.lit(len(CLOSE) + 1))
     within = Window.partitionBy("part", "conv", "perspective").orderBy("seq")
     before = within.rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length("rendered").cast("long")
     seen = seen.withColumn("at", F.row_number().over(within).cast("long")).withColumn(
-        "offset", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
-    parts = seen.groupBy("part", "conv", "perspective").agg(F.count("*").alias("n"), F.sum(size).alias("size"))
+        "offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    parts = seen.groupBy("part", "conv", "perspective").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     earlier = Window.partitionBy("conv", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("part").alias("p"), F.col("conv").alias("c"), F.col("perspective").alias("v"),
-                         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("size"))
-    parts = parts.where("n > 0")
-    out = seen.join(parts, (F.col("part") == F.col("p")) & F.col("conv").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("v")), "left")
-    start = F.col("offset") + F.coalesce("size", F.lit(0))
-    trained = F.col("chat_role") == "assistant"
+                         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"),
+                         F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("size_before")).where("n_before > 0")
+    same = (F.col("part") == F.col("p")) & F.col("conv").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("v"))
+    placed = seen.join(parts, same, "left").select(
+        "seq", "perspective", "chat_role", "name", "head", "size",
+        (F.col("at") + F.coalesce("n_before", F.lit(0))).alias("position"),
+        (F.col("offset") + F.coalesce("size_before", F.lit(0))).alias("char_start"))
+    out = rows.select("seq", "conv", "turn", "text").join(placed, "seq")
+    start, trained = F.col("char_start"), F.col("chat_role") == "assistant"
     return out.select(
-        F.col("conv").alias(conv), "perspective", (F.col("at") + F.coalesce("n", F.lit(0))).alias("position"), F.col("turn").alias(turn), "chat_role", "name",
-        "rendered", start.alias("char_start"), F.when(trained, start + F.col("head")).alias("mask_start"),
-        F.when(trained, start + F.length("rendered") - 1).alias("mask_end"))
+        F.col("conv").alias(conv), "perspective", "position", F.col("turn").alias(turn), "chat_role", "name",
+        F.concat(header(), plain(F.col("text")), F.lit(f"{CLOSE}\n")).alias("rendered"), "char_start",
+        F.when(trained, start + F.col("head")).alias("mask_start"), F.when(trained, start + F.col("size") - 1).alias("mask_end"))
