@@ -1,11 +1,13 @@
 """License scans: a trained classifier finds license paragraphs, and templates confirm what it says.
 
-Paragraphs are lines. Their one- to three-word n-grams are hashed; a multinomial logistic regression over the license
-families and ``unknown`` is trained on variants of the templates and on a bounded, documented sample of the corpus's
-own paragraphs as unknown. On examples it has not seen, a temperature is fitted to its probabilities, and the least
-probability is set at which a family is named rather than ``unknown``. Every paragraph of every text is judged. A
-named paragraph is confirmed if one of the family's templates has four fifths or more of its five-word shingles in it
-(a shorter template: its whole words in a row).
+Paragraphs are lines. Overlapping windows of 8, 16, 32 and 64 words are taken from every paragraph of every text, so
+that a notice in a long paragraph is not outvoted by the words around it. The one- to three-word n-grams of a window are
+hashed; a multinomial logistic regression over the license families and ``unknown`` is trained on variants of the
+templates, alone and between words of the corpus, and on windows of a bounded, documented sample of the corpus's own
+paragraphs as unknown. On examples it has not seen, a temperature is fitted to its probabilities, and the least
+probability is set at which a family is named rather than ``unknown``. A family that a window of a paragraph names is
+confirmed if one of its templates has four fifths or more of its five-word shingles there (a shorter template: its whole
+words in a row). A paragraph may have several families, each once.
 
 Null and empty texts have no paragraphs. Lines without a word are not counted. Rows are kept, repeated ones too; only
 the named columns are read.
@@ -64,21 +66,59 @@ ROUNDS = 80
 DECAY = 1e-4
 FALSE_ALARMS = 1e-3
 SHINGLE, SIMILAR = 5, 0.8
+#: Words of a window, and how many windows of a size begin within it: a template is whole in a window of the least size
+#: of which it takes three quarters or less.
+SIZES, STRIDES = (8, 16, 32, 64), 4
+#: Windows of a sampled paragraph that the classifier learns from, and words that are scored at once.
+DRAWS, BLOCK = 3, 1 << 16
 FOUND = "array<struct<paragraph: long, family: string, probability: double, similarity: double, confirmed: boolean>>"
 
 
-def paragraphs(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Lines with a word in them, their texts' numbers and their own numbers (from 0, such lines only)."""
-    data, offsets = W.utf8(texts)
-    begins = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
-    begins = begins[begins < len(data)]
-    ends = np.append(begins[1:], len(data))
-    lines = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(data)).astype(np.int64)), pa.py_buffer(data)) \
-        if len(begins) else pa.array([], pa.large_string())
-    word = np.concatenate([[0], np.cumsum(~W.BY_PUNCTUATION[W.LOWER[data]])])
-    some = np.flatnonzero(word[ends] > word[begins]) if len(begins) else np.zeros(0, np.int64)
-    doc = np.searchsorted(offsets[1:], begins[some], side="right")
-    return lines.take(pa.array(some)), doc, np.arange(len(doc)) - np.searchsorted(doc, doc)
+def paragraphs(texts: pa.Array) -> tuple[W.Texts, np.ndarray]:
+    """Words, and of each line with a word its first word; at the end the number of words."""
+    t = W.split(texts, W.BY_PUNCTUATION, lower=True)
+    line = np.searchsorted(np.flatnonzero(t.data == 10), t.starts)
+    begins = (np.diff(line, prepend=-1) > 0) | (np.diff(t.doc, prepend=-1) > 0)
+    return t, np.append(np.flatnonzero(begins), len(t.starts))
+
+
+def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Paragraphs, first words and ends of all windows, by first word. A paragraph of no more words than a size is one
+    window; only the least such size is taken."""
+    lengths, out = np.diff(first), []
+    for below, size in zip((0, *SIZES), SIZES):
+        of = np.flatnonzero(lengths > below)
+        slack = np.maximum(lengths[of] - size, 0)
+        n = 1 - (-slack // (size // STRIDES))
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begins = np.repeat(first[of], n) + np.minimum(k * (size // STRIDES), np.repeat(slack, n))
+        of = np.repeat(of, n)
+        out.append((of, begins, np.minimum(begins + size, first[of + 1])))
+    of, begins, ends = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(begins, kind="stable")
+    return of[order], begins[order], ends[order]
+
+
+def logits(weights: np.ndarray, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Scores for each family of the n-grams between the words ``begins`` and ``ends`` (``begins`` in order); the last
+    row of ``weights`` is the constant."""
+    out = np.repeat(weights[-1:].astype(float), len(begins), axis=0)
+    for low in range(0, len(hashes), BLOCK):
+        part = slice(*np.searchsorted(begins, [low, low + BLOCK]))
+        if part.start == part.stop:
+            continue
+        a, b = begins[part] - low, ends[part] - low
+        words = hashes[low : low + b.max()]
+        for n in range(1, GRAMS + 1):
+            ids = gram_ids(words, n)
+            sums = np.zeros((len(ids) + 1, weights.shape[1]))
+            np.cumsum(weights[ids], axis=0, dtype=float, out=sums[1:])
+            out[part] += sums[np.minimum(np.maximum(b - n + 1, a), len(ids))] - sums[np.minimum(a, len(ids))]
+    return out
+
+
+def gram_ids(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (W.window_hashes(hashes, n, seed=n) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def features(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +129,7 @@ def features(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for n in range(1, GRAMS + 1):
         if len(hashes) >= n:
             whole = t.doc[n - 1 :] == t.doc[: len(hashes) - n + 1]
-            ids.append((W.window_hashes(hashes, n, seed=n) >> np.uint64(64 - BITS)).astype(np.int32)[whole])
+            ids.append(gram_ids(hashes, n)[whole])
             of.append(t.doc[n - 1 :][whole])
     if not ids:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -98,44 +138,43 @@ def features(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids)[order], of[order]
 
 
-def logits(weights: np.ndarray, lines: pa.Array) -> np.ndarray:
-    """Scores of each line for each family; the last row of ``weights`` is the constant."""
-    ids, of = features(lines)
-    out = np.repeat(weights[-1:], len(lines), axis=0)
-    if len(ids):
-        begins = np.flatnonzero(np.diff(of, prepend=-1))
-        out[of[begins]] += np.add.reduceat(weights[ids], begins, axis=0)
-    return out
-
-
 def probabilities(scores: np.ndarray) -> np.ndarray:
     e = np.exp(scores - scores.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def variants(sample: list[str], rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
-    """Templates as they are, with words left out, and between words of the corpus."""
+def variants(fill: list[str], rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
+    """Templates as they are, with words left out, and in a window between words that follow each other in the corpus."""
     texts, kinds = [], []
-    fill = [w for s in sample[:2000] for w in s.split()[:20]] or ["text"]
     for kind, family in enumerate(TEMPLATES):
         for template in TEMPLATES[family]:
-            w = template.split()
+            w = terms(template)
+            size = next(x for x in SIZES if x - x // STRIDES >= len(w))
             for k in range(VARIANTS):
                 kept = [x for x in w if k < VARIANTS // 4 or len(w) < 6 or rng.random() > 0.1]
-                ends = [[fill[i] for i in rng.integers(0, len(fill), int(n))] for n in rng.integers(0, 12, 2) * (k % 2)]
-                texts.append(" ".join([*ends[0], *kept, *ends[1]]))
+                more = int(rng.integers(0, size - len(kept) + 1)) * (k % 2)
+                before = int(rng.integers(0, more + 1))
+                at = int(rng.integers(0, max(1, len(fill) - more)))
+                texts.append(" ".join([*fill[at : at + before], *kept, *fill[at + before : at + more]]))
                 kinds.append(kind)
     return texts, np.array(kinds)
 
 
 def train(sample: list[str]) -> tuple[np.ndarray, float, float]:
-    """Weights, temperature and least probability. ``sample``: paragraphs of the corpus, which count as unknown
-    unless they hold most of a template."""
+    """Weights, temperature and least probability. ``sample``: paragraphs of the corpus, whose windows count as unknown
+    unless they hold a good part of a template."""
     rng = np.random.default_rng(11)
-    clean = [s for s in sample if max(similarity(s, f) for f in TEMPLATES) < SIMILAR]
-    texts, kinds = variants(clean, rng)
+    clean, source = [], []
+    for i, words in enumerate(map(terms, sample)):
+        for size in rng.choice(SIZES, DRAWS) if len(words) > SIZES[0] else SIZES[:1]:
+            at = int(rng.integers(0, max(1, len(words) - size + 1)))
+            if words and max(similarity(words[at : at + size], f) for f in TEMPLATES) < SIMILAR / 2:
+                clean.append(" ".join(words[at : at + size]))
+                source.append(i)
+    texts, kinds = variants([w for c in clean for w in c.split()] or ["text"], rng)
     texts, kinds = texts + clean, np.append(kinds, np.full(len(clean), len(TEMPLATES)))
-    held = rng.random(len(texts)) < 0.25
+    # windows of one paragraph are all learned from or all held out
+    held = np.append(rng.random(len(texts) - len(clean)) < 0.25, (rng.random(len(sample)) < 0.25)[np.array(source, int)])
     lines = pa.array(texts, pa.large_string())
     learn = np.flatnonzero(~held)
     ids, of = features(lines.take(pa.array(learn)))
@@ -161,46 +200,74 @@ def train(sample: list[str]) -> tuple[np.ndarray, float, float]:
         squares[part] += gradient**2
         weights[part] -= 0.5 * gradient / np.sqrt(squares[part])
     test = np.flatnonzero(held)
-    scores = logits(weights, lines.take(pa.array(test)))
+    t = W.split(lines.take(pa.array(test)), W.BY_PUNCTUATION, lower=True)
+    first = t.first_word()
+    scores = logits(weights, W.word_hashes(t), first[:-1], first[1:])
     loss = lambda t: -np.log(np.maximum(probabilities(scores / t)[np.arange(len(test)), kinds[test]], 1e-12)).mean()
     temperature = min(np.geomspace(0.25, 8, 41), key=loss) if len(test) else 1.0
     alarms = probabilities(scores / temperature)[kinds[test] == len(TEMPLATES), :-1].max(axis=1, initial=0)
     return weights.astype(np.float32), float(temperature), float(max(0.5, np.quantile(alarms, 1 - FALSE_ALARMS) if len(alarms) else 0.5))
 
 
+def words_between(t: W.Texts, begin: int, end: int) -> list[str]:
+    return [t.data[a:b].tobytes().decode() for a, b in zip(t.starts[begin:end].tolist(), t.ends[begin:end].tolist())]
+
+
 def terms(text: str) -> list[str]:
     t = W.split(pa.array([text], pa.large_string()), W.BY_PUNCTUATION, lower=True)
-    blob = t.data.tobytes()
-    return [blob[a:b].decode() for a, b in zip(t.starts.tolist(), t.ends.tolist())]
+    return words_between(t, 0, len(t.starts))
 
 
 def shingles(words: list[str], n: int) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+    return set(zip(*(words[i:] for i in range(n))))
 
 
-def similarity(text: str, family: str) -> float:
-    """The greatest share of a template's shingles that the text has."""
-    words, best = terms(text), 0.0
-    for template in TEMPLATES[family]:
-        w = terms(template)
-        n = min(SHINGLE, len(w))
-        wanted = shingles(w, n)
-        best = max(best, len(wanted & shingles(words, n)) / len(wanted))
-    return best
+#: The shingles of each template, and how many words one has.
+WANTED = {family: [(n, shingles(w, n)) for w in map(terms, templates) for n in (min(SHINGLE, len(w)),)]
+          for family, templates in TEMPLATES.items()}
+LONGEST = max(len(terms(x)) for templates in TEMPLATES.values() for x in templates)
 
 
-def scan_texts(model: tuple[np.ndarray, float, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def similarity(words: list[str], family: str) -> float:
+    """The greatest share of a template's shingles that the words have."""
+    have = {n: shingles(words, n) for n in {n for n, _ in WANTED[family]}}
+    return max(len(wanted & have[n]) / len(wanted) for n, wanted in WANTED[family])
+
+
+def named(model: tuple[np.ndarray, float, float], t: W.Texts, first: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
+    """Paragraphs, families, greatest probabilities and similarities, in order. A window that is named is compared with
+    the templates together with as many words on either side as the longest template has; what overlaps is compared
+    as one."""
     weights, temperature, least = model
+    of, begins, ends = windows(first)
+    scores = logits(weights, W.word_hashes(t), begins, ends)
+    some = np.flatnonzero((scores[:, :-1] > scores[:, -1:]).any(axis=1))  # no others have a half for a family
+    p = probabilities(scores[some] / temperature)
+    kind = p.argmax(axis=1)
+    sure = np.flatnonzero((kind < len(TEMPLATES)) & (p.max(axis=1, initial=0) >= least))
+    some, kind, p = some[sure], kind[sure], p[sure, kind[sure]]
+    low = np.maximum(begins[some] - LONGEST, first[of[some]])
+    high = np.minimum(ends[some] + LONGEST, first[of[some] + 1])
+    found: dict[tuple[int, int], list] = {}
+    for key, chance, a, b in sorted(zip(zip(of[some].tolist(), kind.tolist()), p.tolist(), low.tolist(), high.tolist()), key=lambda x: (x[0], x[2])):
+        spans = found.setdefault(key, [0.0, []])
+        spans[0] = max(spans[0], chance)
+        if spans[1] and a <= spans[1][-1][1]:
+            spans[1][-1][1] = max(b, spans[1][-1][1])
+        else:
+            spans[1].append([a, b])
+    for (i, k), (chance, spans) in found.items():
+        yield i, k, chance, max(similarity(words_between(t, a, b), FAMILIES[k]) for a, b in spans)
+
+
+def scan_texts(model: tuple[np.ndarray, float, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in W.slices(batches):
-        lines, doc, number = paragraphs(part.column("text"))
-        p = probabilities(logits(weights, lines) / temperature)
-        kind = p.argmax(axis=1)
-        named = np.flatnonzero((kind < len(TEMPLATES)) & (p.max(axis=1) >= least)) if len(lines) else []
+        t, first = paragraphs(part.column("text"))
+        doc = t.doc[first[:-1]]
+        number = np.arange(len(doc)) - np.searchsorted(doc, doc)
         found: list[list[dict]] = [[] for _ in range(part.num_rows)]
-        for i in named:
-            family = FAMILIES[kind[i]]
-            alike = similarity(lines[int(i)].as_py(), family)
-            found[doc[i]].append({"paragraph": int(number[i]), "family": family, "probability": float(p[i, kind[i]]),
+        for i, kind, p, alike in named(model, t, first):
+            found[doc[i]].append({"paragraph": int(number[i]), "family": FAMILIES[kind], "probability": p,
                                   "similarity": alike, "confirmed": alike >= SIMILAR})
         names = [c for c in part.schema.names if c != "text"]
         kinds = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()),

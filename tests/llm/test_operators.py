@@ -70,6 +70,28 @@ def test_license_scan(spark):
             assert bool(families) == any(n in text[doc] for n in notices), doc
 
 
+def planted_notices(spark, plant) -> tuple[list[set[str]], list[str]]:
+    """Confirmed families of texts that ``plant`` makes of a template and the words of other texts, and the right ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    words = " ".join(r.text for r in docs.orderBy("doc_id").limit(100).collect()).split()
+    notices = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = [(10**6 + i, plant(t, words[1000 * (i % 10) :])) for i, (_, t) in enumerate(notices)]
+    found = licenses.scan(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id >= 1000000").collect()
+    return [{x.family for x in r.found if x.confirmed} for r in sorted(found)], [f for f, _ in notices]
+
+
+@pytest.mark.parametrize("n", [25, 100, 1000])
+def test_license_amid_a_long_line(spark, n):
+    got, names = planted_notices(spark, lambda t, words: " ".join([*words[: n // 2], t, *words[n // 2 : n]]))
+    assert np.mean([f in g for f, g in zip(names, got)]) > 0.95
+
+
+def test_licenses_of_one_line(spark):
+    """A line may have several."""
+    got, names = planted_notices(spark, lambda t, words: " ".join([*words[:200], t, *words[200:400], "Released under the MIT License.", *words[400:500]]))
+    assert np.mean([{f, "MIT"} <= g for f, g in zip(names, got)]) > 0.95
+
+
 def test_quality_on_held_out_rows(spark):
     got = queries.op5_quality_classifier(spark, SMALL)
     rows = got.join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").where("held_out").toPandas()
