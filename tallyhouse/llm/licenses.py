@@ -1,21 +1,23 @@
 """License scans: a trained classifier finds license paragraphs, and templates confirm what it says.
 
-Paragraphs are lines. Overlapping windows of 8, 16, 32 and 64 words are taken from every paragraph of every text, so
-that a notice in a long paragraph is not outvoted by the words around it. The one- to three-word n-grams of a window are
-hashed; a multinomial logistic regression over the license families and ``unknown`` is trained on variants of the
-templates, alone and between words of the corpus, and on windows of a bounded, documented sample of the corpus's own
-paragraphs as unknown. On examples it has not seen, a temperature is fitted to its probabilities, and the least
-probability is set at which a family is named rather than ``unknown``. A family that a window of a paragraph names is
-confirmed if one of its templates has four fifths or more of its five-word shingles there (a shorter template: its whole
-words in a row). A paragraph may have several families, each once.
-
-Null and empty texts have no paragraphs. Lines without a word are not counted. Rows are kept, repeated ones too; only
-the named columns are read.
+Paragraphs are runs of lines with a word in them: a line without one ends a paragraph. Line breaks, punctuation and
+comment marks (signs; ``dnl`` and ``rem`` at a line's beginning) only separate words, so notices may be wrapped and
+stand in comments. Overlapping windows of 8, 16, 32 and 64 words are taken from every paragraph of every text, so that a
+notice in a long paragraph is not outvoted by the words around it. The one- to three-word n-grams of a window are hashed;
+a multinomial logistic regression over the license families and ``unknown`` is trained on variants of the templates,
+alone and between words of the corpus, and on windows of a bounded, documented sample of the corpus's own paragraphs as
+unknown. On examples it has not seen, a temperature is fitted to its probabilities, and the least probability is set at
+which a family is named rather than ``unknown`` (low enough for 99 of 100 variants). A family that a window of a
+paragraph names is confirmed if one of its templates has four fifths or more of its five-word shingles there (a shorter
+template: its whole words in a row). A paragraph may have several families, each once.
+
+Null and empty texts have no paragraphs. Rows are kept, repeated ones too; only the named columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +66,14 @@ SAMPLE = 3_000
 VARIANTS = 40
 ROUNDS = 80
 DECAY = 1e-4
-FALSE_ALARMS = 1e-3
+#: Shares of unseen windows that give the least probability: unknown ones that are named, variants that are not; the
+#: second goes first, since templates confirm what is named.
+FALSE_ALARMS, MISSES = 1e-3, 1e-2
 SHINGLE, SIMILAR = 5, 0.8
+#: Words that begin a comment line where signs do not.
+MARKS = (b"dnl", b"rem")
+#: What separates paragraphs where the sample is taken (comment words are not looked at).
+GAP = r"\n[^a-zA-Z0-9\x{80}-\x{10FFFF}]*\n"
 #: Words of a window, and how many windows of a size begin within it: a template is whole in a window of the least size
 #: of which it takes three quarters or less.
 SIZES, STRIDES = (8, 16, 32, 64), 4
@@ -75,10 +83,18 @@ FOUND = "array<struct<paragraph: long, family: string, probability: double, simi
 
 
 def paragraphs(texts: pa.Array) -> tuple[W.Texts, np.ndarray]:
-    """Words, and of each line with a word its first word; at the end the number of words."""
+    """Words but for comment words, and of each paragraph its first word; at the end the number of words."""
     t = W.split(texts, W.BY_PUNCTUATION, lower=True)
-    line = np.searchsorted(np.flatnonzero(t.data == 10), t.starts)
-    begins = (np.diff(line, prepend=-1) > 0) | (np.diff(t.doc, prepend=-1) > 0)
+    breaks = np.flatnonzero(t.data == 10)
+    line = np.searchsorted(breaks, t.starts)
+    mark = (np.diff(line, prepend=-1) > 0) | (np.diff(t.doc, prepend=-1) > 0)
+    short = np.flatnonzero(mark & (t.ends - t.starts == 3))
+    three = t.data[t.starts[short][:, None] + np.arange(3)]
+    mark[:] = False
+    mark[short] = np.isin(np.ascontiguousarray(three).view("S3").ravel(), MARKS)
+    t = replace(t, starts=t.starts[~mark], ends=t.ends[~mark], doc=t.doc[~mark])
+    line = line[~mark]
+    begins = (np.diff(line, prepend=-2) > 1) | (np.diff(t.doc, prepend=-1) > 0)
     return t, np.append(np.flatnonzero(begins), len(t.starts))
 
 
@@ -162,13 +178,14 @@ def variants(fill: list[str], rng: np.random.Generator) -> tuple[list[str], np.n
 
 def train(sample: list[str]) -> tuple[np.ndarray, float, float]:
     """Weights, temperature and least probability. ``sample``: paragraphs of the corpus, whose windows count as unknown
-    unless they hold a good part of a template."""
+    unless they, with four words on either side, share a shingle with a template."""
     rng = np.random.default_rng(11)
     clean, source = [], []
     for i, words in enumerate(map(terms, sample)):
         for size in rng.choice(SIZES, DRAWS) if len(words) > SIZES[0] else SIZES[:1]:
             at = int(rng.integers(0, max(1, len(words) - size + 1)))
-            if words and max(similarity(words[at : at + size], f) for f in TEMPLATES) < SIMILAR / 2:
+            near = words[max(0, at - SHINGLE + 1) : at + size + SHINGLE - 1]
+            if words and not any(similarity(near, f) for f in TEMPLATES):
                 clean.append(" ".join(words[at : at + size]))
                 source.append(i)
     texts, kinds = variants([w for c in clean for w in c.split()] or ["text"], rng)
@@ -205,8 +222,11 @@ def train(sample: list[str]) -> tuple[np.ndarray, float, float]:
     scores = logits(weights, W.word_hashes(t), first[:-1], first[1:])
     loss = lambda t: -np.log(np.maximum(probabilities(scores / t)[np.arange(len(test)), kinds[test]], 1e-12)).mean()
     temperature = min(np.geomspace(0.25, 8, 41), key=loss) if len(test) else 1.0
-    alarms = probabilities(scores / temperature)[kinds[test] == len(TEMPLATES), :-1].max(axis=1, initial=0)
-    return weights.astype(np.float32), float(temperature), float(max(0.5, np.quantile(alarms, 1 - FALSE_ALARMS) if len(alarms) else 0.5))
+    p, unknown = probabilities(scores / temperature), kinds[test] == len(TEMPLATES)
+    least = np.quantile(p[unknown, :-1].max(axis=1), 1 - FALSE_ALARMS) if unknown.any() else 0.5
+    if not unknown.all():
+        least = min(least, np.quantile(p[~unknown, kinds[test][~unknown]], MISSES))
+    return weights.astype(np.float32), float(temperature), float(max(0.5, least))
 
 
 def words_between(t: W.Texts, begin: int, end: int) -> list[str]:
@@ -280,11 +300,12 @@ def scan_texts(model: tuple[np.ndarray, float, float], batches: Iterator[pa.Reco
 def sampled(docs: DataFrame, most: int = SAMPLE) -> list[str]:
     """At most ``most`` different paragraphs, the least by hash, so that the choice does not depend on the layout.
 
-    The number of lines gives a hash below which about twice as many lie; only those are sorted.
+    The number of paragraphs gives a hash below which about twice as many lie; only those are sorted.
     """
-    n = docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
+    parts = F.split("text", GAP)
+    n = docs.agg(F.sum(F.size(parts))).first()[0] or 0
     below = min((2 * most << 63) // max(1, n), 2**63 - 1)
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("h"), "line")
+    lines = docs.select(F.explode(parts).alias("line")).select(F.xxhash64("line").alias("h"), "line")
     lines = lines.where(F.expr(f"(h & 9223372036854775807L) <= {below}L") & F.col("line").rlike("[A-Za-z0-9]"))
     few = lines.select("h", F.substring("line", 1, 2000).alias("line")).distinct().orderBy("h", "line").limit(most)
     return [r["line"] for r in few.collect()]

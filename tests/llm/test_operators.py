@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import textwrap
+
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -92,6 +95,22 @@ def test_licenses_of_one_line(spark):
     assert np.mean([{f, "MIT"} <= g for f, g in zip(names, got)]) > 0.95
 
 
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "dnl "])
+@pytest.mark.parametrize("width", [40, 76])
+def test_wrapped_license(spark, width, mark):
+    got, names = planted_notices(spark, lambda t, words: "\n".join(
+        [" ".join(words[:30]), *(mark + x for x in textwrap.wrap(t, width)), " ".join(words[30:60])]))
+    assert np.mean([f in g for f, g in zip(names, got)]) > 0.95
+
+
+def test_license_paragraphs():
+    """Lines without a word cut, with comment marks or not; other line breaks do not."""
+    texts = ["a b\nc\n\nd", "", "x", "\n\nx\n \n# \n\ny\n", None, "# a\n#\n# b\ndnl\ndnl c", "rem\n", "/* a\r\n * b\r\n\r\n c */"]
+    t, first = licenses.paragraphs(pa.array(texts))
+    got = [(int(t.doc[a]), " ".join(licenses.words_between(t, a, b))) for a, b in zip(first[:-1], first[1:])]
+    assert got == [(0, "a b c"), (0, "d"), (2, "x"), (3, "x"), (3, "y"), (5, "a"), (5, "b"), (5, "c"), (7, "a b"), (7, "c")]
+
+
 def test_quality_on_held_out_rows(spark):
     got = queries.op5_quality_classifier(spark, SMALL)
     rows = got.join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").where("held_out").toPandas()
