@@ -14,7 +14,7 @@ from tallyhouse.plans.views import view
 from tallyhouse.sources.tables import table
 from tallyhouse.sources.workspace import new_folder
 from tallyhouse.streaming.activity import stream_segments, stream_sessions
-from tallyhouse.streaming.context import stream_context
+from tallyhouse.streaming.context import held_turns, stream_context
 from tallyhouse.streaming.ingest import drain_to_parquet, drop_repeats, ingest, read_new_files
 
 HOUR = 3600 * SECOND
@@ -106,7 +106,8 @@ def _(spark, root):
         asked.where(F.least(F.col("turn") / 2, F.lit(2)).cast("int") == part).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(path)
     found = stream_context(stream, s.CATEGORIES, s.WORDS)
-    return drain_to_parquet(found, new_folder(spark, "context"), new_folder(spark, "context-state"))
+    state = new_folder(spark, "context-state")
+    return drain_to_parquet(found, new_folder(spark, "context"), state).unionByName(held_turns(spark, state))
 
 
 _LEVEL = """CASE WHEN rating > 0 AND rating <= 4.0 THEN 'Poor' WHEN rating > 4.0 AND rating <= 4.3 THEN 'Average'

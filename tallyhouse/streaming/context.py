@@ -6,57 +6,88 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import SparkRuntimeException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyhouse.operators.context import mentions
 
 OUTPUT = "conv_id long, turn long, route string, category string, location string, words long"
 STATE = "category string, location string, words long, next long, held string"
+COLUMNS = ["conv_id", "turn", "route", "category", "location", "words"]
 MENTIONED = ["conv_id", "turn", "route", "own_category", "own_location", "own_words", "by_wording", "by_length"]
 
 
+def fold(conv_id: int, rows: list, state: tuple, to_end: bool) -> tuple[list[tuple], tuple]:
+    """Rows of the turns that follow the state's, in order, and the new state without the turns that still wait.
+    ``to_end``: a gap holds nothing back."""
+    category, location, words, following, _ = state
+    rows = sorted(rows, key=lambda r: r[0])
+    out = []
+    for turn, route, own_category, own_location, own_words, by_wording, by_length in rows:
+        if turn > following and not to_end:
+            break
+        following = max(following, turn + 1)
+        if route == "data":
+            if not (by_wording or by_length):
+                category, location, words = None, None, 0
+            category = category if own_category is None else own_category
+            location = location if own_location is None else own_location
+            words |= int(own_words)
+        out.append((conv_id, turn, route, category, location or None, words))
+    return out, (category, location, words, int(following), json.dumps(rows[len(out):]))
+
+
 def folder(idle_ms: int | None, first_turn: int = 0):
     """Per-conversation step. A turn waits until all before it are there, so the order of arrival does not matter;
     after ``idle_ms`` without news, turns behind a gap are folded in order and the state is dropped."""
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        category, location, words, following, held = state.get if state.exists else (None, None, 0, first_turn, "[]")
-        rows = json.loads(held)
+        before = state.get if state.exists else (None, None, 0, first_turn, "[]")
+        rows = json.loads(before[-1])
         if not state.hasTimedOut:
             for part in batches:
                 rows += part[MENTIONED[1:]].astype(object).where(part[MENTIONED[1:]].notna(), None).values.tolist()
-        rows.sort(key=lambda r: r[0])
-        out, taken = [], 0
-        for turn, route, own_category, own_location, own_words, by_wording, by_length in rows:
-            if turn > following and not state.hasTimedOut:
-                break
-            taken, following = taken + 1, max(following, turn + 1)
-            if route == "data":
-                if not (by_wording or by_length):
-                    category, location, words = None, None, 0
-                category = category if own_category is None else own_category
-                location = location if own_location is None else own_location
-                words |= int(own_words)
-            out.append((key[0], turn, route, category, location or None, words))
+        out, after = fold(key[0], rows, before, state.hasTimedOut)
         if state.hasTimedOut:
             state.remove()
         else:
-            state.update((category, location, words, int(following), json.dumps(rows[taken:])))
+            state.update(after)
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "route", "category", "location", "words"])
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     return advance
 
 
+def held_turns(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The turns that wait behind a gap after a bounded run of ``stream_context``, folded in order as if no more came.
+    The checkpoint stays as it is: what comes later still fills the gap, and then the stream's own rows replace these."""
+    try:
+        state = spark.read.format("statestore").load(checkpoint)
+    except SparkRuntimeException as e:
+        if e.getCondition() != "STDS_COMMITTED_BATCH_UNAVAILABLE":  # a run without input
+            raise
+        return spark.createDataFrame([], OUTPUT)
+
+    def flush(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            out = []
+            for conv_id, category, location, words, following, held in part.astype(object).where(part.notna(), None).values.tolist():
+                out += fold(conv_id, json.loads(held), (category, location, words, following, held), True)[0]
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    return state.select("key.conv_id", "value.groupState.*").where("held <> '[]'").mapInPandas(flush, OUTPUT)
+
+
 def stream_context(questions: DataFrame, categories: dict[str, str], words: list[str],
                    idle_ms: int | None = None, first_turn: int = 0) -> DataFrame:
     """Streaming form of ``carry_context`` for turns numbered one by one from ``first_turn``.
 
     Set ``idle_ms`` for a query that runs for ever, so that conversations which
     ended are forgotten. A run over what is available now must leave it unset:
-    a processing-time timeout keeps asking for another batch.
+    a processing-time timeout keeps asking for another batch. ``held_turns``
+    gives what waits behind a gap when such a run has ended.
 
     The text is read by native expressions. Python only folds the small
     results of one conversation's new turns; ``maxFilesPerTrigger`` on the

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import questions as q
 from tallyhouse.functions import vocab
 from tallyhouse.operators import context as ctx
-from tallyhouse.streaming.context import stream_context
+from tallyhouse.streaming.context import held_turns, stream_context
 from tallyhouse.streaming.ingest import drain_to_parquet
 from tallyhouse.sources.workspace import new_folder
 
@@ -111,3 +111,26 @@ def test_stream_in_several_batches(spark, parts):
     cols = ["conv_id", "turn", "route", "category", "location", "words"]
     want = ctx.carry_context(asked, vocab.CATEGORY_WORDS, WORDS).select(*cols)
     assert sorted(map(str, out.select(*cols).collect())) == sorted(map(str, want.collect()))
+
+
+def test_stream_with_gaps(spark):
+    """Conversations without their first turn or one within: no turn is lost, and a gap may be filled later."""
+    asked = questions(spark, 9)
+    late = "(conv_id % 3 = 0 AND turn = 0) OR (conv_id % 3 = 1 AND turn IN (2, 3))"
+    landing, target, state = (new_folder(spark, x) for x in ("gap-questions", "gap-context", "gap-state"))
+    cols = ["conv_id", "turn", "route", "category", "location", "words"]
+    for part, given in ((f"NOT ({late})", asked.where(f"NOT ({late})")), (late, asked)):
+        asked.where(part).coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(asked.schema).parquet(landing)
+        out = drain_to_parquet(stream_context(stream, vocab.CATEGORY_WORDS, WORDS), target, state).unionByName(held_turns(spark, state))
+        want = ctx.carry_context(given, vocab.CATEGORY_WORDS, WORDS).select(*cols)
+        assert sorted(map(str, out.select(*cols).collect())) == sorted(map(str, want.collect()))
+    assert not held_turns(spark, state).count()
+
+
+def test_stream_without_files(spark, tmp_path):
+    asked = questions(spark, 1)
+    state = new_folder(spark, "no-state")
+    stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path))
+    out = drain_to_parquet(stream_context(stream, vocab.CATEGORY_WORDS, WORDS), new_folder(spark, "no-context"), state)
+    assert out.unionByName(held_turns(spark, state)).count() == 0
