@@ -132,7 +132,9 @@ def _(spark, root):
 
 @query("index_count", "SELECT count(*) AS n_vectors FROM embeddings")
 def _(spark, root):
-    return sinks.index_count(spark, f"{root}/embeddings.parquet")
+    path = new_folder(spark, "index")
+    sinks.rebuild_index(table(spark, root, "embeddings"), path)
+    return sinks.index_count(spark, path)
 
 
 @query("retention_archive", """

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.vocab import BREAKDOWN_ORDER, RAW_COLUMNS
 from tallyhouse.operators import stats
+from tallyhouse.plans import source_queries  # noqa: F401
+from tallyhouse.plans.registry import QUERIES
 from tallyhouse.sources import listings as src
 from tallyhouse.sources import pages as pg
 from tallyhouse.sources import sinks
@@ -149,3 +151,12 @@ def test_ingest_picks_up_only_new_files(spark):
         ingest(read_new_files(spark, landing, archive), target, state).awaitTermination()
     got = sorted((r["batch"], r["asin"], r["price"]) for r in spark.read.parquet(target).collect())
     assert got == [(0, "$10", 10.0), (0, "$10x", 10.0), (1, "$30", 30.0), (1, "$30x", 30.0)]
+
+
+def test_index_count_reads_what_was_built(spark, monkeypatch):
+    built, counted = [], []
+    rebuild, count = sinks.rebuild_index, sinks.index_count
+    monkeypatch.setattr(sinks, "rebuild_index", lambda df, path: built.append((path, rebuild(df, path))) or built[-1][1])
+    monkeypatch.setattr(sinks, "index_count", lambda s, path: counted.append(path) or count(s, path))
+    got = QUERIES["index_count"](spark, "/root/testdata/sf0.001").first()["n_vectors"]
+    assert [(path, got) for path in counted] == built
