@@ -2,7 +2,8 @@
 
 Each stage takes the session, the rows its predecessor kept and the folder of the tables, and returns a DataFrame;
 its rows are written as Parquet before the next stage reads them. All but the last return the columns of documents.
-As a stage's rows are written by then, the next one begins by deleting the tables that it wrote for itself.
+As a stage's rows are written by then, the next one begins by deleting the tables that it wrote for itself; ``run``
+deletes the last one's. What belongs together is told by thread and folder of tables.
 
 1. quality classifier: rows that are predicted to be bad go.
 2. SimHash near-dedup: of each group of near copies the row with the least id stays.
@@ -17,28 +18,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import debruijn, decontaminate, lm_scoring, quality, queries, sentencepiece_scan, simhash
-from tallyhouse.sources.workspace import made_since, materialize, release
+from tallyhouse.sources.workspace import made, materialize, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.7
-_scratch: list[str] = []
+#: Scratch folders of the latest stage, for each thread and folder of tables.
+_scratch: dict[tuple[int, str], list[str]] = {}
+
+
+def clear(spark: SparkSession, sf_dir: str) -> None:
+    """Delete what the latest stage over ``sf_dir`` in this thread wrote for itself."""
+    release(spark, _scratch.pop((get_ident(), sf_dir), []))
 
 
 def clearing(stage: Stage) -> Stage:
-    """The stage, which first deletes what the stage before it wrote for itself."""
+    """The stage, which first deletes what the stage before it wrote for itself. Pipelines over other tables or in other
+    threads keep theirs."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _scratch)
-        before = len(made_since(0))
+        clear(spark, sf_dir)
+        before = set(made())
         rows = stage(spark, docs, sf_dir)
-        _scratch[:] = made_since(before)
+        _scratch[get_ident(), sf_dir] = [f for f in made() if f not in before]
         return rows
 
     return run_stage
@@ -102,4 +111,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         rows = materialize(stage(spark, rows, sf_dir), name.replace(" ", "_"))
+    clear(spark, sf_dir)
     return rows

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_root: dict[str, str] = {}
 _made: list[str] = []
+_tables: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,9 +35,9 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
-def made_since(count: int) -> list[str]:
-    """Folders given out by this process after the first ``count``."""
-    return _made[count:]
+def made() -> list[str]:
+    """Folders given out by this process and not released."""
+    return list(_made)
 
 
 def release(spark: SparkSession, folders: list[str]) -> None:
@@ -44,6 +45,19 @@ def release(spark: SparkSession, folders: list[str]) -> None:
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(folder)}")
+    gone = set(folders)
+    _made[:] = [f for f in _made if f not in gone]
+
+
+def save_bucketed(df: DataFrame, label: str, n: int, column: str) -> DataFrame:
+    """Write ``df`` to the shared folder as a table in ``n`` buckets of ``column``, so that joins and groupings on it
+    move no rows. ``release`` takes its name out of the catalogue, too."""
+    folder, name = new_folder(df.sparkSession, label), f"{label}_{uuid.uuid4().hex}"
+    _tables[folder] = name
+    df.write.bucketBy(n, column).option("path", folder).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
