@@ -2,13 +2,17 @@
 
 Documents are written once as a table bucketed by ``block``, a few megabytes of text each, so that later joins on
 ``block`` move no text. A block asks about its distinct 64-bit keys: sorted, cut by key range into one cell per
-``bucket``, and shuffled by bucket as packed arrays. A bucket merges the cells of all blocks and answers each in
+``bucket``, and shuffled by bucket as packed arrays. A bucket merges the cells of its askers and answers each in
 the same order, so answers need no keys. A key is at most once in a block, hence no key is hot, however frequent.
+
+A bucket merges at most about ``FAN`` cells, and a block writes at most ``FAN``. With more blocks than that, the blocks
+are dealt into groups; a group's merged cells ask on, cut into finer ranges, and its answers are handed back to its
+blocks. So cells grow in proportion to the corpus, a group's memory does not grow, and a thousand times the blocks take
+one more level.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,23 +23,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.sources.workspace import new_folder
+from tallyhouse.sources.workspace import materialize, save_bucketed
 
 BLOCK_BYTES = 4 << 20
+FAN = 1024
+MOST_FILES = 8192
 CELLS = "block long, bucket long, n long, keys binary, counts binary"
 REPLIES = "block long, bucket long, n long, reply binary"
 
 
 @dataclass
 class Blocks:
+    """``n``: about how many blocks there are."""
+
     df: DataFrame
     n: int
 
+    def ranges(self, fan: int = FAN) -> int:
+        """Into how many key ranges a block cuts what it asks."""
+        return min(self.n, fan)
+
+
+@dataclass(frozen=True)
+class Question:
+    """``merge(counts, at)`` reduces columns of counts to one column for each key, whose entries begin at ``at``; as
+    groups merge what groups have merged, it must be associative. ``reply(keys, counts)`` turns merged columns into
+    answers, uint64 rows of which the first asker alone gets the lowest bits, or into a mask of the keys to keep."""
+
+    merge: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    reply: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
 def write_blocks(docs: DataFrame, label: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> Blocks:
     """Write ``docs`` with columns ``block`` and ``row`` (together unique); a block is part of one input partition and
     holds about ``block_bytes`` of text, or one longer text."""
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     schema = T.StructType([*docs.schema.fields, T.StructField("block", T.LongType()), T.StructField("row", T.LongType())])
@@ -55,10 +76,7 @@ def write_blocks(docs: DataFrame, label: str, text: str = "text", block_bytes: i
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(block + part), row], [*batch.schema.names, "block", "row"])
 
-    name = f"blocks_{label}_{uuid.uuid4().hex}"
-    (docs.mapInArrow(number, schema).write.bucketBy(n, "block").option("path", new_folder(spark, label))
-     .saveAsTable(name))
-    return Blocks(spark.table(name), n)
+    return Blocks(save_bucketed(docs.mapInArrow(number, schema), label, min(n, MOST_FILES), "block"), n)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -91,45 +109,75 @@ def cells(block: int, keys: np.ndarray, counts: np.ndarray, n: int) -> pa.Table:
     })
 
 
-def answer(requests: DataFrame, reply: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Merge the cells of each bucket. ``reply`` gets all keys in order, repeats included, with their columns of
-    counts, and returns a uint64 array of rows of answers, one column for each key."""
+def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and counts of all cells, and how many keys each has."""
+    sizes = table["n"].to_numpy()
+    keys = np.concatenate([np.cumsum(unplanes(x), dtype=np.uint64) for x in table["keys"].to_pylist()])
+    counts = [unplanes(x).reshape(-1, s) for x, s in zip(table["counts"].to_pylist(), sizes)]
+    return keys, np.concatenate(counts, axis=1), sizes
 
-    def merge(table: pa.Table) -> pa.Table:
-        sizes = table["n"].to_numpy()
-        total = int(sizes.sum())
-        keys = np.concatenate([np.cumsum(unplanes(x), dtype=np.uint64) for x in table["keys"].to_pylist()])
-        counts = np.concatenate(
-            [unplanes(x).reshape(-1, s) for x, s in zip(table["counts"].to_pylist(), sizes)], axis=1)
-        order = order_of(keys)
-        sorted_out = reply(keys[order], counts[:, order])
-        out = np.empty((len(sorted_out), total), np.uint64)
-        out[:, order] = sorted_out
-        ends = np.cumsum(sizes)
+
+def deal(table: pa.Table, keys: np.ndarray, sizes: np.ndarray, order: np.ndarray, answers: np.ndarray) -> pa.Table:
+    """Each cell's part of the answers to the distinct keys; ``order`` sorts the cells' keys."""
+    at, key = runs(keys[order])
+    ends = np.cumsum(sizes)
+    if answers.dtype == bool:
+        kept = np.empty(len(keys), bool)
+        kept[order] = answers[key]
+        parts = [k[m] for k, m in zip(np.split(keys, ends[:-1]), np.split(kept, ends[:-1]))]
+        n, packed = [len(p) for p in parts], [planes(np.diff(p, prepend=np.uint64(0))) for p in parts]
+    else:
+        spread = answers[:, key]
+        later = np.ones(len(key), bool)
+        later[at] = False
+        spread[:, later] &= ~np.uint64(1)
+        out = np.empty_like(spread)
+        out[:, order] = spread
+        n = sizes
         packed = [planes(np.ascontiguousarray(out[:, e - s : e]).ravel()) for s, e in zip(sizes.tolist(), ends.tolist())]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "n": table["n"],
-                         "reply": pa.array(packed, pa.binary())})
+    rows = pa.table({"block": table["block"], "bucket": table["bucket"], "n": pa.array(n, pa.int64()),
+                     "reply": pa.array(packed, pa.binary())})
+    return rows.filter(pc.greater(rows["n"], 0))
 
-    return requests.groupBy("bucket").applyInArrow(lambda cells: merge(cells), REPLIES)
 
+def lookup(requests: DataFrame, question: Question, blocks: Blocks, fan: int = FAN) -> DataFrame:
+    """Answers for each block and bucket; where the question's reply is a mask, the keys that it keeps."""
+    slots = -(-blocks.n // fan)
+    return solve(requests.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots))), question, blocks.ranges(fan), slots, fan)
 
-def select(requests: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """As ``answer``, for questions of yes or no: ``keep`` returns a mask, and a reply lists the keys it kept."""
 
-    def merge(table: pa.Table) -> pa.Table:
-        keys = [np.cumsum(unplanes(x), dtype=np.uint64) for x in table["keys"].to_pylist()]
-        counts = [unplanes(x).reshape(-1, len(k)) for x, k in zip(table["counts"].to_pylist(), keys)]
-        ends = np.cumsum([len(k) for k in keys])
-        keys, counts = np.concatenate(keys), np.concatenate(counts, axis=1)
-        order = order_of(keys)
-        kept = np.empty(len(keys), bool)
-        kept[order] = keep(keys[order], counts[:, order])
-        parts = [k[m] for k, m in zip(np.split(keys, ends[:-1]), np.split(kept, ends[:-1]))]
-        return pa.table({
-            "block": table["block"], "bucket": table["bucket"], "n": pa.array([len(p) for p in parts], pa.int64()),
-            "reply": pa.array([planes(np.diff(p, prepend=np.uint64(0))) for p in parts], pa.binary())})
+def solve(requests: DataFrame, q: Question, ranges: int, slots: int, fan: int) -> DataFrame:
+    """``slot`` numbers the groups of askers from 0 to ``slots`` - 1."""
 
-    return requests.groupBy("bucket").applyInArrow(lambda cells: merge(cells), REPLIES).where("n > 0")
+    def merged(table: pa.Table) -> tuple[np.ndarray, ...]:
+        keys, counts, sizes = unpack(table)
+        order = order_of(keys)
+        at, _ = runs(keys[order])
+        return keys, sizes, order, at, q.merge(counts[:, order], at)
+
+    def settle(table: pa.Table) -> pa.Table:
+        keys, sizes, order, at, counts = merged(table)
+        return deal(table, keys, sizes, order, q.reply(keys[order][at], counts))
+
+    def ask_on(table: pa.Table) -> pa.Table:
+        keys, _, order, at, counts = merged(table)
+        return cells(table["bucket"][0].as_py() * slots + table["slot"][0].as_py(), keys[order][at], counts, ranges * fan)
+
+    def hand_back(table: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, sizes, order, at, counts = merged(table)
+        distinct_keys = keys[order][at]
+        mask = q.reply(distinct_keys[:0], counts[:, :0]).dtype == bool
+        got = among(distinct_keys, kept_keys(answers)) if mask else replies(answers)
+        return deal(table, keys, sizes, order, got)
+
+    if slots == 1:
+        return requests.groupBy("bucket").applyInArrow(lambda t: settle(t), REPLIES)
+    requests = materialize(requests, "cells")
+    onward = requests.groupBy("bucket", "slot").applyInArrow(lambda t: ask_on(t), CELLS)
+    onward = onward.withColumn("slot", F.floor(F.pmod("block", F.lit(slots)) / fan))
+    answers = solve(onward, q, ranges * fan, -(-slots // fan), fan).withColumnRenamed("block", "asker")
+    askers = requests.withColumn("asker", F.col("bucket") * slots + F.col("slot"))
+    return askers.groupBy("asker").cogroup(answers.groupBy("asker")).applyInArrow(lambda t, a: hand_back(t, a), REPLIES)
 
 
 def kept_keys(table: pa.Table) -> np.ndarray:

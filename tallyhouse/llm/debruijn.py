@@ -63,9 +63,7 @@ def ask_seeds(n: int, k: int, m: int, table: pa.Table) -> pa.Table:
     return B.cells(table["block"][0].as_py(), keys, counts, n)
 
 
-def twice(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    at, key = B.runs(keys)
-    return (np.add.reduceat(counts[0], at) >= 2)[key]
+TWICE = B.Question(lambda counts, at: np.add.reduceat(counts, at, axis=1), lambda keys, counts: counts[0] >= 2)
 
 
 def ask_edges(n: int, k: int, m: int, table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -93,21 +91,22 @@ def walk(k: int, t: W.Texts, answers: pa.Table) -> tuple[np.ndarray, ...]:
     return edge, repeats, node, way, before | after
 
 
+def one_way(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The way that all agree on, or 0."""
+    low, high = np.minimum.reduceat(counts, at, axis=1), np.maximum.reduceat(counts, at, axis=1)
+    return np.where(low == high, low, 0).astype(np.uint64)
+
+
+BRANCHING = B.Question(one_way, lambda keys, counts: counts[0] == 0)
+
+
 def ask_nodes(n: int, k: int, table: pa.Table, answers: pa.Table) -> pa.Table:
     _, _, node, way, used = walk(k, W.split(table["text"]), answers)
     order = B.order_of(node[used])
     node, way = node[used][order], way[used][order]
     at, _ = B.runs(node)
-    if len(at):
-        low, high = np.minimum.reduceat(way, at), np.maximum.reduceat(way, at)
-        way = np.where(low == high, low, 0)
-    return B.cells(table["block"][0].as_py(), node[at], way[None, :].reshape(1, -1), n)
-
-
-def branching(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    at, key = B.runs(keys)
-    low, high = np.minimum.reduceat(counts[0], at), np.maximum.reduceat(counts[0], at)
-    return ((low != high) | (low == 0))[key]
+    ways = one_way(way[None], at) if len(at) else way[None]
+    return B.cells(table["block"][0].as_py(), node[at], ways, n)
 
 
 def cut(k: int, table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -171,15 +170,15 @@ def unitigs(paths: DataFrame) -> DataFrame:
 def repeated_spans(table: B.Blocks, k: int = K, m: int = SEED_WORDS) -> DataFrame:
     """Spans of ``k`` words or more whose every window occurs elsewhere: block, row, start (word number), n_words,
     unitig, and n_copies, how often the piece occurs over all documents. Spans of one text may touch and overlap."""
-    n, m = table.n, min(m, k)
+    n, m = table.ranges(), min(m, k)
     texts = table.df.groupBy("block")
-    seed = B.select(texts.applyInArrow(lambda t: ask_seeds(n, k, m, t), B.CELLS), twice)
+    seed = B.lookup(texts.applyInArrow(lambda t: ask_seeds(n, k, m, t), B.CELLS), TWICE, table)
     edges = table.df.groupBy("block").cogroup(seed.groupBy("block")).applyInArrow(
         lambda t, a: ask_edges(n, k, m, t, a), B.CELLS)
-    edges = materialize(B.select(edges, twice), "repeated_edges")
+    edges = materialize(B.lookup(edges, TWICE, table), "repeated_edges")
     nodes = table.df.groupBy("block").cogroup(edges.groupBy("block")).applyInArrow(
         lambda t, a: ask_nodes(n, k, t, a), B.CELLS)
-    nodes = B.select(nodes, branching)
+    nodes = B.lookup(nodes, BRANCHING, table)
     known = edges.withColumn("kind", F.lit(0)).unionByName(nodes.withColumn("kind", F.lit(1)))
     pieces = materialize(table.df.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         lambda t, a: cut(k, t, a), PIECES), "pieces")

@@ -1,14 +1,17 @@
-"""Deleted interpolation: a bigram language model whose mixture weights depend on how often the context was seen.
+"""Deleted interpolation: an n-gram language model whose mixture weights depend on how often the context was seen.
 
-``P(w | h) = a2(b) c(h w) / c(h) + a1(b) c(w) / N + a0(b) / (V + 1)``, ``b`` the bucket of c(h) by powers of two.
-Counts come from the training documents. For the weights, the tuning part of the training documents is deleted
-from the counts, and expectation-maximisation runs on its tokens; the final model uses all training documents.
+``P(w | h) = sum over m of a_m(b) c(h_m w) / c(h_m) + a_0(b) / (V + 1)``, with h_m the m-1 words before w for m from the
+order down to 1 (c(w) / N). ``b`` is the bucket of the context: the longest h_m that was seen, and the power of two of
+its count. Counts come from the training documents. For the weights, the tuning part of the training documents is
+deleted from the counts, and expectation-maximisation runs on its tokens; the final model uses all training documents.
 
 Counting and lookup go through ``blocks``: the distinct n-grams of a block travel once, the answers travel back.
-For the weights the tokens are summed to cells of (bucket, log2 of both estimates in quarter steps), whose number
+For the weights the tokens are summed to cells of (bucket, log2 of all estimates in quarter steps), whose number
 is bounded by the range of a double, so the driver holds a bounded table however large the corpus is.
 
-Null and empty texts hold the end token alone. Repeated rows count and are scored each. A null id is text ''.
+Null and empty texts hold the end token alone. A very long text is a block of its own; up to 2 GB of text fit in one row
+of Arrow. Repeated rows count and are scored each. A null id is text ''. Without training rows every token gets the
+uniform part; without tuning rows all parts weigh the same.
 """
 
 from __future__ import annotations
@@ -24,46 +27,48 @@ from tallyhouse.llm import blocks as B
 from tallyhouse.llm import words as W
 from tallyhouse.sources.workspace import materialize
 
+ORDER = 2
+#: Lowest bits of a key: how many words it has before its last one.
+LOW = np.uint64(3)
 BUCKETS = 24
 STEP = 4
 ROUNDS = 50
 FLOOR = 1e-6
 BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-CELLS = "bucket int, q2 int, q1 int, n double, s2 double, s1 double"
 
 
 def fold(id_column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))), F.lit(n)).cast("int")
 
 
-def tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all tokens, keys of the bigrams that end in them, and their texts' numbers."""
+def tokens(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams of each length that end in each token, a row for each length; and the tokens' texts."""
     t = W.split(texts, lower=True)
     per = t.n_words() + 1
     ends = np.cumsum(per) - 1
     doc = np.repeat(np.arange(t.n_docs), per)
     token = np.full(len(doc), END, np.uint64)
     token[np.arange(len(t.starts)) + t.doc] = W.word_hashes(t)
-    before = np.roll(token, 1)
-    before[ends - per + 1] = BEGIN
-    pair = W.mix(before * np.uint64(0xA24BAED4963EE407) + token)
-    return token & ~np.uint64(1), pair | np.uint64(1), doc
+    grams, before = [token], token
+    for _ in range(1, order):
+        before = np.roll(before, 1)
+        before[ends - per + 1] = BEGIN
+        grams.append(W.mix(before * np.uint64(0xA24BAED4963EE407) + grams[-1]))
+    return np.stack([g & ~LOW | np.uint64(m) for m, g in enumerate(grams)]), doc
 
 
-def request(n: int, table: pa.Table) -> pa.Table:
+def request(n: int, order: int, table: pa.Table) -> pa.Table:
     """Distinct keys of a block with how often they occur in training and in kept (not deleted) texts."""
-    token, pair, doc = tokens(table["text"])
-    train, kept = (table[c].to_numpy().astype(np.uint64)[doc] for c in ("train", "kept"))
-    keys, counts = B.distinct(np.concatenate([token, pair]), np.tile(train, 2), np.tile(kept, 2))
+    grams, doc = tokens(table["text"], order)
+    train, kept = (np.tile(table[c].to_numpy().astype(np.uint64)[doc], order) for c in ("train", "kept"))
+    keys, counts = B.distinct(grams.ravel(), train, kept)
     return B.cells(table["block"][0].as_py(), keys, counts, n)
 
 
-def totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums over all blocks; the lowest bit marks one answer for each single token, so that tokens can be counted."""
-    at, key = B.runs(keys)
-    out = np.add.reduceat(counts, at, axis=1)[:, key] << np.uint64(1)
-    out[:, at] |= (keys[at] & np.uint64(1)) ^ np.uint64(1)
-    return out
+#: Sums over all blocks; the lowest bit marks one answer for each single token, so that tokens can be counted.
+TOTALS = B.Question(
+    lambda counts, at: np.add.reduceat(counts, at, axis=1),
+    lambda keys, counts: counts << np.uint64(1) | (keys & LOW == 0).astype(np.uint64))
 
 
 def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,105 +81,113 @@ def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in sums], ["n", "n_kept", "types", "types_kept"])
 
 
-def looked_up(table: pa.Table, answers: pa.Table, row: int) -> tuple[np.ndarray, ...]:
-    """Counts of each token, of the bigram it ends and of its context (-1: a text's begin), and its text."""
-    token, pair, doc = tokens(table["text"])
-    n = len(token)
-    keys = np.concatenate([token, pair])
-    order = B.order_of(keys)
-    count = np.empty(2 * n, np.int64)
-    count[order] = (B.replies(answers)[row] >> np.uint64(1)).astype(np.int64)[B.runs(keys[order])[1]]
-    c1, c2 = count[:n], count[n:]
-    context = np.roll(c1, 1)
-    first = np.ones(n, bool)
+def looked_up(table: pa.Table, answers: pa.Table, order: int, row: int, n: int, docs: int) -> tuple[np.ndarray, ...]:
+    """For each token its estimate from each n-gram length, the bucket of its context, its count and its text."""
+    grams, doc = tokens(table["text"], order)
+    keys = grams.ravel()
+    at = B.order_of(keys)
+    count = np.empty(len(keys), np.int64)
+    count[at] = (B.replies(answers)[row] >> np.uint64(1)).astype(np.int64)[B.runs(keys[at])[1]]
+    count = count.reshape(order, -1)
+    first = np.ones(len(doc), bool)
     first[1:] = doc[1:] != doc[:-1]
-    context[first] = -1
-    return c1, c2, context, doc
+    estimates, bucket = [count[0] / max(n, 1)], np.zeros(len(doc), np.int64)
+    for m in range(1, order):
+        context = np.where(first, docs, np.roll(count[m - 1], 1))
+        estimates.append(count[m] / np.maximum(context, 1))
+        size = np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1)
+        bucket = np.where(context > 0, (m - 1) * BUCKETS + size, bucket)
+    return np.stack(estimates), bucket, count[0], doc
 
 
-def bucket(context: np.ndarray) -> np.ndarray:
-    return np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1)
+def cell_schema(order: int) -> str:
+    return "bucket int, n double" + "".join(f", q{m} int, s{m} double" for m in range(order))
 
 
-def tuning_cells(n_kept: float, docs_kept: float, table: pa.Table, answers: pa.Table) -> pa.Table:
+def tuning_cells(n_kept: int, docs_kept: int, order: int, table: pa.Table, answers: pa.Table) -> pa.Table:
     """The deleted texts' tokens, summed by bucket and rounded estimates."""
-    c1, c2, context, doc = looked_up(table, answers, 1)
+    estimates, bucket, _, doc = looked_up(table, answers, order, 1, n_kept, docs_kept)
     tune = (table["train"].to_numpy().astype(bool) & ~table["kept"].to_numpy().astype(bool))[doc]
-    c1, c2, context = c1[tune], c2[tune], context[tune]
-    context = np.where(context < 0, int(docs_kept), context)
-    f2, f1 = c2 / np.maximum(context, 1), c1 / max(n_kept, 1)
-    quarter = lambda f: np.where(f > 0, np.round(STEP * np.log2(np.maximum(f, 1e-300))), 1).astype(np.int64)
-    q2, q1, b = quarter(f2), quarter(f1), bucket(context)
-    code, where = np.unique((b * 8192 + (q2 + 4096)) * 8192 + (q1 + 4096), return_inverse=True)
-    sums = [np.bincount(where, w, len(code)) for w in (None, f2, f1)]
-    return pa.table({
-        "bucket": (code >> 26).astype(np.int32),
-        "q2": (code >> 13 & 8191).astype(np.int32) - 4096, "q1": (code & 8191).astype(np.int32) - 4096,
-        "n": sums[0].astype(float), "s2": sums[1], "s1": sums[2]})
-
-
-def weights(cells: list, types: float) -> np.ndarray:
+    f, bucket = estimates[:, tune], bucket[tune]
+    q = np.where(f > 0, np.round(STEP * np.log2(np.maximum(f, 1e-300))), 1).astype(np.int64)
+    codes = np.concatenate([bucket[None], q])
+    order_at = np.lexsort(codes)
+    new = np.ones(len(order_at), bool)
+    new[1:] = (np.diff(codes[:, order_at], axis=1) != 0).any(axis=0)
+    at = np.flatnonzero(new)
+    add = lambda x: np.add.reduceat(x[order_at], at) if len(at) else np.zeros(0)
+    out = {"bucket": bucket[order_at][at].astype(np.int32), "n": add(np.ones(len(bucket)))}
+    for m in range(order):
+        out |= {f"q{m}": q[m][order_at][at].astype(np.int32), f"s{m}": add(f[m])}
+    return pa.table(out)
+
+
+def weights(cells: list, types: float, order: int) -> np.ndarray:
     """Expectation-maximisation for each bucket; a bucket without tokens gets the weights of all together."""
-    pooled = np.full((BUCKETS, 3), 1 / 3)
+    size = BUCKETS * max(1, order - 1)
     if not cells:
-        return pooled
-    b = np.array([c["bucket"] for c in cells])
-    n, s2, s1 = (np.array([c[k] for c in cells]) for k in ("n", "s2", "s1"))
-    f = np.stack([s2 / n, s1 / n, np.full(len(n), 1 / (types + 1))], axis=1)
+        return np.full((size, order + 1), 1 / (order + 1))
+    b, n = (np.array([c[k] for c in cells]) for k in ("bucket", "n"))
+    f = np.stack([np.full(len(n), 1 / (types + 1)), *(np.array([c[f"s{m}"] for c in cells]) / n for m in range(order))], axis=1)
 
     def fit(groups: np.ndarray, size: int) -> np.ndarray:
-        a = np.full((size, 3), 1 / 3)
+        a = np.full((size, order + 1), 1 / (order + 1))
         for _ in range(ROUNDS):
             part = a[groups] * f
             part *= (n / part.sum(axis=1))[:, None]
-            new = np.stack([np.bincount(groups, part[:, k], size) for k in range(3)], axis=1)
+            new = np.stack([np.bincount(groups, part[:, k], size) for k in range(order + 1)], axis=1)
             total = new.sum(axis=1, keepdims=True)
             a = np.where(total > 0, new / np.maximum(total, 1e-300), a)
         return a
 
-    a = fit(b, BUCKETS)
-    seen = np.bincount(b, minlength=BUCKETS) > 0
+    a = fit(b, size)
+    seen = np.bincount(b, minlength=size) > 0
     a[~seen] = fit(np.zeros_like(b), 1)[0]
     a = np.maximum(a, FLOOR)
     return a / a.sum(axis=1, keepdims=True)
 
 
-def scores(model: dict, table: pa.Table, answers: pa.Table) -> pa.Table:
-    c1, c2, context, doc = looked_up(table, answers, 0)
-    context = np.where(context < 0, int(model["docs"]), context)
-    a, n, v = model["weights"][bucket(context)], model["n"], model["types"]
-    p = a[:, 0] * (c2 / np.maximum(context, 1)) + a[:, 1] * (c1 / max(n, 1)) + a[:, 2] / (v + 1)
+def scores(model: dict, order: int, table: pa.Table, answers: pa.Table) -> pa.Table:
+    n, v = model["n"], model["types"]
+    f, bucket, c1, doc = looked_up(table, answers, order, 0, n, model["docs"])
+    a = model["weights"][bucket]
+    p = a[:, 0] / (v + 1) + (a[:, 1:].T * f).sum(axis=0)
     docs = table.num_rows
     add = lambda x: np.bincount(doc, x, docs)
     return pa.table({
         "id": table["id"], "n_tokens": add(None).astype(np.int64), "n_known": add(c1 > 0).astype(np.int64),
         "train_tokens": np.full(docs, int(n), np.int64),
-        "base_score": add(np.log10((c1 + 0.5) / (n + 0.5 * (v + 1)))), "score": add(np.log10(p))})
+        "base_score": add(np.log10((c1 + 0.5) / (n + 0.5 * (v + 1)))).astype(float), "score": add(np.log10(p)).astype(float)})
 
 
-def lm_scores(docs: DataFrame, train: Column, tune: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, train: Column, tune: Column, id_column: str = "doc_id", text: str = "text",
+              order: int = ORDER, block_bytes: int = B.BLOCK_BYTES, fan: int = B.FAN) -> DataFrame:
     """Log10 probability of every text. ``train`` marks the rows to learn from, ``tune`` those of them on which the
-    weights are learned. Returns the id column, n_tokens, n_known, train_tokens, base_score (add-half unigrams) and
-    score; other columns of ``docs`` are left out, so their names cannot clash."""
+    weights are learned; ``order`` (1 to 4) is the length of the longest n-grams. Returns the id column, n_tokens,
+    n_known, train_tokens, base_score (add-half unigrams) and score; other columns of ``docs`` are left out, so their
+    names cannot clash."""
+    if not 1 <= order <= 4:
+        raise ValueError("order must be 1 to 4")
     mark = lambda c: F.coalesce(c, F.lit(False))
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), mark(train).alias("train"),
                        (mark(train) & ~mark(tune)).alias("kept"))
-    table = B.write_blocks(rows, "lm_texts")
+    table = B.write_blocks(rows, "lm_texts", block_bytes=block_bytes)
     kind = docs.schema[id_column].dataType.simpleString()
-    n = table.n
-    requests = table.df.groupBy("block").applyInArrow(lambda t: request(n, t), B.CELLS)
-    answers = materialize(B.answer(requests, totals), "lm_counts")
+    n = table.ranges(fan)
+    requests = table.df.groupBy("block").applyInArrow(lambda t: request(n, order, t), B.CELLS)
+    answers = materialize(B.lookup(requests, TOTALS, table, fan), "lm_counts")
     tokens_of, docs_of = ("n", "n_kept", "types", "types_kept"), ("train", "kept")
     sizes = answers.mapInArrow(sizes_of, ", ".join(f"{c} long" for c in tokens_of)).agg(
         *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tokens_of)).first()
     n_docs = table.df.agg(*(F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in docs_of)).first()
     texts = table.df.groupBy("block").cogroup(answers.groupBy("block"))
     kept_n, kept_docs = sizes["n_kept"], n_docs["kept"]
-    cells = texts.applyInArrow(lambda t, a: tuning_cells(kept_n, kept_docs, t, a), CELLS)
-    cells = cells.groupBy("bucket", "q2", "q1").agg(*(F.sum(c).alias(c) for c in ("n", "s2", "s1"))).collect()
-    a = weights(cells, sizes["types_kept"])
+    cells = texts.applyInArrow(lambda t, a: tuning_cells(kept_n, kept_docs, order, t, a), cell_schema(order))
+    cells = cells.groupBy("bucket", *(f"q{m}" for m in range(order))).agg(
+        F.sum("n").alias("n"), *(F.sum(f"s{m}").alias(f"s{m}") for m in range(order))).collect()
+    a = weights(cells, sizes["types_kept"], order)
     if not sizes["n"]:
-        a[:] = (0, 0, 1)
+        a[:] = [1] + [0] * order
     model = {"weights": a, "n": sizes["n"], "types": sizes["types"], "docs": n_docs["train"]}
     schema = f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.applyInArrow(lambda t, a: scores(model, t, a), schema).withColumnRenamed("id", id_column)
+    return texts.applyInArrow(lambda t, a: scores(model, order, t, a), schema).withColumnRenamed("id", id_column)

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.llm import words as W
+from tallyhouse.llm.kept import kept
 from tallyhouse.sources.workspace import materialize
 
 #: Fixed value: the published pattern that cuts text into pre-tokens for the byte-level vocabularies.
@@ -57,7 +57,7 @@ class Counter:
         return out
 
 
-@lru_cache(maxsize=2)
+@kept(2)
 def counter_of(ranks: bytes) -> Counter:
     return Counter(ranks)
 

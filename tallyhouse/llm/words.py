@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tallyhouse.llm.kept import kept
+
 SPACES = (0x20, *range(0x09, 0x0E))
 SLICE_BYTES = 1 << 20
 GROUP = 1 << 16
@@ -106,7 +107,7 @@ def sliding(values: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
     return pick(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-@lru_cache(maxsize=8)
+@kept(8)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0], done = 1, 1
@@ -122,7 +123,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers(base, 1 << max(10, int(n - 1).bit_length()))[:n]
 
 
-@lru_cache(maxsize=8)
+@kept(8)
 def _base(seed: int) -> tuple[int, int, np.ndarray]:
     rng = np.random.default_rng(seed)
     base = int(rng.integers(1 << 62, 1 << 63)) | 1

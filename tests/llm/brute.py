@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -101,3 +102,54 @@ def rule_counts(text: str | None) -> tuple[int, int, int, int, int]:
         if triples[tuple(w[i : i + 3])] > 1:
             again.update((i, i + 1, i + 2))
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again))
+
+
+def lm_scores(rows: list[tuple], order: int, in_train, in_tune) -> list[float]:
+    """Deleted interpolation with n-grams in dictionaries, EM token by token."""
+    texts = [[*words(t, lower=True), "</s>"] for _, t in rows]
+    train, kept = [in_train(i) for i, _ in rows], [in_train(i) and not in_tune(i) for i, _ in rows]
+
+    def count(use):
+        grams, seen = [Counter() for _ in range(order)], 0
+        for w, u in zip(texts, use):
+            padded = ["<s>"] * (order - 1) + w
+            for i in range(len(w) if u else 0):
+                for m in range(order):
+                    grams[m][tuple(padded[i + order - 1 - m : i + order])] += 1
+            seen += u
+        return grams, sum(grams[0].values()), len(grams[0]), seen
+
+    def estimates(w, model):
+        grams, n, v, docs = model
+        padded = ["<s>"] * (order - 1) + w
+        for i in range(len(w)):
+            f, bucket = [1 / (v + 1), grams[0][(w[i],)] / max(n, 1)], 0
+            for m in range(1, order):
+                h = tuple(padded[i + order - 1 - m : i + order - 1])
+                c = docs if i == 0 else grams[m - 1][h]
+                f.append(grams[m][(*h, w[i])] / max(c, 1))
+                if c:
+                    bucket = (m - 1) * 24 + min(int(c).bit_length(), 23)
+            yield bucket, f
+
+    model = count(kept)
+    tuned = [x for w, a, b in zip(texts, train, kept) if a and not b for x in estimates(w, model)]
+
+    def em(points):
+        a = [1 / (order + 1)] * (order + 1)
+        for _ in range(50):
+            new = [0.0] * (order + 1)
+            for f in points:
+                total = sum(x * y for x, y in zip(a, f))
+                for k in range(order + 1):
+                    new[k] += a[k] * f[k] / total
+            a = [x / sum(new) for x in new]
+        a = [max(x, 1e-6) for x in a]
+        return [x / sum(a) for x in a]
+
+    pooled = em([f for _, f in tuned]) if tuned else [1 / (order + 1)] * (order + 1)
+    by = {b: em([f for x, f in tuned if x == b]) for b in {b for b, _ in tuned}}
+    full = count(train)
+    if not full[1]:
+        by, pooled = {}, [1.0] + [0.0] * order
+    return [sum(math.log10(sum(x * y for x, y in zip(by.get(b, pooled), f))) for b, f in estimates(w, full)) for w in texts]

@@ -8,8 +8,9 @@ from collections import Counter
 import brute
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tallyhouse.llm import queries
+from tallyhouse.llm import blocks, lm_scoring, queries
 
 
 def rows_of(df):
@@ -38,16 +39,56 @@ def test_op1(spark, folder, texts):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
-def test_op1_mixture_sums_to_one(spark, folder):
-    """Over all tokens that may follow a context the mixed estimates add up to one."""
-    import numpy as np
-
-    from tallyhouse.llm import lm_scoring
-
-    cells = [{"bucket": b, "n": 10.0, "s2": 3.0, "s1": 0.5} for b in (0, 2, 3)]
-    a = lm_scoring.weights(cells, 50)
-    assert a.shape == (lm_scoring.BUCKETS, 3) and np.allclose(a.sum(axis=1), 1) and (a > 0).all()
-    assert (a[2] == a[3]).all() and a[2, 0] > a[2, 2]
+def few(spark, texts):
+    rows = [(i, t) for i, t in texts if len(t or "") < 3000]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+
+
+@pytest.mark.parametrize("order, fan, block_bytes", [(1, 1024, 1 << 22), (2, 1024, 1 << 22), (2, 3, 300), (3, 2, 700)])
+def test_op1_score(spark, texts, order, fan, block_bytes):
+    """Against dictionaries and EM without cells; blocks of a few texts, of which some hold held-out rows only, and
+    several levels of groups."""
+    rows, df = few(spark, texts)
+    part = lm_scoring.fold("doc_id", 5)
+    got = lm_scoring.lm_scores(df, part != 1, part == 0, order=order, fan=fan, block_bytes=block_bytes).collect()
+    want = brute.lm_scores(rows, order, lambda i: brute.fold(i, 5) != 1, lambda i: brute.fold(i, 5) == 0)
+    key = lambda x: (repr(x[0]), x[1])
+    pairs = list(zip(sorted(((r.doc_id, r.score) for r in got), key=key), sorted(((i, s) for (i, _), s in zip(rows, want)), key=key)))
+    assert len(got) == len(rows)
+    for (i, a), (j, b) in pairs:
+        assert i == j and math.isclose(a, b, rel_tol=2e-3, abs_tol=2e-3), (i, a, b)
+
+
+@pytest.mark.parametrize("train, tune", [("doc_id >= 0", "false"), ("false", "false"), ("doc_id % 2 = 0", "doc_id % 4 = 0")])
+def test_op1_without_tuning_or_training_rows(spark, texts, train, tune):
+    rows, df = few(spark, texts)
+    marks = {"false": lambda i: False, "doc_id >= 0": lambda i: i is not None,
+             "doc_id % 2 = 0": lambda i: i is not None and i % 2 == 0, "doc_id % 4 = 0": lambda i: i is not None and i % 4 == 0}
+    got = lm_scoring.lm_scores(df, F.expr(train), F.expr(tune), block_bytes=500, fan=2).collect()
+    want = brute.lm_scores(rows, 2, marks[train], marks[tune])
+    assert math.isclose(sum(r.score for r in got), sum(want), rel_tol=1e-3)
+    assert len(got) == len(rows) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+
+
+def test_blocks_grow_in_proportion(spark, texts):
+    """Twice the blocks ask with at most twice the cells, on each level; many levels answer as one does."""
+    _, df = few(spark, texts)
+    df = df.unionByName(df).unionByName(df).coalesce(2)
+    made, found = [], []
+    for size in (1600, 800, 400):
+        table = blocks.write_blocks(df.select("doc_id", "text"), "test", block_bytes=size)
+        fan = 4
+        marked_rows = table.df.withColumns({"train": F.lit(True), "kept": F.lit(True)})
+        ask = lambda n: lambda t: lm_scoring.request(n, 1, t)
+        asked = marked_rows.groupBy("block").applyInArrow(ask(table.ranges(fan)), blocks.CELLS)
+        assert table.n > fan**2
+        made.append(asked.count() / table.df.select("block").distinct().count())
+        replies = blocks.lookup(asked, lm_scoring.TOTALS, table, fan).collect()
+        marked = [blocks.unplanes(r.reply).reshape(-1, r.n)[0] for r in replies]
+        found.append((sum(int((m & 1).sum()) for m in marked), sum(int((m >> 1)[m & 1 == 1].sum()) for m in marked)))
+    words = Counter(w for i, t in texts if len(t or "") < 3000 for w in [*brute.words(t, lower=True), None])
+    assert found == [(len(words), 3 * sum(words.values()))] * 3
+    assert max(made) <= fan
 
 
 def test_op3(spark, folder, texts):
