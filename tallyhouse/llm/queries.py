@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import (
-    chat, debruijn, decontaminate, licenses, lm_scoring, quality, rules, sentencepiece_scan, simhash, token_counts)
+    chat, conversations, debruijn, decontaminate, licenses, lm_scoring, mixing, quality, rules, sentencepiece_scan, simhash,
+    token_counts, whitening)
 from tallyhouse.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,8 +79,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZE
     return token_counts.edited_counts(table(spark, sf_dir, "documents"), ranks)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages the conversations by a rule and repairs them."""
+    talk = table(spark, sf_dir, "conversations")
+    return conversations.digests(conversations.repair(conversations.damage(talk)), talk)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_lm_scoring, op2_sentencepiece, op3_simhash, op4_license_scan, op5_quality_classifier,
     op6_decontamination, op7_chat_rotation,
     op8_substring_dedup, op9_quality_rules, op10_token_counts,
+    op11_conversation_repair, op12_whitening, op13_source_mix,
 )}

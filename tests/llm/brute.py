@@ -153,3 +153,83 @@ def lm_scores(rows: list[tuple], order: int, in_train, in_tune) -> list[float]:
     if not full[1]:
         by, pooled = {}, [1.0] + [0.0] * order
     return [sum(math.log10(sum(x * y for x, y in zip(by.get(b, pooled), f))) for b, f in estimates(w, full)) for w in texts]
+
+
+def damaged(rows: list[tuple]) -> list[tuple]:
+    """Rows (conv, turn, role, text) with the contract's faults."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        key = ":".join(" " if x is None else str(x) for x in (conv, turn))
+        fault = zlib.crc32(key.encode()) % 20
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = re.sub(r"[.!?]", "", text)
+        if fault == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * {0: 0, 3: 2}.get(fault, 1)
+    return out
+
+
+def repaired(ids: list, rows: list[tuple]) -> dict:
+    """conv -> gaps, blank, duplicate, truncated, illegal, cost, audit, repaired text; by trying all edits."""
+    follows, keeps = {0: 2, 1: 2, 2: 3, 3: 2}, {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    names = {2: "user", 3: "assistant"}
+    out = {}
+    for conv in set(ids):
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (
+            r[1] is not None, r[1] or 0, r[2].encode(), r[3][:64].encode(), hashlib.sha256(r[3].encode()).hexdigest()))
+        seen, faults = set(), []
+        for _, _, role, text in own:
+            end = re.findall(r"[^\x20\x09-\x0D]", text)
+            faults.append("blank" if not end else "duplicate" if (role, text) in seen else "truncated" if end[-1] not in ".!?" else "")
+            seen.add((role, text))
+        best = {0: (0, "", ())}
+
+        def put_in(best):
+            grown = dict(best)
+            for _ in range(3):
+                for q, (c, a, t) in list(grown.items()):
+                    new = (c + 5, a + "I", (*t, f"{names[follows[q]]}:"))
+                    grown[follows[q]] = min(grown.get(follows[q], new), new)
+            return grown
+
+        for (_, _, role, text), fault in zip(own, faults):
+            after: dict = {}
+            for q, (c, a, t) in put_in(best).items():
+                ways = [(2, "D", q, t)]
+                if fault not in ("blank", "duplicate"):
+                    more = 5 * (fault == "truncated")
+                    if (q, role[:1]) in keeps:
+                        ways.append((more, "K", keeps[q, role[:1]], (*t, f"{role}:{text}")))
+                    ways.append((1 + more, "R", follows[q], (*t, f"{names[follows[q]]}:{text}")))
+                for cost, letter, to, said in ways:
+                    new = (c + cost, a + letter, said)
+                    after[to] = min(after.get(to, new), new)
+            best = after
+        cost, audit, said = min(x for q, x in put_in(best).items() if q in (0, 3))
+        turns = [r[1] for r in own if r[1] is not None]
+        roles = [r[2][:1] for r in own]
+        out[conv] = (
+            max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *(faults.count(f) for f in ("blank", "duplicate", "truncated")),
+            sum(a + b not in ("su", "ua", "au") for a, b in zip(roles, roles[1:])), cost, audit, "\n".join(said))
+    return out
+
+
+def targets(sizes: dict, weights=(1, 2, 3), most: int = 3) -> dict:
+    """Source -> target, by resharing what is over until nothing is."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    got, open_at, rest = dict.fromkeys(names, 0.0), set(names), float(sum(sizes.values()))
+    while rest > 1e-9 and open_at:
+        unit = rest / sum(weight[s] for s in open_at)
+        for s in open_at:
+            got[s] += unit * weight[s]
+        rest = 0.0
+        for s in list(open_at):
+            if got[s] > most * sizes[s]:
+                rest += got[s] - most * sizes[s]
+                got[s] = float(most * sizes[s])
+                open_at.discard(s)
+    return got
