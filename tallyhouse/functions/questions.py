@@ -1,12 +1,16 @@
-"""Column expressions that read a question's text.
+"""Column expressions that read a question's text, normalised unless it says otherwise.
 
 Words are matched whole by default (``ev`` does not hit "every"); pass
-``whole=False`` for plain substring matching.
+``whole=False`` for plain substring matching. A text is cut into words once
+and met with the set of all words that are asked for (``words_seen``); tests
+of single words look into what is left, and only a text that has all words of
+a phrase is searched for the phrase itself.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,19 +32,56 @@ def word_pattern(words: list[str]) -> str:
     return f"{START}({body}){END}"
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
+def contains_any(text: Column, words: list[str], lowered: bool = False) -> Column:
     """Case-blind substring test; NULL text is false, words are taken literally."""
-    low = F.lower(text)
+    low = text if lowered else F.lower(text)
     hits = F.lit(False)
     for word in words:
         hits = hits | F.contains(low, F.lit(word))
     return F.coalesce(hits, F.lit(False))
 
 
-def has_word(text: Column, words: list[str], whole: bool = True) -> Column:
-    if whole:
-        return F.coalesce(F.rlike(text, F.lit(word_pattern(words))), F.lit(False))
-    return contains_any(text, words)
+def says(text: Column, words: list[str]) -> Column:
+    return contains_any(text, words, lowered=True)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out one time, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def parts_of(word: str) -> list[str]:
+    return re.findall(f"[{LETTERS}]+", word)
+
+
+def words_seen(text: Column, *words: Iterable[str]) -> Column:
+    """Which of the words, and of the parts of phrases, are in the text; one pass, whatever their number."""
+    known = sorted({part for some in words for word in some for part in parts_of(word)})
+    return F.array_intersect(F.split(text, f"[^{LETTERS}]+"), F.array(*map(F.lit, known)))
+
+
+def saw(text: Column, seen: Column, word: str) -> Column:
+    """Whether a word or phrase is in the text, whole, given the words seen in it."""
+    parts = parts_of(word)
+    if parts == [word]:
+        return F.array_contains(seen, word)
+    test = F.rlike(text, F.lit(word_pattern([word])))
+    for part in reversed(parts):
+        test = F.array_contains(seen, part) & test
+    return test
+
+
+def has_word(text: Column, words: list[str], whole: bool = True, seen: Column | None = None) -> Column:
+    if not whole:
+        return contains_any(text, words)
+    if seen is None:
+        return F.coalesce(once(words_seen(text, words), lambda s: has_word(text, words, seen=s)), F.lit(False))
+    single = [w for w in words if parts_of(w) == [w]]
+    hits = F.arrays_overlap(seen, F.array(*map(F.lit, single))) if single else F.lit(False)
+    for word in words:
+        if word not in single:
+            hits = hits | saw(text, seen, word)
+    return F.coalesce(hits, F.lit(False))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -50,20 +91,37 @@ def matches(text: Column, pattern: str) -> Column:
 def normalize_text(text: Column) -> Column:
     """Lower-case, with misheard place names put right.
 
-    Each pass consumes the characters around a hit, so two passes are needed
-    for neighbouring words.
+    Only a text that has a misheard name, or all words of one, is searched for
+    them; each pass consumes the characters around a hit, so two passes are
+    needed for neighbouring words.
     """
-    out = F.lower(text)
+    low = F.lower(text)
+    corrected = low
     for place, variants in vocab.PLACE_VARIANTS.items():
         pattern = word_pattern(variants)
         for _ in range(2):
-            out = F.regexp_replace(out, pattern, f"$1{place}$3")
-    return out
+            corrected = F.regexp_replace(corrected, pattern, f"$1{place}$3")
+    variants = [v for some in vocab.PLACE_VARIANTS.values() for v in some]
 
+    def suspect(seen: Column) -> Column:
+        hits = F.arrays_overlap(seen, F.array(*(F.lit(v) for v in variants if parts_of(v) == [v])))
+        for v in variants:
+            if len(parts := parts_of(v)) > 1:
+                both = F.array_contains(seen, parts[0])
+                for part in parts[1:]:
+                    both = both & F.array_contains(seen, part)
+                hits = hits | both
+        return hits
 
-def found_in_order(text: Column, words: list[str], whole: bool = True) -> Column:
+    return F.when(once(words_seen(low, variants), suspect), corrected).otherwise(low)
+
+
+def found_in_order(text: Column, words: list[str], whole: bool = True, seen: Column | None = None) -> Column:
     """The words present in the text, in list order."""
-    return F.array_compact(F.array(*[F.when(has_word(text, [w], whole), F.lit(w)) for w in words]))
+    if whole and seen is None:
+        return once(words_seen(text, words), lambda s: found_in_order(text, words, seen=s))
+    test = (lambda w: saw(text, seen, w)) if whole else (lambda w: contains_any(text, [w]))
+    return F.array_compact(F.array(*[F.when(test(w), F.lit(w)) for w in words]))
 
 
 def extract_locations(text: Column, names: list[str] = vocab.WAREHOUSES) -> Column:
@@ -71,9 +129,12 @@ def extract_locations(text: Column, names: list[str] = vocab.WAREHOUSES) -> Colu
     return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w.lower())), F.lit(w)) for w in names]))
 
 
-def map_category(text: Column, words: dict[str, str], whole: bool = True) -> Column:
+def map_category(text: Column, words: dict[str, str], whole: bool = True, seen: Column | None = None) -> Column:
     """Category of the first dictionary word found, in dictionary order."""
-    return F.coalesce(*[F.when(has_word(text, [w], whole), F.lit(c)) for w, c in words.items()])
+    if whole and seen is None:
+        return once(words_seen(text, words), lambda s: map_category(text, words, seen=s))
+    test = (lambda w: saw(text, seen, w)) if whole else (lambda w: contains_any(text, [w]))
+    return F.coalesce(*[F.when(test(w), F.lit(c)) for w, c in words.items()])
 
 
 def number(text: Column, patterns: list[str]) -> Column:
@@ -92,8 +153,7 @@ def first_number(text: Column) -> Column:
 
 def direction(text: Column) -> Column:
     """``above`` or ``below``, or NULL when the text does not say."""
-    return F.when(contains_any(text, vocab.ABOVE_WORDS), "above").when(
-        contains_any(text, vocab.BELOW_WORDS), "below")
+    return F.when(says(text, vocab.ABOVE_WORDS), "above").when(says(text, vocab.BELOW_WORDS), "below")
 
 
 def large_numbers(text: Column, floor: int = 10) -> Column:
@@ -104,26 +164,26 @@ def large_numbers(text: Column, floor: int = 10) -> Column:
 
 def extract_sort(text: Column) -> Column:
     """Which order the text asks for."""
-    def says(*words: str) -> Column:
-        return contains_any(text, list(words))
+    def has(*words: str) -> Column:
+        return says(text, list(words))
 
-    best = says("en yüksek", "en iyi", "en çok") & says("rating")
+    best = has("en yüksek", "en iyi", "en çok") & has("rating")
     return (
-        F.when(best & says("uygun", "ucuz", "düşük"), "rating_price")
+        F.when(best & has("uygun", "ucuz", "düşük"), "rating_price")
         .when(best, "rating")
-        .when(says("en ucuz", "en uygun") | (says("fiyat") & says("düşük")), "price_asc")
-        .when(says("en pahalı") | (says("fiyat") & says("yüksek")), "price_desc")
-        .when(says("en çok satan", "satış"), "sales")
-        .when(says("en çok stok") | (says("stok") & says("en")), "stock")
+        .when(has("en ucuz", "en uygun") | (has("fiyat") & has("düşük")), "price_asc")
+        .when(has("en pahalı") | (has("fiyat") & has("yüksek")), "price_desc")
+        .when(has("en çok satan", "satış"), "sales")
+        .when(has("en çok stok") | (has("stok") & has("en")), "stock")
     )
 
 
 def classify_output(text: Column, has_limit: Column, has_filter: Column) -> Column:
     """Whether the answer is a count, a list, or neither."""
-    asks_list = contains_any(text, vocab.LIST_WORDS)
+    asks_list = says(text, vocab.LIST_WORDS)
     return (
-        F.when(contains_any(text, vocab.COUNT_WORDS) & ~asks_list, "count")
-        .when(contains_any(text, vocab.LIST_OR_WHICH_WORDS) | has_limit, "list")
+        F.when(says(text, vocab.COUNT_WORDS) & ~asks_list, "count")
+        .when(says(text, vocab.LIST_OR_WHICH_WORDS) | has_limit, "list")
         .when(has_filter, "count")
         .otherwise("none")
     )
@@ -133,32 +193,36 @@ def is_transfer(text: Column) -> Column:
     return matches(text, "|".join(vocab.TRANSFER_PATTERNS))
 
 
+def names_site(text: Column) -> Column:
+    return says(text, [w.lower() for w in vocab.WAREHOUSES])
+
+
 def multi_location(text: Column) -> Column:
     """Two named sites, or a report/total for a named site."""
     sites = f"(?:{'|'.join(w.lower() for w in vocab.BREAKDOWN_ORDER)})"
-    return matches(text, "|".join(vocab.BREAKDOWN_PATTERNS).replace("{sites}", sites))
+    return names_site(text) & matches(text, "|".join(vocab.BREAKDOWN_PATTERNS).replace("{sites}", sites))
 
 
-def is_pointer(text: Column, product_words: list[str]) -> Column:
+def is_pointer(text: Column, product_words: list[str], seen: Column | None = None) -> Column:
     """Refers to the previous result and names nothing new."""
     return (
-        contains_any(text, vocab.POINTER_WORDS)
-        & ~has_word(text, product_words)
-        & ~has_word(text, vocab.ROUTE_CATEGORY_WORDS)
-        & (F.size(extract_locations(text)) == 0)
+        says(text, vocab.POINTER_WORDS)
+        & ~has_word(text, product_words, seen=seen)
+        & ~has_word(text, vocab.ROUTE_CATEGORY_WORDS, seen=seen)
+        & ~names_site(text)
     )
 
 
-def route_intent(text: Column, product_words: list[str]) -> Column:
+def route_intent(text: Column, product_words: list[str], seen: Column | None = None) -> Column:
     """Where a question goes, tested in this order."""
-    sites = F.size(extract_locations(text)) > 0
+    data = says(text, vocab.DATA_PHRASES) | names_site(text)
     return (
         F.when(is_transfer(text), "transfer")
-        .when(contains_any(text, vocab.RECOMMEND_PHRASES), "recommendation")
-        .when(contains_any(text, vocab.PRODUCT_PHRASES) & ~contains_any(text, vocab.PLACE_PHRASES), "product")
-        .when(is_pointer(text, product_words), "previous")
-        .when((contains_any(text, vocab.DATA_PHRASES) | sites) & multi_location(text), "breakdown")
-        .when(contains_any(text, vocab.DATA_PHRASES) | sites, "data")
+        .when(says(text, vocab.RECOMMEND_PHRASES), "recommendation")
+        .when(says(text, vocab.PRODUCT_PHRASES) & ~says(text, vocab.PLACE_PHRASES), "product")
+        .when(is_pointer(text, product_words, seen), "previous")
+        .when(data & multi_location(text), "breakdown")
+        .when(data, "data")
         .otherwise("retrieval")
     )
 
@@ -168,7 +232,7 @@ def extract_exclusion(text: Column) -> Column:
     tests = []
     for site in vocab.WAREHOUSES:
         pattern = "|".join(vocab.EXCLUSION_PATTERNS).replace("{site}", site.lower())
-        tests.append(F.when(matches(text, pattern), F.lit(site)))
+        tests.append(F.when(says(text, [site.lower()]) & matches(text, pattern), F.lit(site)))
     return F.coalesce(*tests)
 
 
@@ -181,17 +245,16 @@ def refers_back(text: Column) -> Column:
     return matches(text, "|".join(vocab.FOLLOW_UP_PATTERNS))
 
 
-def short_follow_up(text: Column) -> Column:
+def short_follow_up(text: Column, seen: Column | None = None) -> Column:
     """Follow-up if there is any context: short, and only a place or a quantity."""
-    names_site = F.size(extract_locations(text)) > 0
-    only_site = names_site & ~has_word(text, vocab.FOLLOW_UP_CATEGORY_WORDS)
-    asks = contains_any(text, vocab.SHORT_QUANTITY_WORDS)
+    only_site = names_site(text) & ~has_word(text, vocab.FOLLOW_UP_CATEGORY_WORDS, seen=seen)
+    asks = says(text, vocab.SHORT_QUANTITY_WORDS)
     return (word_count(text) <= vocab.SHORT_FOLLOW_UP_WORDS) & (only_site | asks)
 
 
 def answer_category(text: Column) -> Column:
     low = F.lower(text)
-    return F.coalesce(*[F.when(contains_any(low, w), F.lit(c)) for c, w in vocab.ANSWER_WORDS.items()])
+    return F.coalesce(*[F.when(says(low, w), F.lit(c)) for c, w in vocab.ANSWER_WORDS.items()])
 
 
 # --- speakable text --------------------------------------------------------

@@ -34,6 +34,9 @@ CHUNK_OVERLAP = 100
 NEIGHBOURS = 10
 LINK_HOST = "https://www.amazon.com"
 
+# Quality scores below it need a review; a run stops there.
+MIN_QUALITY = 70.0
+
 # Validation ranges.
 PRICE_RANGE = (0.01, 10000.0)
 RATING_RANGE = (0.0, 5.0)

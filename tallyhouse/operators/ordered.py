@@ -12,9 +12,12 @@ def with_running(df: DataFrame, order: list[str], totals: dict[str, Column], ran
     """Adds, under each name in ``totals``, the sum of its column over all rows before a row (0 for the first).
 
     Rows are dealt into ranges of ``order`` (``ranges`` of them, else as many as shuffles have partitions) and written;
-    each range is added up; and a range starts from the sums of the ranges before it. Rows must differ in ``order``,
-    nulls come first, and no column may be called ``_range`` or ``_before_`` and a name.
+    each range is added up; and a range starts from the sums of the ranges before it. Rows that agree in ``order`` are
+    taken in any order, and however many there are, they need not share a range. Nulls come first; no column may be called
+    ``_range``, ``_uid``, or ``_before_`` or ``_start_`` and a name.
     """
+    order = [*order, "_uid"]
+    df = df.withColumn("_uid", F.monotonically_increasing_id())
     dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
     rows = materialize(dealt.withColumns({"_range": F.spark_partition_id(), **{f"_before_{n}": c for n, c in totals.items()}}), "ranges")
     # One row for each range, however many rows there are.
@@ -27,4 +30,4 @@ def with_running(df: DataFrame, order: list[str], totals: dict[str, Column], ran
     starts = F.broadcast(df.sparkSession.createDataFrame(offsets, schema))
     earlier = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = {n: F.col(f"_start_{n}") + F.coalesce(F.sum(f"_before_{n}").over(earlier), F.lit(0)) for n in totals}
-    return rows.join(starts, "_range").withColumns(local).drop("_range", *(f"{p}_{n}" for n in totals for p in ("_before", "_start")))
+    return rows.join(starts, "_range").withColumns(local).drop("_range", "_uid", *(f"{p}_{n}" for n in totals for p in ("_before", "_start")))

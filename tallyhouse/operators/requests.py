@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.ranges import LEVEL_SHIFT, blocks_covering, blocks_of, levels_for
+from tallyhouse.operators.grams import containing
 from tallyhouse.schemas import INTENT
 from tallyhouse.sources.workspace import materialize
 
 ANY = "*"
 BITS = 2
-GRAM = 3
 WORD_BREAK = "\u0001"
 
 # axis -> (value of a product, lower bound, upper bound)
@@ -85,19 +85,8 @@ def name_key() -> Column:
 
 
 def name_words(products: DataFrame, words: DataFrame) -> DataFrame:
-    """(name, word) for each distinct name and each asked word it contains.
-
-    Substring search as an equi-join: a name is listed under every run of up
-    to three characters in it, a word under its first three; the hit is then
-    verified in full.
-    """
-    first = words.withColumn("gram", F.substring("word", 1, GRAM))
-    names = products.select(name_key().alias("name")).distinct().where("name <> ''")
-    starts = F.sequence(F.lit(1), F.length("name"))
-    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(
-        *[F.substr(F.col("name"), i, F.lit(n)) for n in range(1, GRAM + 1)]))))
-    listed = names.withColumn("gram", F.explode(grams))
-    return listed.join(first, "gram").where(F.contains(F.col("name"), F.col("word"))).select("name", "word")
+    """(name, word) for each distinct name and each asked word it contains."""
+    return containing(products.select(name_key().alias("text")), words).withColumnRenamed("text", "name")
 
 
 def keyword_classes(products: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import vocab
-from tallyhouse.operators.carry import carry_last, with_ordinal
+from tallyhouse.operators.carry import before, carry_last
+from tallyhouse.operators.ordered import with_running
 from tallyhouse.sources.workspace import materialize
 
 CHUNK_ROWS = 4096
@@ -45,12 +46,13 @@ def micros(ts: Column) -> Column:
 def mark_active(df: DataFrame, rules: Rules, key: str = "user_id", tie: str = "event_id") -> DataFrame:
     """Adds ``us``, ``_ord``, ``_chunk`` and ``active`` to ``key, ts, value`` rows.
 
-    The rolling quantile needs the rows just before. Each chunk of
-    consecutive rows gets copies of the last rows of the chunk before it, so
-    no key has to be sorted in one task.
+    Rows are numbered over the whole table, by key and time (``_ord``), and cut
+    into chunks of consecutive ones. The rolling quantile needs the rows just
+    before; each chunk gets copies of the last rows of the chunk before it, so
+    neither a key nor an hour of it has to be sorted in one task.
     """
     timed = df.withColumn("us", micros(F.col("ts")))
-    ranked = with_ordinal(timed, key, ["us", tie], F.floor(F.col("us") / (3600 * SECOND)))
+    ranked = with_running(timed, [key, "us", tie], {"_ord": F.lit(1).cast("long")})
     home = F.floor(F.col("_ord") / CHUNK_ROWS)
     at_end = F.pmod("_ord", F.lit(CHUNK_ROWS)) >= CHUNK_ROWS - (rules.window - 1)
     copies = F.when(at_end, F.array(home, home + 1)).otherwise(F.array(home))
@@ -67,10 +69,9 @@ def activity_segments(df: DataFrame, rules: Rules, key: str = "user_id", tie: st
     rows = materialize(mark_active(df, rules, key, tie).where("active").select(
         key, "_ord", "_chunk", "us", "value"), "active")
     local = F.lag("us").over(Window.partitionBy(key, "_chunk").orderBy("_ord"))
-    ends = rows.groupBy(key, "_chunk").agg(F.max("us").alias("_last"))
-    before = ends.withColumn("_before", F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk"))).drop("_last")
-    linked = rows.withColumn("_prev", local).join(before, [key, "_chunk"])
-    previous = F.coalesce("_prev", "_before")
+    ends = rows.groupBy(key, "_chunk").agg(F.max("us").alias("_last"), F.lit(False).alias("_reset"))
+    linked = rows.withColumn("_prev", local).join(before(ends, key, "_chunk", ["_last"], []), [key, "_chunk"])
+    previous = F.coalesce("_prev", "_in__last")
     starts = linked.withColumn("starts", previous.isNull() | (F.col("us") - previous > rules.gap))
     framed = carry_last(
         starts.withColumnRenamed("_chunk", "piece"), key, "_ord", F.col("piece"),

@@ -72,27 +72,13 @@ _ask("detect_pointer", f"{s.POINTER} AS is_pointer", is_pointer=lambda t: q.is_p
 
 
 @query("category_word_match", f"""
-WITH {s.NORM}, c AS (SELECT category, min(row_id) AS first_row FROM products GROUP BY category),
+WITH {s.NORM}, c AS (SELECT category, min(row_id) AS first_row FROM products WHERE category IS NOT NULL GROUP BY category),
 hit AS (SELECT n.conv_id, n.turn, c.category, row_number() OVER (PARTITION BY n.conv_id, n.turn ORDER BY c.first_row) AS r
-        FROM n, c WHERE contains(n.norm, lower(c.category)))
+        FROM n, c WHERE contains(n.norm, lower(c.category))
+          OR len(list_filter(string_split(lower(c.category), ' '), lambda w: w <> '' AND contains(n.norm, w))) > 0)
 SELECT conv_id, turn, category FROM hit WHERE r = 1""")
 def _(spark, root):
-    return q_category_match(asked(spark, root), view(spark, root, "products"))
-
-
-def q_category_match(questions: DataFrame, products: DataFrame) -> DataFrame:
-    """First category, in appearance order, of which the text has a word.
-
-    Categories are few; their list travels as one array from a scalar
-    subquery and is searched row by row, so nothing is joined.
-    """
-    known = products.where(F.col("category").isNotNull()).groupBy("category").agg(F.min("row_id").alias("first_row"))
-    entry = F.struct("first_row", "category", F.split(F.lower("category"), " ").alias("parts"))
-    listed = known.agg(F.array_sort(F.collect_list(entry))).scalar()
-    hit = F.get(F.filter(F.col("known"), lambda c: F.contains(F.col("norm"), F.lower(c["category"]))
-                         | F.exists(c["parts"], lambda w: F.contains(F.col("norm"), w))), 0)
-    return questions.withColumn("known", listed).select("conv_id", "turn", hit["category"].alias("category")).where(
-        "category IS NOT NULL")
+    return ctx.category_named(asked(spark, root), view(spark, root, "products"))
 
 
 def _context(spark, root):

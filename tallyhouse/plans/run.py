@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import inventory as inv
 from tallyhouse.functions import render
+from tallyhouse.functions.vocab import MIN_QUALITY
 from tallyhouse.operators import alternatives as alt
 from tallyhouse.operators import cleaning as clean
 from tallyhouse.operators import enrichment as enrich
@@ -34,7 +35,7 @@ def final_table(listings: DataFrame, stock: DataFrame, run_ts: str) -> DataFrame
 
 
 def run_once(spark: SparkSession, listings: DataFrame, stock: DataFrame, base: str, run_id: str, run_ts: str,
-             min_quality: float = 0.0) -> str:
+             min_quality: float = MIN_QUALITY) -> str:
     """Run every stage below ``base``; returns the path of the metrics table.
 
     A quality score below ``min_quality`` stops the run before anything but

@@ -114,17 +114,24 @@ _LEVEL = """CASE WHEN rating > 0 AND rating <= 4.0 THEN 'Poor' WHEN rating > 4.0
   WHEN rating > 4.3 AND rating <= 4.6 THEN 'Good' WHEN rating > 4.6 AND rating <= 5.1 THEN 'Excellent' END"""
 
 
+# Three files, a batch each; products come again in later files.
+FILES = 3
+
+
 @query("stream_raw_ingest", f"""
-WITH {TYPED_SQL}, c AS (SELECT t.asin, t.category, coalesce(t.price, (SELECT median(price) FROM typed)) AS price,
-  coalesce(t.rating, 4.5e0) AS rating, coalesce(t.review_count, 0e0) AS review_count, r.scraped_at
-  FROM typed t JOIN raw_listings r ON r.row_id = t.row_id)
+WITH {TYPED_SQL}, f AS (SELECT t.*, r.scraped_at, r.row_id % {FILES} AS file FROM typed t JOIN raw_listings r ON r.row_id = t.row_id),
+m AS (SELECT file, median(price) AS middle FROM f GROUP BY file),
+c AS (SELECT asin, category, coalesce(price, middle) AS price, coalesce(rating, 4.5e0) AS rating,
+  coalesce(review_count, 0e0) AS review_count, scraped_at, f.file FROM f JOIN m ON m.file = f.file)
 SELECT asin, category, price, rating, review_count, scraped_at, {_LEVEL} AS satisfaction_level FROM c
-QUALIFY row_number() OVER (PARTITION BY asin ORDER BY scraped_at) = 1""")
+QUALIFY row_number() OVER (PARTITION BY asin ORDER BY file, scraped_at) = 1""")
 def _(spark, root):
     landing, target = new_folder(spark, "landing"), new_folder(spark, "ingested")
-    raw = view(spark, root, "raw_listings").select(*RAW_COLUMNS)
-    raw.write.option("header", True).option("escape", '"').csv(landing)
-    stream = read_new_files(spark, landing, archive=new_folder(spark, "archive"))
+    raw = view(spark, root, "raw_listings")
+    for file in range(FILES):
+        part = raw.where(F.col("row_id") % FILES == file).select(*RAW_COLUMNS).coalesce(1)
+        part.write.mode("append").option("header", True).option("escape", '"').csv(landing)
+    stream = read_new_files(spark, landing, archive=new_folder(spark, "archive"), max_files=1)
     ingest(stream, target, new_folder(spark, "ingest-state")).awaitTermination()
     return spark.read.parquet(target).select(
         "asin", "category", "price", "rating", "review_count", "scraped_at", "satisfaction_level")

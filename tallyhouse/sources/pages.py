@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.vocab import CRAWL_TARGET, LINK_HOST
+from tallyhouse.operators.ordered import with_running
 from tallyhouse.sources.workspace import materialize
 
 
@@ -52,22 +55,27 @@ def page_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(link_array(F.col("url"), F.col("html"))).alias("pos", "link"))
 
 
+def first_of_each(items: Column, value: Callable[[Column], Column]) -> Column:
+    """``(value, pos, item)`` of the first item with each value other than '', in page order.
+
+    Items are sorted by value and place, neighbours compared, and the firsts
+    put back in order: no item is searched for in the whole array.
+    """
+    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(value(x).alias("value"), i.alias("pos"), x.alias("item"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(placed, lambda x: x["value"]))
+    paired = F.zip_with(placed, before, lambda own, earlier: F.struct(own.alias("own"), earlier.alias("earlier")))
+    firsts = F.filter(paired, lambda p: (p["own"]["value"] != "") & ~p["own"]["value"].eqNullSafe(p["earlier"]))
+    return F.array_sort(F.transform(firsts, lambda p: F.struct(p["own"]["pos"].alias("pos"), p["own"]["value"].alias("value"), p["own"]["item"].alias("item"))))
+
+
 def distinct_links(pages: DataFrame) -> DataFrame:
     """First occurrence of each link of a page.
 
     A page is one row, so this needs no shuffle.
     """
     linked = pages.select("page_id", link_array(F.col("url"), F.col("html")).alias("links"))
-    once = F.transform(F.array_distinct("links"), lambda x: F.struct(
-        (F.array_position("links", x) - 1).cast("int").alias("pos"), x.alias("link")))
-    return linked.select("page_id", F.explode(once).alias("x")).select("page_id", "x.*").where("link <> ''")
-
-
-def first_per_page(rows: DataFrame, page: str, key: str, order: str) -> DataFrame:
-    """First occurrence of each key within a page stored as rows; empty keys are skipped."""
-    window = Window.partitionBy(page, key).orderBy(order)
-    known = rows.where(F.coalesce(F.col(key) != "", F.lit(False)))
-    return known.withColumn("_r", F.row_number().over(window)).where("_r = 1").drop("_r")
+    once = linked.select("page_id", F.explode(first_of_each(F.col("links"), lambda x: x)).alias("x"))
+    return once.select("page_id", F.col("x.pos").alias("pos"), F.col("x.item").alias("link"))
 
 
 # --- listing pages ---------------------------------------------------------
@@ -96,12 +104,10 @@ def extract_listings(pages: DataFrame) -> DataFrame:
 
     card = F.col("card")
     split = pages.select("page_no", "category", "scraped_at", F.split("html", CARD).alias("parts"))
-    # The ids are worked out per page, before the cards become rows: no shuffle.
-    listed = split.withColumn("ids", F.transform("parts", id_of))
-    first = F.filter("parts", lambda part, i: (i > 0) & (id_of(part) != "")
-                     & (F.array_position("ids", id_of(part)) == i + 1))
-    rows = listed.select("page_no", "category", "scraped_at", F.explode(first).alias("card")).withColumn(
-        "product_id", id_of(card))
+    # What stands before the first card is none; the ids are worked out per page, before the cards become rows: no shuffle.
+    cards = F.slice(F.col("parts"), 2, F.greatest(F.size("parts") - 1, F.lit(0)))
+    rows = split.select("page_no", "category", "scraped_at", F.explode(first_of_each(cards, id_of)).alias("x")).select(
+        "page_no", "category", "scraped_at", F.col("x.item").alias("card"), F.col("x.value").alias("product_id"))
     href = first_group(card, 'class="a-link-normal"[^>]*href="([^"]*/dp/[^"]*)"')
     link = F.coalesce(absolute_link(href, F.lit(LINK_HOST)), F.concat(F.lit(f"{LINK_HOST}/dp/"), F.col("product_id")))
     fields = {n: F.coalesce(first_group(card, p), F.lit("")) for n, p in FIELDS.items()}
@@ -127,15 +133,15 @@ def until_first_gap(pages: DataFrame, group: str = "category", page: str = "page
     return filled.join(last, group).where(F.col(page) <= F.col("_last")).join(started, group, "left_semi").drop("_last")
 
 
-def quota_groups(rows: DataFrame, order: str, target: int = CRAWL_TARGET, group: str = "category") -> DataFrame:
+def quota_groups(rows: DataFrame, order: str, target: int = CRAWL_TARGET, group: str = "category", ranges: int | None = None) -> DataFrame:
     """Groups in order while the total before them is below the target.
 
-    The running total goes over one row per group, after the counts.
+    The running total goes over one row per group, in ranges of the order, so
+    any number of groups is shared out over tasks.
     """
     counts = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(order).alias("_order"))
-    earlier = Window.orderBy("_order", group).rowsBetween(Window.unboundedPreceding, -1)
-    taken = counts.select(group, "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return taken.where(F.col("before") < target)
+    taken = with_running(counts, ["_order", group], {"before": F.col("n")}, ranges)
+    return taken.where(F.col("before") < target).select(group, "n", "before")
 
 
 def apply_quota(rows: DataFrame, order: str, target: int = CRAWL_TARGET, group: str = "category") -> DataFrame:

@@ -2,82 +2,127 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import SparkRuntimeException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tallyhouse.operators.context import mentions
+from tallyhouse.operators.context import fold_mentions, mentions
+from tallyhouse.streaming.state import keep_state_by_key
 
 OUTPUT = "conv_id long, turn long, route string, category string, location string, words long"
-STATE = "category string, location string, words long, next long, held string"
-COLUMNS = ["conv_id", "turn", "route", "category", "location", "words"]
-MENTIONED = ["conv_id", "turn", "route", "own_category", "own_location", "own_words", "by_wording", "by_length"]
-
-
-def fold(conv_id: int, rows: list, state: tuple, to_end: bool) -> tuple[list[tuple], tuple]:
-    """Rows of the turns that follow the state's, in order, and the new state without the turns that still wait.
-    ``to_end``: a gap holds nothing back."""
-    category, location, words, following, _ = state
-    rows = sorted(rows, key=lambda r: r[0])
-    out = []
-    for turn, route, own_category, own_location, own_words, by_wording, by_length in rows:
-        if turn > following and not to_end:
-            break
-        following = max(following, turn + 1)
+CONTEXT = "category string, location string, words long, next long, n_waiting long"
+MENTION = "route string, own_category string, own_location string, own_words long, by_wording boolean, by_length boolean"
+COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+MENTIONED = [c.split()[0] for c in MENTION.split(", ")]
+
+
+class Carry(StatefulProcessor):
+    """One conversation: its context and next turn in a value, turns that wait for one before them in a map, a value each.
+
+    The order of arrival does not matter. After ``idle_ms`` without news a timer lets the waiting turns go, in order, and
+    drops the state.
+    """
+
+    def __init__(self, idle_ms: int | None, first_turn: int) -> None:
+        self.idle_ms, self.first_turn = idle_ms, first_turn
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.context = handle.getValueState("context", CONTEXT)
+        self.waiting = handle.getMapState("waiting", "turn long, copy long", MENTION)
+
+    def load(self) -> None:
+        start = (None, None, 0, self.first_turn, 0)
+        self.category, self.location, self.words, self.next, self.n_waiting = self.context.get() if self.context.exists() else start
+
+    def fold(self, turn: int, mention: tuple) -> tuple:
+        route, own_category, own_location, own_words, by_wording, by_length = mention
         if route == "data":
             if not (by_wording or by_length):
-                category, location, words = None, None, 0
-            category = category if own_category is None else own_category
-            location = location if own_location is None else own_location
-            words |= int(own_words)
-        out.append((conv_id, turn, route, category, location or None, words))
-    return out, (category, location, words, int(following), json.dumps(rows[len(out):]))
-
-
-def folder(idle_ms: int | None, first_turn: int = 0):
-    """Per-conversation step. A turn waits until all before it are there, so the order of arrival does not matter;
-    after ``idle_ms`` without news, turns behind a gap are folded in order and the state is dropped."""
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get if state.exists else (None, None, 0, first_turn, "[]")
-        rows = json.loads(before[-1])
-        if not state.hasTimedOut:
-            for part in batches:
-                rows += part[MENTIONED[1:]].astype(object).where(part[MENTIONED[1:]].notna(), None).values.tolist()
-        out, after = fold(key[0], rows, before, state.hasTimedOut)
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            state.update(after)
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=COLUMNS)
-
-    return advance
+                self.category, self.location, self.words = None, None, 0
+            self.category = self.category if own_category is None else own_category
+            self.location = self.location if own_location is None else own_location
+            self.words |= int(own_words)
+        return turn, route, self.category, self.location or None, self.words
+
+    def put(self, turn: int, mention: tuple) -> None:
+        copy = 0
+        while self.n_waiting and self.waiting.containsKey((turn, copy)):
+            copy += 1
+        self.waiting.updateValue((turn, copy), mention)
+        self.n_waiting += 1
+
+    def take(self, turn: int) -> list[tuple]:
+        out: list[tuple] = []
+        while self.n_waiting and self.waiting.containsKey((turn, len(out))):
+            out.append(tuple(self.waiting.getValue((turn, len(out)))))
+            self.waiting.removeKey((turn, len(out) - 1))
+            self.n_waiting -= 1
+        return out
+
+    def rows(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=COLUMNS)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self.load()
+        came: dict[int, list[tuple]] = {}
+        for part in rows:
+            values = part[["turn", *MENTIONED]].astype(object).where(part[["turn", *MENTIONED]].notna(), None).values.tolist()
+            for turn, *mention in values:
+                came.setdefault(int(turn), []).append(tuple(mention))
+        out = [self.fold(turn, m) for turn in sorted(came) if turn < self.next for m in came[turn]]
+        while found := [*self.take(self.next), *came.get(self.next, ())]:
+            out += [self.fold(self.next, m) for m in found]
+            self.next += 1
+        for turn in sorted(came):
+            if turn > self.next:
+                for m in came[turn]:
+                    self.put(turn, m)
+        self.context.update((self.category, self.location, int(self.words), int(self.next), int(self.n_waiting)))
+        if self.idle_ms:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield from self.rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.load()
+        left = sorted((tuple(k) for k in self.waiting.keys())) if self.n_waiting else []
+        out = [self.fold(k[0], tuple(self.waiting.getValue(k))) for k in left]
+        self.context.clear()
+        self.waiting.clear()
+        yield from self.rows(key, out)
+
+    def close(self) -> None:
+        pass
 
 
 def held_turns(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The turns that wait behind a gap after a bounded run of ``stream_context``, folded in order as if no more came.
-    The checkpoint stays as it is: what comes later still fills the gap, and then the stream's own rows replace these."""
+    The checkpoint stays as it is: what comes later still fills the gap, and then the stream's own rows replace these.
+
+    The fold is that of ``carry_context``, in pieces: a row of the context so far comes before a conversation's turns.
+    """
+    def state(name: str) -> DataFrame:
+        return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+
     try:
-        state = spark.read.format("statestore").load(checkpoint)
-    except SparkRuntimeException as e:
+        waiting, context = state("waiting"), state("context")
+    except PySparkException as e:
         if e.getCondition() != "STDS_COMMITTED_BATCH_UNAVAILABLE":  # a run without input
             raise
         return spark.createDataFrame([], OUTPUT)
-
-    def flush(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            out = []
-            for conv_id, category, location, words, following, held in part.astype(object).where(part.notna(), None).values.tolist():
-                out += fold(conv_id, json.loads(held), (category, location, words, following, held), True)[0]
-            yield pd.DataFrame(out, columns=COLUMNS)
-
-    return state.select("key.conv_id", "value.groupState.*").where("held <> '[]'").mapInPandas(flush, OUTPUT)
+    turns = waiting.select("key.conv_id", "user_map_key.turn", "user_map_value.*")
+    so_far = context.select("key.conv_id", "value.*").where("n_waiting > 0").select(
+        "conv_id", (F.col("next") - 1).alias("turn"), F.lit("data").alias("route"), F.col("category").alias("own_category"),
+        F.col("location").alias("own_location"), F.col("words").alias("own_words"), F.lit(False).alias("by_wording"), F.lit(False).alias("by_length"))
+    rows = so_far.withColumn("given", F.lit(True)).unionByName(turns.withColumn("given", F.lit(False)))
+    return fold_mentions(rows, keep=("given",)).where("NOT given").select(*COLUMNS)
 
 
 def stream_context(questions: DataFrame, categories: dict[str, str], words: list[str],
@@ -86,13 +131,14 @@ def stream_context(questions: DataFrame, categories: dict[str, str], words: list
 
     Set ``idle_ms`` for a query that runs for ever, so that conversations which
     ended are forgotten. A run over what is available now must leave it unset:
-    a processing-time timeout keeps asking for another batch. ``held_turns``
+    a processing-time timer keeps asking for another batch. ``held_turns``
     gives what waits behind a gap when such a run has ended.
 
     The text is read by native expressions. Python only folds the small
     results of one conversation's new turns; ``maxFilesPerTrigger`` on the
     source bounds how many there are at a time.
     """
-    read = mentions(questions, categories, words).select(*MENTIONED)
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return read.groupBy("conv_id").applyInPandasWithState(folder(idle_ms, first_turn), OUTPUT, STATE, "append", timeout)
+    keep_state_by_key(questions.sparkSession)
+    read = mentions(questions, categories, words).select("conv_id", "turn", *MENTIONED)
+    return read.groupBy("conv_id").transformWithStateInPandas(
+        Carry(idle_ms, first_turn), OUTPUT, "Append", "ProcessingTime" if idle_ms else "None")

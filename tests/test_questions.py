@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,31 @@ def test_words_are_whole_unless_asked(spark):
     assert over(spark, ["wireless headphones"], lambda t: q.found_in_order(t, vocab.PRODUCT_WORDS)) == [["headphones", "wireless"]]
 
 
+def test_words_as_by_pattern(spark):
+    """The words seen in one pass give what a search for each pattern gives, whatever stands between them."""
+    rng = random.Random(11)
+    variants = [v for some in vocab.PLACE_VARIANTS.values() for v in some]
+    bits = [*vocab.CATEGORY_WORDS, *vocab.PRODUCT_WORDS, *variants, "every", "evet", "tvs", "e", "reader", "de", "siz", "port", "apple", "fire", "x"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", "'", "\n", ".", "-", "é", "", "\u2028", "  "]) for _ in range(rng.randrange(1, 9)))
+             for _ in range(600)] + ["", None, "\n", "fire tv", "fire  tv", "e-reader\n", "sydney'de", "siz neydi siz ney"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    tests = {f"w{i}": (q.has_word(t, [w]), F.coalesce(F.rlike(t, F.lit(q.word_pattern([w]))), F.lit(False)))
+             for i, w in enumerate([*vocab.PRODUCT_WORDS, *vocab.CATEGORY_WORDS])}
+    tests["any"] = (q.has_word(t, vocab.PRODUCT_WORDS), F.coalesce(F.rlike(t, F.lit(q.word_pattern(vocab.PRODUCT_WORDS))), F.lit(False)))
+    slow = F.lower(t)
+    for place, some in vocab.PLACE_VARIANTS.items():
+        for _ in range(2):
+            slow = F.regexp_replace(slow, q.word_pattern(some), f"$1{place}$3")
+    tests["norm"] = (q.normalize_text(t), slow)
+    mask = sum((F.when(F.rlike(t, F.lit(q.word_pattern([w]))), 1 << i).otherwise(0).cast("long") for i, w in enumerate(vocab.PRODUCT_WORDS)), F.lit(0))
+    tests["mask"] = (ctx.word_mask(t, vocab.PRODUCT_WORDS), mask)
+    differ = df.select("t", *(F.array_compact(F.array(*[F.when(~a.eqNullSafe(b), F.lit(n)) for n, (a, b) in tests.items()])).alias("bad"),)).where("size(bad) > 0")
+    assert differ.collect() == []
+    with pytest.raises(ValueError):
+        ctx.word_mask(t, [f"w{i}" for i in range(64)])
+
+
 def test_bounds(spark):
     assert over(spark, ["rating > 4.5", "rating 4.2 üstü", "4 üzeri rating", "none"],
                 lambda t: q.number(t, vocab.RATING_PATTERNS)) == [4.5, 4.2, 4.0, None]
@@ -134,3 +161,24 @@ def test_stream_without_files(spark, tmp_path):
     stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path))
     out = drain_to_parquet(stream_context(stream, vocab.CATEGORY_WORDS, WORDS), new_folder(spark, "no-context"), state)
     assert out.unionByName(held_turns(spark, state)).count() == 0
+
+
+def test_gap_released_by_timer(spark):
+    """A query that runs for ever lets waiting turns go when nothing has come for a while, and forgets the conversation."""
+    asked = questions(spark, 9).where("conv_id < 3 AND turn > 0")
+    landing, target, state = (new_folder(spark, x) for x in ("timer-questions", "timer-context", "timer-state"))
+    asked.coalesce(1).write.parquet(landing)
+    stream = stream_context(spark.readStream.schema(asked.schema).parquet(landing), vocab.CATEGORY_WORDS, WORDS, idle_ms=2000)
+    running = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(
+        processingTime="1 second").start()
+    want = ctx.carry_context(asked, vocab.CATEGORY_WORDS, WORDS)
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            out = spark.read.schema(stream.schema).parquet(target) if os.path.isdir(target) else None
+            if out is not None and out.count() == want.count():
+                break
+    finally:
+        running.stop()
+    cols = ["conv_id", "turn", "route", "category", "location", "words"]
+    assert sorted(map(str, out.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from tallyhouse.operators import carry
 from tallyhouse.operators import segments as sg
 from tallyhouse.sources.workspace import new_folder
 from tallyhouse.streaming.activity import stream_segments
@@ -57,6 +58,7 @@ SCHEMA = "user_id long, event_id long, ts timestamp_ntz, value double"
 @pytest.mark.parametrize("chunk", [50, 64, 4096])
 def test_equal_to_one_pass_per_key(spark, monkeypatch, chunk):
     monkeypatch.setattr(sg, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(carry, "FAN", 2 if chunk < 100 else carry.FAN)
     rows = events()
     got = sg.activity_segments(spark.createDataFrame(rows, SCHEMA), RULES).select(*COLS).collect()
     assert sorted(tuple(r) for r in got) == by_hand(rows, RULES)
@@ -75,3 +77,23 @@ def test_stream_in_batches(spark, order):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(landing)
     out = drain_to_parquet(stream_segments(stream, RULES, "1 minute" if order == "time" else "12 hours"), new_folder(spark, "test-seg"), new_folder(spark, "test-seg-state"))
     assert sorted(tuple(r) for r in out.select(*COLS).collect()) == by_hand(rows, RULES)
+
+
+def test_stream_state_is_bounded(spark):
+    """After a run, a key holds the rows that the watermark has not passed, and a window of values."""
+    rows = sorted(events(8), key=lambda r: r[2])
+    landing, state = new_folder(spark, "held-events"), new_folder(spark, "held-state")
+    for lo in range(0, len(rows), 100):
+        spark.createDataFrame(rows[lo:lo + 100], SCHEMA).coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(landing)
+    drain_to_parquet(stream_segments(stream, RULES, "1 minute"), new_folder(spark, "held-seg"), state)
+
+    def read(name):
+        return spark.read.format("statestore").option("stateVarName", name).load(state)
+
+    mark = max(r[2] for r in rows) - datetime.timedelta(minutes=1)
+    waiting = {(r[0], r[1]) for r in rows if r[2] >= mark}
+    held = read("held").selectExpr("key.user_id", "explode(user_map_value.ids) AS id").collect()
+    assert {(r[0], r[1]) for r in held} == waiting and len(held) == len(waiting)
+    sizes = {r[0]: r[1] for r in read("recent").groupBy("key.user_id").count().collect()}
+    assert max(sizes.values()) <= RULES.window and sizes[1] == RULES.window
