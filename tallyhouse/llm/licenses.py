@@ -1,4 +1,4 @@
-"""License scans: a trained classifier finds license paragraphs, and templates confirm what it says.
+"""License scans: a trained classifier finds license paragraphs, and templates confirm which license it is.
 
 Paragraphs are runs of lines with a word in them: a line without one ends a paragraph. Line breaks, punctuation and
 comment marks (signs; ``dnl`` and ``rem`` at a line's beginning) only separate words, so notices may be wrapped and
@@ -7,63 +7,42 @@ notice in a long paragraph is not outvoted by the words around it. The one- to t
 a multinomial logistic regression over the license families and ``unknown`` is trained on variants of the templates,
 alone and between words of the corpus, and on windows of a bounded, documented sample of the corpus's own paragraphs as
 unknown. On examples it has not seen, a temperature is fitted to its probabilities, and the least probability is set at
-which a family is named rather than ``unknown`` (low enough for 99 of 100 variants). A family that a window of a
-paragraph names is confirmed if one of its templates has four fifths or more of its five-word shingles there (a shorter
-template: its whole words in a row). A paragraph may have several families, each once.
+which a family is named rather than ``unknown`` (low enough for 99 of 100 variants).
+
+What is named is compared with the templates of the family's licenses. A license is confirmed where one of its templates
+has four fifths or more of its five-word shingles (a shorter template: its whole words in a row) and where the words that
+tell licenses apart agree: versions, and words as Lesser, Affero or NonCommercial, are in the match if and only if they
+are in the template. Of licenses that match the same words the one with the longer match counts. A paragraph may have
+several, each once.
 
 Null and empty texts have no paragraphs. Rows are kept, repeated ones too; only the named columns are read.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import words as W
+from tallyhouse.llm.license_texts import NAMES, TELLING, VERSION_WORDS, templates
 
 UNKNOWN = "unknown"
-#: Names and usual short notices of common licenses.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
-                   "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-                   "compliance with the License.",
-                   "Distributed under the terms of the Apache License 2.0."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted "
-                     "provided that the following conditions are met:",
-                     "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-                     "Released under the BSD 3-Clause License."],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.",
-                  "Licensed under CC BY 4.0."],
-    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-                     "Licensed under CC BY-NC 4.0."],
-    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-                     "Licensed under CC BY-SA 4.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
-                "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-                "General Public License as published by the Free Software Foundation, either version 3 of the License, "
-                "or (at your option) any later version."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.",
-                 "Licensed under the terms of the GNU LGPL version 3."],
-    "MIT": ["Released under the MIT License.",
-            "Licensed under the MIT license.",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-            "associated documentation files (the \"Software\"), to deal in the Software without restriction."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-                "Licensed under the Mozilla Public License 2.0."],
-    "Proprietary": ["All rights reserved.", "Copyright holder. All rights reserved.",
-                    "Unauthorized copying of this file, via any medium, is strictly prohibited."],
-}
-FAMILIES = [*TEMPLATES, UNKNOWN]
+FAMILIES = [*NAMES, UNKNOWN]
+#: Identifier -> all wordings.
+TEMPLATES = {spdx: said for spdx, (_, said) in templates().items()}
+FAMILY_OF = {spdx: family for spdx, (family, _) in templates().items()}
 GRAMS = 3
 BITS = 15
-#: Most paragraphs of the corpus that the classifier learns unknown text from, 2,000 characters of each.
+#: Most paragraphs of the corpus that the classifier learns unknown text from.
 SAMPLE = 3_000
-VARIANTS = 40
+VARIANTS = 8
 ROUNDS = 80
 DECAY = 1e-4
 #: Shares of unseen windows that give the least probability: unknown ones that are named, variants that are not; the
@@ -79,7 +58,12 @@ GAP = r"\n[^a-zA-Z0-9\x{80}-\x{10FFFF}]*\n"
 SIZES, STRIDES = (8, 16, 32, 64), 4
 #: Windows of a sampled paragraph that the classifier learns from, and words that are scored at once.
 DRAWS, BLOCK = 3, 1 << 16
-FOUND = "array<struct<paragraph: long, family: string, probability: double, similarity: double, confirmed: boolean>>"
+#: Characters of a stretch of a long sampled paragraph, which bounds what the driver gets.
+DRAW_CHARS = 2_000
+#: Share of the shorter of two matches that may lie in the other without their being one.
+OVERLAP = 0.2
+FOUND = ("array<struct<paragraph: long, family: string, license: string, probability: double, similarity: double, "
+         "confirmed: boolean>>")
 
 
 def paragraphs(texts: pa.Array) -> tuple[W.Texts, np.ndarray]:
@@ -160,19 +144,23 @@ def probabilities(scores: np.ndarray) -> np.ndarray:
 
 
 def variants(fill: list[str], rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
-    """Templates as they are, with words left out, and in a window between words that follow each other in the corpus."""
+    """Templates as they are, with words left out, and in a window between words that follow each other in the corpus; of
+    templates longer than a window, parts."""
     texts, kinds = [], []
-    for kind, family in enumerate(TEMPLATES):
-        for template in TEMPLATES[family]:
+    for spdx, said in TEMPLATES.items():
+        for template in said:
             w = terms(template)
-            size = next(x for x in SIZES if x - x // STRIDES >= len(w))
+            size = next((x for x in SIZES if x - x // STRIDES >= len(w)), SIZES[-1])
             for k in range(VARIANTS):
                 kept = [x for x in w if k < VARIANTS // 4 or len(w) < 6 or rng.random() > 0.1]
+                if len(kept) > size:
+                    at = int(rng.integers(0, len(kept) - size + 1))
+                    kept = kept[at : at + size]
                 more = int(rng.integers(0, size - len(kept) + 1)) * (k % 2)
                 before = int(rng.integers(0, more + 1))
                 at = int(rng.integers(0, max(1, len(fill) - more)))
                 texts.append(" ".join([*fill[at : at + before], *kept, *fill[at + before : at + more]]))
-                kinds.append(kind)
+                kinds.append(FAMILIES.index(FAMILY_OF[spdx]))
     return texts, np.array(kinds)
 
 
@@ -185,11 +173,11 @@ def train(sample: list[str]) -> tuple[np.ndarray, float, float]:
         for size in rng.choice(SIZES, DRAWS) if len(words) > SIZES[0] else SIZES[:1]:
             at = int(rng.integers(0, max(1, len(words) - size + 1)))
             near = words[max(0, at - SHINGLE + 1) : at + size + SHINGLE - 1]
-            if words and not any(similarity(near, f) for f in TEMPLATES):
+            if words and not any(g in SHINGLES for n in range(1, SHINGLE + 1) for g in shingles(near, n)):
                 clean.append(" ".join(words[at : at + size]))
                 source.append(i)
     texts, kinds = variants([w for c in clean for w in c.split()] or ["text"], rng)
-    texts, kinds = texts + clean, np.append(kinds, np.full(len(clean), len(TEMPLATES)))
+    texts, kinds = texts + clean, np.append(kinds, np.full(len(clean), len(NAMES)))
     # windows of one paragraph are all learned from or all held out
     held = np.append(rng.random(len(texts) - len(clean)) < 0.25, (rng.random(len(sample)) < 0.25)[np.array(source, int)])
     lines = pa.array(texts, pa.large_string())
@@ -222,7 +210,7 @@ def train(sample: list[str]) -> tuple[np.ndarray, float, float]:
     scores = logits(weights, W.word_hashes(t), first[:-1], first[1:])
     loss = lambda t: -np.log(np.maximum(probabilities(scores / t)[np.arange(len(test)), kinds[test]], 1e-12)).mean()
     temperature = min(np.geomspace(0.25, 8, 41), key=loss) if len(test) else 1.0
-    p, unknown = probabilities(scores / temperature), kinds[test] == len(TEMPLATES)
+    p, unknown = probabilities(scores / temperature), kinds[test] == len(NAMES)
     least = np.quantile(p[unknown, :-1].max(axis=1), 1 - FALSE_ALARMS) if unknown.any() else 0.5
     if not unknown.all():
         least = min(least, np.quantile(p[~unknown, kinds[test][~unknown]], MISSES))
@@ -242,42 +230,147 @@ def shingles(words: list[str], n: int) -> set[tuple[str, ...]]:
     return set(zip(*(words[i:] for i in range(n))))
 
 
-#: The shingles of each template, and how many words one has.
-WANTED = {family: [(n, shingles(w, n)) for w in map(terms, templates) for n in (min(SHINGLE, len(w)),)]
-          for family, templates in TEMPLATES.items()}
-LONGEST = max(len(terms(x)) for templates in TEMPLATES.values() for x in templates)
-
-
-def similarity(words: list[str], family: str) -> float:
-    """The greatest share of a template's shingles that the words have."""
-    have = {n: shingles(words, n) for n in {n for n, _ in WANTED[family]}}
-    return max(len(wanted & have[n]) / len(wanted) for n, wanted in WANTED[family])
+def telling(words: list[str]) -> frozenset[str]:
+    """The words and versions that tell licenses apart."""
+    joined = f" {' '.join(words)} "
+    found, i = {t for t in TELLING if f" {t} " in joined}, 0
+    while i < len(words):
+        glued = re.fullmatch(r"(?:v|gplv|lgplv|agplv)(\d{1,2})", words[i])
+        parts, j = [glued[1]] if glued else [], i + 1
+        if glued or words[i] in VERSION_WORDS:
+            while j < len(words) and len(parts) < 2 and re.fullmatch(r"\d{1,2}", words[j]):
+                parts.append(words[j])
+                j += 1
+        if parts:
+            found.add(".".join(parts).removesuffix(".0"))
+        i = j
+    return frozenset(found)
+
+
+@dataclass(frozen=True)
+class Template:
+    license: str
+    n_words: int
+    n_shingles: int
+    telling: frozenset
+
+
+def indexed() -> tuple[dict[str, dict[tuple, list]], int]:
+    """For each family the templates of each shingle with the place in them; and the words of the longest template."""
+    index: dict[str, dict[tuple, list]] = {family: defaultdict(list) for family in NAMES}
+    longest = 0
+    for spdx, said in TEMPLATES.items():
+        for text in said:
+            words = terms(text)
+            n = min(SHINGLE, len(words))
+            grams = list(zip(*(words[i:] for i in range(n))))
+            template = Template(spdx, len(words), len(set(grams)), telling(words))
+            for i, g in enumerate(grams):
+                index[FAMILY_OF[spdx]][g].append((template, i))
+            longest = max(longest, len(words))
+    return {family: dict(grams) for family, grams in index.items()}, longest
+
+
+INDEX, LONGEST = indexed()
+SHINGLES = {g for grams in INDEX.values() for g in grams}
+
+
+@dataclass
+class Match:
+    license: str | None
+    similarity: float
+    begin: int
+    end: int
+    words: int
+
+
+def matches(words: list[str], family: str) -> list[Match]:
+    """Where the words are as a template of the family; the best of what is less alike is last, without a license."""
+    places: dict[int, list[tuple[int, tuple, int]]] = defaultdict(list)
+    by_id: dict[int, Template] = {}
+    for n in range(1, SHINGLE + 1):
+        for at, gram in enumerate(zip(*(words[i:] for i in range(n)))):
+            for template, i in INDEX[family].get(gram, ()):
+                by_id[id(template)] = template
+                places[id(template)].append((at, gram, i))
+    out, best = [], 0.0
+    for key, hits in places.items():
+        template = by_id[key]
+        hits.sort(key=lambda h: h[0])
+        width, low, have = template.n_words + max(3, template.n_words // 4), 0, defaultdict(int)
+        top, span = 0, (0, 0)
+        for high, (at, gram, _) in enumerate(hits):
+            have[gram] += 1
+            while hits[low][0] + width < at + 1:
+                have[hits[low][1]] -= 1
+                if not have[hits[low][1]]:
+                    del have[hits[low][1]]
+                low += 1
+            if len(have) > top:
+                top, span = len(have), (low, high)
+        share = top / template.n_shingles
+        best = max(best, share)
+        if share < SIMILAR:
+            continue
+        (first, _, i), (last, _, j) = hits[span[0]], hits[span[1]]
+        begin, end = max(0, first - i), min(len(words), last + template.n_words - j)
+        while end < len(words) and end < last + template.n_words - j + 2 and re.fullmatch(r"\d{1,2}", words[end]):
+            end += 1  # a version goes on
+        if telling(words[begin:end]) == template.telling:
+            out.append(Match(template.license, share, begin, end, top))
+    return [*out, Match(None, best, 0, 0, 0)]
+
+
+def chosen(found: list[Match]) -> list[Match]:
+    """Of matches of the same words the longest, then the one most alike."""
+    out: list[Match] = []
+    for m in sorted(found, key=lambda m: (-m.words, -m.similarity, m.license)):
+        shared = (min(m.end, o.end) - max(m.begin, o.begin) for o in out)
+        if all(s <= OVERLAP * min(m.end - m.begin, o.end - o.begin) for s, o in zip(shared, out)):
+            out.append(m)
+    return out
 
 
-def named(model: tuple[np.ndarray, float, float], t: W.Texts, first: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
-    """Paragraphs, families, greatest probabilities and similarities, in order. A window that is named is compared with
-    the templates together with as many words on either side as the longest template has; what overlaps is compared
-    as one."""
+def named(model: tuple[np.ndarray, float, float], t: W.Texts, first: np.ndarray) -> Iterator[tuple[int, int, float, str | None, float]]:
+    """Paragraphs, families, greatest probabilities, licenses (None: not confirmed) and similarities, in order. A window
+    that is named is compared with the templates together with as many words on either side as the longest template has;
+    what overlaps is compared as one."""
     weights, temperature, least = model
     of, begins, ends = windows(first)
     scores = logits(weights, W.word_hashes(t), begins, ends)
     some = np.flatnonzero((scores[:, :-1] > scores[:, -1:]).any(axis=1))  # no others have a half for a family
     p = probabilities(scores[some] / temperature)
     kind = p.argmax(axis=1)
-    sure = np.flatnonzero((kind < len(TEMPLATES)) & (p.max(axis=1, initial=0) >= least))
+    sure = np.flatnonzero((kind < len(NAMES)) & (p.max(axis=1, initial=0) >= least))
     some, kind, p = some[sure], kind[sure], p[sure, kind[sure]]
     low = np.maximum(begins[some] - LONGEST, first[of[some]])
     high = np.minimum(ends[some] + LONGEST, first[of[some] + 1])
-    found: dict[tuple[int, int], list] = {}
-    for key, chance, a, b in sorted(zip(zip(of[some].tolist(), kind.tolist()), p.tolist(), low.tolist(), high.tolist()), key=lambda x: (x[0], x[2])):
-        spans = found.setdefault(key, [0.0, []])
-        spans[0] = max(spans[0], chance)
-        if spans[1] and a <= spans[1][-1][1]:
-            spans[1][-1][1] = max(b, spans[1][-1][1])
+    spans: dict[int, dict[int, list]] = defaultdict(dict)
+    for (i, k), chance, a, b in sorted(zip(zip(of[some].tolist(), kind.tolist()), p.tolist(), low.tolist(), high.tolist()), key=lambda x: (x[0], x[2])):
+        own = spans[i].setdefault(k, [0.0, []])
+        own[0] = max(own[0], chance)
+        if own[1] and a <= own[1][-1][1]:
+            own[1][-1][1] = max(b, own[1][-1][1])
         else:
-            spans[1].append([a, b])
-    for (i, k), (chance, spans) in found.items():
-        yield i, k, chance, max(similarity(words_between(t, a, b), FAMILIES[k]) for a, b in spans)
+            own[1].append([a, b])
+    for i, kinds in spans.items():
+        found, alike, chances = [], {}, {}
+        for k, (chance, parts) in kinds.items():
+            alike[k], chances[k] = 0.0, chance
+            for a, b in parts:
+                for m in matches(words_between(t, a, b), FAMILIES[k]):
+                    alike[k] = max(alike[k], m.similarity)
+                    if m.license:
+                        found.append(replace(m, begin=m.begin + a, end=m.end + a))
+        best: dict[str, Match] = {}
+        for m in chosen(found):
+            best.setdefault(m.license, m)
+        for k in kinds:
+            own = [m for m in best.values() if FAMILY_OF[m.license] == FAMILIES[k]]
+            for m in own:
+                yield i, k, chances[k], m.license, m.similarity
+            if not own:
+                yield i, k, chances[k], None, alike[k]
 
 
 def scan_texts(model: tuple[np.ndarray, float, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,17 +379,24 @@ def scan_texts(model: tuple[np.ndarray, float, float], batches: Iterator[pa.Reco
         doc = t.doc[first[:-1]]
         number = np.arange(len(doc)) - np.searchsorted(doc, doc)
         found: list[list[dict]] = [[] for _ in range(part.num_rows)]
-        for i, kind, p, alike in named(model, t, first):
-            found[doc[i]].append({"paragraph": int(number[i]), "family": FAMILIES[kind], "probability": p,
-                                  "similarity": alike, "confirmed": alike >= SIMILAR})
+        for i, kind, p, spdx, alike in named(model, t, first):
+            found[doc[i]].append({"paragraph": int(number[i]), "family": FAMILIES[kind], "license": spdx, "probability": p,
+                                  "similarity": alike, "confirmed": spdx is not None})
         names = [c for c in part.schema.names if c != "text"]
-        kinds = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()),
-                                    ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
+        kinds = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("license", pa.string()),
+                                    ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
         yield pa.RecordBatch.from_arrays(
             [*(part.column(c) for c in names), pa.array(np.bincount(doc, minlength=part.num_rows).astype(np.int64)), pa.array(found, kinds)],
             [*names, "n_paragraphs", "found"])
 
 
+def windows_of(line: str) -> Column:
+    """Up to ``DRAWS`` stretches of a paragraph, spread over the whole of it by its hash; a short one as it is."""
+    at = lambda k: F.pmod(F.xxhash64(F.col(line), F.lit(k)), F.greatest(F.length(line) - DRAW_CHARS + 1, F.lit(1)))
+    parts = F.array(*(F.substr(F.col(line), (at(k) + 1).cast("int"), F.lit(DRAW_CHARS)) for k in range(DRAWS)))
+    return F.when(F.length(line) <= DRAW_CHARS, F.array(line)).otherwise(parts)
+
+
 def sampled(docs: DataFrame, most: int = SAMPLE) -> list[str]:
     """At most ``most`` different paragraphs, the least by hash, so that the choice does not depend on the layout.
 
@@ -307,8 +407,8 @@ def sampled(docs: DataFrame, most: int = SAMPLE) -> list[str]:
     below = min((2 * most << 63) // max(1, n), 2**63 - 1)
     lines = docs.select(F.explode(parts).alias("line")).select(F.xxhash64("line").alias("h"), "line")
     lines = lines.where(F.expr(f"(h & 9223372036854775807L) <= {below}L") & F.col("line").rlike("[A-Za-z0-9]"))
-    few = lines.select("h", F.substring("line", 1, 2000).alias("line")).distinct().orderBy("h", "line").limit(most)
-    return [r["line"] for r in few.collect()]
+    few = lines.distinct().orderBy("h", "line").limit(most)
+    return [line for r in few.select(windows_of("line").alias("parts")).collect() for line in r["parts"]]
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

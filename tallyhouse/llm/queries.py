@@ -44,7 +44,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     sure = F.filter("found", lambda x: x["confirmed"])
-    return found.select("doc_id", "n_paragraphs", "found", F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))).alias("licenses"))
+    return found.select("doc_id", "n_paragraphs", "found", F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["license"]))).alias("licenses"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
