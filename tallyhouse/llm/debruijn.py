@@ -11,6 +11,7 @@ An edge is a k-mer of words, its ends are the (k-1)-mers it begins and ends with
    the length of what they have joined each time.
 5. Verification: a path's occurrences, given by document row and word number, must agree in a digest of the words
    themselves; hashes alone decide nothing.
+6. Spans: verified paths that follow each other in a document and in a unitig are one span, which is removed.
 
 Steps 1 to 3 go through ``blocks``: distinct keys of a block, never a row per word, so a passage that a third of the
 documents share is one key a block. Null and empty texts have no words. Repeated rows are texts of their own: their
@@ -23,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import blocks as B
@@ -169,7 +170,8 @@ def unitigs(paths: DataFrame) -> DataFrame:
 
 def repeated_spans(table: B.Blocks, k: int = K, m: int = SEED_WORDS) -> DataFrame:
     """Spans of ``k`` words or more whose every window occurs elsewhere: block, row, start (word number), n_words,
-    unitig, and n_copies, how often the piece occurs over all documents. Spans of one text may touch and overlap."""
+    unitig, n_paths of it, and n_copies, how often the rarest of them occurs over all documents. A span is all that a
+    document has of a unitig in one stretch; spans of different unitigs overlap by less than a window."""
     n, m = table.ranges(), min(m, k)
     texts = table.df.groupBy("block")
     seed = B.lookup(texts.applyInArrow(lambda t: ask_seeds(n, k, m, t), B.CELLS), TWICE, table)
@@ -187,9 +189,13 @@ def repeated_spans(table: B.Blocks, k: int = K, m: int = SEED_WORDS) -> DataFram
     ).where("n_copies >= 2")
     paths = materialize(paths, "paths")
     named = paths.select("path", "digest", "n_copies").join(unitigs(paths), "path")
-    return (pieces.join(named, ["path", "digest"])
-            .select("block", "row", "start", (F.col("edges") + F.col("copies") + (k - 2)).alias("n_words"), "unitig",
-                    "n_copies"))
+    located = pieces.join(named, ["path", "digest"]).withColumn("ahead", F.col("start") + F.col("edges") + F.col("copies") - 1)
+    along = Window.partitionBy("block", "row").orderBy("start")
+    goes_on = (F.lag("unitig").over(along) == F.col("unitig")) & (F.lag("ahead").over(along) == F.col("start"))
+    runs = located.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(along))
+    return runs.groupBy("block", "row", "unitig", "run").agg(
+        F.min("start").alias("start"), (F.max("ahead") - F.min("start") + (k - 1)).alias("n_words"),
+        F.count("*").alias("n_paths"), F.min("n_copies").alias("n_copies")).drop("run")
 
 
 def removal(table: pa.Table, spans: pa.Table, with_text: bool) -> pa.Table:

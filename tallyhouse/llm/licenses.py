@@ -42,7 +42,7 @@ GRAMS = 3
 BITS = 15
 #: Most paragraphs of the corpus that the classifier learns unknown text from.
 SAMPLE = 3_000
-VARIANTS = 8
+VARIANTS = 4
 ROUNDS = 80
 DECAY = 1e-4
 #: Shares of unseen windows that give the least probability: unknown ones that are named, variants that are not; the

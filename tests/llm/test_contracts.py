@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import blocks, lm_scoring, queries
+from tallyhouse.llm import blocks, debruijn, lm_scoring, queries
 
 
 def rows_of(df):
@@ -110,6 +110,27 @@ def test_op8(spark, folder, texts):
     assert rows_of(queries.op8_substring_dedup(spark, folder["full"])) == want
 
 
+def test_op8_spans_follow_unitigs(spark):
+    """A passage that some documents share whole and others in part is one unitig of several paths, and one span where
+    it is whole; small blocks and a small fan give the same rows."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(200)]
+    own = lambda n: [word() for _ in range(n)]
+    texts = [[*own(20), *passage, *own(20)] for _ in range(3)] + [[*own(9), *passage[:120], *own(9)], [*own(9), *passage[60:], *own(9)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    table = blocks.write_blocks(df, "spans", block_bytes=2500)
+    spans = debruijn.repeated_spans(table).join(table.df.select("block", "row", "doc_id"), ["block", "row"]).collect()
+    assert {s.unitig for s in spans} and len({s.unitig for s in spans}) == 1
+    assert sorted((s.doc_id, s.start, s.n_words) for s in spans) == [(0, 20, 200), (1, 20, 200), (2, 20, 200), (3, 9, 120), (4, 9, 140)]
+    assert {s.n_paths for s in spans if s.doc_id < 3} == {3}
+    got = rows_of(debruijn.dedup_substrings(df))
+    assert got == sorted(((i, *x) for (i, _), x in zip(rows, brute.substring_dedup([t for _, t in rows]))), key=repr)
+
+
 def test_op9(spark, folder, texts):
     got = queries.op9_quality_rules(spark, folder["full"])
     want = []
