@@ -161,11 +161,15 @@ ANSWER_WORDS = {
     "Home": ["home", "kitchen", "ev", "mutfak"],
 }
 
+# Answer to an intent that is none of those known.
+NOT_UNDERSTOOD = "⚠️ I couldn't understand your question. Please try rephrasing."
+
 # Symbols dropped before speaking an answer.
 SPOKEN_SYMBOLS = "📋📍✅💡🤖⭐💰📦🎙️"
 
-# Number patterns, tried in order, with one captured group each.
-NUM = "([0-9]+(?:[.][0-9]+)?)"
+# Number patterns, tried in order, with one captured group each. One difference is intended: a number has at
+# most one decimal point, so a full stop behind it is none of it.
+NUM = r"(\d+(?:\.\d+)?)"
 RATING_PATTERNS = [
     rf"rating['\"]?\s*[><=]+\s*{NUM}",
     rf"rating\s+{NUM}\s*(?:üstü|üzeri|den fazla|dan fazla)",
@@ -175,20 +179,20 @@ RATING_PATTERNS = [
 PRICE_PATTERNS = [
     rf"(?:fiyat|price)['\"]?\s*[><=]+\s*{NUM}",
     rf"(?:fiyat|price)\s+{NUM}\s*(?:üstü|üzeri|dolar)",
-    rf"{NUM}\s*(?:dolar|usd|[$])?\s*(?:üstü|üzeri|üzerinde).*(?:fiyat|price)",
+    rf"{NUM}\s*(?:dolar|usd|\$)?\s*(?:üstü|üzeri|üzerinde).*(?:fiyat|price)",
     rf"(?:fiyat|price).*?{NUM}\s*(?:üstü|üzeri)",
 ]
 STOCK_PATTERNS = [
-    r"stok\s*([0-9]+)\s*(?:üstü|üzeri|den fazla)",
-    r"stock.*?([0-9]+)",
+    r"stok\s*([\d]+)\s*(?:üstü|üzeri|den fazla)",
+    r"stock.*?([\d]+)",
 ]
 LIMIT_PATTERNS = [
-    r"([0-9]+)\s*(?:tane|adet|ürün|tanesini|adedini)",
-    r"(?:ilk|en iyi|top)\s*([0-9]+)",
+    r"(\d+)\s*(?:tane|adet|ürün|tanesini|adedini)",
+    r"(?:ilk|en iyi|top)\s*(\d+)",
 ]
 # Variant that takes the direction from the text instead of assuming "above".
 COUNT_PRICE_PATTERN = rf"(?:price|fiyat)[ıi]?\s*[><=]*\s*{NUM}"
-COUNT_STOCK_PATTERN = r"(?:stock|stok)[_ ]*(?:quantity)?[ıi]?\s*[><=]*\s*([0-9]+)"
+COUNT_STOCK_PATTERN = r"(?:stock|stok)[_\s]*(?:quantity)?[ıi]?\s*[><=]*\s*(\d+)"
 
 # How a text rules a site out; ``{site}`` stands for the name.
 EXCLUSION_PATTERNS = [

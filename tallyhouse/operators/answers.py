@@ -3,7 +3,8 @@
 ``asks``: ``request_id, text, intent, category, locations, excluded, keywords,
 operation, quantity`` and ``transfers`` (array of structs, may be NULL). Each
 route is one table job; the routes are unioned. The line formats are fixed
-values. Questions that need a language model get no text (route ``retrieval``).
+values. Questions that need a language model get no text (route ``retrieval``);
+an intent that is none of those known gets one that says so.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import questions as q
 from tallyhouse.functions.render import list_row
-from tallyhouse.functions.vocab import BREAKDOWN_ORDER
+from tallyhouse.functions.vocab import BREAKDOWN_ORDER, NOT_UNDERSTOOD
 from tallyhouse.operators import planning
 from tallyhouse.operators.requests import AXES, first_rows
 
@@ -34,7 +35,9 @@ def lines(*parts: Column) -> Column:
 def route(asks: DataFrame) -> DataFrame:
     moves = q.is_transfer(F.lower("text")) & (F.size("transfers") > 0)
     known = F.col("intent").isin("recommendation", "simulation", "count", "comparison")
-    kind = F.when(F.coalesce(moves, F.lit(False)), "transfer").when(known, F.col("intent")).otherwise("retrieval")
+    searched = F.col("intent").isNull() | F.col("intent").isin("product_query", "unknown")
+    kind = F.when(F.coalesce(moves, F.lit(False)), "transfer").when(known, F.col("intent")).when(searched, "retrieval")
+    kind = kind.otherwise("not understood")
     return asks.withColumn("kind", kind)
 
 
@@ -189,7 +192,8 @@ def answer_asks(products: DataFrame, asks: DataFrame) -> DataFrame:
     def of(kind: str) -> DataFrame:
         return routed.where(F.col("kind") == kind)
 
-    out = of("retrieval").select("request_id", "kind", F.lit(None).cast("string").alias("answer"))
+    text = F.when(F.col("kind") == "not understood", NOT_UNDERSTOOD)
+    out = routed.where(F.col("kind").isin("retrieval", "not understood")).select("request_id", "kind", text.alias("answer"))
     for kind, job in (("count", count_answers), ("comparison", comparison_answers),
                       ("recommendation", recommendation_answers), ("simulation", simulation_answers),
                       ("transfer", transfer_answers)):

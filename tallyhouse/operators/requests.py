@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.ranges import LEVEL_SHIFT, blocks_covering, blocks_of, levels_for
 from tallyhouse.operators.grams import containing
+from tallyhouse.operators.ordered import with_running
 from tallyhouse.schemas import INTENT
 from tallyhouse.sources.workspace import materialize
 
@@ -136,19 +137,26 @@ BLOCK_AXES = ["price", "stock"]
 SIGNATURE = ["category_key", "keyword_key", "sites"] + [f"{a}_{e}" for a in AXES for e in ("lo", "hi")]
 
 
-def _cuts(signatures: DataFrame) -> DataFrame:
-    """One row with the sorted thresholds of each axis."""
-    return signatures.agg(*[
-        F.array_sort(F.array_union(F.collect_set(f"{a}_lo"), F.collect_set(f"{a}_hi"))).alias(a) for a in AXES])
+def axis_ranks(signatures: DataFrame, products: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """``axis, value, rank`` for each value and bound in use, and how many bounds each axis has.
 
+    Ranks come from the order of all values of an axis, in ranges: 2 p - 1 is
+    the p-th bound itself, 2 p the gap behind it. So "over the p-th" is 2 p
+    and up, and "under the p-th" is 2 p - 2 and down.
+    """
+    def listed(rows: DataFrame, columns: list[tuple[str, str]], bound: int) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(c).cast("double").alias("value")) for a, c in columns])
+        return rows.select(F.explode(each).alias("x")).select("x.*").where("value IS NOT NULL").withColumn("bound", F.lit(bound).cast("long"))
 
-def _rank(value: Column, cuts: Column, n_cuts: int) -> Column:
-    """Place of the value on the axis of thresholds, by binary search: 2 p - 1 is the p-th threshold itself, 2 p the
-    gap behind it. So "over the p-th" is 2 p and up, and "under the p-th" is 2 p - 2 and down."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(n_cuts, 1).bit_length()))])
-    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-        F.coalesce(F.get(cuts, at + step - 1) < value, F.lit(False)), at + step).otherwise(at))
-    return 2 * below + F.coalesce(F.get(cuts, below) == value, F.lit(False)).cast("int")
+    bounds = listed(signatures, [(a, f"{a}_{e}") for a in AXES for e in ("lo", "hi")], 1)
+    values = listed(products, [(a, value) for a, (value, _, _) in AXES.items()], 0)
+    both = values.unionByName(bounds).groupBy("axis", "value").agg(F.max("bound").alias("bound"))
+    ranked = materialize(with_running(both, ["axis", "value"], {"below": F.col("bound")}), "ranks")
+    sizes = dict.fromkeys(AXES, 0) | {r["axis"]: r["n"] for r in ranked.groupBy("axis").agg(F.sum("bound").alias("n")).collect()}
+    before = F.lit(0)
+    for axis in AXES:
+        before = before + F.when(F.col("axis") > axis, sizes[axis]).otherwise(0)
+    return ranked.select("axis", "value", (2 * (F.col("below") - before) + F.col("bound")).cast("int").alias("rank")), sizes
 
 
 def task_count(df: DataFrame) -> int:
@@ -164,25 +172,22 @@ class Matcher:
         asked = _signatures(requests).select("request_id", *SIGNATURE, *extra)
         self.requests = materialize(asked.withColumn("sig", F.md5(F.to_json(F.struct(*SIGNATURE)))), "requests")
         self.signatures = materialize(self.requests.select("sig", *SIGNATURE).distinct(), "signatures")
-        cuts = materialize(_cuts(self.signatures), "cuts")
-        # Three integers come to the driver: how many thresholds each axis has.
-        sizes = cuts.select(*[F.size(a).alias(a) for a in AXES]).first()
-        self.sizes = {a: sizes[a] for a in AXES}
+        self.ranks, sizes = axis_ranks(self.signatures, products)
         self.levels = {a: levels_for(2 * sizes[a] + 1, BITS) for a in AXES}
-        self.cuts = cuts
         self.products = products
 
+    def with_rank(self, rows: DataFrame, axis: str, column: str) -> DataFrame:
+        """Adds ``<column>_r``, the rank of a value or bound of the axis."""
+        places = self.ranks.where(F.col("axis") == axis).select(F.col("value").alias("_v"), F.col("rank").alias(f"{column}_r"))
+        return rows.join(places, F.col(column) == F.col("_v"), "left").drop("_v")
+
     def cells(self) -> DataFrame:
         """Products with their keyword class and their axis ranks."""
         rows = self.products
         for axis, (value, _, _) in AXES.items():
-            rows = rows.withColumn(f"{axis}_v", F.col(value).cast("double"))
-        thresholds = F.struct(*[F.col(a) for a in AXES])
-        rows = rows.withColumn("cuts", self.cuts.select(thresholds).scalar())
-        for axis in AXES:
-            rank = F.when(F.col(f"{axis}_v").isNotNull(), _rank(F.col(f"{axis}_v"), F.col(f"cuts.{axis}"), self.sizes[axis]))
-            rows = rows.withColumn(f"{axis}_r", rank)
-        classed, edges = keyword_classes(rows.drop("cuts"), self.signatures)
+            rows = self.with_rank(rows.withColumn(f"{axis}_v", F.col(value).cast("double")), axis, f"{axis}_v")
+            rows = rows.withColumnRenamed(f"{axis}_v_r", f"{axis}_r")
+        classed, edges = keyword_classes(rows, self.signatures)
         self.edges = edges
         return classed
 
@@ -208,27 +213,22 @@ class Matcher:
             out = out.withColumn(f"{axis}_b", F.explode(blocks))
         return out
 
-    def lookups(self) -> DataFrame:
+    def lookups(self, signatures: DataFrame | None = None) -> DataFrame:
         """The blocks each distinct filter consists of."""
         # Most requests share the "no keyword" key, so the rows are spread after the join.
-        asked = self.signatures.join(self.edges, "keyword_key")
-        spread = asked.repartition(task_count(asked), "sig")
-        out = spread.withColumn("site", F.explode("sites")).withColumn(
-            "cuts", self.cuts.select(F.struct(*[F.col(a) for a in AXES])).scalar())
+        asked = self.signatures if signatures is None else signatures
+        for column, axis in (("rating_lo", "rating"), *((f"{a}_{e}", a) for a in BLOCK_AXES for e in ("lo", "hi"))):
+            asked = self.with_rank(asked, axis, column)
+        asked = asked.join(self.edges, "keyword_key")
+        out = asked.repartition(task_count(asked), "sig").withColumn("site", F.explode("sites"))
         for axis in BLOCK_AXES:
-            cuts, lo, hi = F.col(f"cuts.{axis}"), F.col(f"{axis}_lo"), F.col(f"{axis}_hi")
-            low = F.when(lo.isNull(), 0).otherwise(2 * F.array_position(cuts, lo))
+            low = F.coalesce(F.col(f"{axis}_lo_r") + 1, F.lit(0))
             # With no upper bound the range runs to the end of the axis, so that
             # an absent filter is the single top block.
             end = (1 << (BITS * self.levels[axis])) - 1
-            high = F.when(hi.isNull(), end).otherwise(2 * F.array_position(cuts, hi) - 2)
+            high = F.coalesce(F.col(f"{axis}_hi_r") - 1, F.lit(end))
             out = out.withColumn(f"{axis}_b", F.explode(blocks_covering(low, high, self.levels[axis], BITS)))
-        rating_from = F.when(F.col("rating_lo").isNull(), -1).otherwise(
-            2 * F.array_position(F.col("cuts.rating"), F.col("rating_lo")))
-        return out.select("sig", rating_from.alias("rating_from"), *NODE)
-
-    def found(self, nodes: DataFrame) -> DataFrame:
-        return self.lookups().join(nodes, NODE).where("rating_r >= rating_from")
+        return out.select("sig", F.coalesce(F.col("rating_lo_r") + 1, F.lit(-1)).alias("rating_from"), *NODE)
 
 
 RANKS = [f"{a}_r" for a in AXES]
@@ -244,35 +244,62 @@ def match_requests(products: DataFrame, requests: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum("stock_quantity").alias("units"))
     merged = m.keyed(cells).groupBy(*CELL).agg(*sums)
     nodes = m.blocked(merged).groupBy(*NODE, "rating_r").agg(*sums)
-    found = m.found(nodes).groupBy("sig").agg(
+    found = m.lookups().join(nodes, NODE).where("rating_r >= rating_from").groupBy("sig").agg(
         F.sum("n").alias("n_matches"), F.sum("units").alias("total_units"))
     return m.requests.join(found, "sig", "left").select(
         "request_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
         F.coalesce("total_units", F.lit(0)).alias("total_units"))
 
 
+#: Lists have lengths of 16, 256, 4096 and so on; each request reads the shortest that is long enough.
+LENGTH_BITS = 4
+
+
+def length_class(n_rows: Column) -> Column:
+    return F.ceil(F.length(F.bin(n_rows - 1)) / LENGTH_BITS).cast("int")
+
+
 def first_rows(products: DataFrame, requests: DataFrame, default: int = 10) -> DataFrame:
     """Per request: its first ``n_rows`` matching products in row order; a number under 1 counts as none.
 
-    A block keeps as many rows as the longest list asked for; that limit is
-    applied in each task before the shuffle.
+    Requests are told apart by the length of their lists, so one that asks for
+    very many rows does not lengthen the lists of the others.
     """
-    wanted = F.when(F.col("n_rows") >= 1, F.col("n_rows")).otherwise(default)
+    wanted = F.when(F.col("n_rows") >= 1, F.col("n_rows")).otherwise(default).cast("long")
     m = Matcher(products, requests.withColumn("n_rows", wanted), "n_rows")
-    longest = m.requests.agg(F.max("n_rows")).first()[0] or default
+    asked = m.requests.withColumn("length", length_class(F.col("n_rows")))
+    cells = materialize(m.cells().select("row_id", "asin", "category", "warehouse_location", "class_key", *RANKS), "cells")
+    lengths = sorted(r["length"] for r in asked.select("length").distinct().collect())
+    lists = None
+    for length in lengths:  # one for each power of 16
+        part = lists_of(m, cells, m.signatures.join(asked.where(F.col("length") == length).select("sig").distinct(), "sig", "left_semi"), length)
+        lists = part if lists is None else lists.unionByName(part)
+    if lists is None:
+        return asked.select("request_id", F.array().cast("array<string>").alias("asins"))
+    shown = F.transform(F.slice("rows", 1, F.col("n_rows").cast("int")), lambda r: r["asin"])
+    return asked.join(lists, ["sig", "length"], "left").select(
+        "request_id", F.coalesce(shown, F.array().cast("array<string>")).alias("asins"))
+
+
+def lists_of(m: Matcher, cells: DataFrame, signatures: DataFrame, length: int) -> DataFrame:
+    """``sig, length, rows``: the first products of each filter, ``16 ** length`` at most.
+
+    A block keeps that many rows, which is applied in each task before the
+    shuffle, and only blocks that these filters ask for are kept.
+    """
+    longest = 1 << (LENGTH_BITS * length)
 
     def head(rows: DataFrame, *keys: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("row_id"))
         return rows.withColumn("r", rank).where(F.col("r") <= longest).drop("r")
 
     # Lists are cut per cell first, so that only cells multiply, not products.
-    short = head(m.cells().select("row_id", "asin", "category", "warehouse_location", "class_key", *RANKS),
-                 "category", "warehouse_location", "class_key", *RANKS)
-    nodes = head(m.blocked(head(m.keyed(short), *CELL)).select("row_id", "asin", "rating_r", *NODE), *NODE, "rating_r")
+    short = head(cells, "category", "warehouse_location", "class_key", *RANKS)
+    looked = materialize(m.lookups(signatures), "lookups")
+    blocks = m.blocked(head(m.keyed(short), *CELL)).select("row_id", "asin", "rating_r", *NODE)
+    nodes = head(blocks.join(looked.select(*NODE).distinct(), NODE, "left_semi"), *NODE, "rating_r")
     by_sig = Window.partitionBy("sig").orderBy("row_id")
-    found = m.found(nodes).withColumn("position", F.row_number().over(by_sig)).where(
-        F.col("position") <= longest)
-    lists = found.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("position", "asin"))).alias("rows"))
-    shown = F.transform(F.slice("rows", 1, F.col("n_rows").cast("int")), lambda r: r["asin"])
-    return m.requests.join(lists, "sig", "left").select(
-        "request_id", F.coalesce(shown, F.array().cast("array<string>")).alias("asins"))
+    found = looked.join(nodes, NODE).where("rating_r >= rating_from").withColumn(
+        "position", F.row_number().over(by_sig)).where(F.col("position") <= longest)
+    return found.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("position", "asin"))).alias("rows")).withColumn(
+        "length", F.lit(length))

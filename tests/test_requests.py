@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
-from tallyhouse.operators import planning
+from pyspark.sql import functions as F
+
+from tallyhouse.operators import answers, planning
 from tallyhouse.operators import requests as rq
 
 SCHEMA = ("request_id long, category string, locations array<string>, keywords array<string>, rating_above double, "
@@ -57,6 +59,31 @@ def test_match_and_lists_equal_brute_force(spark):
     assert lists == {q[0]: [x[1] for x in hits(q, p)][: q[9] or 10] for q in r}
 
 
+def test_one_long_list_does_not_lengthen_the_others(spark):
+    p, r = products(900, 5), requests(60, 6)
+    r = [(*q[:-1], 10**6 if q[0] == 7 else 300 if q[0] == 8 else q[-1]) for q in r]
+    pdf, rdf = spark.createDataFrame(p, PRODUCTS), spark.createDataFrame(r, SCHEMA)
+    lists = {x["request_id"]: x["asins"] for x in rq.first_rows(pdf, rdf).collect()}
+    assert lists == {q[0]: [x[1] for x in hits(q, p)][: q[9] or 10] for q in r}
+    m = rq.Matcher(pdf, rdf, "n_rows")
+    short = rq.lists_of(m, m.cells(), m.signatures, 1)
+    assert max(len(x["rows"]) for x in short.collect()) == 16
+    sizes = {n: rq.length_class(F.lit(n)) for n in (1, 10, 16, 17, 256, 257, 10**6)}
+    assert list(spark.range(1).select(*sizes.values()).first()) == [1, 1, 1, 2, 2, 3, 5]
+
+
+def test_bounds_beyond_all_values(spark):
+    """Bounds that no product has, equal bounds, and a bound on each side of one value."""
+    p = [(i, f"p{i}", "n", "c", "Perth", float(i), 4.0, i) for i in range(20)] + [(20, "p20", "n", "c", "Perth", None, None, 5)]
+    r = [(1, None, None, None, None, -5.0, None, None, None, None), (2, None, None, None, None, 100.0, None, None, None, None),
+         (3, None, None, None, None, 4.5, 5.5, None, None, None), (4, None, None, None, None, 5.0, 5.0, None, None, None),
+         (5, None, None, None, 4.0, None, None, None, None, None), (6, None, None, None, None, None, 0.0, 18.0, 20.0, None),
+         (7, None, None, None, 3.9, 3.0, 1e300, -1.0, 7.0, None), (8, None, None, None, None, -0.0, None, None, None, None)]
+    pdf, rdf = spark.createDataFrame(p, PRODUCTS), spark.createDataFrame(r, SCHEMA)
+    got = {x["request_id"]: x["n_matches"] for x in rq.match_requests(pdf, rdf).collect()}
+    assert got == {q[0]: len(hits(q, p)) for q in r}
+
+
 def test_filter_map(spark):
     text = '{"intent":"count","locations":["Perth"],"category":null,"quantity":3,"filters":{"rating":">4.5","price":"< 50"},"product_keywords":["ipad"]}'
     df = spark.createDataFrame([(1, text), (2, "not json")], "request_id int, intent_json string")
@@ -101,3 +128,15 @@ def test_adjustments(spark):
     assert got == {1: ("not enough", None, None), 2: ("ok", 3, -25.0), 3: ("new inventory", 2, None),
                    4: ("unsupported", None, None), 5: ("incomplete", None, None), 6: ("incomplete", None, None),
                    7: ("ok", 5, 25.0)}
+
+
+def test_intents_that_are_not_known(spark):
+    pdf = spark.createDataFrame(products(20), PRODUCTS)
+    asks = spark.createDataFrame(
+        [(1, "hm", "dance"), (2, "hm", "unknown"), (3, "hm", None), (4, "hm", "product_query"), (5, "hm", "")], "request_id long, text string, intent string")
+    none = F.lit(None)
+    asks = asks.select("*", none.cast("string").alias("category"), F.array().cast("array<string>").alias("locations"), none.cast("string").alias("excluded"),
+                       F.array().cast("array<string>").alias("keywords"), none.cast("string").alias("operation"), none.cast("long").alias("quantity"),
+                       none.cast("array<struct<from_city: string, to_city: string, category: string, quantity: long>>").alias("transfers"))
+    got = {r.request_id: (r.kind, (r.answer or "")[:2]) for r in answers.answer_asks(pdf, asks).collect()}
+    assert got == {1: ("not understood", "⚠️"), 2: ("retrieval", ""), 3: ("retrieval", ""), 4: ("retrieval", ""), 5: ("not understood", "⚠️")}
