@@ -11,7 +11,8 @@ there, and offsets over a dialogue are sums within a range plus the sums of the
 
 A null text is an empty message, a null turn comes first, a null role speaks as ``unknown`` but has no view of its
 own. Messages with a null conv_id are one dialogue. A dialogue without participants has no rows. Repeated rows are
-messages each. Marks inside a text or name are broken up by a blank, so they cannot end a message.
+messages each. Marks inside a text or name are broken up by a blank, so they cannot end a message. Very long texts are
+rendered whole. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

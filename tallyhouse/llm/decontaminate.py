@@ -8,7 +8,9 @@ item's words to find the longest run in common; runs of a window's length or mor
 
 Texts are searched through a bitmap of the wanted shingles, whose size has a fixed bound; it only saves work, as the
 equality join follows. Null and empty texts have no words, and an item without words has no window. A null item_id
-is ''. Items with one id are one item. Repeated rows of texts are judged each.
+is ''. Items with one id are one item. Repeated rows of texts are judged each. A very long text is searched alone; a
+row's text may have 2 GB, as Arrow sends it. Only the columns ``keep`` are taken along, under other names inside, so
+that names cannot clash.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ the fit has not seen, raw scores are counted in fixed bins, and pooling adjacent
 calibration, read off by interpolation.
 
 Null and empty texts have all statistics 0 and are scored like any other. Rows without a label (or with a null one)
-teach nothing; with no labels at all every score is 0.5. Repeated rows are scored each, repeated labels count each.
+teach nothing; with no labels at all every score is 0.5. Repeated rows are scored each, repeated labels count each, also
+where they contradict each other. A very long text is read alone; a row's text may have 2 GB, as Arrow sends it. Only
+the columns ``keep`` are taken along, under other names inside, so that names cannot clash.
 """
 
 from __future__ import annotations

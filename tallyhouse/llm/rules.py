@@ -6,7 +6,8 @@ and pairs, divided by their number plus ``SHRINK``, so that a few words decide l
 every text is judged by it. DataFrame functions only.
 
 Null and empty texts have no words and a score of 0; they fail the base rule of 50 words. Rows with a null id are
-judged but never trusted. Repeated rows count and are judged each.
+judged but never trusted. Repeated rows count and are judged each. A text's words are arrays in one row, so a very long
+text takes a task some twenty times its size.
 """
 
 from __future__ import annotations

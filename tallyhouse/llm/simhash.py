@@ -12,7 +12,8 @@ two bits share a point, a point has at most 65 fingerprints, and all of a point
 
 Components are found by joins that hook every label to the least neighbour's and then halve the paths, each round
 written to the shared folder. A null text is an empty text, with fingerprint zero; those link like any other. Rows
-with a null id take part, and a component's id is its least id that is not null. Repeated rows are returned each.
+with a null id take part, and a component's id is its least id that is not null. Repeated rows are returned each. A very
+long text is read alone; a row's text may have 2 GB, as Arrow sends it.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ as a pre-token's end looks that far ahead.
 
 Edits of a document are made in order, each at a place of the text as the edits before it left it: ``at`` is moved
 into the text, a null or negative length deletes nothing, a null insertion inserts nothing. Null and empty texts
-have no tokens and can be edited. Rows are kept, repeated ones too.
+have no tokens and can be edited. Rows are kept, repeated ones too. Columns of ``docs`` that are called as the ones
+added are replaced. A very long text is worked on alone; a row's text may have 2 GB, as Arrow sends it.
 """
 
 from __future__ import annotations
@@ -146,6 +147,7 @@ def build_trees(docs: DataFrame, ranks_file: str, text: str = "text") -> DataFra
     with open(ranks_file, "rb") as f:
         ranks = f.read()
     kinds = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("leaf_chars", "leaf_tokens")]
+    docs = docs.drop("leaf_chars", "leaf_tokens")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(ranks)
@@ -163,6 +165,7 @@ def recount(trees: DataFrame, ranks_file: str, edits: str = "edits", text: str =
     with open(ranks_file, "rb") as f:
         ranks = f.read()
     kinds = [T.StructField(c, T.LongType()) for c in ("n_before", "n_tokens", "n_encoded")]
+    trees = trees.drop("n_before", "n_tokens", "n_encoded")
     new = (text, "leaf_chars", "leaf_tokens")
 
     def carry_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

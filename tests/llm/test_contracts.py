@@ -8,6 +8,7 @@ from collections import Counter
 import brute
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import blocks, debruijn, lm_scoring, queries
@@ -91,6 +92,48 @@ def test_blocks_grow_in_proportion(spark, texts):
     assert max(made) <= fan
 
 
+def test_op5_against_a_plain_solve(spark, folder, texts):
+    """The same features, solved by a library on all rows at once, and calibrated by pooling pairs until none is out of
+    order; on the awkward table, with labels that repeat and contradict."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyhouse.llm import quality
+
+    rng = np.random.default_rng(0)
+    ids = [i for i, _ in texts if i is not None]
+    marks = [(int(i), int(rng.random() < 0.5), 0) for i in ids for _ in range(2)] + [(None, 1, 0), (20, None, 0), (999, 1, 0)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    docs = spark.read.parquet(folder["full"] + "/documents.parquet")
+    part = F.pmod(F.col("doc_id"), F.lit(3))
+    got = quality.scores(docs, labels, part < 2, part == 2, keep=("doc_id", "text"))
+    x = quality.statistics(pa.array([t for _, t in texts], pa.large_string()))
+    rows = {"fit": [], "calibrate": []}
+    for i, y, _ in marks:
+        for k, (j, _) in enumerate(texts):
+            if i is not None and j == i and y is not None:
+                rows["fit" if i % 3 < 2 else "calibrate"].append((k, y))
+    at, y = np.array([k for k, _ in rows["fit"]]), np.array([y for _, y in rows["fit"]], float)
+    kernel = quality.Kernel(x[at].mean(axis=0), x[at].std(axis=0))
+    z = kernel(x)
+    penalty = np.sqrt(quality.RIDGE * len(at) * np.diag([1.0] * quality.FEATURES + [0.0]) + 1e-9 * np.eye(quality.FEATURES + 1))
+    weights = np.linalg.lstsq(np.vstack([z[at], penalty]), np.concatenate([y, np.zeros(len(penalty))]), rcond=None)[0]
+    raw = z @ weights
+    width = (quality.HIGH - quality.LOW) / (quality.BINS - 1)
+    bins: dict = {}
+    for k, y in rows["calibrate"]:
+        b = math.floor((min(max(raw[k], quality.LOW), quality.HIGH) - quality.LOW) / width + 0.5)
+        bins.setdefault(b, []).append(y)
+    pools = [([b * width + quality.LOW] * len(v), v) for b, v in sorted(bins.items())]
+    mean = lambda v: sum(v) / len(v)
+    while (bad := next((i for i in range(len(pools) - 1) if mean(pools[i][1]) >= mean(pools[i + 1][1])), None)) is not None:
+        pools[bad : bad + 2] = [(pools[bad][0] + pools[bad + 1][0], pools[bad][1] + pools[bad + 1][1])]
+    want = np.interp(raw, [mean(p) for p, _ in pools], [mean(v) for _, v in pools])
+    expected = Counter((repr(i), t, round(float(s), 2)) for (i, t), s in zip(texts, want))
+    found = Counter((repr(r.doc_id), r.text, round(r.score, 2)) for r in got.collect())
+    assert sum((found - expected).values()) <= 0.05 * len(texts)  # a score on a bin's edge may fall either way
+
+
 def test_op3(spark, folder, texts):
     got = queries.op3_simhash(spark, folder["full"])
     ids = [(i, brute.fingerprint(t)) for i, t in texts]
@@ -148,11 +191,25 @@ def test_op9_score(spark, folder, texts):
 
     docs = spark.read.parquet(folder["full"] + "/documents.parquet")
     trusted = spark.read.parquet(folder["full"] + "/labels.parquet").where("quality = 1 AND toxic = 0")
-    ratios = rules.log_ratios(docs, trusted, "doc_id", "text")
+    word = lambda w: xxhash.xxh64_intdigest(w.encode(), 42)
+    pair = lambda a, b: xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))
+    bucket = lambda h: (h - (1 << 64) if h >> 63 else h) % rules.BUCKETS
+
+    def buckets(t):
+        h = [word(w) for w in brute.words(t)]
+        return [bucket(x) for x in [*h, *(pair(a, b) for a, b in zip(h, h[1:]))]]
+
+    good = {r[0] for r in trusted.collect()} - {None}
+    every = Counter(b for _, t in texts for b in buckets(t))
+    chosen = Counter(b for i, t in texts if i in good for b in buckets(t))
+    part = lambda c, b: (c[b] + 1) / (sum(c.values()) + rules.BUCKETS)
+    ratios = [math.log(part(chosen, b)) - math.log(part(every, b)) for b in range(rules.BUCKETS)]
+    assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(rules.log_ratios(docs, trusted, "doc_id", "text"), ratios))
     small = docs.where("doc_id IN (3, 10, 22, 40)").select("doc_id", rules.word_ids(docs.text).alias("word_ids"))
     grams = {r.doc_id: r.grams for r in small.withColumn("pairs", rules.window_ids(2)).select("doc_id", rules.grams().alias("grams")).collect()}
     got = {r.doc_id: r.score for r in queries.op9_quality_rules(spark, folder["full"]).collect() if r.doc_id in grams}
     for i, g in grams.items():
+        assert sorted(g) == sorted(buckets(dict(texts)[i]))
         n = len(brute.words(dict(texts)[i]))
         assert len(g) == n + max(0, n - 1)
         assert math.isclose(got[i], sum(ratios[b] for b in g) / (len(g) + rules.SHRINK), abs_tol=1e-12)
