@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.llm import words as W
 from tallyhouse.sources.workspace import materialize, save_bucketed
 
 BLOCK_BYTES = 4 << 20
@@ -76,7 +77,7 @@ def write_blocks(docs: DataFrame, label: str, text: str = "text", block_bytes: i
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(block + part), row], [*batch.schema.names, "block", "row"])
 
-    return Blocks(save_bucketed(docs.mapInArrow(number, schema), label, min(n, MOST_FILES), "block"), n)
+    return Blocks(save_bucketed(docs.mapInArrow(W.frugal(number), schema), label, min(n, MOST_FILES), "block"), n)
 
 
 def planes(values: np.ndarray) -> bytes:

@@ -161,7 +161,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("d
     bits, packed = bitmap(shingles.select("key").distinct())
     inner = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(i) for c, i in zip(keep, inner)), F.col(text).alias("text"))
-    counts = rows.select("text").mapInArrow(lambda b: frequencies(lengths, bits, packed, b), "key long, n long")
+    counts = rows.select("text").mapInArrow(W.frugal(lambda b: frequencies(lengths, bits, packed, b)), "key long, n long")
     counts = counts.groupBy("key").agg(F.sum("n").alias("frequency"))
     ranked = shingles.join(counts, "key", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
     window, token = F.least("n", F.lit(size)), F.least("n", F.lit(shingle))
@@ -176,7 +176,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("d
     bits, packed = bitmap(prefix.select("key").distinct())
     kinds = dict(rows.dtypes)
     schema = "".join(f"{c} {kinds[c]}, " for c in (*inner, "text")) + f"uid long, n_words long, places {PLACES}"
-    seen = rows.mapInArrow(lambda b: places(size, lengths, bits, packed, b), schema)
+    seen = rows.mapInArrow(W.frugal(lambda b: places(size, lengths, bits, packed, b)), schema)
     seen = materialize(seen if with_text else seen.drop("text"), "places")
     found = seen.where(F.size("places") > 0).select("uid", "n_words", F.inline("places"))
     window = F.least("n", F.lit(size))

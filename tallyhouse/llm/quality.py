@@ -101,7 +101,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             found = statistics(part.column("text"))
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in found.T)], [*part.schema.names, *NAMES])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *kinds]))
+    return docs.mapInArrow(W.frugal(add), T.StructType([*docs.schema.fields, *kinds]))
 
 
 class Kernel:

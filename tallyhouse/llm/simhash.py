@@ -72,7 +72,7 @@ def with_fingerprints(docs: DataFrame, text: str, shingle: int) -> DataFrame:
             uid += part.num_rows
             yield pa.RecordBatch.from_arrays([*part.columns, fp, numbers], [*part.schema.names, "fp", "uid"])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *kinds]))
+    return docs.mapInArrow(W.frugal(add), T.StructType([*docs.schema.fields, *kinds]))
 
 
 def signatures(fps: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ sums; they are used as candidates or as one half of a 128-bit key.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -176,6 +177,22 @@ def window_hashes(hashes: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     return span_hashes(hashes, at, at + n, seed + 1000)
 
 
+def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``work`` on a partition, after which the worker gives back to the system what it has freed; workers wait for
+    their next task with all they ever needed, else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library on Linux
+            if trim:
+                trim(0)
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of text, or one longer text."""
     for batch in batches:
