@@ -14,17 +14,20 @@ from tallyhouse.operators.context import fold_mentions, mentions
 from tallyhouse.streaming.state import keep_state_by_key
 
 OUTPUT = "conv_id long, turn long, route string, category string, location string, words long"
-CONTEXT = "category string, location string, words long, next long, n_waiting long"
+CONTEXT = "category string, location string, words long, next long, parcel long, firsts array<long>, parcels array<long>"
 MENTION = "route string, own_category string, own_location string, own_words long, by_wording boolean, by_length boolean"
 COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 MENTIONED = [c.split()[0] for c in MENTION.split(", ")]
+#: Rows that wait, by column.
+PARCEL = "turn array<long>, " + ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in MENTION.split(", "))
 
 
 class Carry(StatefulProcessor):
-    """One conversation: its context and next turn in a value, turns that wait for one before them in a map, a value each.
+    """One conversation: its context and next turn in a value; what a batch brings behind a gap waits as one parcel in a
+    map until the gap is filled, and the value knows the first turn of each.
 
     The order of arrival does not matter. After ``idle_ms`` without news a timer lets the waiting turns go, in order, and
-    drops the state.
+    drops the state. Each entry of the state is bounded by the rows of a batch.
     """
 
     def __init__(self, idle_ms: int | None, first_turn: int) -> None:
@@ -33,14 +36,16 @@ class Carry(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.context = handle.getValueState("context", CONTEXT)
-        self.waiting = handle.getMapState("waiting", "turn long, copy long", MENTION)
+        self.waiting = handle.getMapState("waiting", "first long, parcel long", PARCEL)
 
     def load(self) -> None:
-        start = (None, None, 0, self.first_turn, 0)
-        self.category, self.location, self.words, self.next, self.n_waiting = self.context.get() if self.context.exists() else start
+        known = self.context.get() or (None, None, 0, self.first_turn, 0, [], [])
+        self.category, self.location, self.words, self.next, self.parcel = known[:5]
+        self.waits = sorted(zip(known[5], known[6]))
 
-    def fold(self, turn: int, mention: tuple) -> tuple:
-        route, own_category, own_location, own_words, by_wording, by_length = mention
+    def fold(self, row: tuple) -> tuple:
+        turn, route, own_category, own_location, own_words, by_wording, by_length = row
+        self.next = max(self.next, turn + 1)
         if route == "data":
             if not (by_wording or by_length):
                 self.category, self.location, self.words = None, None, 0
@@ -49,19 +54,13 @@ class Carry(StatefulProcessor):
             self.words |= int(own_words)
         return turn, route, self.category, self.location or None, self.words
 
-    def put(self, turn: int, mention: tuple) -> None:
-        copy = 0
-        while self.n_waiting and self.waiting.containsKey((turn, copy)):
-            copy += 1
-        self.waiting.updateValue((turn, copy), mention)
-        self.n_waiting += 1
-
-    def take(self, turn: int) -> list[tuple]:
+    def take(self, to_end: bool = False) -> list[tuple]:
+        """Rows of the parcels that begin at the next turn or before it; these are gone then."""
         out: list[tuple] = []
-        while self.n_waiting and self.waiting.containsKey((turn, len(out))):
-            out.append(tuple(self.waiting.getValue((turn, len(out)))))
-            self.waiting.removeKey((turn, len(out) - 1))
-            self.n_waiting -= 1
+        while self.waits and (to_end or self.waits[0][0] <= self.next):
+            place = self.waits.pop(0)
+            out += zip(*self.waiting.getValue(place))
+            self.waiting.removeKey(place)
         return out
 
     def rows(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
@@ -70,20 +69,27 @@ class Carry(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         self.load()
-        came: dict[int, list[tuple]] = {}
+        left: list[tuple] = []
         for part in rows:
-            values = part[["turn", *MENTIONED]].astype(object).where(part[["turn", *MENTIONED]].notna(), None).values.tolist()
-            for turn, *mention in values:
-                came.setdefault(int(turn), []).append(tuple(mention))
-        out = [self.fold(turn, m) for turn in sorted(came) if turn < self.next for m in came[turn]]
-        while found := [*self.take(self.next), *came.get(self.next, ())]:
-            out += [self.fold(self.next, m) for m in found]
-            self.next += 1
-        for turn in sorted(came):
-            if turn > self.next:
-                for m in came[turn]:
-                    self.put(turn, m)
-        self.context.update((self.category, self.location, int(self.words), int(self.next), int(self.n_waiting)))
+            part = part[["turn", *MENTIONED]].astype(object)
+            left += map(tuple, part.where(part.notna(), None).values.tolist())
+        out: list[tuple] = []
+        while True:
+            left = sorted([*left, *self.take()], key=lambda r: r[0])
+            done = 0
+            while done < len(left) and left[done][0] <= self.next:
+                out.append(self.fold(left[done]))
+                done += 1
+            left = left[done:]
+            if not done or not self.waits or self.waits[0][0] > self.next:
+                break
+        if left:
+            place = (int(left[0][0]), int(self.parcel))
+            self.waiting.updateValue(place, tuple(list(x) for x in zip(*left)))
+            self.waits.append(place)
+            self.parcel += 1
+        firsts, parcels = ([w[k] for w in self.waits] for k in (0, 1))
+        self.context.update((self.category, self.location, int(self.words), int(self.next), int(self.parcel), firsts, parcels))
         if self.idle_ms:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
@@ -92,10 +98,8 @@ class Carry(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.load()
-        left = sorted((tuple(k) for k in self.waiting.keys())) if self.n_waiting else []
-        out = [self.fold(k[0], tuple(self.waiting.getValue(k))) for k in left]
+        out = [self.fold(r) for r in sorted(self.take(to_end=True), key=lambda r: r[0])]
         self.context.clear()
-        self.waiting.clear()
         yield from self.rows(key, out)
 
     def close(self) -> None:
@@ -117,8 +121,10 @@ def held_turns(spark: SparkSession, checkpoint: str) -> DataFrame:
         if e.getCondition() != "STDS_COMMITTED_BATCH_UNAVAILABLE":  # a run without input
             raise
         return spark.createDataFrame([], OUTPUT)
-    turns = waiting.select("key.conv_id", "user_map_key.turn", "user_map_value.*")
-    so_far = context.select("key.conv_id", "value.*").where("n_waiting > 0").select(
+    each = F.arrays_zip(*(F.col(f"user_map_value.{c}").alias(c) for c in ("turn", *MENTIONED)))
+    turns = waiting.select("key.conv_id", F.explode(each).alias("x"))
+    turns = turns.select("conv_id", *(F.col("x").getField(c).alias(c) for c in ("turn", *MENTIONED)))
+    so_far = context.select("key.conv_id", "value.*").where("size(firsts) > 0").select(
         "conv_id", (F.col("next") - 1).alias("turn"), F.lit("data").alias("route"), F.col("category").alias("own_category"),
         F.col("location").alias("own_location"), F.col("words").alias("own_words"), F.lit(False).alias("by_wording"), F.lit(False).alias("by_length"))
     rows = so_far.withColumn("given", F.lit(True)).unionByName(turns.withColumn("given", F.lit(False)))
