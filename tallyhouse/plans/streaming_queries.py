@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ HOUR = 3600 * SECOND
 RULES = Rules(base=15.0, gap=12 * HOUR, min_active=2, max_length=72 * HOUR)
 DELAY_HOURS = 1
 FIXED = 40.0
+T = TypeVar("T")
 
 
 def read_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -30,16 +34,22 @@ def read_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/{name}.parquet*")
 
 
-def read_disordered(spark: SparkSession, root: str, slices: int = 4) -> DataFrame:
-    """Events as a stream of several files, one a batch, in which rows arrive up to ``DELAY_HOURS`` out of order."""
-    landing = new_folder(spark, "disordered")
+def in_turns(slices: Iterable[DataFrame], write: Callable[[DataFrame], None], run: Callable[[], T]) -> T:
+    """What ``run`` returns after the last slice. A slice is written by as many tasks as it has and is all that a run finds
+    new, so it makes one batch; runs go on from the checkpoint of the run before."""
+    for part in slices:
+        write(part)
+        found = run()
+    return found
+
+
+def disordered(spark: SparkSession, root: str, slices: int = 4) -> list[DataFrame]:
+    """Events in slices, in which rows arrive up to ``DELAY_HOURS`` out of order."""
     late = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(DELAY_HOURS * HOUR))
     events = table(spark, root, "events").withColumn("arrives", late)
     edges = events.agg(*(F.percentile_approx("arrives", k / slices).alias(f"e{k}") for k in range(1, slices))).first()
-    for low, high in zip([None, *edges], [*edges, None]):
-        part = events.where((F.lit(low is None) | (F.col("arrives") > F.lit(low))) & (F.lit(high is None) | (F.col("arrives") <= F.lit(high))))
-        part.drop("arrives").coalesce(1).write.mode("append").parquet(landing)
-    return spark.readStream.schema(events.drop("arrives").schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    return [events.where((F.lit(low is None) | (F.col("arrives") > F.lit(low))) & (F.lit(high is None) | (F.col("arrives") <= F.lit(high)))).drop("arrives")
+            for low, high in zip([None, *edges], [*edges, None])]
 
 
 _NOISE = """SELECT *, epoch_us(ts) AS us, quantile_cont(value, 0.2) OVER w AS q, count(*) OVER w AS n
@@ -85,8 +95,14 @@ SELECT user_id, start_us, end_us, n_active, peak FROM lastpart
 WHERE seg < last_seg OR seg_last + {12 * HOUR} < {_WATERMARK}
    OR EXISTS (SELECT 1 FROM org o WHERE o.user_id = lastpart.user_id AND o.seg = lastpart.seg AND o.us > lastpart.end_us)""")
 def _(spark, root):
-    found = stream_segments(read_disordered(spark, root), RULES, f"{DELAY_HOURS} hours")
-    return drain_to_parquet(found, new_folder(spark, "segments"), new_folder(spark, "segments-state"))
+    events, landing = disordered(spark, root), new_folder(spark, "disordered")
+    target, state = new_folder(spark, "segments"), new_folder(spark, "segments-state")
+
+    def run() -> DataFrame:
+        stream = spark.readStream.schema(events[0].schema).parquet(landing)
+        return drain_to_parquet(stream_segments(stream, RULES, f"{DELAY_HOURS} hours"), target, state)
+
+    return in_turns(events, lambda part: part.write.mode("append").parquet(landing), run)
 
 
 # Spark filters inactive rows before it tracks the watermark.
@@ -101,20 +117,24 @@ def _(spark, root):
 
 @query("stream_context", s.CONTEXT + " SELECT conv_id, turn, route, category, location, words FROM ctx")
 def _(spark, root):
-    asked, path = view(spark, root, "questions"), new_folder(spark, "questions")
-    for part in (1, 0, 2):  # later turns arrive first
-        asked.where(F.least(F.col("turn") / 2, F.lit(2)).cast("int") == part).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    found = stream_context(stream, s.CATEGORIES, s.WORDS)
-    state = new_folder(spark, "context-state")
-    return drain_to_parquet(found, new_folder(spark, "context"), state).unionByName(held_turns(spark, state))
+    asked, landing = view(spark, root, "questions"), new_folder(spark, "questions")
+    target, state = new_folder(spark, "context"), new_folder(spark, "context-state")
+    # Later turns arrive first.
+    slices = [asked.where(F.least(F.col("turn") / 2, F.lit(2)).cast("int") == part) for part in (1, 0, 2)]
+
+    def run() -> DataFrame:
+        stream = spark.readStream.schema(asked.schema).parquet(landing)
+        return drain_to_parquet(stream_context(stream, s.CATEGORIES, s.WORDS), target, state)
+
+    found = in_turns(slices, lambda part: part.write.mode("append").parquet(landing), run)
+    return found.unionByName(held_turns(spark, state))
 
 
 _LEVEL = """CASE WHEN rating > 0 AND rating <= 4.0 THEN 'Poor' WHEN rating > 4.0 AND rating <= 4.3 THEN 'Average'
   WHEN rating > 4.3 AND rating <= 4.6 THEN 'Good' WHEN rating > 4.6 AND rating <= 5.1 THEN 'Excellent' END"""
 
 
-# Three files, a batch each; products come again in later files.
+# Three slices, a batch each; products come again in later ones.
 FILES = 3
 
 
@@ -126,13 +146,11 @@ c AS (SELECT asin, category, coalesce(price, middle) AS price, coalesce(rating,
 SELECT asin, category, price, rating, review_count, scraped_at, {_LEVEL} AS satisfaction_level FROM c
 QUALIFY row_number() OVER (PARTITION BY asin ORDER BY file, scraped_at) = 1""")
 def _(spark, root):
-    landing, target = new_folder(spark, "landing"), new_folder(spark, "ingested")
+    landing, target, archive, state = (new_folder(spark, x) for x in ("landing", "ingested", "archive", "ingest-state"))
     raw = view(spark, root, "raw_listings")
-    for file in range(FILES):
-        part = raw.where(F.col("row_id") % FILES == file).select(*RAW_COLUMNS).coalesce(1)
-        part.write.mode("append").option("header", True).option("escape", '"').csv(landing)
-    stream = read_new_files(spark, landing, archive=new_folder(spark, "archive"), max_files=1)
-    ingest(stream, target, new_folder(spark, "ingest-state")).awaitTermination()
+    slices = [raw.where(F.col("row_id") % FILES == file).select(*RAW_COLUMNS) for file in range(FILES)]
+    in_turns(slices, lambda part: part.write.mode("append").option("header", True).option("escape", '"').csv(landing),
+             lambda: ingest(read_new_files(spark, landing, archive=archive), target, state).awaitTermination())
     return spark.read.parquet(target).select(
         "asin", "category", "price", "rating", "review_count", "scraped_at", "satisfaction_level")
 

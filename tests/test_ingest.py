@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tallyhouse.functions.vocab import RAW_COLUMNS
+from tallyhouse.plans import load_all
+from tallyhouse.plans.registry import QUERIES
 from tallyhouse.sources.workspace import new_folder
 from tallyhouse.streaming.ingest import Seen, ingest, read_new_files
 
@@ -54,3 +60,32 @@ def test_a_repeated_batch_finds_what_it_found(spark):
         assert "Bucketed: true" in seen.unseen(rows[1], 1)._jdf.queryExecution().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.fixture
+def tables(spark):
+    """Few products, sales, events and turns."""
+    root = new_folder(spark, "stream-tables")
+    parts = [(k, f"name {k}", "SMALL TIN", 1 + k % 50, Decimal(100 + k)) for k in range(1, 201)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_size int, p_retailprice decimal(15,2)").write.parquet(f"{root}/part.parquet")
+    sold = spark.range(600).select((F.col("id") % 200 + 1).alias("l_partkey"), F.lit(2.0).alias("l_quantity"), F.lit("2001-01-02").cast("date").alias("l_shipdate"))
+    sold.write.parquet(f"{root}/lineitem.parquet")
+    turns = spark.range(60).select((F.col("id") % 10).alias("conv_id"), F.floor(F.col("id") / 10).cast("int").alias("turn"), F.lit("user").alias("role"), F.lit("show me rings").alias("text"))
+    turns.write.parquet(f"{root}/conversations.parquet")
+    seconds = F.lit("2001-01-02 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * 600)
+    events = spark.range(300).select(F.col("id").alias("event_id"), seconds.alias("ts"), (F.col("id") % 3).alias("user_id"), (F.col("id") % 90).cast("double").alias("value"))
+    events.write.parquet(f"{root}/events.parquet")
+    return root
+
+
+@pytest.mark.parametrize(("name", "rows"), [("stream_raw_ingest", 200), ("stream_context", 120), ("stream_activity_segments", None)])
+def test_what_a_stream_reads_is_not_written_by_one_task(spark, tables, monkeypatch, name, rows):
+    load_all()
+
+    def alone(self, n):
+        raise AssertionError(f"everything in {n} task")
+
+    monkeypatch.setattr(DataFrame, "coalesce", alone)
+    found = QUERIES[name](spark, tables)
+    n = found.count()
+    assert rows is None or n == rows
