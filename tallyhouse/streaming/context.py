@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -63,16 +62,12 @@ class Carry(StatefulProcessor):
             self.waiting.removeKey(place)
         return out
 
-    def rows(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
-        if out:
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=COLUMNS)
+    def rows(self, key: tuple, out: list[tuple]) -> Iterator[Row]:
+        return (Row(**dict(zip(COLUMNS, (key[0], *r)))) for r in out)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         self.load()
-        left: list[tuple] = []
-        for part in rows:
-            part = part[["turn", *MENTIONED]].astype(object)
-            left += map(tuple, part.where(part.notna(), None).values.tolist())
+        left = [tuple(r[c] for c in ("turn", *MENTIONED)) for r in rows]
         out: list[tuple] = []
         while True:
             left = sorted([*left, *self.take()], key=lambda r: r[0])
@@ -96,7 +91,7 @@ class Carry(StatefulProcessor):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield from self.rows(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.load()
         out = [self.fold(r) for r in sorted(self.take(to_end=True), key=lambda r: r[0])]
         self.context.clear()
@@ -146,5 +141,5 @@ def stream_context(questions: DataFrame, categories: dict[str, str], words: list
     """
     keep_state_by_key(questions.sparkSession)
     read = mentions(questions, categories, words).select("conv_id", "turn", *MENTIONED)
-    return read.groupBy("conv_id").transformWithStateInPandas(
+    return read.groupBy("conv_id").transformWithState(
         Carry(idle_ms, first_turn), OUTPUT, "Append", "ProcessingTime" if idle_ms else "None")

@@ -5,12 +5,13 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import questions as q
 from tallyhouse.functions import vocab
 from tallyhouse.operators import context as ctx
-from tallyhouse.streaming.context import held_turns, stream_context
+from tallyhouse.streaming.context import Carry, held_turns, stream_context
 from tallyhouse.streaming.ingest import drain_to_parquet
 from tallyhouse.sources.workspace import new_folder
 
@@ -182,3 +183,30 @@ def test_gap_released_by_timer(spark):
         running.stop()
     cols = ["conv_id", "turn", "route", "category", "location", "words"]
     assert sorted(map(str, out.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+
+
+def test_a_conversation_without_gaps_asks_the_state_twice():
+    """Rows go in and out one by one, without a frame for each conversation; no turn waits, so only the context is kept."""
+    calls = []
+
+    class State:
+        def get(self):
+            calls.append("get")
+
+        def update(self, value):
+            calls.append("update")
+
+    class Handle:
+        def getValueState(self, *given):
+            return State()
+
+        def getMapState(self, *given):
+            return None
+
+    carry = Carry(None, 0)
+    carry.init(Handle())
+    rows = [Row(conv_id=7, turn=t, route="data", own_category="c" if t == 0 else None, own_location=None, own_words=1 << t,
+                by_wording=t > 0, by_length=False) for t in (2, 0, 1)]
+    found = list(carry.handleInputRows((7,), iter(rows), None))
+    assert [(r.conv_id, r.turn, r.category, r.words) for r in found] == [(7, 0, "c", 1), (7, 1, "c", 3), (7, 2, "c", 7)]
+    assert calls == ["get", "update"]
