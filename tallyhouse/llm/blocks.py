@@ -55,9 +55,11 @@ class Question:
     reply: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def write_blocks(docs: DataFrame, label: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> Blocks:
+def write_blocks(docs: DataFrame, label: str, text: str = "text", block_bytes: int = BLOCK_BYTES,
+                 together: int = 1) -> Blocks:
     """Write ``docs`` with columns ``block`` and ``row`` (together unique); a block is part of one input partition and
-    holds about ``block_bytes`` of text, or one longer text."""
+    holds about ``block_bytes`` of text, or one longer text. A bucket of the table has about ``together`` blocks: fewer
+    tasks on the table, each of which writes fewer files for the blocks that it works through one by one."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     schema = T.StructType([*docs.schema.fields, T.StructField("block", T.LongType()), T.StructField("row", T.LongType())])
@@ -77,7 +79,7 @@ def write_blocks(docs: DataFrame, label: str, text: str = "text", block_bytes: i
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(block + part), row], [*batch.schema.names, "block", "row"])
 
-    return Blocks(save_bucketed(docs.mapInArrow(W.frugal(number), schema), label, min(n, MOST_FILES), "block"), n)
+    return Blocks(save_bucketed(docs.mapInArrow(W.frugal(number), schema), label, min(-(-n // together), MOST_FILES), "block"), n)
 
 
 def planes(values: np.ndarray) -> bytes:

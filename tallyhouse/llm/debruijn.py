@@ -14,7 +14,8 @@ An edge is a k-mer of words, its ends are the (k-1)-mers it begins and ends with
 6. Spans: verified paths that follow each other in a document and in a unitig are one span, which is removed.
 
 Steps 1 to 3 go through ``blocks``: distinct keys of a block, never a row per word, so a passage that a third of the
-documents share is one key a block. Null and empty texts have no words. Repeated rows are texts of their own: their
+documents share is one key a block. Steps 4 to 6 likewise join one row for each different path of a block, which holds
+its places there, however many documents of the block have it. Null and empty texts have no words. Repeated rows are texts of their own: their
 spans repeat. Overlaps count: windows are judged on the input, not on what is left.
 """
 
@@ -24,7 +25,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import blocks as B
@@ -34,7 +36,11 @@ from tallyhouse.sources.workspace import materialize
 K = 35
 SEED_WORDS = 8
 BLOCK_BYTES = 2 << 20
-PIECES = "block long, row long, start long, path long, edges long, copies long, first long, last long, digest binary"
+#: Blocks that a task works through, one after the other.
+TOGETHER = 4
+PIECES = ("block long, path long, digest binary, edges long, copies long, first long, last long, "
+          "rows array<long>, starts array<long>, runs array<long>")
+SPANS = "block long, row long, unitig long, start long, n_words long, n_paths long, n_copies long"
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +119,8 @@ def ask_nodes(n: int, k: int, table: pa.Table, answers: pa.Table) -> pa.Table:
 def cut(k: int, table: pa.Table, answers: pa.Table) -> pa.Table:
     """The pieces of all documents of a block. ``answers`` has the repeated edges (kind 0) and the cut nodes (1).
 
-    Equal pieces that follow each other (one word many times) are one row with their number in ``copies``.
+    Equal pieces are one row with their places: the document's row, the word number, and how many of them follow each
+    other there (one word many times). ``copies`` is the sum of these runs.
     """
     t = W.split(table["text"])
     kind = answers["kind"].to_numpy()
@@ -135,12 +142,21 @@ def cut(k: int, table: pa.Table, answers: pa.Table) -> pa.Table:
     digests = [hashlib.blake2b(blob[a:b], digest_size=16).digest()
                for a, b in zip(begin[start].tolist(), ends[start + length + k - 2].tolist())]
     doc = t.doc[start]
+    halves = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    order = np.lexsort((halves[:, 1], halves[:, 0], path))
+    new = np.ones(len(order), bool)
+    new[1:] = (path[order][1:] != path[order][:-1]) | (halves[order][1:] != halves[order][:-1]).any(axis=1)
+    at = np.flatnonzero(new)
+    one = order[at]
+    offsets = pa.array(np.append(at, len(order)), pa.int32())
+    places = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x[order], pa.int64()))
     signed = lambda x: x.view(np.int64)
     return pa.table({
-        "block": np.full(len(start), table["block"][0].as_py(), np.int64), "row": table["row"].to_numpy()[doc],
-        "start": start - t.first_word()[doc], "path": signed(path), "edges": length.astype(np.int64),
-        "copies": copies.astype(np.int64), "first": signed(node[start]), "last": signed(node[start + length]),
-        "digest": pa.array(digests, pa.binary())})
+        "block": np.full(len(one), table["block"][0].as_py(), np.int64), "path": signed(path[one]),
+        "digest": pa.array([digests[i] for i in one.tolist()], pa.binary()), "edges": length[one].astype(np.int64),
+        "copies": np.add.reduceat(copies[order], at).astype(np.int64) if len(at) else np.zeros(0, np.int64),
+        "first": signed(node[start[one]]), "last": signed(node[start[one] + length[one]]),
+        "rows": places(table["row"].to_numpy()[doc]), "starts": places(start - t.first_word()[doc]), "runs": places(copies)})
 
 
 def unitigs(paths: DataFrame) -> DataFrame:
@@ -168,10 +184,9 @@ def unitigs(paths: DataFrame) -> DataFrame:
     return state.select("path", F.when(F.col("done"), F.col("head")).otherwise(F.col("least")).alias("unitig"))
 
 
-def repeated_spans(table: B.Blocks, k: int = K, m: int = SEED_WORDS) -> DataFrame:
-    """Spans of ``k`` words or more whose every window occurs elsewhere: block, row, start (word number), n_words,
-    unitig, n_paths of it, and n_copies, how often the rarest of them occurs over all documents. A span is all that a
-    document has of a unitig in one stretch; spans of different unitigs overlap by less than a window."""
+def repeated_paths(table: B.Blocks, k: int, m: int) -> DataFrame:
+    """The paths that occur twice or more: a row for each of them and block that has it, with its places there, its
+    unitig, and n_copies, how often it occurs over all documents."""
     n, m = table.ranges(), min(m, k)
     texts = table.df.groupBy("block")
     seed = B.lookup(texts.applyInArrow(lambda t: ask_seeds(n, k, m, t), B.CELLS), TWICE, table)
@@ -189,13 +204,34 @@ def repeated_spans(table: B.Blocks, k: int = K, m: int = SEED_WORDS) -> DataFram
     ).where("n_copies >= 2")
     paths = materialize(paths, "paths")
     named = paths.select("path", "digest", "n_copies").join(unitigs(paths), "path")
-    located = pieces.join(named, ["path", "digest"]).withColumn("ahead", F.col("start") + F.col("edges") + F.col("copies") - 1)
-    along = Window.partitionBy("block", "row").orderBy("start")
-    goes_on = (F.lag("unitig").over(along) == F.col("unitig")) & (F.lag("ahead").over(along) == F.col("start"))
-    runs = located.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(along))
-    return runs.groupBy("block", "row", "unitig", "run").agg(
-        F.min("start").alias("start"), (F.max("ahead") - F.min("start") + (k - 1)).alias("n_words"),
-        F.count("*").alias("n_paths"), F.min("n_copies").alias("n_copies")).drop("run")
+    return pieces.join(named, ["path", "digest"]).select("block", "edges", "unitig", "n_copies", "rows", "starts", "runs")
+
+
+def spans_of(k: int, paths: pa.Table) -> pa.Table:
+    """The spans of a block by its repeated paths."""
+    sizes = pc.list_value_length(paths["rows"]).to_numpy()
+    flat = lambda name: pc.list_flatten(paths[name]).to_numpy()
+    spread = lambda name: np.repeat(paths[name].to_numpy(), sizes)
+    row, start = flat("rows"), flat("starts")
+    ahead = start + spread("edges") + flat("runs") - 1
+    order = np.lexsort((start, row))
+    row, start, ahead = row[order], start[order], ahead[order]
+    unitig, copies = spread("unitig")[order], spread("n_copies")[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (unitig[1:] != unitig[:-1]) | (ahead[:-1] != start[1:])
+    at = np.flatnonzero(new)
+    ends = np.append(at[1:], len(row))
+    return pa.table({
+        "block": np.full(len(at), paths["block"][0].as_py() if len(at) else 0, np.int64), "row": row[at],
+        "unitig": unitig[at], "start": start[at], "n_words": ahead[ends - 1] - start[at] + (k - 1) if len(at) else start,
+        "n_paths": ends - at if len(at) else start, "n_copies": np.minimum.reduceat(copies, at) if len(at) else copies})
+
+
+def repeated_spans(table: B.Blocks, k: int = K, m: int = SEED_WORDS) -> DataFrame:
+    """Spans of ``k`` words or more whose every window occurs elsewhere: block, row, start (word number), n_words,
+    unitig, n_paths of it, and n_copies, how often the rarest of them occurs over all documents. A span is all that a
+    document has of a unitig in one stretch; spans of different unitigs overlap by less than a window."""
+    return repeated_paths(table, k, m).groupBy("block").applyInArrow(lambda t: spans_of(k, t), SPANS)
 
 
 def removal(table: pa.Table, spans: pa.Table, with_text: bool) -> pa.Table:
@@ -233,12 +269,12 @@ def dedup_substrings(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     ``kept``, the text that is left. Other columns are not read, so their names cannot clash."""
     inner = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(i) for c, i in zip(keep, inner)), F.col(text).alias("text"))
-    table = B.write_blocks(rows, "substring_texts", block_bytes=BLOCK_BYTES)
-    spans = repeated_spans(table, k).select("block", "row", "start", "n_words")
+    table = B.write_blocks(rows, "substring_texts", block_bytes=BLOCK_BYTES, together=TOGETHER)
+    paths = repeated_paths(table, k, SEED_WORDS)
     kinds = dict(rows.dtypes)
     schema = "n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     schema += "".join(f", in_{c} {kinds[c]}" for c in (*inner, "text"))
-    out = table.df.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
-        lambda t, s: removal(t, s, with_text), schema)
+    out = table.df.groupBy("block").cogroup(paths.groupBy("block")).applyInArrow(
+        lambda t, p: removal(t, spans_of(k, p), with_text), schema)
     return out.select(*(F.col(f"in_{i}").alias(c) for c, i in zip(keep, inner)), "n_words", "n_removed", "kept_sha256",
                       *(["kept"] * with_text), *([F.col("in_text").alias(text)] * with_text))

@@ -174,6 +174,49 @@ def test_op8_spans_follow_unitigs(spark):
     assert got == sorted(((i, *x) for (i, _), x in zip(rows, brute.substring_dedup([t for _, t in rows]))), key=repr)
 
 
+def test_op8_pieces_are_distinct_in_a_block():
+    """Near copies that branch at every word: a block joins a row for each different path, which holds all its places."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyhouse.llm import words as W
+
+    k, passage = 4, [f"w{i}" for i in range(30)]
+    texts = [" ".join([*passage[:i], f"own{i}", *passage[i + 1 :]]) for i in range(20)] + ["same " * 9] * 2
+    table = pa.table({"text": texts, "block": pa.array([7] * len(texts)), "row": pa.array(range(100, 100 + len(texts)))})
+    t = W.split(table["text"])
+    hashes = W.word_hashes(t)
+    replies = []
+    for kind, n in ((0, k), (1, k - 1)):
+        keys, whole = debruijn.windows(hashes, t.doc, n)
+        keys = np.unique(keys[whole])
+        replies.append({"block": 7, "bucket": 0, "n": len(keys), "reply": blocks.planes(np.diff(keys, prepend=np.uint64(0))), "kind": kind})
+    got = debruijn.cut(k, table, pa.Table.from_pylist(replies)).to_pylist()
+    want = [w[i : i + k] for w in map(str.split, texts) for i in range(len(w) - k + 1)]
+    assert len(got) == len({r["digest"] for r in got}) == len(set(map(tuple, want))) < len(want) / 2
+    places = [(row, start + i) for r in got for row, start, n in zip(r["rows"], r["starts"], r["runs"]) for i in range(n)]
+    assert sorted(places) == [(100 + d, i) for d, w in enumerate(map(str.split, texts)) for i in range(len(w) - k + 1)]
+    assert all(r["copies"] == sum(r["runs"]) and r["edges"] == 1 for r in got)
+
+
+def test_op8_near_copies_in_few_files(spark):
+    """Near copies in many blocks give the brute-force rows; buckets hold some blocks each, so a stage writes fewer files."""
+    import random
+
+    rng = random.Random(6)
+    passage = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+    rows = [(i, " ".join(w if rng.random() < 0.98 else f"x{rng.random()}" for w in passage)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    table = blocks.write_blocks(df, "few", block_bytes=2500, together=4)
+    files = {f.rsplit("_", 1)[1] for f in table.df.inputFiles()}
+    assert len(files) <= -(-table.n // 4) < 6 < 15 < table.df.select("block").distinct().count()
+    want = sorted(((i, *x) for (i, _), x in zip(rows, brute.substring_dedup([t for _, t in rows]))), key=repr)
+    assert rows_of(debruijn.dedup_substrings(df)) == want
+    spans = debruijn.repeated_spans(table).join(table.df.select("block", "row", "doc_id"), ["block", "row"]).collect()
+    removed = {i: len({w for s in spans if s.doc_id == i for w in range(s.start, s.start + s.n_words)}) for i, _ in rows}
+    assert removed == {i: n for i, _, n, *_ in want}
+
+
 def test_op9(spark, folder, texts):
     got = queries.op9_quality_rules(spark, folder["full"])
     want = []
