@@ -189,16 +189,16 @@ def repeated_paths(table: B.Blocks, k: int, m: int) -> DataFrame:
     unitig, and n_copies, how often it occurs over all documents."""
     n, m = table.ranges(), min(m, k)
     texts = table.df.groupBy("block")
-    seed = B.lookup(texts.applyInArrow(lambda t: ask_seeds(n, k, m, t), B.CELLS), TWICE, table)
+    seed = B.lookup(texts.applyInArrow(lambda t: W.lean(ask_seeds, n, k, m, t), B.CELLS), TWICE, table)
     edges = table.df.groupBy("block").cogroup(seed.groupBy("block")).applyInArrow(
-        lambda t, a: ask_edges(n, k, m, t, a), B.CELLS)
+        lambda t, a: W.lean(ask_edges, n, k, m, t, a), B.CELLS)
     edges = materialize(B.lookup(edges, TWICE, table), "repeated_edges")
     nodes = table.df.groupBy("block").cogroup(edges.groupBy("block")).applyInArrow(
-        lambda t, a: ask_nodes(n, k, t, a), B.CELLS)
+        lambda t, a: W.lean(ask_nodes, n, k, t, a), B.CELLS)
     nodes = B.lookup(nodes, BRANCHING, table)
     known = edges.withColumn("kind", F.lit(0)).unionByName(nodes.withColumn("kind", F.lit(1)))
     pieces = materialize(table.df.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        lambda t, a: cut(k, t, a), PIECES), "pieces")
+        lambda t, a: W.lean(cut, k, t, a), PIECES), "pieces")
     paths = pieces.groupBy("path", "digest").agg(
         F.sum("copies").alias("n_copies"), F.first("first").alias("first"), F.first("last").alias("last")
     ).where("n_copies >= 2")
@@ -275,6 +275,6 @@ def dedup_substrings(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     schema = "n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     schema += "".join(f", in_{c} {kinds[c]}" for c in (*inner, "text"))
     out = table.df.groupBy("block").cogroup(paths.groupBy("block")).applyInArrow(
-        lambda t, p: removal(t, spans_of(k, p), with_text), schema)
+        lambda t, p: W.lean(lambda: removal(t, spans_of(k, p), with_text)), schema)
     return out.select(*(F.col(f"in_{i}").alias(c) for c, i in zip(keep, inner)), "n_words", "n_removed", "kept_sha256",
                       *(["kept"] * with_text), *([F.col("in_text").alias(text)] * with_text))

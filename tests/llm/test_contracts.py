@@ -199,6 +199,18 @@ def test_op8_pieces_are_distinct_in_a_block():
     assert all(r["copies"] == sum(r["runs"]) and r["edges"] == 1 for r in got)
 
 
+def test_op8_workers_give_back_memory(monkeypatch):
+    """What a block's work has freed returns to the system when the block is done, also when the work fails."""
+    from tallyhouse.llm import words as W
+
+    calls: list[int] = []
+    monkeypatch.setattr(W, "give_back", lambda: calls.append(1))
+    assert W.lean(lambda a, b: a + b, 1, 2) == 3 and len(calls) == 1
+    with pytest.raises(ZeroDivisionError):
+        W.lean(lambda: 1 // 0)
+    assert list(W.frugal(lambda batches: batches)([])) == [] and len(calls) == 3
+
+
 def test_op8_near_copies_in_few_files(spark):
     """Near copies in many blocks give the brute-force rows; buckets hold some blocks each, so a stage writes fewer files."""
     import random
