@@ -95,9 +95,11 @@ def links(fps: DataFrame, bits: int = BITS, meet: int = MEET) -> DataFrame:
         raise ValueError("two segments with one wildcard each serve two differing bits")
     signed = signatures(fps)
     sizes = signed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-    signed = materialize(signed.join(sizes, "sig"), "signatures")
+    # Spark takes rows that were exploded for as large as the column they come from, and packed files for as large as
+    # the rows in them; neither side may go to the driver for that.
+    signed = materialize(signed.join(sizes.hint("merge"), "sig"), "signatures")
     few = signed.where(F.col("n") <= meet).select("sig", "fp")
-    pairs = (few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "sig")
+    pairs = (few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b").hint("merge"), "sig")
              .where("a < b and bit_count(a ^ b) <= 2").select("a", "b"))
     many = signed.where(F.col("n") > meet).select("fp").distinct()
     points = many.select("fp", F.explode(F.expr(

@@ -85,6 +85,22 @@ def test_hot_signatures_link_like_all_pairs(spark):
         assert [least[i] for i, _ in rows] == want
 
 
+def test_signatures_stay_off_the_driver(spark, monkeypatch):
+    """A fingerprint has 64 signatures, of which Spark expects the size of one: it would send them all to the driver."""
+    plans, real = {}, simhash.materialize
+
+    def planned(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", planned)
+    fps = real(spark.range(3000).selectExpr("CASE WHEN id < 2990 THEN xxhash64(id) ELSE xxhash64(id - 2990) ^ 5 END AS fp"), "fps")
+    pairs = simhash.links(fps)
+    plans["pairs"] = pairs._jdf.queryExecution().executedPlan().toString()
+    assert {x for x in plans if "BroadcastExchange" in plans[x]} == set()
+    assert {r.a ^ r.b for r in pairs.collect()} == {5} and pairs.count() == 10
+
+
 def test_license_scan(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     planted = [(10**6 + i, f"Some words here.\n{t}\nand more text") for i, t in enumerate(x for f in licenses.TEMPLATES.values() for x in f)]
