@@ -77,6 +77,8 @@ def folder(spark, docs, none, leak, tmp_path_factory):
             "documents": docs if full else none,
             "benchmark": spark.createDataFrame(bench if full else [], "item_id long, text string"),
             "labels": spark.createDataFrame(labels if full else [], "doc_id long, quality int, toxic int"),
+            "embeddings": spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.0, 2.0], 1), (2, [1.0, 1.5], 1)] if full else [],
+                                                "vec_id long, embedding array<float>, label int"),
             "conversations": spark.createDataFrame(talk if full else [], "conv_id long, turn long, role string, text string"),
         }
         for name, df in tables.items():

@@ -101,6 +101,22 @@ def test_signatures_stay_off_the_driver(spark, monkeypatch):
     assert {r.a ^ r.b for r in pairs.collect()} == {5} and pairs.count() == 10
 
 
+def test_pipeline_keeps_signatures_off_the_driver(spark, monkeypatch):
+    plans, real = {}, simhash.materialize
+
+    def planned(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", planned)
+    rows = [(i, f"{i % 30} und {i % 30} so weiter {i % 30} am Ende", "de", "s", 20) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "signatures").collect()]
+    corpus_pipeline.clear(spark, "signatures")
+    assert "BroadcastExchange" not in plans["signatures"] and "BroadcastExchange" in "".join(plans.values())
+    assert left and max(left) < 30 and len(set(left)) == len(left)
+
+
 def test_license_scan(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     planted = [(10**6 + i, f"Some words here.\n{t}\nand more text") for i, t in enumerate(x for f in licenses.TEMPLATES.values() for x in f)]
